@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_pairs, transport
+from lodestone.llm import byte_pairs, near_duplicates, transport
 from lodestone.session import table
 
 #: Where the vocabulary is read; only the driver opens it.
@@ -19,6 +19,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_pairs.encode_texts(docs, byte_pairs.share_vocabulary(spark, vocabulary_path()), keep=["doc_id"], digest=True)
@@ -30,6 +34,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_near_duplicates": op3_near_duplicates,
         "op5_bpe": op5_bpe,
         "op9_media": op9_media,
     }
