@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import byte_pairs, near_duplicates, transport
+from lodestone.llm import byte_pairs, near_duplicates, scoring, transport
 from lodestone.session import table
 
 #: Where the vocabulary is read; only the driver opens it.
@@ -19,6 +20,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(scoring.crc_remainder("doc_id", 5) == 1, F.lit(False))
+    return scoring.score(docs, docs.where(~held_out)).withColumn("held_out", held_out)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -34,6 +41,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scores": op1_lm_scores,
         "op3_near_duplicates": op3_near_duplicates,
         "op5_bpe": op5_bpe,
         "op9_media": op9_media,
