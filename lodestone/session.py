@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Of one Arrow batch sent to a Python worker while a result is staged; Spark's own default is 64 MB.
+STAGED_BATCH_BYTES = str(8 << 20)
+
+
 def local_session(cpus: int | str = 8, memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     spark = (
@@ -44,5 +49,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     executors, and gives the planner true sizes for what follows."""
     spark = df.sparkSession
     path = f"{staging_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, STAGED_BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
     return spark.read.schema(df.schema).parquet(path)
