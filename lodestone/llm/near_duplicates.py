@@ -31,7 +31,7 @@ from lodestone.session import staged
 #: Members of a block; a row of work holds two blocks at most.
 BLOCK = 256
 #: Shingles of a block of a cluster, about.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 300_000
 #: Signature values compared between two looks at the posterior.
 BATCH = 32
 MISS = 1e-6

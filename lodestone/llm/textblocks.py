@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -71,7 +71,8 @@ class WordHasher:
 
 def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows (from, to) of about BLOCK_BYTES of text, with their bytes and offsets. Null texts are empty."""
-    texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
+    texts = batch.column(column)
+    texts = (pc.fill_null(texts, "") if texts.null_count else texts).cast(pa.large_string())
     n = len(texts)
     if not n:
         return
