@@ -13,8 +13,9 @@ buckets by their leading bits, and only those blocks are shuffled. Each bucket t
 sized by its items, with its part of the exact unigram table. The leading bits come from the context, so a bucket knows
 all followers of its contexts.
 
-Only model segments are broadcast, at most ``max_broadcast`` bytes at a time: a larger model is applied in several
-passes, each of which fills in the counts of the n-grams whose buckets it holds.
+Only model segments are broadcast, in pieces of a few MB that the driver handles one by one, and at most
+``max_broadcast`` bytes at a time: a larger model is applied in several passes, each of which fills in the counts of the
+n-grams whose buckets it holds.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ ORDER = 2
 BASE = 1.5
 BITS_PER_ITEM = 12
 MAX_BROADCAST = 192 << 20
+#: The driver gathers and passes on about so much at once.
+PIECE = 16 << 20
 #: Characters of text whose n-grams fall in a bucket, about.
 BUCKET_CHARS = 2_000_000
 #: Hashes that a task gathers before it counts them.
@@ -124,6 +127,10 @@ def _ngram_blocks(docs: DataFrame, text: str, order: int, n_buckets: int) -> Dat
     return docs.select(F.col(text).alias("text")).mapInArrow(count, "kind int, bucket int, keys binary, counts binary")
 
 
+def _narrow(counts: np.ndarray) -> str:
+    return "<u4" if counts.max(initial=0) < 1 << 32 else "<i8"
+
+
 def levels_of(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(base) + 1e-9).astype(np.int64)
 
@@ -155,7 +162,7 @@ def _segments(counted: DataFrame, base: float, bits: int) -> DataFrame:
             for kind, bucket, packed, numbers in zip(part["kind"], part["bucket"], part["keys"], part["counts"]):
                 keys, counts = _counted(np.frombuffer(b"".join(packed), dtype=np.uint64), np.frombuffer(b"".join(numbers), dtype="<i8"))
                 if kind == 1:
-                    out.append((kind, bucket, keys.tobytes(), counts.tobytes(), int(counts.sum())))
+                    out.append((kind, bucket, keys.tobytes(), counts.astype(_narrow(counts)).tobytes(), int(counts.sum())))
                     continue
                 begins = np.flatnonzero(np.concatenate([[True], np.diff(keys >> _FOLLOWER_BITS) != 0]))
                 contexts, followers = keys[begins] >> _FOLLOWER_BITS << _FOLLOWER_BITS, np.diff(np.append(begins, len(keys)))
@@ -174,16 +181,16 @@ def _segments(counted: DataFrame, base: float, bits: int) -> DataFrame:
     return rows.mapInPandas(build, "kind int, bucket int, a binary, b binary, tokens long")
 
 
-class Shard:
+class Piece:
     """The model over a run of buckets, as arrays."""
 
-    def __init__(self, rows: list, n_buckets: int, base: float):
+    def __init__(self, rows: list, low: int, high: int, n_buckets: int):
         ones = sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["bucket"])
         twos = sorted((r for r in rows if r["kind"] == 2), key=lambda r: r["bucket"])
-        self.n_buckets, self.base = n_buckets, base
+        self.low, self.high, self.n_buckets = low, high, n_buckets
         self.hashes = np.frombuffer(b"".join(r["a"] for r in ones), dtype=np.uint64)
-        self.counts = np.frombuffer(b"".join(r["b"] for r in ones), dtype="<i8")
-        self.counts = self.counts.astype(np.uint32) if len(self.counts) and self.counts.max() < 1 << 32 else self.counts
+        counts = [np.frombuffer(r["b"], dtype="<u4" if 2 * len(r["b"]) == len(r["a"]) else "<i8") for r in ones]
+        self.counts = np.concatenate(counts) if counts else np.zeros(0, dtype="<u4")
         self.words = np.frombuffer(b"".join(r["a"] for r in twos), dtype=np.uint64)
         self.sizes = np.zeros(n_buckets, dtype=np.int64)
         for r in twos:
@@ -192,9 +199,11 @@ class Shard:
 
     def unigrams(self, tokens: np.ndarray, into: np.ndarray) -> None:
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-            found = self.hashes[at] == tokens
-            into[found] = self.counts[at[found]]
+            buckets = _buckets(tokens, self.n_buckets)
+            here = np.flatnonzero((buckets >= self.low) & (buckets < self.high))
+            at = np.minimum(np.searchsorted(self.hashes, tokens[here]), len(self.hashes) - 1)
+            found = self.hashes[at] == tokens[here]
+            into[here[found]] = self.counts[at[found]]
 
     def levels(self, keys: np.ndarray, buckets: np.ndarray, first: int, into: np.ndarray) -> None:
         """Probe level after level; ``into`` gets the last that is present."""
@@ -250,17 +259,21 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     held = model.groupBy().agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("kind") == 1, F.length("a") / 8)), F.lit(0)).cast("long").alias("v"), F.coalesce(F.sum(F.length("a") + F.length("b")), F.lit(0)).alias("bytes")).first()
     n, v = held["n"], held["v"]
     # buckets are even, so equal runs of them are even too
-    shards = max(1, -(-held["bytes"] // max_broadcast))
-    edges = [n_buckets * s // shards for s in range(shards + 1)]
+    passes = max(1, -(-held["bytes"] // max_broadcast))
+    pieces = max(1, -(-held["bytes"] // passes // PIECE))
+    cut = lambda k: n_buckets * k // (passes * pieces)
     rows_of = 2 * (order - 1)
     todo, held_so_far = docs.select(docs[key].alias("key"), docs[text].alias("text")), False
-    for s in range(shards):
-        rows = model.where(F.col("bucket").between(edges[s], edges[s + 1] - 1)).collect()
-        shared = spark.sparkContext.broadcast(Shard(rows, n_buckets, base))
-        last, resumed = s == shards - 1, held_so_far
+    for s in range(passes):
+        shared = []
+        for k in range(s * pieces, (s + 1) * pieces):
+            rows = model.where(F.col("bucket").between(cut(k), cut(k + 1) - 1)).select("kind", "bucket", "a", "b").collect()
+            shared.append(spark.sparkContext.broadcast(Piece(rows, cut(k), cut(k + 1), n_buckets)))
+            del rows
+        last, resumed = s == passes - 1, held_so_far
 
         def apply(parts: Iterator[pa.RecordBatch], shared=shared, last=last, resumed=resumed) -> Iterator[pa.RecordBatch]:
-            hasher, shard = WordHasher(), shared.value
+            hasher, held = WordHasher(), [p.value for p in shared]
             for part in parts:
                 for a, b, data, offsets in blocks(part, "text"):
                     tokens = Tokens(hasher.words(data, offsets), order)
@@ -272,11 +285,12 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
                         found = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(rows_of, -1) for x in levels], axis=1)
                     else:
                         counts, found = np.zeros(m, dtype="<i8"), np.zeros((rows_of, m), dtype=np.uint8)
-                    shard.fill(tokens, counts, found)
+                    for piece in held:
+                        piece.fill(tokens, counts, found)
                     keys, first = part.column("key").slice(a, b - a), tokens.first
                     if not last:
-                        pieces = list(zip(first[:-1].tolist(), first[1:].tolist()))
-                        yield pa.RecordBatch.from_arrays([keys, part.column("text").slice(a, b - a), pa.array([counts[x:y].tobytes() for x, y in pieces], pa.binary()), pa.array([found[:, x:y].tobytes() for x, y in pieces], pa.binary())], names=["key", "text", "counts", "found"])
+                        each = list(zip(first[:-1].tolist(), first[1:].tolist()))
+                        yield pa.RecordBatch.from_arrays([keys, part.column("text").slice(a, b - a), pa.array([counts[x:y].tobytes() for x, y in each], pa.binary()), pa.array([found[:, x:y].tobytes() for x, y in each], pa.binary())], names=["key", "text", "counts", "found"])
                         continue
                     plain, full = token_scores(tokens, counts, found, n, v, texts, base)
                     sums = lambda x, first=first: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has an end
@@ -286,5 +300,6 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
             todo = todo.mapInArrow(apply, f"key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         else:
             todo, held_so_far = staged(todo.mapInArrow(apply, f"key {kind}, text string, counts binary, found binary"), "probed"), True
-            shared.unpersist(blocking=True)
+            for piece in shared:
+                piece.unpersist(blocking=True)
     return todo.withColumnRenamed("key", key)
