@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_pairs, near_duplicates, scoring, transport
+from lodestone.llm import byte_pairs, disclosure, near_duplicates, scoring, transport
 from lodestone.session import table
 
 #: Where the vocabulary is read; only the driver opens it.
@@ -30,6 +30,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_pairs.encode_texts(docs, byte_pairs.share_vocabulary(spark, vocabulary_path()), keep=["doc_id"], digest=True)
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scores": op1_lm_scores,
         "op3_near_duplicates": op3_near_duplicates,
+        "op4_pii": op4_pii,
         "op5_bpe": op5_bpe,
         "op9_media": op9_media,
     }
