@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_pairs, disclosure, near_duplicates, scoring, transport
+from lodestone.llm import boilerplate, byte_pairs, disclosure, mixing, near_duplicates, outliers, scoring, transport
 from lodestone.session import table
 
 #: Where the vocabulary is read; only the driver opens it.
@@ -39,6 +39,19 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.encode_texts(docs, byte_pairs.share_vocabulary(spark, vocabulary_path()), keep=["doc_id"], digest=True)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = boilerplate.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), counts=True)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_digests(table(spark, sf_dir, "documents"))
 
@@ -49,9 +62,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_duplicates": op3_near_duplicates,
         "op4_pii": op4_pii,
         "op5_bpe": op5_bpe,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_mixing": op7_mixing,
+        "op8_quality": op8_quality,
         "op9_media": op9_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": boilerplate.ORACLE, "op7_mixing": mixing.ORACLE}
