@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import boilerplate, byte_pairs, disclosure, mixing, near_duplicates, outliers, scoring, transport
+from lodestone.llm import boilerplate, byte_pairs, disclosure, mixing, near_duplicates, outliers, scoring, toxicity, transport, url_lists
 from lodestone.session import table
 
 #: Where the vocabulary is read; only the driver opens it.
@@ -26,6 +26,11 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(docs, docs.where(~held_out)).withColumn("held_out", held_out)
 
 
+def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", url_lists.fetched_at(F.col("page_id")).alias("fetched_at"))
+    return url_lists.judge(pages, url_lists.listed(spark))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -56,9 +61,16 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(scoring.crc_remainder("doc_id", 4) == 2, F.lit(False))
+    return toxicity.toxicity(docs, labels.where(~held_out)).withColumn("held_out", held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scores": op1_lm_scores,
+        "op2_url_lists": op2_url_lists,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_pii": op4_pii,
         "op5_bpe": op5_bpe,
@@ -66,8 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": op7_mixing,
         "op8_quality": op8_quality,
         "op9_media": op9_media,
+        "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": boilerplate.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op2_url_lists": url_lists.ORACLE, "op6_line_dedup": boilerplate.ORACLE, "op7_mixing": mixing.ORACLE}
