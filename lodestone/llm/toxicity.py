@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
-1. Voters. From a bounded sample of labelled training rows, words (a lexicon) and word beginnings (patterns) that are
-   far more frequent in rows of label 1 become voters: each votes for a text that has it, else abstains.
+1. Voters. From a bounded sample of labelled training rows, words (a lexicon) and word beginnings (patterns), each seen
+   once, several times or densely, that are far more frequent in rows of label 1 become voters: each votes for a text
+   that has it, else abstains.
 2. Label model. A generative model with two classes gives each voter a firing rate per class (its accuracy) by
-   expectation maximisation, started from the labels. Voters that fire together within a class are not independent
-   evidence: their correlations within classes are estimated too, and each vote is divided by the number of votes that
-   its correlated group amounts to.
+   expectation maximisation, started from the labels; the balance of the classes is that of the labels, and a voter that
+   abstains tells nothing. Voters that fire together within a class are not independent evidence: their correlations
+   within classes are estimated too, and each vote is divided by the number of votes that its correlated group amounts to.
 3. Classifier. A logistic regression over words, beginnings and text length is trained on the posterior labels, and its
    output is calibrated on the labels of the training rows. Only this linear model scores texts.
 
@@ -34,8 +35,13 @@ FEATURES, VOTERS = 3000, 200
 BEGINNINGS = range(3, 11)
 #: Rows of label 1 that must have a feature, at least, and how many times likelier it is there.
 LEAST_ROWS, LEAST_LIFT = 5, 6.0
+#: Correlation within classes from which votes share their evidence: below, it comes from subjects or languages that
+#: some voters have in common, not from voters that look at the same thing.
+CORRELATED = 0.6
 CUT = 0.3
 CACHED_WORDS = 500_000
+#: Of how many hundred words one must have a feature, for its third level.
+DENSE = 100
 _WORD = re.compile(r"\w+")
 
 
@@ -44,8 +50,13 @@ def word_features(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in BEGINNINGS if n <= len(word))]
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def words_of(text: str | None) -> Counter:
+    return Counter(_WORD.findall((text or "").lower()))
+
+
+def level(count: int, n_words: int) -> int:
+    """1 for a single word of a text, 2 for several, 3 for several that are also a hundredth of its words."""
+    return 1 if count < 2 else 3 if count * DENSE >= n_words else 2
 
 
 def mined(sample: DataFrame) -> list[tuple[str, int, int]]:
@@ -55,7 +66,12 @@ def mined(sample: DataFrame) -> list[tuple[str, int, int]]:
         for part in parts:
             have = (Counter(), Counter())
             for text, toxic in zip(part["text"], part["toxic"]):
-                have[int(toxic == 1)].update({f for w in set(words_of(text)) for f in word_features(w)})
+                words, hits = words_of(text), Counter()
+                for w, n in words.items():
+                    for f in word_features(w):
+                        hits[f] += n
+                total = words.total()
+                have[int(toxic == 1)].update(f"{k}{f}" for f, n in hits.items() for k in range(1, level(n, total) + 1))
             names = list(have[0].keys() | have[1].keys())
             yield pd.DataFrame({"feature": names, "one": [have[1][n] for n in names], "zero": [have[0][n] for n in names]})
 
@@ -70,46 +86,56 @@ def mined(sample: DataFrame) -> list[tuple[str, int, int]]:
 
 
 class Finder:
-    """Indices of the features that a text has."""
+    """Indices of the features that a text has: each is a word or beginning, after the level that it must reach."""
 
     def __init__(self, features: list[str]):
-        self.index = {f: i for i, f in enumerate(features)}
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.levels: dict[str, list[tuple[int, int]]] = {}
+        for i, f in enumerate(features):
+            self.levels.setdefault(f[1:], []).append((int(f[0]), i))
+        self.seen: dict[str, tuple[str, ...]] = {}
 
     def find(self, text: str | None) -> tuple[np.ndarray, int]:
-        words, seen, found = set(words_of(text)), self.seen, set()
-        for w in words:
-            hits = seen.get(w)
-            if hits is None:
-                hits = tuple(self.index[f] for f in word_features(w) if f in self.index)
+        words, seen, hits = words_of(text), self.seen, {}
+        for w, n in words.items():
+            fits = seen.get(w)
+            if fits is None:
+                fits = tuple(f for f in word_features(w) if f in self.levels)
                 if len(seen) >= CACHED_WORDS:
                     seen.clear()
-                seen[w] = hits
-            if hits:
-                found.update(hits)
+                seen[w] = fits
+            for f in fits:
+                hits[f] = hits.get(f, 0) + n
+        total = words.total()
+        found = [i for f, n in hits.items() for k, i in self.levels[f] if k <= level(n, total)]
         return np.array(sorted(found), dtype=np.int64), len(words)
 
 
+def _posterior(evidence: np.ndarray, share: float) -> np.ndarray:
+    """Of class 1, with the prior that makes its mean ``share``."""
+    low, high = -60.0, 60.0
+    for _ in range(60):
+        at = (low + high) / 2
+        p = 1 / (1 + np.exp(-np.clip(evidence + at, -40, 40)))
+        low, high = (low, at) if p.mean() > share else (at, high)
+    return p
+
+
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """votes: (rows, voters) of 0 and 1; start: first posterior of class 1. Gives the posterior, the firing rates
-    (2, voters) and the correlations within classes (voters, voters)."""
+    """votes: (rows, voters) of 0 and 1; start: first posterior of class 1, whose mean stays the balance of classes.
+    Gives the posterior, the firing rates (2, voters) and the correlations within classes (voters, voters)."""
     posterior, votes = start.astype(float), votes.astype(float)
-    m = votes.shape[1]
+    m, share = votes.shape[1], float(np.clip(start.mean(), 1e-4, 1 - 1e-4))
     rates, together = np.full((2, m), 0.5), np.eye(m)
     for _ in range(rounds):
-        share = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
         together = np.zeros((m, m))
         for c, weight in enumerate((1 - posterior, posterior)):
-            total = weight.sum()
-            rates[c] = (weight @ votes + 0.5 * (0.02 + 0.1 * c)) / (total + 0.5)
+            rates[c] = (weight @ votes + 0.5) / (weight.sum() + 1)
             off = votes - rates[c]
             spread = np.sqrt(np.maximum(weight @ off**2, 1e-9))
             together += (share if c else 1 - share) * (off.T * weight @ off) / np.outer(spread, spread)
         np.fill_diagonal(together, 1)
-        alike = np.where(np.abs(together) > 0.2, np.abs(together), 0).sum(axis=1)
-        fires, silent = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        odds = math.log(share / (1 - share)) + votes @ (fires / alike) + (1 - votes) @ (silent / alike)
-        updated = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+        alike = np.where(together > CORRELATED, together, 0).sum(axis=1)
+        updated = _posterior(votes @ (np.log(rates[1] / rates[0]) / alike), share)
         done = np.abs(updated - posterior).max() < 1e-4
         posterior = updated
         if done:
@@ -117,7 +143,24 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
     return posterior, rates, together
 
 
-def logistic(rows: np.ndarray, columns: np.ndarray, n: int, m: int, dense: np.ndarray, wanted: np.ndarray, l2: float = 2.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
+def chosen_voters(rows_of: list[np.ndarray], n: int, most: int) -> list[int]:
+    """Features that vote, best first: one that fires for nearly the rows of an earlier voter is the same voter."""
+    kept: list[int] = []
+    fires = np.zeros((n, most), dtype=np.uint8)
+    for f, rows in enumerate(rows_of):
+        if not len(rows):
+            continue
+        both = fires[rows, : len(kept)].sum(axis=0, dtype=np.int64)
+        if len(kept) and (both / (len(rows) + np.array([len(rows_of[k]) for k in kept]) - both)).max() > 0.8:
+            continue
+        fires[rows, len(kept)] = 1
+        kept.append(f)
+        if len(kept) == most:
+            break
+    return kept
+
+
+def logistic(rows: np.ndarray, columns: np.ndarray, n: int, m: int, dense: np.ndarray, wanted: np.ndarray, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of the m sparse features, of the dense ones, and the bias; by accelerated gradient steps."""
     w, d, b = np.zeros(m), np.zeros(dense.shape[1]), math.log((wanted.mean() + 1e-4) / (1 - wanted.mean() + 1e-4))
     first, second = [np.zeros(m), np.zeros(len(d)), 0.0], [np.zeros(m), np.zeros(len(d)), 0.0]
@@ -177,15 +220,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     has = [np.array(r["has"], dtype=np.int64) for r in got]
     at, columns = np.repeat(np.arange(n), [len(h) for h in has]), np.concatenate(has)
     length = np.log1p(np.array([r["n"] for r in got], dtype=float))[:, None]
-    votes = np.zeros((n, min(m, VOTERS)), dtype=bool)
-    voting = columns < votes.shape[1]
-    votes[at[voting], columns[voting]] = True
-    posterior, rates, together = label_model(votes, np.clip(truth, 0.05, 0.95))
+    order = np.argsort(columns, kind="stable")
+    rows_of = np.split(at[order], np.searchsorted(columns[order], np.arange(1, m)))
+    voters = chosen_voters(rows_of, n, VOTERS)
+    votes = np.zeros((n, len(voters)), dtype=bool)
+    for k, f in enumerate(voters):
+        votes[rows_of[f], k] = True
+    posterior, rates, together = label_model(votes, truth)
     centred = length - length.mean()
     w, d, b = logistic(at, columns, n, m, centred, posterior)
     z = np.bincount(at, weights=w[columns], minlength=n) + centred @ d + b
     scale, shift = calibrated(z, truth)
-    return {"features": names, "weights": scale * w, "length": float(scale * d[0]), "bias": float(scale * (b - d[0] * length.mean()) + shift), "posterior": posterior, "rates": rates, "together": together, "truth": truth}
+    return {"features": names, "weights": scale * w, "length": float(scale * d[0]), "bias": float(scale * (b - d[0] * length.mean()) + shift), "posterior": posterior, "rates": rates, "together": together, "truth": truth, "voters": voters}
 
 
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
