@@ -7,8 +7,8 @@
    expectation maximisation, started from the labels; the balance of the classes is that of the labels, and a voter that
    abstains tells nothing. Voters that fire together within a class are not independent evidence: their correlations
    within classes are estimated too, and each vote is divided by the number of votes that its correlated group amounts to.
-3. Classifier. A logistic regression over words, beginnings and text length is trained on the posterior labels, and its
-   output is calibrated on the labels of the training rows. Only this linear model scores texts.
+3. Classifier. A logistic regression over the features is trained on the posterior labels, and its output
+   is calibrated on the labels of the training rows. Only this linear model scores texts.
 
 What is fitted on the driver is bounded by SAMPLE rows and FEATURES features; every text is scored in place, with the
 weights broadcast. Labels, languages, sources and ids are never inputs of a score.
@@ -94,7 +94,7 @@ class Finder:
             self.levels.setdefault(f[1:], []).append((int(f[0]), i))
         self.seen: dict[str, tuple[str, ...]] = {}
 
-    def find(self, text: str | None) -> tuple[np.ndarray, int]:
+    def find(self, text: str | None) -> np.ndarray:
         words, seen, hits = words_of(text), self.seen, {}
         for w, n in words.items():
             fits = seen.get(w)
@@ -107,7 +107,7 @@ class Finder:
                 hits[f] = hits.get(f, 0) + n
         total = words.total()
         found = [i for f, n in hits.items() for k, i in self.levels[f] if k <= level(n, total)]
-        return np.array(sorted(found), dtype=np.int64), len(words)
+        return np.array(sorted(found), dtype=np.int64)
 
 
 def _posterior(evidence: np.ndarray, share: float) -> np.ndarray:
@@ -160,22 +160,17 @@ def chosen_voters(rows_of: list[np.ndarray], n: int, most: int) -> list[int]:
     return kept
 
 
-def logistic(rows: np.ndarray, columns: np.ndarray, n: int, m: int, dense: np.ndarray, wanted: np.ndarray, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of the m sparse features, of the dense ones, and the bias; by accelerated gradient steps."""
-    w, d, b = np.zeros(m), np.zeros(dense.shape[1]), math.log((wanted.mean() + 1e-4) / (1 - wanted.mean() + 1e-4))
-    first, second = [np.zeros(m), np.zeros(len(d)), 0.0], [np.zeros(m), np.zeros(len(d)), 0.0]
+def logistic(rows: np.ndarray, columns: np.ndarray, n: int, m: int, wanted: np.ndarray, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights of m sparse features (row, column), and the bias; by gradient steps with moments."""
+    now = np.append(np.zeros(m), math.log((wanted.mean() + 1e-4) / (1 - wanted.mean() + 1e-4)))
+    first, second = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(rows, weights=w[columns], minlength=n) + dense @ d + b
+        z = np.bincount(rows, weights=now[columns], minlength=n) + now[m]
         off = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - wanted
-        slopes = [np.bincount(columns, weights=off[rows], minlength=m) + l2 * w, dense.T @ off, off.sum()]
-        moved = []
-        for k, (now, g) in enumerate(zip((w, d, b), slopes)):
-            g = g / n
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            moved.append(now - 0.05 * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8))
-        w, d, b = moved
-    return w, d, float(b)
+        slope = np.append(np.bincount(columns, weights=off[rows], minlength=m) + l2 * now[:m], off.sum()) / n
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        now = now - 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    return now[:m], float(now[m])
 
 
 def calibrated(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -194,7 +189,7 @@ def calibrated(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> dict:
-    """Features, weights, length weight and bias. labels: (key, label), training rows only. Rows of a key that labels
+    """Features, weights and bias. labels: (key, label), training rows only. Rows of a key that labels
     repeats take its highest label; null keys and labels are left out. Of more than ``sample`` labelled keys, those with
     the smallest hashes are used."""
     chosen = labels.select(labels[key].alias("k"), labels[label].alias("toxic")).where("k is not null and toxic is not null").groupBy("k").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("k"), "k").limit(sample)
@@ -205,21 +200,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not names:
         share = rows.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
         share = min(max(share or 0.0, 1e-4), 1 - 1e-4)
-        return {"features": [], "weights": np.zeros(0), "length": 0.0, "bias": math.log(share / (1 - share)), "posterior": None}
+        return {"features": [], "weights": np.zeros(0), "bias": math.log(share / (1 - share)), "posterior": None}
 
     def have(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(names)
         for part in parts:
-            got = [finder.find(t) for t in part["text"]]
-            yield pd.DataFrame({"k": part["k"], "toxic": part["toxic"].astype("int64"), "has": [g[0] for g in got], "n": [g[1] for g in got]})
+            yield pd.DataFrame({"k": part["k"], "toxic": part["toxic"].astype("int64"), "has": [finder.find(t) for t in part["text"]]})
 
     kind = dict(rows.dtypes)["k"]
-    got = rows.mapInPandas(have, f"k {kind}, toxic long, has array<long>, n long").orderBy("k", "toxic", "n", "has").limit(2 * sample).collect()
+    got = rows.mapInPandas(have, f"k {kind}, toxic long, has array<long>").orderBy("k", "toxic", "has").limit(2 * sample).collect()
     n, m = len(got), len(names)
     truth = np.array([r["toxic"] == 1 for r in got], dtype=float)
     has = [np.array(r["has"], dtype=np.int64) for r in got]
     at, columns = np.repeat(np.arange(n), [len(h) for h in has]), np.concatenate(has)
-    length = np.log1p(np.array([r["n"] for r in got], dtype=float))[:, None]
     order = np.argsort(columns, kind="stable")
     rows_of = np.split(at[order], np.searchsorted(columns[order], np.arange(1, m)))
     voters = chosen_voters(rows_of, n, VOTERS)
@@ -227,29 +220,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for k, f in enumerate(voters):
         votes[rows_of[f], k] = True
     posterior, rates, together = label_model(votes, truth)
-    centred = length - length.mean()
-    w, d, b = logistic(at, columns, n, m, centred, posterior)
-    z = np.bincount(at, weights=w[columns], minlength=n) + centred @ d + b
+    w, b = logistic(at, columns, n, m, posterior)
+    z = np.bincount(at, weights=w[columns], minlength=n) + b
     scale, shift = calibrated(z, truth)
-    return {"features": names, "weights": scale * w, "length": float(scale * d[0]), "bias": float(scale * (b - d[0] * length.mean()) + shift), "posterior": posterior, "rates": rates, "together": together, "truth": truth, "voters": voters}
+    return {"features": names, "weights": scale * w, "bias": float(scale * b + shift), "posterior": posterior, "rates": rates, "together": together, "truth": truth, "voters": voters}
 
 
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """key (or the columns ``keep``), score (0 to 1) and predicted (1 from CUT on) for every row. Null and empty texts
-    have no features: their score is that of a text of length 0. Columns named score or predicted are replaced."""
+    have no features: their score is that of the bias. Columns named score or predicted are replaced."""
     kept = [c for c in (keep or [key]) if c not in ("score", "predicted")]
     types = dict(docs.dtypes)
-    shared = docs.sparkSession.sparkContext.broadcast((model["features"], model["weights"], model["length"], model["bias"]))
+    shared = docs.sparkSession.sparkContext.broadcast((model["features"], model["weights"], model["bias"]))
     read = list(dict.fromkeys([*kept, text]))
 
     def apply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features, weights, length, bias = shared.value
+        features, weights, bias = shared.value
         finder = Finder(features)
         for part in parts:
-            z = []
-            for t in part[text]:
-                has, n = finder.find(t)
-                z.append(weights[has].sum() + length * math.log1p(n) + bias)
+            z = [weights[finder.find(t)].sum() + bias for t in part[text]]
             scores = 1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))
             yield part[kept].assign(score=scores, predicted=(scores >= CUT).astype("int32"))
 
