@@ -33,6 +33,17 @@ NO_PAIR = 1 << 30
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
+#: Of the public vocabulary files.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where the file lies; only the driver opens it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def byte_symbols() -> dict[str, int]:
     """The printable character that stands for each byte in a vocabulary file: printable Latin-1 as itself, the others
     as the characters from 256 on, in order."""

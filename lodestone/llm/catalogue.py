@@ -4,22 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import boilerplate, byte_pairs, disclosure, mixing, near_duplicates, outliers, scoring, toxicity, transport, url_lists
 from lodestone.session import table
 
-#: Where the vocabulary is read; only the driver opens it.
-VOCABULARY = "byte_bpe_50k.json"
-
-
-def vocabulary_path(name: str = VOCABULARY) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(scoring.crc_remainder("doc_id", 5) == 1, F.lit(False))
@@ -41,7 +32,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return byte_pairs.encode_texts(docs, byte_pairs.share_vocabulary(spark, vocabulary_path()), keep=["doc_id"], digest=True)
+    return byte_pairs.encode_texts(docs, byte_pairs.share_vocabulary(spark, byte_pairs.vocabulary_path()), keep=["doc_id"], digest=True)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_media": op9_media,
         "op10_toxicity": op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 

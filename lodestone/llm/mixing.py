@@ -50,8 +50,9 @@ def targets(sizes: DataFrame, share: float = SHARE, epochs: int = EPOCHS, turns:
     return levels.withColumn("found", found).select("source", "source_size", F.coalesce(F.least(F.col("most"), F.col("found") * F.col("w")), F.col("most")).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: str = SEED, share: float = SHARE, epochs: int = EPOCHS, bins: int = BINS) -> DataFrame:
-    """Per row of docs: key, size (words), source, source_size, target, copies and taken (= copies * size).
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: str = SEED, share: float = SHARE, epochs: int = EPOCHS, bins: int = BINS, carry: bool = False) -> DataFrame:
+    """Per row of docs: key, size (words), source, source_size, target, copies and taken (= copies * size); with
+    ``carry``, all columns of docs and ``copies`` (a column of that name is replaced).
 
     Complete epochs come first, then documents by key as long as half of each still lies within the target, so a source
     is off by at most half a document. A null source is a source of its own, last in order; null and empty texts have
@@ -59,8 +60,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     and are otherwise rows like others; null ids draw one number. The draw depends on seed and id alone, so reruns agree.
     """
     drawn = -F.log(uniform(docs[key], seed)) / (weight if weight is not None else quality_weight(docs[text]))
-    rows = docs.select(docs[key].alias("id"), docs[source].alias("source"), n_words(docs[text]).alias("size"), drawn.alias("drawn"), F.xxhash64(docs[text]).alias("mark"))
-    rows = staged(rows.withColumn("bin", F.least(F.lit(bins - 1), F.floor(bins * (1 - F.exp(-F.col("drawn")))).cast("int"))), "sized")
+    whole = [F.struct(*[docs[c] for c in docs.columns if c != "copies"]).alias("row")] if carry else []
+    rows = docs.select(docs[key].alias("id"), docs[source].alias("source"), n_words(docs[text]).alias("size"), drawn.alias("drawn"), F.xxhash64(docs[text]).alias("mark"), *whole)
+    rows = rows.withColumn("bin", F.least(F.lit(bins - 1), F.floor(bins * (1 - F.exp(-F.col("drawn")))).cast("int")))
+    if not carry:  # a few numbers a row; whole rows are read again instead
+        rows = staged(rows, "sized")
     filled = staged(rows.groupBy("source", "bin").agg(F.sum("size").alias("whole")), "bins")
     told = targets(filled.groupBy("source").agg(F.sum("whole").alias("source_size")), share, epochs)
     told = told.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.lit(float(epochs)), F.floor(F.col("target") / F.col("source_size")))).otherwise(0.0).cast("long"))
@@ -74,9 +78,17 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     edge = rows.where("bin = cut_bin").withColumn("more", ((F.col("rest") > 0) & (ahead - F.col("size") / 2 <= F.col("rest"))).cast("long"))
     sure = rows.where("bin <> cut_bin").withColumn("more", ((F.col("rest") > 0) & (F.col("bin") < F.col("cut_bin"))).cast("long"))
     out = sure.unionByName(edge).withColumn("copies", F.col("epochs") + F.col("more"))
+    if carry:
+        return out.select("row.*", "copies")
     return out.select(F.col("id").alias(key), "size", F.col("source").alias(source), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken."""
+    taken = mix(docs, carry=True, **settings).where("copies > 0")
+    return taken.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[c for c in taken.columns if c != "copies"])
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -297,3 +297,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = classes.select("s1", "s2", "n_shingles", F.col("id").alias("stands")).join(found.select(F.col("id").alias("stands"), "component"), "stands", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "stands").alias("component"))
     out = sets.select("id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of its smallest key. Rows that repeat a key and a text
+    are one. Texts without words stay, and so do rows with a null key, which nothing tells apart."""
+    kept = near_duplicates(docs, key, text, **settings).where(F.col("kept")).select(F.col(key).alias("_lodestone_key")).distinct()
+    stay = docs.join(kept, docs[key] == kept["_lodestone_key"], "left_semi").withColumn("_lodestone_text", F.xxhash64(docs[text])).dropDuplicates([key, "_lodestone_text"]).select(*docs.columns)
+    return stay.unionByName(docs.where(docs[key].isNull()))
