@@ -1,4 +1,4 @@
-"""One record per query of the engine's own operators."""
+"""The engine's own queries, by name."""
 
 from __future__ import annotations
 
@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from lodestone.plans import record, relational, shapes, vectors  # noqa: F401  they register their queries
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(record.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(record.ORACLES)
 
 
 def recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The flagship: nearest catalog entries of query vectors, confident ones only."""
+    return vectors.topk_join_catalog(spark, sf_dir).where("score > 0.1")
