@@ -60,10 +60,13 @@ def convex_hull(p: np.ndarray) -> np.ndarray:
     """Anticlockwise, by monotone chains."""
     p = np.unique(p, axis=0)
 
+    def turn(a, b):
+        return a[0] * b[1] - a[1] * b[0]
+
     def chain(points):
         out = []
         for q in points:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], q - out[-2]) <= 0:
+            while len(out) > 1 and turn(out[-1] - out[-2], q - out[-2]) <= 0:
                 out.pop()
             out.append(q)
         return out[:-1]
