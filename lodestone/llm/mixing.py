@@ -29,7 +29,7 @@ def n_words(text: Column) -> Column:
 def quality_weight(text: Column) -> Column:
     """From 0.1 for texts full of symbols to 1 for plain ones."""
     plain = F.length(F.translate(text, "#*$%&|<>!", ""))
-    return F.coalesce(F.greatest(F.lit(0.1), 1 - 4.0 * (F.length(text) - plain) / F.length(text)), F.lit(0.1))
+    return F.coalesce(F.greatest(F.lit(0.1), 1 - 4.0 * (F.length(text) - plain) / F.nullif(F.length(text), F.lit(0))), F.lit(0.1))
 
 
 def uniform(key: Column, seed: str = SEED) -> Column:

@@ -4,7 +4,7 @@
    once, several times or densely, that are far more frequent in rows of label 1 become voters: each votes for a text
    that has it, else abstains.
 2. Label model. A generative model with two classes gives each voter a firing rate per class (its accuracy) by
-   expectation maximisation, started from the labels; the balance of the classes is that of the labels, and a voter that
+   expectation maximisation, started from the labels, which count as one more voter; the balance of the classes is that of the labels, and a voter that
    abstains tells nothing. Voters that fire together within a class are not independent evidence: their correlations
    within classes are estimated too, and each vote is divided by the number of votes that its correlated group amounts to.
 3. Classifier. A logistic regression over the features is trained on the posterior labels, and its output
@@ -38,6 +38,7 @@ LEAST_ROWS, LEAST_LIFT = 5, 6.0
 #: Correlation within classes from which votes share their evidence: below, it comes from subjects or languages that
 #: some voters have in common, not from voters that look at the same thing.
 CORRELATED = 0.6
+TRUST = 0.95
 CUT = 0.3
 CACHED_WORDS = 500_000
 #: Of how many hundred words one must have a feature, for its third level.
@@ -121,9 +122,11 @@ def _posterior(evidence: np.ndarray, share: float) -> np.ndarray:
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """votes: (rows, voters) of 0 and 1; start: first posterior of class 1, whose mean stays the balance of classes.
-    Gives the posterior, the firing rates (2, voters) and the correlations within classes (voters, voters)."""
+    """votes: (rows, voters) of 0 and 1; start: the labels, first posterior of class 1, whose mean stays the balance of
+    classes. A label is one more voter, right with a chance of TRUST, which keeps classes from drifting to whatever
+    subjects the texts fall into. Gives the posterior, the firing rates (2, voters) and the correlations within classes (voters, voters)."""
     posterior, votes = start.astype(float), votes.astype(float)
+    given = (2 * posterior - 1) * math.log(TRUST / (1 - TRUST))
     m, share = votes.shape[1], float(np.clip(start.mean(), 1e-4, 1 - 1e-4))
     rates, together = np.full((2, m), 0.5), np.eye(m)
     for _ in range(rounds):
@@ -135,7 +138,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
             together += (share if c else 1 - share) * (off.T * weight @ off) / np.outer(spread, spread)
         np.fill_diagonal(together, 1)
         alike = np.where(together > CORRELATED, together, 0).sum(axis=1)
-        updated = _posterior(votes @ (np.log(rates[1] / rates[0]) / alike), share)
+        updated = _posterior(given + votes @ (np.log(rates[1] / rates[0]) / alike), share)
         done = np.abs(updated - posterior).max() < 1e-4
         posterior = updated
         if done:
@@ -174,17 +177,27 @@ def logistic(rows: np.ndarray, columns: np.ndarray, n: int, m: int, wanted: np.n
 
 
 def calibrated(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """a, b of sigmoid(a z + b) that fits the labels, by damped Newton steps; a stays positive."""
+    """a, b of sigmoid(a z + b) that fits the labels, by damped Newton steps; a stays positive. Labels are drawn in by one
+    row of the other class, so that classes that separate do not send a to infinity."""
+    ones = labels.sum()
+    wanted = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (len(labels) - ones + 2))
+
+    def cost(a: float, b: float) -> float:
+        x = a * z + b
+        return float((np.logaddexp(0, x) - wanted * x).sum())
+
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-        v = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - labels) * z).sum() + 1e-3 * a, (p - labels).sum() + 1e-3 * b])
-        h = np.array([[(v * z * z).sum() + 1e-3, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-3]])
-        step = np.linalg.solve(h + 1e-6 * np.eye(2), g)
-        a, b = max(a - 0.5 * step[0], 1e-3), b - 0.5 * step[1]
-        if np.abs(step).max() < 1e-6:
+        v = np.maximum(p * (1 - p), 1e-6)
+        g = np.array([((p - wanted) * z).sum(), (p - wanted).sum()])
+        h = np.array([[(v * z * z).sum(), (v * z).sum()], [(v * z).sum(), v.sum()]]) + 1e-6 * np.eye(2)
+        step, size, before = np.linalg.solve(h, g), 1.0, cost(a, b)
+        while size > 1e-4 and (a - size * step[0] <= 0 or cost(a - size * step[0], b - size * step[1]) > before):
+            size /= 2
+        if size <= 1e-4 or np.abs(step).max() < 1e-6:
             break
+        a, b = a - size * step[0], b - size * step[1]
     return a, b
 
 
