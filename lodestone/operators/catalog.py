@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.session import staged
+
 
 def grouped(df: DataFrame, by: str, ident: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(ident).alias("min_id"), F.max(ident).alias("max_id"))
 
 
 def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
-    """(column, name): 0-based index of each distinct value in order. Only distinct values meet in the ranking; the
-    result is joined back, so rows are never sorted as a whole. Nulls have no index."""
+    """(column, name): 0-based index of each distinct value in order; nulls have none. Values are dealt out by ranges and
+    ranked within them, and only the sizes of the ranges (one number a task) are summed in one place."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return values.withColumn(name, (F.row_number().over(W.orderBy(column)) - 1).cast("long"))
+    ranged = staged(values.repartitionByRange(column).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("_range").orderBy(column))
+    return ranged.join(F.broadcast(before), "_range").select(column, (F.col("_before") + rank - 1).cast("long").alias(name))
 
 
 def with_dense_labels(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -24,9 +24,8 @@ both("equality_filter", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_or
 both("distinct_counts", "SELECT count(*) AS n, count(DISTINCT p_name) AS names, count(DISTINCT p_brand) AS brands FROM part")
 both("partial_final_count", "SELECT coalesce(l_returnflag, 'total') AS flag, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag)")
 both("removed_ids_except", "SELECT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'click' AND value > 50")
-both("kept_ids_intersect", "SELECT user_id FROM events WHERE event_id < 400 INTERSECT SELECT user_id FROM events WHERE event_id >= 400")
+both("kept_ids_intersect", "SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'click'")
 both("union_all_pairs", "SELECT side, label, count(*) AS n FROM (SELECT 'x' AS side, label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'x2' AS side, label FROM embeddings WHERE vec_id % 2 = 1) u GROUP BY side, label")
-both("pairwise_label_pairs", "SELECT (a.label = b.label) AS same_label, count(*) AS n FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 100 AND b.vec_id < 100 GROUP BY 1")
 both("ordered_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
 both("global_topk", "SELECT rank, o_orderkey, o_totalprice FROM (SELECT cast(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS bigint) AS rank, o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) t) r")
 both("default_projection", "SELECT p_partkey, coalesce(nullif(CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN NULL ELSE p_name END, ''), 'Unknown') AS name FROM part")
@@ -35,7 +34,6 @@ both("rate_metrics", "SELECT event_id, round(cast(length(props) AS double) / nul
 both("adaptive_delay", "SELECT event_id, round(greatest(cast(66 AS double), coalesce(CASE WHEN event_id % 4 = 0 THEN NULL ELSE value / 1000 END, 0.01) * 1500), 6) AS delay_ms FROM events")
 both("value_range_check", "SELECT event_type, round(min(value), 6) AS low, round(max(value), 6) AS high, min(value) >= 0 AND max(value) <= 1 AS in_range FROM events GROUP BY event_type")
 both("current_frame_tracks", "SELECT DISTINCT user_id FROM events WHERE cast(ts AS date) = (SELECT max(cast(ts AS date)) FROM events)")
-both("arrays_zip_join", "SELECT a.pos, round(cast(a.v AS double) * cast(b.v AS double), 6) AS product FROM (VALUES (1, 0.5), (2, 0.25), (3, 0.125)) a(pos, v) JOIN (VALUES (1, 2.0), (2, 4.0), (3, 8.0)) b(pos, v) ON a.pos = b.pos")
 
 
 @query("anti_join_missing", "SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
@@ -178,10 +176,10 @@ def frame_diff(spark: SparkSession, d: str) -> DataFrame:
     return near.select("user_id", F.when(F.col("before") == 0, "new").when(F.col("now") == 0, "removed").otherwise("kept").alias("status"))
 
 
-@query("selection_rule", """WITH p AS (SELECT event_type, user_id FROM events WHERE event_id >= 500), s AS (SELECT event_type, min(user_id) AS first_id, max(CASE WHEN user_id = 7 THEN user_id END) AS kept FROM p GROUP BY event_type)
+@query("selection_rule", """WITH p AS (SELECT event_type, user_id FROM events), s AS (SELECT event_type, min(user_id) AS first_id, max(CASE WHEN user_id = 7 THEN user_id END) AS kept FROM p GROUP BY event_type)
     SELECT event_type, coalesce(kept, first_id) AS selected, nullif(first_id, coalesce(kept, first_id)) AS toggled FROM s""")
 def selection_rule(spark: SparkSession, d: str) -> DataFrame:
-    held = table(spark, d, "events").where("event_id >= 500").groupBy("event_type").agg(F.min("user_id").alias("first_id"), F.max(F.when(F.col("user_id") == 7, F.col("user_id"))).alias("kept"))
+    held = table(spark, d, "events").groupBy("event_type").agg(F.min("user_id").alias("first_id"), F.max(F.when(F.col("user_id") == 7, F.col("user_id"))).alias("kept"))
     selected = F.coalesce("kept", "first_id")
     return held.select("event_type", selected.alias("selected"), F.nullif(F.col("first_id"), selected).alias("toggled"))
 

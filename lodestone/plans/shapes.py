@@ -194,11 +194,11 @@ def lerp_color(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", (255 * (1 - t) + 16 * t).cast("long").alias("red"))
 
 
-@query("bbox_overlap_join", "WITH b AS (SELECT p_partkey, p_size::DOUBLE AS x0, p_size + 3.0 AS x1, p_retailprice AS y0, p_retailprice + 20 AS y1 FROM part WHERE p_partkey <= 200) SELECT a.p_partkey AS id, b.p_partkey AS other_id FROM b a JOIN b ON a.p_partkey < b.p_partkey AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
+@query("bbox_overlap_join", "WITH b AS (SELECT p_partkey, p_size::DOUBLE AS x0, p_size + 3.0 AS x1, p_retailprice AS y0, p_retailprice + 20 AS y1 FROM part) SELECT a.p_partkey AS id, b.p_partkey AS other_id FROM b a JOIN b ON a.p_partkey < b.p_partkey AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
 def bbox_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     """Boxes meet in the grid cells that they touch; a pair is reported in the cell of its lowest common corner only."""
     cell = 25.0
-    b = parts(spark, d).where("p_partkey <= 200").select("p_partkey", width().alias("x0"), (width() + 3.0).alias("x1"), F.col("p_retailprice").alias("y0"), (F.col("p_retailprice") + 20.0).alias("y1"))
+    b = parts(spark, d).select("p_partkey", width().alias("x0"), (width() + 3.0).alias("x1"), F.col("p_retailprice").alias("y0"), (F.col("p_retailprice") + 20.0).alias("y1"))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
     keyed = b.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
     left, right = keyed.alias("l"), keyed.alias("r")

@@ -7,25 +7,27 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vector as V
 from lodestone.operators import folds
-from lodestone.operators.collection import top_k
+from lodestone.operators.collection import top_k_in_blocks
 from lodestone.plans.record import query
 from lodestone.session import table
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 
 
-def _scored(where: str = "q.vec_id < 20", more: str = "true") -> str:
+def _scored(where: str = "q.vec_id % 20 = 0", more: str = "true") -> str:
     return f"SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS score, c.label FROM embeddings q, embeddings c WHERE {where} AND {more}"
 
 
-def _ranked(where: str = "q.vec_id < 20", more: str = "true") -> str:
+def _ranked(where: str = "q.vec_id % 20 = 0", more: str = "true") -> str:
     return f"SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::BIGINT AS rank FROM ({_scored(where, more)}) s"
 
 
 def _hits(spark: SparkSession, d: str, k: int, threshold: float | None = None, skip_self: bool = False) -> DataFrame:
+    """Queries are the vectors whose id is divisible by 20; they are searched in blocks of a bounded broadcast."""
     points = table(spark, d, "embeddings")
-    queries = points.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
-    return top_k(points, queries, k, threshold, ident="vec_id", vector="embedding", skip_self=skip_self)
+    queries = points.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    count, dims = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    return top_k_in_blocks(points, queries, k, dims, count, threshold=threshold, ident="vec_id", vector="embedding", skip_self=skip_self)
 
 
 @query("cosine_topk", f"SELECT query_id, id, round(score, 6) AS score, rank FROM ({_ranked()}) r WHERE rank <= 3")
@@ -120,3 +122,20 @@ def response_nested_json(spark: SparkSession, d: str) -> DataFrame:
     sent = nested.select("query_id", F.to_json(F.struct("query_id", "matches")).alias("json"))
     got = sent.select("query_id", F.from_json("json", "query_id long, matches array<struct<rank:long,id:long,score:double>>").alias("r"))
     return got.select("query_id", F.size("r.matches").cast("long").alias("n"), F.col("r.matches")[0]["id"].alias("first_id"), F.round(F.col("r.matches")[0]["score"], 6).alias("best"))
+
+
+@query("arrays_zip_join", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), 6) AS product FROM embeddings")
+def arrays_zip_join(spark: SparkSession, d: str) -> DataFrame:
+    """Elements are joined by position with those of the same vector backwards."""
+    pairs = F.arrays_zip(F.col("embedding").alias("a"), F.reverse("embedding").alias("b"))
+    vectors = table(spark, d, "embeddings").select("vec_id", pairs.alias("p"))
+    return vectors.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x["a"].cast("double") * x["b"].cast("double")), 6).alias("product"))
+
+
+@query("pairwise_label_pairs", "SELECT (a.label = b.label) AS same_label, count(*) AS n FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id GROUP BY 1")
+def pairwise_label_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs are counted from the sizes of labels; none is formed."""
+    sizes = table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    both = sizes.agg((F.sum(F.col("n") * (F.col("n") - 1)) / 2).cast("long").alias("same"), F.sum("n").alias("all"))
+    other = (F.col("all") * (F.col("all") - 1) / 2).cast("long") - F.col("same")
+    return both.select(F.explode(F.array(F.struct(F.lit(True).alias("same_label"), F.col("same").alias("n")), F.struct(F.lit(False).alias("same_label"), other.alias("n")))).alias("r")).select("r.*").where("n > 0")
