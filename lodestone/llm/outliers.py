@@ -100,7 +100,8 @@ def _with_distance(rows: DataFrame) -> DataFrame:
 def _fit(rows: DataFrame) -> DataFrame:
     """rows: (cell, x0..). One row a cell: its centre and factor at the smaller determinant of two starts."""
     shape = ["cell", "start", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in _PAIRS], "log_det"]
-    middle = rows.groupBy("cell").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(_X)])
+    # what is known of cells is staged, so that small tables of cells are broadcast and hot cells never meet in one task
+    middle = staged(rows.groupBy("cell").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(_X)]), "medians")
     off = rows.join(middle, "cell").groupBy("cell", *[f"m{i}" for i in range(DIMS)]).agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10000).alias(f"a{i}") for i, x in enumerate(_X)])
     for i, j in _PAIRS:
         off = off.withColumn(f"l{i}{j}", F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0))
@@ -109,7 +110,7 @@ def _fit(rows: DataFrame) -> DataFrame:
     cells = staged(first.unionByName(second), "cells")
     for _ in range(STEPS):
         near = staged(_with_distance(rows.join(cells, "cell")).select("cell", "start", *_X, "d2"), "distances")
-        limit = near.groupBy("cell", "start").agg(F.percentile_approx("d2", SUBSET, 10000).alias("limit"))
+        limit = staged(near.groupBy("cell", "start").agg(F.percentile_approx("d2", SUBSET, 10000).alias("limit")), "limits")
         cells = staged(_factored(near.join(limit, ["cell", "start"]).where("d2 <= limit").groupBy("cell", "start").agg(*_moments()), CONSISTENT).select(*shape), "cells")
     return cells.groupBy("cell").agg(F.min_by(F.struct(*[c for c in shape if c not in ("cell", "start")]), F.struct("log_det", "start")).alias("fit")).select("cell", "fit.*")
 
@@ -128,10 +129,10 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).select("id", *base, "base_failed", F.to_json(F.struct("of_lang", "of_source")).alias("own"), *[x.alias(n) for x, n in zip(vector(), _X)])
     rows = staged(rows, "measured")
-    large = rows.where("not base_failed").groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select(F.col("own").alias("cell"))
+    large = staged(rows.where("not base_failed").groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select(F.col("own").alias("cell")), "large")
     rows = staged(rows.join(large, rows["own"] == large["cell"], "left").drop("own").withColumn("cell", F.coalesce("cell", F.lit("pooled"))), "placed")
     fitting = rows.where("not base_failed").select("cell", *_X)
-    enough = fitting.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("cell")
+    enough = staged(fitting.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("cell"), "enough")
     fits = _fit(fitting.join(enough, "cell", "left_semi"))
     out = _with_distance(rows.join(staged(fits, "fits"), "cell", "left"))
     return out.select(F.col("id").alias(key), *base, "base_failed", F.col("d2").alias("distance"), (~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).alias("kept"))
