@@ -9,9 +9,10 @@ from lodestone.session import staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of u is linked to the smallest of u and its neighbours."""
+    """Every larger neighbour of u is linked to the smallest of u and its neighbours. The smallest ones are staged, so that
+    the join stands alone and Spark may split a hub's links over tasks."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+    least = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), "least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
 
 
