@@ -1,0 +1,203 @@
+"""Seeded augmentation of images, as a stage over Arrow batches.
+
+An image is a row of ``h, w, c`` and ``data`` (float32 values in [0, 1], row by row). A step is a function of an image and
+a random generator; steps are composed in order, shuffled, or by choice, and every row draws from a generator of its own
+(seed and id), so tasks that run again give the same pixels."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+Step = Callable[[np.ndarray, np.random.Generator], np.ndarray]
+
+
+def ordered(*steps: Step) -> Step:
+    def run(img, rng):
+        for s in steps:
+            img = s(img, rng)
+        return img
+
+    return run
+
+
+def shuffled(*steps: Step) -> Step:
+    return lambda img, rng: ordered(*[steps[i] for i in rng.permutation(len(steps))])(img, rng)
+
+
+def choice(*steps: Step | None) -> Step:
+    """One of the steps at random; None leaves the image as it is."""
+
+    def run(img, rng):
+        s = steps[rng.integers(len(steps))]
+        return img if s is None else s(img, rng)
+
+    return run
+
+
+def sometimes(p: float, step: Step) -> Step:
+    return lambda img, rng: step(img, rng) if rng.random() < p else img
+
+
+def clipped(img: np.ndarray) -> np.ndarray:
+    return np.clip(img, 0, 1)
+
+
+def colours(img: np.ndarray, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Changes the first three channels only; a fourth is opacity."""
+    return np.concatenate([clipped(of(img[..., :3])), img[..., 3:]], axis=2)
+
+
+def flip(img, rng):
+    return img[:: rng.choice([-1, 1]), :: rng.choice([-1, 1])]
+
+
+def upside_down(img, rng):
+    return img[::-1, ::-1]
+
+
+def tint(img, rng, most: float = 0.15):
+    return colours(img, lambda v: v * rng.uniform(1 - most, 1 + most, 3))
+
+
+def fade(img, rng, to: float = 1.0, most: float = 0.33):
+    share = rng.uniform(0, most)
+    return colours(img, lambda v: v * (1 - share) + to * share)
+
+
+def brightness_contrast(img, rng, most: float = 0.2):
+    a, b = rng.uniform(1 - most, 1 + most), rng.uniform(-most, most)
+    return clipped(img * a + b)
+
+
+def gaussian_noise(img, rng, spread: float = 0.25):
+    return colours(img, lambda v: v + rng.normal(0, spread, v.shape))
+
+
+def speckle(img, rng, strength: float = 0.3):
+    return colours(img, lambda v: v + v * rng.normal(0, strength, v.shape))
+
+
+def poisson(img, rng, peak: float = 0.8):
+    return colours(img, lambda v: rng.poisson(v * 255 * peak) / (255 * peak))
+
+
+def salt_pepper(img, rng, share: float = 0.01):
+    def speckled(v):
+        v, n = v.copy(), int(np.ceil(share * v[..., 0].size))
+        for value in (1.0, 0.0):
+            v[rng.integers(0, v.shape[0], n), rng.integers(0, v.shape[1], n)] = value
+        return v
+
+    return colours(img, speckled)
+
+
+def noise(img, rng):
+    """One of four kinds, blended in by up to a half."""
+    noisy = choice(speckle, lambda i, r: gaussian_noise(i, r, 0.05**0.5), lambda i, r: salt_pepper(i, r, 0.1), poisson)(img, rng)
+    share = rng.uniform(0, 0.5)
+    return clipped(img * (1 - share) + noisy * share)
+
+
+def _filtered(img: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    k = len(kernel) // 2
+    wide = np.pad(img, ((k, k), (k, k), (0, 0)), mode="edge")
+    return sum(kernel[a, b] * wide[a : a + img.shape[0], b : b + img.shape[1]] for a in range(len(kernel)) for b in range(len(kernel)))
+
+
+def blur(img, rng, most: int = 3):
+    n = int(rng.choice(range(1, most + 1, 2)))
+    return _filtered(img, np.full((n, n), 1 / n**2))
+
+
+def sharpen(img, rng):
+    return clipped(_filtered(img, np.array([[0, -1, 0], [-1, 5, -1], [0, -1, 0]], float)))
+
+
+def resampled(img: np.ndarray, h: int, w: int) -> np.ndarray:
+    """By nearest neighbours."""
+    return img[np.arange(h) * img.shape[0] // h][:, np.arange(w) * img.shape[1] // w]
+
+
+def down_and_up(img, rng, most: int = 2):
+    f = 2 ** int(rng.integers(0, most + 1))
+    h, w = img.shape[:2]
+    return resampled(resampled(img, max(1, h // f), max(1, w // f)), h, w)
+
+
+def cutout(img, rng, holes: int = 8, size: int = 8):
+    img = img.copy()
+    for _ in range(holes):
+        y, x = rng.integers(0, img.shape[0]), rng.integers(0, img.shape[1])
+        img[y : y + rng.integers(1, size + 1), x : x + rng.integers(1, size + 1)] = 0
+    return img
+
+
+def erase(img, rng, share: tuple[float, float] = (0.2, 0.4), aspect: tuple[float, float] = (1.0, 3.0)):
+    """A rectangle filled with one colour, the mean, noise, black or white."""
+    h, w = img.shape[:2]
+    area, ratio = rng.uniform(*share) * h * w, rng.uniform(*aspect) ** rng.choice([-1, 1])
+    eh, ew = min(h, max(1, int((area * ratio) ** 0.5))), min(w, max(1, int((area / ratio) ** 0.5)))
+    y, x = rng.integers(0, h - eh + 1), rng.integers(0, w - ew + 1)
+    img, part = img.copy(), img[y : y + eh, x : x + ew]
+    fills = (np.zeros(part.shape), np.ones(part.shape), np.broadcast_to(part.mean(axis=(0, 1)), part.shape), np.broadcast_to(rng.random(img.shape[2]), part.shape), rng.random(part.shape))
+    img[y : y + eh, x : x + ew] = fills[rng.integers(len(fills))]
+    return img
+
+
+def warped(img: np.ndarray, matrix: np.ndarray, h: int, w: int) -> np.ndarray:
+    """matrix takes pixels of the input to those of the output; what has no source stays 0."""
+    y, x = np.mgrid[0:h, 0:w]
+    p = np.linalg.inv(matrix) @ np.stack([x.ravel(), y.ravel(), np.ones(h * w)])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        u, v = np.floor(p[0] / p[2] + 0.5), np.floor(p[1] / p[2] + 0.5)
+    ok = (u >= 0) & (u < img.shape[1]) & (v >= 0) & (v < img.shape[0])
+    out = np.zeros((h * w, img.shape[2]))
+    out[ok] = img[v[ok].astype(int), u[ok].astype(int)]
+    return out.reshape(h, w, -1)
+
+
+def affine(img, rng, degrees: float = 5.0, pixels: float = 10.0, scale: float = 1.1, shear: float = 0.3):
+    h, w = img.shape[:2]
+    t, s = np.radians(rng.uniform(-degrees, degrees)), rng.uniform(1 / scale, scale)
+    turn = np.array([[s * np.cos(t), -s * np.sin(t) + rng.uniform(-shear, shear), 0], [s * np.sin(t), s * np.cos(t), 0], [0, 0, 1]])
+    to, back = np.eye(3), np.eye(3)
+    to[:2, 2], back[:2, 2] = [w / 2 + rng.uniform(-pixels, pixels), h / 2 + rng.uniform(-pixels, pixels)], [-w / 2, -h / 2]
+    return warped(img, to @ turn @ back, h, w)
+
+
+def perspective(img, rng, share: float = 0.1):
+    from lodestone.operators.synth import perspective_matrix
+
+    h, w = img.shape[:2]
+    corners = np.array([[0, 0], [w, 0], [w, h], [0, h]], float)
+    return warped(img, perspective_matrix(corners, corners + rng.uniform(-share, share, (4, 2)) * [w, h]), h, w)
+
+
+def augmented(images: DataFrame, step: Step, seed: int, ident: str = "id") -> DataFrame:
+    """images: (ident, h, w, c, data) and other columns. Rows whose data does not fit their shape get null data."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in images.dtypes)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            made = []
+            for k, h, w, c, data in zip(part[ident], part["h"], part["w"], part["c"], part["data"]):
+                if data is None or len(data) != 4 * h * w * c or not len(data):
+                    made.append((h, w, c, None))
+                    continue
+                rng = np.random.default_rng([seed, *str(k).encode()])
+                out = np.ascontiguousarray(step(np.frombuffer(data, dtype="<f4").reshape(h, w, c).astype(float), rng), dtype="<f4")
+                made.append((*out.shape, out.tobytes()))
+            part["h"], part["w"], part["c"], part["data"] = zip(*made) if made else ((), (), (), ())
+            yield part
+
+    return images.mapInPandas(run, schema)
+
+
+#: Every step by name, for configuration.
+STEPS: dict[str, Step] = {
+    f.__name__: f for f in (flip, upside_down, tint, fade, brightness_contrast, gaussian_noise, speckle, poisson, salt_pepper, noise, blur, sharpen, down_and_up, cutout, erase, affine, perspective)
+}

@@ -1,0 +1,28 @@
+import numpy as np
+import pytest
+from lodestone.operators import augment as A
+
+
+@pytest.mark.parametrize("name", sorted(A.STEPS))
+def test_steps_keep_shape_range_and_seed(name):
+    img = np.random.default_rng(0).random((12, 9, 4))
+    one, two = (A.STEPS[name](img, np.random.default_rng(7)) for _ in range(2))
+    assert one.shape == img.shape and (one == two).all() and one.min() >= 0 and one.max() <= 1
+
+
+def test_warp_by_identity_and_combinators():
+    img = np.random.default_rng(0).random((5, 6, 3))
+    assert (A.warped(img, np.eye(3), 5, 6) == img).all()
+    twice = A.ordered(A.upside_down, A.upside_down)
+    assert (twice(img, np.random.default_rng(1)) == img).all()
+    assert (A.choice(None)(img, np.random.default_rng(1)) == img).all()
+    assert (A.shuffled(A.upside_down, A.upside_down)(img, np.random.default_rng(1)) == img).all()
+
+
+def test_stage_is_deterministic(spark):
+    data = np.linspace(0, 1, 24, dtype="<f4").tobytes()
+    rows = [(i, 4, 2, 3, bytearray(data)) for i in range(6)] + [(9, 4, 2, 3, bytearray(b"x")), (10, 1, 1, 1, None)]
+    df = spark.createDataFrame(rows, "id long, h int, w int, c int, data binary")
+    step = A.ordered(A.sometimes(0.5, A.flip), A.noise, A.tint)
+    a, b = ({r["id"]: r["data"] for r in A.augmented(x, step, 42).collect()} for x in (df, df.repartition(3)))
+    assert a == b and a[9] is None and a[10] is None and len({bytes(a[i]) for i in range(6)}) > 1
