@@ -7,8 +7,9 @@ as a share of the information content of the entity,
     disclosure(t, e) = log(n(t, e) N / (n(t) n(e))) / log(N / n(e)),
 
 is 1 where the term occurs only with the entity. Copies of one document are no evidence that its words belong together,
-so an entity's documents count by their contexts: those whose words have one and the same min-hash are one. Terms at or
-above a threshold, seen with the entity in at least ``MIN_JOINT`` contexts, get spans of their own in the documents of that entity. Sanitised texts have base values
+so an entity's documents count by their contexts: those with one and the same set of words are one. Documents that
+differ in a word are two. Terms at or above a threshold, seen with the entity in at least ``MIN_JOINT`` contexts, get
+spans of their own in the documents of that entity. Sanitised texts have base values
 replaced by their kind, revealing terms generalised to a class, and terms that reveal (almost) all removed.
 """
 
@@ -88,7 +89,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-_CONTEXT, _LARGEST = np.uint64(0x2545F4914F6CDD1D), np.uint64((1 << 64) - 1)
+_CONTEXT = np.uint64(0x2545F4914F6CDD1D)
 _SPAN = "array<struct<kind:string,start:long,end:long>>"
 
 
@@ -105,6 +106,11 @@ def find_base(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInPandas(find, f"id {kind}, spans {_SPAN}, text string, entities array<string>")
 
 
+def _context(terms: np.ndarray) -> np.uint64:
+    """A hash of a whole set of words, given as the distinct hashes of its words."""
+    return mix(terms ^ _CONTEXT).sum(dtype=np.uint64)
+
+
 def _document_counts(docs: DataFrame, text: str) -> DataFrame:
     """(term, n_term): documents that have each term, by the hash of the term."""
 
@@ -142,7 +148,7 @@ def _terms(found: DataFrame, kind: str) -> DataFrame:
                 each = [np.unique(words.hashes[x:y]) for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
                 sizes = [len(e) for e in each]
                 rows = pa.array(np.repeat(np.arange(a, b), sizes))
-                contexts = np.repeat(np.array([mix(e ^ _CONTEXT).min(initial=_LARGEST) for e in each], dtype=np.uint64), sizes)
+                contexts = np.repeat(np.array([_context(e) for e in each], dtype=np.uint64), sizes)
                 yield pa.RecordBatch.from_arrays([part.column("id").take(rows), part.column("entity").take(rows), pa.array(contexts.view(np.int64)), pa.array(np.concatenate(each).view(np.int64))], names=["id", "entity", "context", "term"])
 
     return found.mapInArrow(terms, f"id {kind}, entity long, context long, term long")

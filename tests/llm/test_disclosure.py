@@ -57,6 +57,15 @@ def test_copies_are_no_evidence(spark):
     assert D.span_digests(docs).where("n_term > 0").count() == 0
 
 
+def test_alike_documents_are_contexts_of_their_own(spark):
+    """Letters from one template: each pair has nine of ten words in common, and only the pair has its address and name."""
+    form = " ".join(f"form{k}" for k in range(38))
+    letters = [(2 * i + j, f"{form} name{i} w{i}@b.org x{i}y{j} z{i}y{j}") for i in range(30) for j in range(2)]
+    others = [(1000 + i, prose(300 + i, 30)) for i in range(300)]
+    got = D.span_digests(spark.createDataFrame(letters + others, "doc_id long, text string")).where("doc_id < 1000").collect()
+    assert all(r["n_term"] >= 1 for r in got)
+
+
 def test_digests(spark):
     docs = revealing(spark)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
