@@ -1,13 +1,13 @@
 """Personal data in texts, and terms that reveal it.
 
 Base detectors find e-mail addresses, IPv4 addresses, card and phone numbers. Every distinct value found is a protected
-entity. The corpus then tells how strongly a term reveals an entity: their pointwise mutual information over documents,
+entity. The corpus then tells how strongly a term reveals an entity: their pointwise mutual information over contexts,
 as a share of the information content of the entity,
 
     disclosure(t, e) = log(n(t, e) N / (n(t) n(e))) / log(N / n(e)),
 
 is 1 where the term occurs only with the entity. Copies of one document are no evidence that its words belong together,
-so an entity's documents count by their contexts: those with one and the same set of words are one. Documents that
+so all counts, N too, are of contexts: documents with one and the same set of words are one context. Documents that
 differ in a word are two. Terms at or above a threshold, seen with the entity in at least ``MIN_JOINT`` contexts, get
 spans of their own in the documents of that entity. Sanitised texts have base values
 replaced by their kind, revealing terms generalised to a class, and terms that reveal (almost) all removed.
@@ -34,6 +34,8 @@ THRESHOLD = 0.8
 REMOVED = 0.98
 MIN_JOINT = 2
 GATHERED = 1 << 21
+#: Contexts that a task remembers to drop copies before a shuffle.
+REMEMBERED = 1 << 19
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -111,18 +113,43 @@ def _context(terms: np.ndarray) -> np.uint64:
     return mix(terms ^ _CONTEXT).sum(dtype=np.uint64)
 
 
-def _document_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(term, n_term): documents that have each term, by the hash of the term."""
+def _context_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(term, n_term): contexts that have each term, by the hash of the term; where term is null, all contexts.
+
+    One text of each context is counted, as all others have the same words. Tasks drop the copies that they see
+    themselves before the shuffle, so a hot context is one row a task."""
+
+    def first(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen = WordHasher(), set()
+        for part in parts:
+            contexts, rows = [], []
+            for a, b, data, offsets in blocks(part, "text"):
+                words = hasher.words(data, offsets)
+                for row, x, y in zip(range(a, b), words.first[:-1].tolist(), words.first[1:].tolist()):
+                    context = int(_context(np.unique(words.hashes[x:y])).view(np.int64))
+                    if context not in seen:
+                        seen.add(context)
+                        contexts.append(context)
+                        rows.append(row)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(contexts, pa.int64()), part.column("text").take(pa.array(rows))], names=["context", "text"])
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = WordHasher(), [], 0
+        hasher, held, size, n, last = WordHasher(), [], 0, 0, None
 
         def give() -> pa.RecordBatch:
-            terms, n = np.unique(np.concatenate(held), return_counts=True)
+            terms, times = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(times, pa.int64())], names=["term", "n"])
 
         for part in parts:
+            contexts = part.column("context").to_pylist()
+            new = [c != before for c, before in zip(contexts, [last, *contexts])]
+            last = contexts[-1] if contexts else last
+            part = part.filter(pa.array(new, pa.bool_()))
+            n += part.num_rows
             for _, _, data, offsets in blocks(part, "text"):
                 words = hasher.words(data, offsets)
                 for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
@@ -133,8 +160,11 @@ def _document_counts(docs: DataFrame, text: str) -> DataFrame:
                     size = 0
         if held:
             yield give()
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["term", "n"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    each = docs.select(F.col(text).alias("text")).mapInArrow(first, "context long, text string").repartition("context").sortWithinPartitions("context")
+    return each.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def _terms(found: DataFrame, kind: str) -> DataFrame:
@@ -156,18 +186,20 @@ def _terms(found: DataFrame, kind: str) -> DataFrame:
 
 def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text", threshold: float = THRESHOLD, min_joint: int = MIN_JOINT) -> DataFrame:
     """(id, terms): for each document with a protected entity, the terms that reveal it, as a map from the term's hash
-    to its highest disclosure. found: rows of find_base, staged. Counts are over all documents."""
+    to its highest disclosure. found: rows of find_base, staged. Counts are over the contexts of all documents."""
     kind = dict(found.dtypes)["id"]
-    n = docs.count()
     held = found.where("entities is not null and id is not null").select("id", "text", F.explode("entities").alias("entity")).withColumn("entity", F.xxhash64("entity"))
     often = held.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= min_joint)
     met = staged(_terms(held.join(often, "entity").select("id", "text", "entity"), kind), "met")
     entities = met.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_joint)
     joint = met.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_joint")).where(F.col("n_joint") >= min_joint)
-    known = joint.join(entities, "entity").join(_document_counts(docs, text), "term")
+    pairs = _context_counts(docs, text).join(joint.join(entities, "entity"), "term", "left")
+    known = staged(pairs.where("entity is not null or term is null"), "known")
+    every = known.where("term is null").first()
+    n = every["n_term"] if every else 0
     total = F.lit(float(n))
     shown = F.when(F.col("n_entity") < n, F.log(F.col("n_joint") * total / (F.col("n_term") * F.col("n_entity"))) / F.log(total / F.col("n_entity"))).otherwise(0.0)
-    strong = staged(known.select("entity", "term", shown.alias("disclosure")).where(F.col("disclosure") >= threshold), "strong")
+    strong = staged(known.where("entity is not null").select("entity", "term", shown.alias("disclosure")).where(F.col("disclosure") >= threshold), "strong")
     marks = met.join(strong, ["entity", "term"]).groupBy("id", "term").agg(F.max("disclosure").alias("disclosure"))
     return marks.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
 

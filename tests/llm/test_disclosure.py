@@ -57,6 +57,16 @@ def test_copies_are_no_evidence(spark):
     assert D.span_digests(docs).where("n_term > 0").count() == 0
 
 
+def test_copies_change_no_term_span(spark):
+    docs = revealing(spark)
+    spans = lambda d: {(r["doc_id"], r["spans"]) for r in D.span_digests(d).where("doc_id < 10").collect()}
+    copies = docs.where("doc_id = 0").crossJoin(spark.range(100)).select((F.col("id") + 1000).alias("doc_id"), "text")
+    others = docs.where("doc_id = 10").crossJoin(spark.range(100)).select((F.col("id") + 2000).alias("doc_id"), "text")
+    once = spans(docs)
+    assert sum("term" in s for _, s in once) == 4
+    assert spans(docs.unionByName(copies).unionByName(others)) == once
+
+
 def test_alike_documents_are_contexts_of_their_own(spark):
     """Letters from one template: each pair has nine of ten words in common, and only the pair has its address and name."""
     form = " ".join(f"form{k}" for k in range(38))
