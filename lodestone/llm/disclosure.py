@@ -167,8 +167,8 @@ def _context_counts(docs: DataFrame, text: str) -> DataFrame:
     return each.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def _terms(found: DataFrame, kind: str) -> DataFrame:
-    """(id, entity, context, term) for the rows of found, which have one entity each; term: hashes of distinct words."""
+def _terms(found: DataFrame) -> DataFrame:
+    """(row, entity, context, term) for the rows of found, which have one entity each; term: hashes of distinct words."""
 
     def terms(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -179,18 +179,18 @@ def _terms(found: DataFrame, kind: str) -> DataFrame:
                 sizes = [len(e) for e in each]
                 rows = pa.array(np.repeat(np.arange(a, b), sizes))
                 contexts = np.repeat(np.array([_context(e) for e in each], dtype=np.uint64), sizes)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(rows), part.column("entity").take(rows), pa.array(contexts.view(np.int64)), pa.array(np.concatenate(each).view(np.int64))], names=["id", "entity", "context", "term"])
+                yield pa.RecordBatch.from_arrays([part.column("row").take(rows), part.column("entity").take(rows), pa.array(contexts.view(np.int64)), pa.array(np.concatenate(each).view(np.int64))], names=["row", "entity", "context", "term"])
 
-    return found.mapInArrow(terms, f"id {kind}, entity long, context long, term long")
+    return found.mapInArrow(terms, "row long, entity long, context long, term long")
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text", threshold: float = THRESHOLD, min_joint: int = MIN_JOINT) -> DataFrame:
-    """(id, terms): for each document with a protected entity, the terms that reveal it, as a map from the term's hash
-    to its highest disclosure. found: rows of find_base, staged. Counts are over the contexts of all documents."""
-    kind = dict(found.dtypes)["id"]
-    held = found.where("entities is not null and id is not null").select("id", "text", F.explode("entities").alias("entity")).withColumn("entity", F.xxhash64("entity"))
+    """(row, terms): for each row of found with a protected entity, the terms that reveal it, as a map from the term's
+    hash to its highest disclosure. found: rows of find_base, numbered by ``row`` and staged. Counts are over the contexts
+    of all documents."""
+    held = found.where("entities is not null").select("row", "text", F.explode("entities").alias("entity")).withColumn("entity", F.xxhash64("entity"))
     often = held.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= min_joint)
-    met = staged(_terms(held.join(often, "entity").select("id", "text", "entity"), kind), "met")
+    met = staged(_terms(held.join(often, "entity").select("row", "text", "entity")), "met")
     entities = met.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_joint)
     joint = met.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_joint")).where(F.col("n_joint") >= min_joint)
     pairs = _context_counts(docs, text).join(joint.join(entities, "entity"), "term", "left")
@@ -200,19 +200,19 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text", thres
     total = F.lit(float(n))
     shown = F.when(F.col("n_entity") < n, F.log(F.col("n_joint") * total / (F.col("n_term") * F.col("n_entity"))) / F.log(total / F.col("n_entity"))).otherwise(0.0)
     strong = staged(known.where("entity is not null").select("entity", "term", shown.alias("disclosure")).where(F.col("disclosure") >= threshold), "strong")
-    marks = met.join(strong, ["entity", "term"]).groupBy("id", "term").agg(F.max("disclosure").alias("disclosure"))
-    return marks.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
+    marks = met.join(strong, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    return marks.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
 
 
 def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, min_joint: int = MIN_JOINT) -> DataFrame:
     """Per row of docs: id, n_base, spans (base ones, then terms that overlap none of them, with their disclosure), and
     text, which is null where nothing was found.
 
-    Null and empty texts have no spans. Repeated rows count, and are reported, as often as they occur. Rows with a null
-    key have base spans only. Other columns are not read."""
-    found = staged(find_base(docs, key, text), "found")
+    Null and empty texts have no spans. Repeated rows count, and are reported, as often as they occur. Keys may
+    be null or repeated: each row is marked by its own text. Other columns are not read."""
+    found = staged(find_base(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "found")
     kind = dict(found.dtypes)["id"]
-    marked = found.join(revealing_terms(docs, found, text, threshold, min_joint), "id", "left")
+    marked = found.join(revealing_terms(docs, found, text, threshold, min_joint), "row", "left")
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
@@ -259,16 +259,18 @@ def sanitised_text(text: str, spans: list) -> str:
 
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """docs with ``text`` sanitised; other columns stay. Rows without findings are unchanged. Keys are expected to be
-    unique: a key that several rows share takes the text of one of them where anything was found."""
+    """docs with ``text`` sanitised; other columns stay. Rows without findings are unchanged. Keys may be null or repeated:
+    the sanitised text depends on a row's text alone, so texts are put back by key and the text itself (by a hash of it)."""
     kind = dict(docs.dtypes)[key]
 
     def rewrite(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"_key": part["id"], "_clean": [sanitised_text(t, s) for t, s in zip(part["text"], part["spans"])]})
+            yield pd.DataFrame({"_key": part["id"], "_mark": part["mark"], "_clean": [sanitised_text(t, s) for t, s in zip(part["text"], part["spans"])]})
 
-    changed = all_spans(docs, key, text, **settings).where("size(spans) > 0").select("id", "spans", "text").mapInPandas(rewrite, f"_key {kind}, _clean string").groupBy("_key").agg(F.min("_clean").alias("_clean"))
-    return docs.join(changed, docs[key] == changed["_key"], "left").select(*[F.coalesce("_clean", docs[c]).alias(c) if c == text else docs[c] for c in docs.columns])
+    spans = all_spans(docs, key, text, **settings).where("size(spans) > 0")
+    changed = spans.select("id", "spans", "text", F.md5("text").alias("mark")).mapInPandas(rewrite, f"_key {kind}, _mark string, _clean string").groupBy("_key", "_mark").agg(F.min("_clean").alias("_clean"))
+    same = docs[key].eqNullSafe(changed["_key"]) & (F.md5(docs[text]) == changed["_mark"])
+    return docs.join(changed, same, "left").select(*[F.coalesce("_clean", docs[c]).alias(c) if c == text else docs[c] for c in docs.columns])
 
 
 def span_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:

@@ -67,6 +67,18 @@ def test_copies_change_no_term_span(spark):
     assert spans(docs.unionByName(copies).unionByName(others)) == once
 
 
+def test_null_and_repeated_keys(spark):
+    plain = "nothing here but the basin"
+    texts = [f"{r['text']} own{r['doc_id']}" for r in revealing(spark).where("doc_id < 4").orderBy("doc_id").collect()]
+    rows = [(None, texts[0]), (None, texts[0]), (None, "ip 1.2.3.4"), (None, plain), (7, texts[1]), (7, texts[2]), (7, plain), (7, "mail b@c.org"), (8, texts[3]), (None, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(revealing(spark).where("doc_id >= 10"))
+    clean = [(r["doc_id"], r["text"]) for r in D.sanitise(docs).collect() if r["doc_id"] is None or r["doc_id"] < 10]
+    long = sorted((k or 0, t.split()[-1]) for k, t in clean if t and " own" in t)
+    assert long == [(0, "own0"), (0, "own0"), (7, "own1"), (7, "own2"), (8, "own3")]
+    assert not any("agent7" in t or "nightjar" in t for _, t in clean if t) and all("<EMAIL>" in t for _, t in clean if t and " own" in t)
+    assert sorted((k or 0, t or "") for k, t in clean if not t or " own" not in t) == [(0, ""), (0, "ip <IP>"), (0, plain), (7, ""), (7, "mail <EMAIL>"), (7, plain)]
+
+
 def test_alike_documents_are_contexts_of_their_own(spark):
     """Letters from one template: each pair has nine of ten words in common, and only the pair has its address and name."""
     form = " ".join(f"form{k}" for k in range(38))
