@@ -113,14 +113,18 @@ def _context(terms: np.ndarray) -> np.uint64:
     return mix(terms ^ _CONTEXT).sum(dtype=np.uint64)
 
 
-def _context_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(term, n_term): contexts that have each term, by the hash of the term; where term is null, all contexts.
+def _contexts(docs: DataFrame, text: str, texts: bool) -> DataFrame:
+    """(context, copies), and with ``texts`` (context, text): each context once a task, or more where a task meets more
+    than REMEMBERED."""
 
-    One text of each context is counted, as all others have the same words. Tasks drop the copies that they see
-    themselves before the shuffle, so a hot context is one row a task."""
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen = WordHasher(), {}
+
+        def give() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["context", "copies"])
+            seen.clear()
+            return out
 
-    def first(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = WordHasher(), set()
         for part in parts:
             contexts, rows = [], []
             for a, b, data, offsets in blocks(part, "text"):
@@ -128,43 +132,57 @@ def _context_counts(docs: DataFrame, text: str) -> DataFrame:
                 for row, x, y in zip(range(a, b), words.first[:-1].tolist(), words.first[1:].tolist()):
                     context = int(_context(np.unique(words.hashes[x:y])).view(np.int64))
                     if context not in seen:
-                        seen.add(context)
                         contexts.append(context)
                         rows.append(row)
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            if rows:
+                    seen[context] = seen.get(context, 0) + 1
+            if texts and rows:
                 yield pa.RecordBatch.from_arrays([pa.array(contexts, pa.int64()), part.column("text").take(pa.array(rows))], names=["context", "text"])
+            if len(seen) > REMEMBERED:
+                told = give()
+                if not texts:
+                    yield told
+        if seen and not texts:
+            yield give()
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(meet, f"context long, {'text string' if texts else 'copies long'}")
+
+
+def _tally(texts: DataFrame) -> DataFrame:
+    """texts: (text, n). (term, n) with the sum of n over the texts that have the term, several rows a term."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size, n, last = WordHasher(), [], 0, 0, None
+        hasher, held, times, size = WordHasher(), [], [], 0
 
         def give() -> pa.RecordBatch:
-            terms, times = np.unique(np.concatenate(held), return_counts=True)
+            terms, at = np.unique(np.concatenate(held), return_inverse=True)
+            n = np.bincount(at, np.repeat(times, [len(h) for h in held])).astype(np.int64)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(times, pa.int64())], names=["term", "n"])
+            times.clear()
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], names=["term", "n"])
 
         for part in parts:
-            contexts = part.column("context").to_pylist()
-            new = [c != before for c, before in zip(contexts, [last, *contexts])]
-            last = contexts[-1] if contexts else last
-            part = part.filter(pa.array(new, pa.bool_()))
-            n += part.num_rows
-            for _, _, data, offsets in blocks(part, "text"):
+            each = part.column("n").to_numpy(zero_copy_only=False)
+            for row, _, data, offsets in blocks(part, "text"):
                 words = hasher.words(data, offsets)
-                for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+                for k, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
                     held.append(np.unique(words.hashes[a:b]))
+                    times.append(each[row + k])
                     size += len(held[-1])
                 if size >= GATHERED:
                     yield give()
                     size = 0
         if held:
             yield give()
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["term", "n"])
 
-    each = docs.select(F.col(text).alias("text")).mapInArrow(first, "context long, text string").repartition("context").sortWithinPartitions("context")
-    return each.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return texts.mapInArrow(count, "term long, n long")
+
+
+def _context_counts(docs: DataFrame, text: str, contexts: DataFrame) -> DataFrame:
+    """(term, n_term): contexts that have each term, by the hash of the term: all documents that have it, less the copies.
+    The copies of a context have the same words, so only one text of each repeated context is shuffled."""
+    again = _contexts(docs, text, True).join(contexts.where("copies > 1"), "context").groupBy("context").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
+    less = _tally(again.select("text", (1 - F.col("copies")).alias("n")))
+    return _tally(docs.select(F.col(text).alias("text"), F.lit(1).cast("long").alias("n"))).unionByName(less).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def _terms(found: DataFrame) -> DataFrame:
@@ -193,13 +211,12 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text", thres
     met = staged(_terms(held.join(often, "entity").select("row", "text", "entity")), "met")
     entities = met.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_joint)
     joint = met.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_joint")).where(F.col("n_joint") >= min_joint)
-    pairs = _context_counts(docs, text).join(joint.join(entities, "entity"), "term", "left")
-    known = staged(pairs.where("entity is not null or term is null"), "known")
-    every = known.where("term is null").first()
-    n = every["n_term"] if every else 0
+    contexts = staged(_contexts(docs, text, False).groupBy("context").agg(F.sum("copies").alias("copies")), "contexts")
+    n = contexts.count()
+    known = joint.join(entities, "entity").join(_context_counts(docs, text, contexts), "term")
     total = F.lit(float(n))
     shown = F.when(F.col("n_entity") < n, F.log(F.col("n_joint") * total / (F.col("n_term") * F.col("n_entity"))) / F.log(total / F.col("n_entity"))).otherwise(0.0)
-    strong = staged(known.where("entity is not null").select("entity", "term", shown.alias("disclosure")).where(F.col("disclosure") >= threshold), "strong")
+    strong = staged(known.select("entity", "term", shown.alias("disclosure")).where(F.col("disclosure") >= threshold), "strong")
     marks = met.join(strong, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
     return marks.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
 
