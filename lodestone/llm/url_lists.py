@@ -2,9 +2,11 @@
 
 List entries are dated events: at a time, an action ('add' or 'remove') sets whether a pattern is listed. Successive
 events of one pattern become validity intervals [start, end). Each capture is then held, as of its fetch time, against
-the entries that were active at that moment: the host and its parent domains, and each directory prefix of its path.
+the entries that were active at that moment: the host and its parent domains, and each entry with a '/' that host and
+path start with, be it a directory, a page or a part of a name. Path entries hold for their own host, not its subdomains.
 Matching is an equi-join on these keys with the interval as a further condition, so it never compares all captures with
-all entries, and a hot host is split like any skewed join key.
+all entries, and a hot host is split like any skewed join key. For entries that do not end in '/', the list tells for
+each directory how long its entries are, and a capture in it has its prefixes of these lengths as keys.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ def intervals(events: DataFrame) -> DataFrame:
 
     Of events of one pattern, category and time, 'remove' wins. Repeated 'add's do not start anew, a 'remove' of what is
     not listed does nothing, and rows with nulls in pattern, time or action, or other actions, are left out. A null
-    category is a category."""
-    moments = events.where("pattern is not null and listed_at is not null and action in ('add', 'remove')").groupBy("pattern", "category", "listed_at").agg(F.max("action").alias("action"))
+    category is a category. Hosts of patterns are taken in lower case and without trailing dot, as those of captures are."""
+    named = F.concat(F.regexp_replace(F.lower(F.substring_index("pattern", "/", 1)), r"\.$", ""), F.regexp_extract("pattern", "(?s)(/.*)?$", 1))
+    moments = events.withColumn("pattern", named).where("pattern is not null and listed_at is not null and action in ('add', 'remove')").groupBy("pattern", "category", "listed_at").agg(F.max("action").alias("action"))
     order = W.partitionBy("pattern", "category").orderBy("listed_at")
     changed = moments.withColumn("was", F.lag("action").over(order)).where("action <> coalesce(was, 'remove')")
     return changed.withColumn("end", F.lead("listed_at").over(order)).where("action = 'add'").select("pattern", "category", F.col("listed_at").alias("start"), "end")
@@ -44,11 +47,27 @@ def patterns(url: Column) -> Column:
     return F.when(host(url).isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, prefixes)))
 
 
+def _keyed(captures: DataFrame, url: str, entries: DataFrame) -> DataFrame:
+    """captures with each key (pattern) that an entry may name: those of patterns(), the host's top directory, and the
+    prefixes of host and path that are as long as an entry in their directory."""
+    page = F.concat(host(F.col(url)), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))
+    top = F.filter(F.array(F.concat(F.substring_index(page, "/", 1), F.lit("/"))), lambda t: page.startswith(t))
+    keys = captures.withColumn("pattern", F.explode(F.array_distinct(F.concat(patterns(F.col(url)), F.coalesce(top, F.array().cast("array<string>"))))))
+    folder = F.regexp_extract("pattern", "(?s)^(.*/)[^/]+$", 1)
+    sizes = entries.select(folder.alias("folder"), F.length("pattern").alias("size")).where("folder <> ''").groupBy("folder").agg(F.collect_set("size").alias("sizes"))
+    inside = keys.withColumnRenamed("pattern", "folder").join(sizes, "folder").withColumn("page", page)
+    longer = inside.withColumn("size", F.explode("sizes")).where("size <= length(page)").withColumn("pattern", F.expr("substring(page, 1, size)"))
+    # a prefix belongs to one directory: of those that reach into the next one, this one has no entries
+    longer = longer.where(F.regexp_extract("pattern", "(?s)^(.*/)[^/]+$", 1) == F.col("folder"))
+    return keys.unionByName(longer.select(*captures.columns, "pattern"))
+
+
 def active_entries(captures: DataFrame, events: DataFrame, key: str = "page_id", url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """(key, pattern, category, start, end): every entry that was active for a capture when it was fetched. Captures with
     a null URL or time meet none. Rows that repeat a key give their entries once each."""
-    keys = captures.select(captures[key].alias("_key"), captures[fetched].alias("_at"), F.explode(patterns(captures[url])).alias("pattern"))
-    met = keys.join(intervals(events), "pattern").where("_at >= start and (end is null or _at < end)")
+    entries = intervals(events)
+    keys = _keyed(captures.select(captures[key].alias("_key"), captures[fetched].alias("_at"), captures[url].alias("_url")), "_url", entries)
+    met = keys.join(entries, "pattern").where("_at >= start and (end is null or _at < end)")
     return met.select(F.col("_key").alias(key), "pattern", "category", "start", "end").distinct()
 
 
@@ -57,8 +76,8 @@ def judge(captures: DataFrame, events: DataFrame, key: str = "page_id", url: str
     in order) with its category, and kept (no entry is active). Only these columns are read. Null keys are kept apart
     from others and judged like them."""
     rows = captures.select(captures[key].alias("k"), captures[url].alias("u"), captures[fetched].alias("at")).distinct()
-    keys = rows.select("k", "u", "at", F.explode(patterns(F.col("u"))).alias("pattern"))
-    met = keys.join(intervals(events), "pattern").where("at >= start and (end is null or at < end)")
+    entries = intervals(events)
+    met = _keyed(rows, "u", entries).join(entries, "pattern").where("at >= start and (end is null or at < end)")
     # counts and the best entry are combined before the shuffle by capture
     best = met.groupBy("k", "u", "at").agg(F.count(F.lit(1)).alias("n_active"), F.min(F.struct((-F.length("pattern")).alias("l"), F.col("pattern").alias("pattern"), F.coalesce("category", F.lit("")).alias("category"))).alias("b"))
     same = F.expr("r.k <=> b.k and r.u <=> b.u and r.at <=> b.at")

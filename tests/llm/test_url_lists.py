@@ -54,6 +54,30 @@ def test_judgement_equals_brute_force(spark):
         assert (row["pattern"], row["category"]) == ((w[0][1], w[0][2]) if w else (None, None))
 
 
+def test_pages_and_prefixes_equal_the_oracle_rule(spark):
+    """Exact pages, parts of names, top directories, and hosts in upper case with a dot."""
+    r = random.Random(8)
+    hosts, tails = ["a.co", "www.a.co", "b.co"], ["", "/", "/x", "/x/", "/x/z.html", "/x/z.html5", "/x/zz/", "/x/zz/q", "/X/z.html", "/é/ü", "//x//y", "/x/z.html/in"]
+    listed = [h + t for h in hosts for t in r.sample(tails, 7)] + ["B.Co./x/zz/q", "A.CO/X/z.html", "WWW.a.co"]
+    events = spark.createDataFrame([(p, DAY(1), "add", "x") for p in listed], EVENTS)
+    pages = [(i, f"http://{h}{t}{q}", DAY(2)) for i, (h, t, q) in enumerate((h, t, q) for h in hosts for t in tails for q in ("", "?q=/x/z.html"))]
+    low = lambda p: p.partition("/")[0].lower().rstrip(".") + "".join(p.partition("/")[1:])
+    entries = {low(p) for p in listed}
+
+    def met(u):
+        page = u[7:].partition("?")[0]
+        h = page.partition("/")[0]
+        return {p for p in entries if h == p or h.endswith("." + p) or ("/" in p and page.startswith(p))}
+
+    judged = {x["page_id"]: x for x in U.judge(spark.createDataFrame(pages, PAGES), events).collect()}
+    active = {}
+    for x in U.active_entries(spark.createDataFrame(pages, PAGES), events).collect():
+        active.setdefault(x["page_id"], set()).add(x["pattern"])
+    for i, u, _ in pages:
+        assert active.get(i, set()) == met(u), u
+        assert judged[i]["n_active"] == len(met(u)) and judged[i]["kept"] == (not met(u)), u
+
+
 def test_empty_repeats_and_clashes(spark):
     events, pages = spark.createDataFrame([("a.org", DAY(1), "add", "x")], EVENTS), spark.createDataFrame([(1, "http://a.org/", DAY(2))] * 2, PAGES)
     assert U.judge(pages.limit(0), events).count() == 0
