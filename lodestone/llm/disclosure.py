@@ -180,7 +180,7 @@ def _tally(texts: DataFrame) -> DataFrame:
 def _context_counts(docs: DataFrame, text: str, contexts: DataFrame) -> DataFrame:
     """(term, n_term): contexts that have each term, by the hash of the term: all documents that have it, less the copies.
     The copies of a context have the same words, so only one text of each repeated context is shuffled."""
-    again = _contexts(docs, text, True).join(contexts.where("copies > 1"), "context").groupBy("context").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
+    again = _contexts(docs, text, True).join(staged(contexts.where("copies > 1"), "repeated"), "context").groupBy("context").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
     less = _tally(again.select("text", (1 - F.col("copies")).alias("n")))
     return _tally(docs.select(F.col(text).alias("text"), F.lit(1).cast("long").alias("n"))).unionByName(less).groupBy("term").agg(F.sum("n").alias("n_term"))
 
