@@ -13,14 +13,16 @@ buckets by their leading bits, and only those blocks are shuffled. Each bucket t
 sized by its items, with its part of the exact unigram table. The leading bits come from the context, so a bucket knows
 all followers of its contexts.
 
-Only model segments are broadcast, in pieces of a few MB that the driver handles one by one, and at most
-``max_broadcast`` bytes at a time: a larger model is applied in several passes, each of which fills in the counts of the
-n-grams whose buckets it holds.
+A model of at most ``max_broadcast`` bytes is broadcast, in pieces of a few MB that the driver handles one by one, and is
+given up again once the scores are written. A larger one stays where it was built: texts are then probed by two shuffles
+of n-gram hashes, one to the segments and one back with what was found there. Both ways read the same bits and give the
+same scores; the second is linear in corpus and model, whatever their sizes.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +35,20 @@ from lodestone.llm.textblocks import WordHasher, Words, blocks, mix
 from lodestone.session import staged
 
 #: The longest n-gram.
-ORDER = 2
+ORDER = 3
 #: Base of the log scale.
 BASE = 1.5
-BITS_PER_ITEM = 12
-MAX_BROADCAST = 192 << 20
+BITS_PER_ITEM = 8
+#: Every Python worker of an executor holds a copy.
+MAX_BROADCAST = 256 << 20
 #: The driver gathers and passes on about so much at once.
 PIECE = 16 << 20
 #: Characters of text whose n-grams fall in a bucket, about.
 BUCKET_CHARS = 2_000_000
 #: Hashes that a task gathers before it counts them.
-GATHERED = 1 << 22
+GATHERED = 1 << 21
+#: Tokens of the texts that are probed together where the model is not broadcast.
+CHUNK_TOKENS = 1 << 19
 _FOLLOWER_BITS = np.uint64(24)
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP, _FOLLOWERS = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -99,32 +104,62 @@ def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys: the first, then the gaps between them in the fewest whole bytes that hold each, compressed."""
+    gaps = np.diff(keys).astype("<u8")
+    width = max(1, -(-int(gaps.max(initial=0)).bit_length() // 8))
+    return keys[:1].tobytes() + bytes([width]) + pa.compress(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    gaps = np.zeros((n, 8), dtype=np.uint8)
+    gaps[0] = np.frombuffer(raw[:8], dtype=np.uint8)
+    width = raw[8]
+    if n > 1:
+        gaps[1:, :width] = np.frombuffer(pa.decompress(raw[9:], (n - 1) * width, codec="zstd", asbytes=True), dtype=np.uint8).reshape(width, -1).T
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _runs(sorted_groups: np.ndarray) -> list[tuple[int, int, int]]:
+    """(group, from, to) of each run of equal values: of those that occur only."""
+    if not len(sorted_groups):
+        return []
+    begins = np.flatnonzero(np.concatenate([[True], sorted_groups[1:] != sorted_groups[:-1]]))
+    return list(zip(sorted_groups[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(sorted_groups)]))
+
+
 def _ngram_blocks(docs: DataFrame, text: str, order: int, n_buckets: int) -> DataFrame:
-    """(kind, bucket, keys, counts): kind 1 for unigrams, 2 for longer n-grams; counts of one task's hashes."""
+    """(kind, bucket, n, keys, counts): kind 1 for unigrams, 2 for longer n-grams; counts of one task's hashes."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         held: dict[int, list] = {1: [], 2: []}
+        size = {1: 0, 2: 0}
 
         def give(kind: int) -> pa.RecordBatch:
             keys, counts = _counted(np.concatenate(held[kind]))
             held[kind].clear()
-            cuts = np.searchsorted(_buckets(keys, n_buckets), np.arange(n_buckets + 1))
-            rows = [(b, keys[x:y].tobytes(), counts[x:y].astype("<i8").tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "bucket", "keys", "counts"])
+            size[kind] = 0
+            runs = _runs(_buckets(keys, n_buckets))
+            narrow = counts.astype("<u4") if counts.max(initial=0) < 1 << 32 else counts.astype("<i8")
+            return pa.RecordBatch.from_arrays(
+                [pa.array([kind] * len(runs), pa.int32()), pa.array([r for r, _, _ in runs], pa.int32()), pa.array([y - x for _, x, y in runs], pa.int32()), pa.array([packed(keys[x:y]) for _, x, y in runs], pa.binary()), pa.array([narrow[x:y].tobytes() for _, x, y in runs], pa.binary())],
+                names=["kind", "bucket", "n", "keys", "counts"],
+            )
 
         for part in parts:
             for _, _, data, offsets in blocks(part, "text"):
                 tokens = Tokens(hasher.words(data, offsets), order)
                 for kind, got in ((1, [tokens.token]), (2, tokens.keys)):
                     held[kind] += got
-                    if sum(map(len, held[kind])) >= GATHERED:
+                    size[kind] += sum(map(len, got))
+                    if size[kind] >= GATHERED:
                         yield give(kind)
         for kind in (1, 2):
-            if held[kind]:
+            if size[kind]:
                 yield give(kind)
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(count, "kind int, bucket int, keys binary, counts binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(count, "kind int, bucket int, n int, keys binary, counts binary")
 
 
 def _narrow(counts: np.ndarray) -> str:
@@ -154,13 +189,15 @@ def _slots(keys: np.ndarray, level: int | np.ndarray, sizes: np.ndarray) -> tupl
 def _segments(counted: DataFrame, base: float, bits: int) -> DataFrame:
     """(bucket, kind, a, b, tokens): of kind 1, sorted hashes and their counts, with the sum of these; of kind 2, the
     segment of the filter."""
-    rows = counted.groupBy("kind", "bucket").agg(F.collect_list("keys").alias("keys"), F.collect_list("counts").alias("counts"))
+    rows = counted.groupBy("kind", "bucket").agg(F.collect_list(F.struct("n", "keys", "counts")).alias("found"))
 
     def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for kind, bucket, packed, numbers in zip(part["kind"], part["bucket"], part["keys"], part["counts"]):
-                keys, counts = _counted(np.frombuffer(b"".join(packed), dtype=np.uint64), np.frombuffer(b"".join(numbers), dtype="<i8"))
+            for kind, bucket, found in zip(part["kind"], part["bucket"], part["found"]):
+                keys = np.concatenate([unpacked(f["keys"], f["n"]) for f in found])
+                counts = np.concatenate([np.frombuffer(f["counts"], dtype="<u4" if len(f["counts"]) == 4 * f["n"] else "<i8").astype(np.int64) for f in found])
+                keys, counts = _counted(keys, counts)
                 if kind == 1:
                     out.append((kind, bucket, keys.tobytes(), counts.astype(_narrow(counts)).tobytes(), int(counts.sum())))
                     continue
@@ -192,37 +229,41 @@ class Piece:
         counts = [np.frombuffer(r["b"], dtype="<u4" if 2 * len(r["b"]) == len(r["a"]) else "<i8") for r in ones]
         self.counts = np.concatenate(counts) if counts else np.zeros(0, dtype="<u4")
         self.words = np.frombuffer(b"".join(r["a"] for r in twos), dtype=np.uint64)
-        self.sizes = np.zeros(n_buckets, dtype=np.int64)
+        self.sizes = np.zeros(high - low, dtype=np.int64)
         for r in twos:
-            self.sizes[r["bucket"]] = len(r["a"]) // 8
+            self.sizes[r["bucket"] - low] = len(r["a"]) // 8
         self.begins = np.cumsum(self.sizes) - self.sizes
 
-    def unigrams(self, tokens: np.ndarray, into: np.ndarray) -> None:
-        if len(self.hashes):
-            buckets = _buckets(tokens, self.n_buckets)
-            here = np.flatnonzero((buckets >= self.low) & (buckets < self.high))
-            at = np.minimum(np.searchsorted(self.hashes, tokens[here]), len(self.hashes) - 1)
-            found = self.hashes[at] == tokens[here]
-            into[here[found]] = self.counts[at[found]]
-
-    def levels(self, keys: np.ndarray, buckets: np.ndarray, first: int, into: np.ndarray) -> None:
-        """Probe level after level; ``into`` gets the last that is present."""
-        here = np.flatnonzero(self.sizes[buckets] > 0)
-        level = first
+    def unigrams(self, tokens: np.ndarray) -> np.ndarray:
+        """Counts of tokens whose buckets are here."""
+        if not len(self.hashes):
+            return np.zeros(len(tokens), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == tokens, self.counts[at], 0).astype(np.int64)
+
+    def _probe(self, keys: np.ndarray, segments: np.ndarray, first: int) -> np.ndarray:
+        """Level after level: the last that is present, 0 if none is."""
+        levels = np.zeros(len(keys), dtype=np.uint8)
+        here, level = np.flatnonzero(self.sizes[segments] > 0), first
         while len(here):
-            b = buckets[here]
+            b = segments[here]
             at, mask = _slots(keys[here], level, self.sizes[b])
             here = here[(self.words[self.begins[b] + at] & mask) == mask]
-            into[here] = level
+            levels[here] = level
             level += 1
+        return levels
+
+    def levels(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of n-grams whose buckets are here, and of the followers of their contexts."""
+        segments = _buckets(keys, self.n_buckets) - self.low
+        return self._probe(keys, segments, 1), self._probe((keys >> _FOLLOWER_BITS << _FOLLOWER_BITS) ^ _FOLLOWERS, segments, 2)
 
-    def fill(self, tokens: Tokens, counts: np.ndarray, found: np.ndarray) -> None:
-        """counts: of unigrams; found[2k], found[2k + 1]: levels of (k + 2)-grams and of their contexts' followers."""
-        self.unigrams(tokens.token, counts)
-        for k, (keys, contexts) in enumerate(zip(tokens.keys, tokens.contexts)):
-            buckets = _buckets(keys, self.n_buckets)
-            self.levels(keys, buckets, 1, found[2 * k])
-            self.levels((contexts >> _FOLLOWER_BITS << _FOLLOWER_BITS) ^ _FOLLOWERS, buckets, 2, found[2 * k + 1])
+
+def _by_piece(keys: np.ndarray, cuts: np.ndarray, n_buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(piece, places of the keys whose buckets it has); cuts: the first bucket of each piece."""
+    of = np.searchsorted(cuts, _buckets(keys, n_buckets), side="right") - 1
+    order = np.argsort(of, kind="stable")
+    return [(p, order[x:y]) for p, x, y in _runs(of[order])]
 
 
 def token_scores(tokens: Tokens, counts: np.ndarray, found: np.ndarray, n: int, v: int, texts: int, base: float) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +284,144 @@ def token_scores(tokens: Tokens, counts: np.ndarray, found: np.ndarray, n: int,
     return plain, np.log10(p)
 
 
+_RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scored(keys: pa.Array, tokens: Tokens, counts: np.ndarray, found: np.ndarray, known: tuple[int, int, int], base: float) -> pa.RecordBatch:
+    """Sums over each text. known: tokens, distinct tokens and texts of the training part."""
+    n, v, texts = known
+    plain, full = token_scores(tokens, counts, found, n, v, texts, base)
+    sums = lambda x: np.add.reduceat(x, tokens.first[:-1])  # noqa: E731  every text has an end
+    return pa.RecordBatch.from_arrays(
+        [keys, pa.array(np.diff(tokens.first), pa.int64()), pa.array(sums((counts > 0).astype(np.int64)), pa.int64()), pa.array([n] * len(keys), pa.int64()), pa.array(sums(plain)), pa.array(sums(full))],
+        names=["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    )
+
+
+def _scored_in_place(todo: DataFrame, model: DataFrame, kind: str, order: int, base: float, n_buckets: int, n_pieces: int, known: tuple[int, int, int]) -> DataFrame:
+    """The model is broadcast; texts stay where they are."""
+    context = todo.sparkSession.sparkContext
+    cuts = np.array([n_buckets * k // n_pieces for k in range(n_pieces)], dtype=np.int64)
+    shared = []
+    for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), n_buckets]):
+        rows = model.where(F.col("bucket").between(low, high - 1)).select("kind", "bucket", "a", "b").collect()
+        shared.append(context.broadcast(Piece(rows, low, high, n_buckets)))
+        del rows
+
+    def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, pieces = WordHasher(), [p.value for p in shared]
+        for part in parts:
+            for a, b, data, offsets in blocks(part, "text"):
+                tokens = Tokens(hasher.words(data, offsets), order)
+                counts, found = np.zeros(len(tokens.token), dtype=np.int64), np.zeros((2 * (order - 1), len(tokens.token)), dtype=np.uint8)
+                for p, at in _by_piece(tokens.token, cuts, n_buckets):
+                    counts[at] = pieces[p].unigrams(tokens.token[at])
+                for k, keys in enumerate(tokens.keys):
+                    for p, at in _by_piece(keys, cuts, n_buckets):
+                        found[2 * k, at], found[2 * k + 1, at] = pieces[p].levels(keys[at])
+                yield _scored(part.column("key").slice(a, b - a), tokens, counts, found, known, base)
+
+    try:
+        return staged(todo.mapInArrow(apply, f"key {kind}, {_RESULT}"), "scores")
+    finally:
+        for p in shared:
+            p.destroy()
+
+
+def _scored_by_shuffles(todo: DataFrame, model: DataFrame, kind: str, order: int, base: float, n_buckets: int, n_pieces: int, known: tuple[int, int, int]) -> DataFrame:
+    """Distinct hashes of a chunk of texts go to the piece of the model that has their buckets, and the counts and levels
+    found come back to the chunk. A task streams through its rows in order and holds one piece, or one chunk."""
+    cuts = np.array([n_buckets * k // n_pieces for k in range(n_pieces)], dtype=np.int64)
+    piece = F.floor((F.col("bucket").cast("long") * n_pieces + n_pieces - 1) / n_buckets).cast("int")
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = WordHasher(), [], 0
+
+        def rows(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(found, schema=shape)
+
+        def give() -> Iterator[pa.RecordBatch]:
+            chunk = uuid.uuid4().hex
+            yield rows([{"chunk": chunk, "piece": -1, "keys": [k for b, _ in held for k in b.column("key").to_pylist()], "texts": [t for b, _ in held for t in b.column("text").to_pylist()]}])
+            ones, twos = np.unique(np.concatenate([t.token for _, t in held])), np.unique(np.concatenate([k for _, t in held for k in t.keys]))
+            of_ones, of_twos = ({p: packed(x[at]) + len(at).to_bytes(4, "little") for p, at in _by_piece(x, cuts, n_buckets)} for x in (ones, twos))
+            for p in sorted(of_ones.keys() | of_twos.keys()):
+                yield rows([{"chunk": chunk, "piece": p, "ones": of_ones.get(p), "twos": of_twos.get(p)}])
+            held.clear()
+
+        for part in parts:
+            shape = pa.schema([("chunk", pa.string()), ("piece", pa.int32()), ("keys", pa.list_(part.schema.field("key").type)), ("texts", pa.list_(pa.string())), ("ones", pa.binary()), ("twos", pa.binary())])
+            for a, b, data, offsets in blocks(part, "text"):
+                held.append((part.slice(a, b - a), Tokens(hasher.words(data, offsets), order)))
+                size += len(held[-1][1].token)
+                if size >= CHUNK_TOKENS:
+                    yield from give()
+                    size = 0
+        if held:
+            yield from give()
+
+    chunks = staged(todo.mapInArrow(cut, f"chunk string, piece int, keys array<{kind}>, texts array<string>, ones binary, twos binary"), "chunks")
+    tables = model.select(piece.alias("piece"), F.lit("").alias("chunk"), "kind", "bucket", "a", "b")
+    asked = chunks.where("piece >= 0").select("piece", "chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.col("ones").alias("a"), F.col("twos").alias("b"))
+
+    def given(raw: bytes | None) -> np.ndarray:
+        return unpacked(raw[:-4], int.from_bytes(raw[-4:], "little")) if raw else np.zeros(0, dtype=np.uint64)
+
+    def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, now, at = [], None, None
+        for part in parts:
+            out = []
+            for r in part.to_pylist():
+                if r["piece"] != at:
+                    rows, now, at = [], None, r["piece"]
+                if not r["chunk"]:  # the piece's own rows come first
+                    rows.append(r)
+                    continue
+                now = now or Piece(rows, int(cuts[at]), int(cuts[at + 1]) if at + 1 < n_pieces else n_buckets, n_buckets)
+                rows = []
+                ones, twos = given(r["a"]), given(r["b"])
+                levels, followers = now.levels(twos)
+                out.append((r["chunk"], at, now.unigrams(ones).tobytes(), levels.tobytes() + followers.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "piece", "counts", "levels"])
+
+    dealt = tables.unionByName(asked).repartition(n_pieces, "piece").sortWithinPartitions("piece", "chunk", "bucket")
+    answers = dealt.mapInArrow(probe, "chunk string, piece int, counts binary, levels binary")
+    back = chunks.where("piece >= 0").select("chunk", "piece", "ones", "twos").join(answers, ["chunk", "piece"])
+    none = F.lit(None)
+    back = back.select("chunk", "piece", none.cast(f"array<{kind}>").alias("keys"), none.cast("array<string>").alias("texts"), "ones", "twos", "counts", "levels")
+    whole = back.unionByName(chunks.where("piece < 0").select("chunk", "piece", "keys", "texts", *[none.cast("binary").alias(c) for c in ("ones", "twos", "counts", "levels")]))
+    whole = whole.repartition("chunk").sortWithinPartitions("chunk", "piece")
+
+    def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held = WordHasher(), None
+
+        def give() -> Iterator[pa.RecordBatch]:
+            keys, texts, kinds, answers = held
+            ones, counts = (np.concatenate([x[k] for x in answers]) for k in (0, 1))
+            twos, levels = np.concatenate([x[2] for x in answers]), np.concatenate([x[3] for x in answers], axis=1)
+            # pieces are runs of buckets and so of keys: what comes back in order of pieces is sorted
+            batch = pa.RecordBatch.from_arrays([pa.array(keys, kinds), pa.array(texts, pa.string())], names=["key", "text"])
+            for a, b, data, offsets in blocks(batch, "text"):
+                tokens = Tokens(hasher.words(data, offsets), order)
+                found = np.concatenate([levels[:, np.searchsorted(twos, k)] for k in tokens.keys]) if tokens.keys else np.zeros((0, len(tokens.token)), dtype=np.uint8)
+                yield _scored(batch.column("key").slice(a, b - a), tokens, counts[np.searchsorted(ones, tokens.token)], found, known, base)
+
+        for part in parts:
+            kinds = part.schema.field("keys").type.value_type
+            for r in part.to_pylist():
+                if r["piece"] < 0:
+                    if held:
+                        yield from give()
+                    held = (r["keys"], r["texts"], kinds, [])
+                else:
+                    twos = given(r["twos"])
+                    held[3].append((given(r["ones"]), np.frombuffer(r["counts"], dtype=np.int64), twos, np.frombuffer(r["levels"], dtype=np.uint8).reshape(2, len(twos))))
+        if held:
+            yield from give()
+
+    return staged(whole.mapInArrow(finish, f"key {kind}, {_RESULT}"), "scores")
+
+
 def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, base: float = BASE, bits: int = BITS_PER_ITEM, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Per row of docs: key, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -251,55 +430,14 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     that repeat count and are scored as often as they occur. With no training text at all, both scores take the uniform
     add-half value of an empty model. Other columns are not read.
     """
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
+    kind = dict(docs.dtypes)[key]
     # one small row: how much there is to count
     chars, texts = training.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)), F.count(F.lit(1))).first()
     n_buckets = max(16, -(-chars // BUCKET_CHARS))
     model = staged(_segments(_ngram_blocks(training, text, order, n_buckets), base, bits), "model")
     held = model.groupBy().agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("kind") == 1, F.length("a") / 8)), F.lit(0)).cast("long").alias("v"), F.coalesce(F.sum(F.length("a") + F.length("b")), F.lit(0)).alias("bytes")).first()
-    n, v = held["n"], held["v"]
     # buckets are even, so equal runs of them are even too
-    passes = max(1, -(-held["bytes"] // max_broadcast))
-    pieces = max(1, -(-held["bytes"] // passes // PIECE))
-    cut = lambda k: n_buckets * k // (passes * pieces)
-    rows_of = 2 * (order - 1)
-    todo, held_so_far = docs.select(docs[key].alias("key"), docs[text].alias("text")), False
-    for s in range(passes):
-        shared = []
-        for k in range(s * pieces, (s + 1) * pieces):
-            rows = model.where(F.col("bucket").between(cut(k), cut(k + 1) - 1)).select("kind", "bucket", "a", "b").collect()
-            shared.append(spark.sparkContext.broadcast(Piece(rows, cut(k), cut(k + 1), n_buckets)))
-            del rows
-        last, resumed = s == passes - 1, held_so_far
-
-        def apply(parts: Iterator[pa.RecordBatch], shared=shared, last=last, resumed=resumed) -> Iterator[pa.RecordBatch]:
-            hasher, held = WordHasher(), [p.value for p in shared]
-            for part in parts:
-                for a, b, data, offsets in blocks(part, "text"):
-                    tokens = Tokens(hasher.words(data, offsets), order)
-                    m = len(tokens.token)
-                    if resumed:
-                        sofar = part.slice(a, b - a).column("counts").to_pylist()
-                        levels = part.slice(a, b - a).column("found").to_pylist()
-                        counts = np.frombuffer(b"".join(sofar), dtype="<i8").copy()
-                        found = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(rows_of, -1) for x in levels], axis=1)
-                    else:
-                        counts, found = np.zeros(m, dtype="<i8"), np.zeros((rows_of, m), dtype=np.uint8)
-                    for piece in held:
-                        piece.fill(tokens, counts, found)
-                    keys, first = part.column("key").slice(a, b - a), tokens.first
-                    if not last:
-                        each = list(zip(first[:-1].tolist(), first[1:].tolist()))
-                        yield pa.RecordBatch.from_arrays([keys, part.column("text").slice(a, b - a), pa.array([counts[x:y].tobytes() for x, y in each], pa.binary()), pa.array([found[:, x:y].tobytes() for x, y in each], pa.binary())], names=["key", "text", "counts", "found"])
-                        continue
-                    plain, full = token_scores(tokens, counts, found, n, v, texts, base)
-                    sums = lambda x, first=first: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has an end
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(first), pa.int64()), pa.array(sums((counts > 0).astype(np.int64)), pa.int64()), pa.array([n] * (b - a), pa.int64()), pa.array(sums(plain)), pa.array(sums(full))], names=["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-        if last:
-            todo = todo.mapInArrow(apply, f"key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-        else:
-            todo, held_so_far = staged(todo.mapInArrow(apply, f"key {kind}, text string, counts binary, found binary"), "probed"), True
-            for piece in shared:
-                piece.unpersist(blocking=True)
-    return todo.withColumnRenamed("key", key)
+    pieces = min(n_buckets, max(1, -(-held["bytes"] // min(PIECE, max_broadcast))))
+    way = _scored_in_place if held["bytes"] <= max_broadcast else _scored_by_shuffles
+    todo = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    return way(todo, model, kind, order, base, n_buckets, pieces, (held["n"], held["v"], texts)).withColumnRenamed("key", key)
