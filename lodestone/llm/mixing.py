@@ -4,8 +4,9 @@ Every document draws an exponential key, divided by its quality weight; the smal
 sample without replacement. A source whose target exceeds its size gives complete epochs first; the rest of the target is
 a prefix, by key, of the source's documents.
 
-No source is ever sorted as a whole: keys fall into ``BINS`` bins, sums over bins show which bin the target cuts, and
-only the documents of that bin are put in order.
+No source is ever sorted as a whole: the range of its keys is cut into ``BINS`` bins, sums over bins show which bin the
+target cuts, and the keys met in that bin are the range of the next of ``ROUNDS`` rounds. Only the documents of the last
+bin are put in order, whatever the weights.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from lodestone.session import staged
 
 #: Sources in order take these weights in turn.
 TURNS = (5.0, 2.0, 1.0)
-SHARE, EPOCHS, BINS = 1.5, 2, 1024
+SHARE, EPOCHS, BINS, ROUNDS = 1.5, 2, 1024, 3
 SEED = "mix-1"
 
 
@@ -50,9 +51,25 @@ def targets(sizes: DataFrame, share: float = SHARE, epochs: int = EPOCHS, turns:
     return levels.withColumn("found", found).select("source", "source_size", F.coalesce(F.least(F.col("most"), F.col("found") * F.col("w")), F.col("most")).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: str = SEED, share: float = SHARE, epochs: int = EPOCHS, bins: int = BINS, carry: bool = False) -> DataFrame:
+def _cut(rows: DataFrame, told: DataFrame, bins: int, rounds: int) -> DataFrame:
+    """(of, low, high, before): per source whose target a document cuts, the least range of keys found to hold it, and the
+    sizes before that range. told: (of, rest), the words that are left to take. One row a source and bin is all that
+    windows see."""
+    ranges = rows.groupBy("source").agg(F.min("drawn").alias("low"), F.max("drawn").alias("high")).withColumn("before", F.lit(0).cast("long"))
+    ranges = staged(ranges.join(told.where("rest > 0"), F.expr("source <=> of")).select("of", "low", "high", "before", "rest"), "ranges")
+    for _ in range(rounds):
+        inside = rows.select("source", "size", "drawn").join(ranges, F.expr("source <=> of and drawn between low and high"))
+        place = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((F.col("drawn") - F.col("low")) / (F.col("high") - F.col("low")) * bins).cast("int"))).otherwise(0)
+        filled = inside.groupBy("of", "before", "rest", place.alias("bin")).agg(F.sum("size").alias("whole"), F.min("drawn").alias("low"), F.max("drawn").alias("high"))
+        sums = filled.withColumn("upto", F.col("before") + F.sum("whole").over(W.partitionBy("of").orderBy("bin"))).where("upto > rest")
+        least = sums.groupBy("of", "rest").agg(F.min(F.struct("bin", "low", "high", (F.col("upto") - F.col("whole")).alias("before"))).alias("cut"))
+        ranges = staged(least.select("of", "cut.low", "cut.high", "cut.before", "rest"), "ranges")
+    return ranges.drop("rest")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: str = SEED, share: float = SHARE, epochs: int = EPOCHS, bins: int = BINS, rounds: int = ROUNDS, carry: bool = False) -> DataFrame:
     """Per row of docs: key, size (words), source, source_size, target, copies and taken (= copies * size); with
-    ``carry``, all columns of docs and ``copies`` (a column of that name is replaced).
+    ``carry``, a struct ``row`` of all columns of docs, and ``copies``.
 
     Complete epochs come first, then documents by key as long as half of each still lies within the target, so a source
     is off by at most half a document. A null source is a source of its own, last in order; null and empty texts have
@@ -60,33 +77,29 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     and are otherwise rows like others; null ids draw one number. The draw depends on seed and id alone, so reruns agree.
     """
     drawn = -F.log(uniform(docs[key], seed)) / (weight if weight is not None else quality_weight(docs[text]))
-    whole = [F.struct(*[docs[c] for c in docs.columns if c != "copies"]).alias("row")] if carry else []
-    rows = docs.select(docs[key].alias("id"), docs[source].alias("source"), n_words(docs[text]).alias("size"), drawn.alias("drawn"), F.xxhash64(docs[text]).alias("mark"), *whole)
-    rows = rows.withColumn("bin", F.least(F.lit(bins - 1), F.floor(bins * (1 - F.exp(-F.col("drawn")))).cast("int")))
-    if not carry:  # a few numbers a row; whole rows are read again instead
-        rows = staged(rows, "sized")
-    filled = staged(rows.groupBy("source", "bin").agg(F.sum("size").alias("whole")), "bins")
-    told = targets(filled.groupBy("source").agg(F.sum("whole").alias("source_size")), share, epochs)
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    # texts are read once; what follows reads a few numbers a row
+    rows = staged(docs.select(docs[key].alias("id"), docs[source].alias("source"), n_words(docs[text]).alias("size"), drawn.alias("drawn"), F.xxhash64(docs[text]).alias("mark"), *whole), "sized")
+    told = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, epochs)
     told = told.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.lit(float(epochs)), F.floor(F.col("target") / F.col("source_size")))).otherwise(0.0).cast("long"))
     told = told.withColumn("rest", F.when(F.col("epochs") < epochs, F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(0.0))
-    # the first bin that reaches beyond the target; what comes before it is taken
-    sums = filled.withColumn("upto", F.sum("whole").over(W.partitionBy("source").orderBy("bin")))
-    cut = sums.alias("s").join(told.alias("t"), F.expr("s.source <=> t.source")).where("upto > rest").groupBy(F.col("s.source").alias("cut_source")).agg(F.min(F.struct("bin", (F.col("upto") - F.col("whole")).alias("before"))).alias("cut"))
-    told = staged(told.join(cut, F.expr("source <=> cut_source"), "left").select(F.col("source").alias("of"), "source_size", "target", "epochs", "rest", F.coalesce("cut.bin", F.lit(bins)).alias("cut_bin"), F.coalesce("cut.before", F.lit(0)).alias("before")), "targets")
-    rows = rows.join(told, F.expr("source <=> of")).drop("of")
+    told = staged(told.withColumnRenamed("source", "of"), "targets")
+    cut = _cut(rows, told.select("of", "rest"), bins, rounds)
+    told = staged(told.join(cut.withColumnRenamed("of", "cut_of"), F.expr("of <=> cut_of"), "left").drop("cut_of"), "targets")
+    rows = rows.join(told, F.expr("source <=> of")).drop("of").withColumn("at_cut", F.coalesce(F.expr("drawn between low and high"), F.lit(False)))
     ahead = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("drawn", "id", "size", "mark").rowsBetween(W.unboundedPreceding, 0))
-    edge = rows.where("bin = cut_bin").withColumn("more", ((F.col("rest") > 0) & (ahead - F.col("size") / 2 <= F.col("rest"))).cast("long"))
-    sure = rows.where("bin <> cut_bin").withColumn("more", ((F.col("rest") > 0) & (F.col("bin") < F.col("cut_bin"))).cast("long"))
+    edge = rows.where("at_cut").withColumn("more", (ahead - F.col("size") / 2 <= F.col("rest")).cast("long"))
+    sure = rows.where("not at_cut").withColumn("more", ((F.col("rest") > 0) & F.coalesce(F.col("drawn") < F.col("low"), F.lit(True))).cast("long"))
     out = sure.unionByName(edge).withColumn("copies", F.col("epochs") + F.col("more"))
     if carry:
-        return out.select("row.*", "copies")
+        return out.select("row", "copies")
     return out.select(F.col("id").alias(key), "size", F.col("source").alias(source), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken."""
+    """The mix itself: each row of docs as often as it is taken, with all its columns, whatever their names."""
     taken = mix(docs, carry=True, **settings).where("copies > 0")
-    return taken.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[c for c in taken.columns if c != "copies"])
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")).select("row.*")
 
 
 ORACLE = r"""

@@ -55,11 +55,22 @@ def test_smaller_keys_first_and_weights_count(spark):
     assert sum(r["copies"] for r in heavy if r["doc_id"] % 2 == 0) > 20 * max(1, sum(r["copies"] for r in heavy if r["doc_id"] % 2))
 
 
+def test_the_last_bin_is_small_whatever_the_weights(spark):
+    """Nine of ten rows weigh a fiftieth: evenly cut keys would put most of them in one bin."""
+    base = docs(spark, 3000).withColumn("source", F.lit("a"))
+    light = F.when(base["doc_id"] % 10 == 0, 1.0).otherwise(0.02)
+    rows = base.select(F.col("source"), mixing.n_words(F.col("text")).alias("size"), (-F.log(mixing.uniform(F.col("doc_id"))) / light).alias("drawn"))
+    for rest in (10.0, 20_000.0, 60_000.0):
+        cut = mixing._cut(rows, spark.createDataFrame([("a", rest)], "of string, rest double"), 64, 3).collect()
+        assert len(cut) == 1 and rows.where(F.col("drawn").between(cut[0]["low"], cut[0]["high"])).count() <= 6
+        assert cut[0]["before"] == (rows.where(F.col("drawn") < cut[0]["low"]).agg(F.sum("size")).first()[0] or 0) <= rest
+
+
 def test_mixed_repeats_rows(spark):
     d = docs(spark).withColumn("copies", F.lit("clash")).withColumn("size", F.lit("clash")).withColumn("bin", F.lit(1))
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix(d).collect()}
-    out = mixing.mixed(d.drop("copies"))
-    assert out.columns == [c for c in d.columns if c != "copies"]
+    out = mixing.mixed(d)
+    assert out.columns == d.columns
     got = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert got == {k: v for k, v in plan.items() if v}
 
