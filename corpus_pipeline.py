@@ -13,7 +13,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier does not call toxic. It learns from the labelled rows that op10 learns from."""
     labels = table(spark, sf_dir, "labels")
     labels = labels.where(F.coalesce(scoring.crc_remainder("doc_id", 4) != 2, F.lit(True)))
-    return toxicity.toxicity(docs, labels, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.accepted(docs, toxicity.fit(docs, labels))
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +32,12 @@ def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (packed little-endian 32-bit integers), their digest, and that of the decoded text."""
-    out = byte_pairs.encode_texts(docs, byte_pairs.share_vocabulary(spark, byte_pairs.vocabulary_path()), decoded="decoded", keep=["doc_id", "lang", "source"])
-    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """Token ids (packed little-endian 32-bit integers), their digest, and that of the decoded text, beside the other
+    columns of docs but text and n_chars. Columns that have the new ones' names are replaced."""
+    new = ("n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256")
+    kept = [c for c in docs.columns if c not in ("text", "n_chars", *new)]
+    out = byte_pairs.encode_texts(docs, byte_pairs.share_vocabulary(spark, byte_pairs.vocabulary_path()), decoded="decoded", keep=kept)
+    return out.select(*kept, "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

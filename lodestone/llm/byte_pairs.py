@@ -6,7 +6,7 @@ found by a scan, its inner boundary is deleted, and the ranks next to it are ref
 word's length, so words of more than ``SCAN_LIMIT`` bytes (rare: runs of punctuation, unbroken scripts) take the same
 merges from a heap over a linked list, which gives the same parts in n log n.
 
-Words repeat, so each Python worker keeps the ids of words it has met, up to ``CACHED_WORDS`` short ones.
+Words repeat, so each task keeps the ids of the short words it has met, in at most ``CACHED_BYTES``.
 """
 
 from __future__ import annotations
@@ -18,13 +18,16 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from lodestone.llm.textblocks import slices
+
 SCAN_LIMIT = 96
-CACHED_WORDS = 1_000_000
+#: Of words and their ids in a task, counting ENTRY_BYTES for the objects of each.
+CACHED_BYTES, ENTRY_BYTES = 24 << 20, 160
 #: The longest word, in characters, that is worth keeping.
 CACHED_CHARS = 48
 NO_PAIR = 1 << 30
@@ -116,7 +119,7 @@ class _Words(dict):
 
     def __init__(self, ranks: dict[bytes, int], ids: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.size = ranks, 0
         self.packed = {part: i.to_bytes(4, "little") for part, i in ids.items()}
 
     def __missing__(self, word: str) -> bytes:
@@ -124,8 +127,11 @@ class _Words(dict):
         bounds = (merged_by_scan if len(raw) <= SCAN_LIMIT else merged_by_heap)(raw, self.ranks)
         packed = b"".join([whole[raw[a:b]] for a, b in pairwise(bounds)])
         if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED_WORDS:
+            entry = ENTRY_BYTES + len(raw) + len(packed)
+            if self.size + entry > CACHED_BYTES:
                 self.clear()
+                self.size = 0
+            self.size += entry
             self[word] = packed
         return packed
 
@@ -172,18 +178,19 @@ def encode_texts(docs: DataFrame, vocabulary: Broadcast, text: str = "text", ids
     types = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{c}` {t}" for c, t in new.items()])
 
-    def encoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = BytePairs(vocabulary.value)
         for part in parts:
-            packed = [coder.encode(t or "") for t in part[text]]
-            out = part[kept].assign(n_tokens=[len(p) // 4 for p in packed])
-            if digest:
-                out["ids_sha256"] = [hashlib.sha256(p).hexdigest() for p in packed]
-                out["decoded_sha256"] = [hashlib.sha256(coder.decode(p).encode()).hexdigest() for p in packed]
-            else:
-                out[ids] = packed
-                if decoded:
-                    out[decoded] = [coder.decode(p) for p in packed]
-            yield out[[*kept, *new]]
-
-    return docs.select(*[docs[c] for c in read]).mapInPandas(encoded, schema)
+            for rows, texts in slices(part, text):
+                packed = [coder.encode(t) for t in texts]
+                out = [pa.array([len(p) // 4 for p in packed], pa.int64())]
+                if digest:
+                    out.append(pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()))
+                    out.append(pa.array([hashlib.sha256(coder.decode(p).encode()).hexdigest() for p in packed], pa.string()))
+                else:
+                    out.append(pa.array(packed, pa.binary()))
+                    if decoded:
+                        out.append(pa.array([coder.decode(p) for p in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *out], names=[*kept, *new])
+
+    return docs.select(*[docs[c] for c in read]).mapInArrow(encoded, schema)

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 18
+#: Bytes of text that are turned into strings at once.
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -69,21 +71,39 @@ class WordHasher:
         return Words(np.searchsorted(starts, offsets), hashes, lengths)
 
 
+def _large(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts with 64-bit offsets, nulls as empty, and those offsets."""
+    texts = (pc.fill_null(texts, "") if texts.null_count else texts).cast(pa.large_string())
+    return texts, np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+
+
+def _runs_of_rows(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    row, n = 0, len(offsets) - 1
+    while row < n:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
+        yield row, end
+        row = end
+
+
 def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows (from, to) of about BLOCK_BYTES of text, with their bytes and offsets. Null texts are empty."""
-    texts = batch.column(column)
-    texts = (pc.fill_null(texts, "") if texts.null_count else texts).cast(pa.large_string())
-    n = len(texts)
-    if not n:
+    if not batch.num_rows:
         return
-    _, where, raw = texts.buffers()
-    offsets = np.frombuffer(where, dtype=np.int64)[texts.offset : texts.offset + n + 1]
+    texts, offsets = _large(batch.column(column))
+    raw = texts.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
-    row = 0
-    while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, side="right")) - 1)
+    for row, end in _runs_of_rows(offsets, BLOCK_BYTES):
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
-        row = end
+
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Runs of rows of about SLICE_BYTES of text, with their texts as strings: only so much of a batch exists as Python
+    objects at a time. Null texts are empty."""
+    if not batch.num_rows:
+        return
+    texts, offsets = _large(batch.column(column))
+    for row, end in _runs_of_rows(offsets, SLICE_BYTES):
+        yield batch.slice(row, end - row), texts.slice(row, end - row).to_pylist()
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:

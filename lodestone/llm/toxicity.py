@@ -23,9 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.textblocks import slices
 from lodestone.session import staged
 
 #: Labelled rows that are used, at most.
@@ -40,7 +42,8 @@ LEAST_ROWS, LEAST_LIFT = 5, 6.0
 CORRELATED = 0.6
 TRUST = 0.95
 CUT = 0.3
-CACHED_WORDS = 500_000
+#: Words whose features a task remembers.
+CACHED_WORDS = 100_000
 #: Of how many hundred words one must have a feature, for its third level.
 DENSE = 100
 _WORD = re.compile(r"\w+")
@@ -239,23 +242,45 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return {"features": names, "weights": scale * w, "bias": float(scale * b + shift), "posterior": posterior, "rates": rates, "together": together, "truth": truth, "voters": voters}
 
 
+def _scores(model: dict, spark):
+    """A function from texts to scores, for tasks; the model is broadcast."""
+    shared = spark.sparkContext.broadcast((model["features"], model["weights"], model["bias"]))
+
+    def made():
+        features, weights, bias = shared.value
+        finder = Finder(features)
+        return lambda texts: 1 / (1 + np.exp(-np.clip(np.array([weights[finder.find(t)].sum() + bias for t in texts]), -40, 40)))
+
+    return made
+
+
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """key (or the columns ``keep``), score (0 to 1) and predicted (1 from CUT on) for every row. Null and empty texts
     have no features: their score is that of the bias. Columns named score or predicted are replaced."""
     kept = [c for c in (keep or [key]) if c not in ("score", "predicted")]
-    types = dict(docs.dtypes)
-    shared = docs.sparkSession.sparkContext.broadcast((model["features"], model["weights"], model["bias"]))
-    read = list(dict.fromkeys([*kept, text]))
+    types, made = dict(docs.dtypes), _scores(model, docs.sparkSession)
 
-    def apply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features, weights, bias = shared.value
-        finder = Finder(features)
+    def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores_of = made()
+        for part in parts:
+            for rows, texts in slices(part, text):
+                scores = scores_of(texts)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(scores), pa.array(scores >= CUT).cast(pa.int32())], names=[*kept, "score", "predicted"])
+
+    return docs.select(*[docs[c] for c in dict.fromkeys([*kept, text])]).mapInArrow(apply, ", ".join([f"`{c}` {types[c]}" for c in kept] + ["score double", "predicted int"]))
+
+
+def accepted(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """The rows of docs whose score is below CUT, with all their columns as they are, whatever the names."""
+    made = _scores(model, docs.sparkSession)
+
+    def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores_of = made()
         for part in parts:
-            z = [weights[finder.find(t)].sum() + bias for t in part[text]]
-            scores = 1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))
-            yield part[kept].assign(score=scores, predicted=(scores >= CUT).astype("int32"))
+            for rows, texts in slices(part, text):
+                yield rows.filter(pa.array(scores_of(texts) < CUT))
 
-    return docs.select(*[docs[c] for c in read]).mapInPandas(apply, ", ".join([f"`{c}` {types[c]}" for c in kept] + ["score double", "predicted int"]))
+    return docs.mapInArrow(apply, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ def test_heap_equals_scan(coder):
 
 
 def test_cache_is_bounded(coder, monkeypatch):
-    monkeypatch.setattr(B, "CACHED_WORDS", 3)
+    monkeypatch.setattr(B, "CACHED_BYTES", 600)
     small = B.BytePairs(B.read_vocabulary(PATH))
     small.encode("one two three four five six seven")
     assert len(small.words) <= 3
