@@ -1,22 +1,26 @@
 """Personal data in texts, and terms that reveal it.
 
-Base detectors find e-mail addresses, IPv4 addresses, card and phone numbers. Every distinct value found is a protected
-entity. The corpus then tells how strongly a term reveals an entity: their pointwise mutual information over contexts,
-as a share of the information content of the entity,
+Base detectors find e-mail addresses, IPv4 addresses, card and phone numbers. Beside these four kinds, runs of characters
+that carry too much information for words (keys, tokens) are secrets. Every distinct value found is a protected entity,
+and so is each kind as such: that a text holds an address at all. The corpus then tells how strongly a term reveals an
+entity: their pointwise mutual information over contexts, as a share of the information content of the entity,
 
     disclosure(t, e) = log(n(t, e) N / (n(t) n(e))) / log(N / n(e)),
 
 is 1 where the term occurs only with the entity. Copies of one document are no evidence that its words belong together,
 so all counts, N too, are of contexts: documents with one and the same set of words are one context. Documents that
-differ in a word are two. Terms at or above a threshold, seen with the entity in at least ``MIN_JOINT`` contexts, get
-spans of their own in the documents of that entity. Sanitised texts have base values
-replaced by their kind, revealing terms generalised to a class, and terms that reveal (almost) all removed.
+differ in a word are two. Terms at or above a threshold, seen with the entity in at least ``MIN_JOINT`` contexts
+(``MIN_KIND`` for a kind: many terms meet one of many values by chance), get spans of their own in the documents of that
+entity. Sanitised texts have values replaced by their kind, revealing terms generalised to a class, and terms that reveal
+(almost) all removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textblocks import WordHasher, blocks, mix
+from lodestone.llm.textblocks import WordHasher, blocks, mix, slices
 from lodestone.session import staged
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+N_BASE = 4
 THRESHOLD = 0.8
 #: From here on a term is removed, not generalised.
 REMOVED = 0.98
-MIN_JOINT = 2
+MIN_JOINT, MIN_KIND = 2, 5
+#: Bits a character, and digits and letters at least, of a secret.
+SECRET_BITS, SECRET_MIXED = 3.0, 4
 GATHERED = 1 << 21
 #: Contexts that a task remembers to drop copies before a shuffle.
 REMEMBERED = 1 << 19
@@ -45,6 +52,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,128}(?![A-Za-z0-9+/_-])")
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -87,6 +95,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secrets(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Runs of 24 to 128 letters, digits and ``+/_-`` that mix digits and letters and whose characters have an entropy of
+    SECRET_BITS; those that overlap a span of ``taken`` are part of it."""
+    out = []
+    for m in _KEY.finditer(text):
+        run = m.group()
+        digits, letters = sum(c.isdigit() for c in run), sum(c.isalpha() for c in run)
+        if min(digits, letters) >= SECRET_MIXED and -sum(n / len(run) * math.log2(n / len(run)) for n in Counter(run).values()) >= SECRET_BITS and not any(a < m.end() and m.start() < b for _, a, b in taken):
+            out.append(("secret", m.start(), m.end()))
+    return out
+
+
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -95,17 +115,27 @@ _CONTEXT = np.uint64(0x2545F4914F6CDD1D)
 _SPAN = "array<struct<kind:string,start:long,end:long>>"
 
 
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def find_base(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, spans, text, entities) per row; text and entities (kind and value, distinct) are null where nothing was found."""
+    """(id, spans, text, entities, digest) per row. text and entities (kind and value, distinct) are null where nothing
+    was found, digest (of the text) where something was."""
     kind = dict(docs.dtypes)[key]
+    shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            spans = [base_spans(t or "") for t in part["text"]]
-            entities = [sorted({f"{k}:{t[a:b].lower()}" for k, a, b in s}) if s else None for s, t in zip(spans, part["text"])]
-            yield pd.DataFrame({"id": part["id"], "spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], "text": [t if s else None for s, t in zip(spans, part["text"])], "entities": entities})
+            for rows, texts in slices(part, "text"):
+                spans = [base + secrets(t, base) for t in texts for base in (base_spans(t),)]
+                entities = [sorted({f"{k}:{t[a:b].lower()}" for k, a, b in s}) if s else None for s, t in zip(spans, texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("id"), pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], shape), pa.array([t if s else None for s, t in zip(spans, texts)], pa.string()), pa.array(entities, pa.list_(pa.string())), pa.array([None if s else _sha256(t) for s, t in zip(spans, texts)], pa.string())],
+                    names=["id", "spans", "text", "entities", "digest"],
+                )
 
-    return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInPandas(find, f"id {kind}, spans {_SPAN}, text string, entities array<string>")
+    return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(find, f"id {kind}, spans {_SPAN}, text string, entities array<string>, digest string")
 
 
 def _context(terms: np.ndarray) -> np.uint64:
@@ -186,7 +216,7 @@ def _context_counts(docs: DataFrame, text: str, contexts: DataFrame) -> DataFram
 
 
 def _terms(found: DataFrame) -> DataFrame:
-    """(row, entity, context, term) for the rows of found, which have one entity each; term: hashes of distinct words."""
+    """(row, context, terms) for the rows of found, each text read once; terms: hashes of its distinct words."""
 
     def terms(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -194,47 +224,57 @@ def _terms(found: DataFrame) -> DataFrame:
             for a, b, data, offsets in blocks(part, "text"):
                 words = hasher.words(data, offsets)
                 each = [np.unique(words.hashes[x:y]) for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
-                sizes = [len(e) for e in each]
-                rows = pa.array(np.repeat(np.arange(a, b), sizes))
-                contexts = np.repeat(np.array([_context(e) for e in each], dtype=np.uint64), sizes)
-                yield pa.RecordBatch.from_arrays([part.column("row").take(rows), part.column("entity").take(rows), pa.array(contexts.view(np.int64)), pa.array(np.concatenate(each).view(np.int64))], names=["row", "entity", "context", "term"])
-
-    return found.mapInArrow(terms, "row long, entity long, context long, term long")
-
-
-def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text", threshold: float = THRESHOLD, min_joint: int = MIN_JOINT) -> DataFrame:
-    """(row, terms): for each row of found with a protected entity, the terms that reveal it, as a map from the term's
-    hash to its highest disclosure. found: rows of find_base, numbered by ``row`` and staged. Counts are over the contexts
-    of all documents."""
-    held = found.where("entities is not null").select("row", "text", F.explode("entities").alias("entity")).withColumn("entity", F.xxhash64("entity"))
-    often = held.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= min_joint)
-    met = staged(_terms(held.join(often, "entity").select("row", "text", "entity")), "met")
-    entities = met.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_joint)
-    joint = met.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_joint")).where(F.col("n_joint") >= min_joint)
+                contexts = np.array([_context(e) for e in each], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column("row").slice(a, b - a), pa.array(contexts.view(np.int64)), pa.array([e.view(np.int64) for e in each], pa.list_(pa.int64()))], names=["row", "context", "terms"])
+
+    return found.mapInArrow(terms, "row long, context long, terms array<long>")
+
+
+def disclosures(docs: DataFrame, found: DataFrame, met: DataFrame, text: str = "text", threshold: float = THRESHOLD, min_joint: int = MIN_JOINT, min_kind: int = MIN_KIND) -> tuple[DataFrame, DataFrame]:
+    """(row, entity) of all rows of found, and (entity, term, disclosure) of the terms that reveal an entity. Entities are
+    hashes of 'kind:value', and of 'kind' for the kind as such. Counts are over the contexts of all documents."""
+    values = F.transform("entities", lambda e: F.struct(F.xxhash64(e).alias("entity"), F.lit(min_joint).alias("least")))
+    kinds = F.transform(F.array_distinct(F.transform("entities", lambda e: F.substring_index(e, ":", 1))), lambda k: F.struct(F.xxhash64(k).alias("entity"), F.lit(min_kind).alias("least")))
+    held = found.where("entities is not null").select("row", F.explode(F.concat(values, kinds)).alias("e")).select("row", "e.*")
+    seen = held.join(met.select("row", "context"), "row").select("entity", "least", "context").distinct()
+    entities = staged(seen.groupBy("entity", "least").agg(F.count("*").alias("n_entity")).where("n_entity >= least"), "entities")
+    # a context's terms are those of any of its rows
+    once = met.groupBy("context").agg(F.min("row").alias("row")).join(met.select("row", "terms"), "row").select("context", "terms")
+    pairs = seen.join(entities.select("entity"), "entity").join(once, "context").select("entity", "least", F.explode("terms").alias("term"))
+    joint = pairs.groupBy("entity", "least", "term").agg(F.count("*").alias("n_joint")).where("n_joint >= least").drop("least")
     contexts = staged(_contexts(docs, text, False).groupBy("context").agg(F.sum("copies").alias("copies")), "contexts")
     n = contexts.count()
-    known = joint.join(entities, "entity").join(_context_counts(docs, text, contexts), "term")
+    known = joint.join(entities.drop("least"), "entity").join(_context_counts(docs, text, contexts), "term")
     total = F.lit(float(n))
     shown = F.when(F.col("n_entity") < n, F.log(F.col("n_joint") * total / (F.col("n_term") * F.col("n_entity"))) / F.log(total / F.col("n_entity"))).otherwise(0.0)
-    strong = staged(known.select("entity", "term", shown.alias("disclosure")).where(F.col("disclosure") >= threshold), "strong")
-    marks = met.join(strong, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
-    return marks.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
+    strong = known.select("entity", "term", shown.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    return held.select("row", "entity"), staged(strong, "strong")
+
+
+def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """(row, terms): for each row of found with a protected entity, the terms of its text that reveal it or its kind, as a
+    map from the term's hash to its highest disclosure. found: rows of find_base, numbered by ``row`` and staged."""
+    met = staged(_terms(found.where("entities is not null").select("row", "text")), "met")
+    held, strong = disclosures(docs, found, met, text, **settings)
+    marks = met.select("row", F.explode("terms").alias("term")).join(strong, "term").join(held, ["row", "entity"])
+    best = marks.groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    return best.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
 
 
-def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, min_joint: int = MIN_JOINT) -> DataFrame:
-    """Per row of docs: id, n_base, spans (base ones, then terms that overlap none of them, with their disclosure), and
-    text, which is null where nothing was found.
+def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """Per row of docs: id, n_base, spans (base ones, secrets, then terms that overlap none of them, with their
+    disclosure), and text, which is null where nothing was found; digest is that of the text there.
 
     Null and empty texts have no spans. Repeated rows count, and are reported, as often as they occur. Keys may
     be null or repeated: each row is marked by its own text. Other columns are not read."""
     found = staged(find_base(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "found")
     kind = dict(found.dtypes)["id"]
-    marked = found.join(revealing_terms(docs, found, text, threshold, min_joint), "row", "left")
+    marked = found.join(revealing_terms(docs, found, text, **settings), "row", "left")
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
         for part in parts:
-            out = []
+            out, n_base = [], []
             for spans, t, terms in zip(part["spans"], part["text"], part["terms"]):
                 base = [(s["kind"], int(s["start"]), int(s["end"]), None) for s in spans]
                 extra = []
@@ -243,17 +283,18 @@ def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", threshol
                     at = [(m.start(), m.end()) for m in _WORD.finditer(t)]
                     raw = np.frombuffer(t.encode(), dtype=np.uint8)
                     hashes = hasher.words(raw, np.array([0, len(raw)])).hashes.view(np.int64).tolist()
-                    taken = sorted((a, b) for _, a, b, _ in base)
-                    k = 0
+                    taken, k, reach = sorted((a, b) for _, a, b, _ in base), 0, 0
                     for (a, b), h in zip(at, hashes):
-                        while k < len(taken) and taken[k][1] <= a:
+                        while k < len(taken) and taken[k][0] < b:  # reach: the furthest end of spans that begin before b
+                            reach = max(reach, taken[k][1])
                             k += 1
-                        if h in shown and not any(x < b and a < y for x, y in taken[k : k + 8]):
+                        if h in shown and reach <= a:
                             extra.append(("term", a, b, shown[h]))
                 out.append([{"kind": k_, "start": a, "end": b, "disclosure": d} for k_, a, b, d in base + extra])
-            yield pd.DataFrame({"id": part["id"], "n_base": [len(s) for s in part["spans"]], "spans": out, "text": part["text"]})
+                n_base.append(sum(k_ in KINDS[:N_BASE] for k_, _, _, _ in base))
+            yield pd.DataFrame({"id": part["id"], "n_base": n_base, "spans": out, "text": part["text"], "digest": part["digest"]})
 
-    return marked.select("id", "spans", "text", "terms").mapInPandas(place, f"id {kind}, n_base long, spans array<struct<kind:string,start:long,end:long,disclosure:double>>, text string")
+    return marked.select("id", "spans", "text", "terms", "digest").mapInPandas(place, f"id {kind}, n_base long, spans array<struct<kind:string,start:long,end:long,disclosure:double>>, text string, digest string")
 
 
 def sanitised_text(text: str, spans: list) -> str:
@@ -291,17 +332,20 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **setting
 
 
 def span_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """Per row: counts of each base kind, a digest of base spans, and all spans as one string."""
+    """Per row: counts of each kind, of terms and of all spans, a digest of base spans, all spans as one string, and the
+    digest of the sanitised text (null: empty)."""
     marked = all_spans(docs, key, text, **settings)
     kind = dict(docs.dtypes)[key]
+    names = ["id", *(f"n_{k}" for k in KINDS), "n_spans", "base_sha256", "spans", "sanitised_sha256"]
 
     def digest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for k, spans in zip(part["id"], part["spans"]):
+            for k, spans, t, plain in zip(part["id"], part["spans"], part["text"], part["digest"]):
                 each = sorted(((s["kind"], int(s["start"]), int(s["end"])) for s in spans), key=lambda s: (KINDS.index(s[0]), s[1]))
-                base = [s for s in each if s[0] != "term"]
-                rows.append((k, *[sum(s[0] == x for s in base) for x in KINDS[:4]], len(each) - len(base), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(each)))
-            yield pd.DataFrame(rows, columns=["id", "n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans"])
+                base = [s for s in each if s[0] in KINDS[:N_BASE]]
+                rows.append((k, *[sum(s[0] == x for s in each) for x in KINDS], len(each), _sha256(_joined(base)), _joined(each), plain or _sha256(sanitised_text(t, spans))))
+            yield pd.DataFrame(rows, columns=names)
 
-    return marked.select("id", "spans").mapInPandas(digest, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, n_term long, base_sha256 string, spans string").withColumnRenamed("id", key)
+    counts = ", ".join(f"n_{k} long" for k in KINDS)
+    return marked.select("id", "spans", "text", "digest").mapInPandas(digest, f"id {kind}, {counts}, n_spans long, base_sha256 string, spans string, sanitised_sha256 string").withColumnRenamed("id", key)

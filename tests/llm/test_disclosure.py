@@ -1,9 +1,13 @@
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
+
 from helpers import empty, odd, prose
 from lodestone.llm import disclosure as D
+from lodestone.llm.textblocks import WordHasher
 from pyspark.sql import functions as F
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -88,6 +92,59 @@ def test_alike_documents_are_contexts_of_their_own(spark):
     assert all(r["n_term"] >= 1 for r in got)
 
 
+def secret(i):
+    return hashlib.sha1(str(i).encode()).hexdigest()
+
+
+def hashed(word):
+    raw = np.frombuffer(word.encode(), dtype=np.uint8)
+    return int(WordHasher().words(raw, np.array([0, len(raw)])).hashes.view(np.int64)[0])
+
+
+def test_disclosures_equal_brute_force(spark):
+    """Every pair of an entity (a value, or a kind as such) and a term, counted over sets of words in plain Python."""
+    r = random.Random(8)
+    texts = [f"{prose(i, 30)} token = {secret(i % 9)} {prose(70 + i, 9)}" for i in range(14)]
+    texts += [f"{prose(i, 30)} {r.choice(['heron', 'plover', 'the'])} w{i % 3}@b.org 10.0.0.{i % 4} {r.choice(['heron', 'the'])}" for i in range(14, 40)]
+    texts += [f"the {prose(200 + i, 40)} {'token' if i < 2 else ''}" for i in range(150)]
+    texts += texts[:20] + [" ".join(reversed(t.split())) for t in texts[14:20]] + [None, ""]
+    contexts = {}
+    for t in texts:
+        spans = D.base_spans(t or "") + D.secrets(t or "", [])
+        contexts.setdefault(frozenset((t or "").lower().split()), set()).update({f"{k}:{t[a:b].lower()}" for k, a, b in spans} | {k for k, _, _ in spans})
+    want = {}
+    for e in set().union(*contexts.values()):
+        least, having = (D.MIN_JOINT if ":" in e else D.MIN_KIND), [w for w, es in contexts.items() if e in es]
+        for t in set().union(*having):
+            joint, n_term = sum(t in w for w in having), sum(t in w for w in contexts)
+            d = math.log(joint * len(contexts) / (n_term * len(having))) / math.log(len(contexts) / len(having))
+            if joint >= least and d >= D.THRESHOLD:
+                want[hashed(t), e] = d
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = D.staged(D.find_base(docs).withColumn("row", F.monotonically_increasing_id()), "found")
+    met = D.staged(D._terms(found.where("entities is not null").select("row", "text")), "met")
+    names = spark.createDataFrame([(e,) for e in set().union(*contexts.values())], "name string").withColumn("entity", F.xxhash64("name"))
+    _, strong = D.disclosures(docs, found, met)
+    got = {(x["term"], x["name"]): x["disclosure"] for x in strong.join(names, "entity").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert (hashed("="), "secret") in got and (hashed("heron"), "ip") in got and (hashed("token"), "secret") in got
+
+
+def test_words_that_introduce_secrets_are_marked(spark):
+    docs = spark.createDataFrame([(i, f'{prose(i, 30)} token = "{secret(i)}" {prose(90 + i, 5)}') for i in range(8)] + [(100 + i, prose(300 + i, 40)) for i in range(100)], "doc_id long, text string")
+    for r in D.span_digests(docs).collect():
+        assert (r["n_secret"], r["n_term"]) == ((1, 2) if r["doc_id"] < 100 else (0, 0))
+    for r in D.sanitise(docs).where("doc_id < 100").collect():
+        assert '"<SECRET>"' in r["text"] and "token" not in r["text"] and "=" not in r["text"]
+
+
+def test_the_sanitised_text_has_its_digest(spark):
+    docs = revealing(spark).unionByName(spark.createDataFrame([(900, None), (901, "")], "doc_id long, text string"))
+    clean = {r["doc_id"]: r["text"] for r in D.sanitise(docs).collect()}
+    for r in D.span_digests(docs).collect():
+        assert r["sanitised_sha256"] == hashlib.sha256((clean[r["doc_id"]] or "").encode()).hexdigest()
+
+
 def test_digests(spark):
     docs = revealing(spark)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
