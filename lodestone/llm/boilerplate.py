@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lodestone.session import staged
 
 RATIO, LEAST_PAGES = 0.01, 5
+#: A host's lines are dealt by hash to so many short lists, of which a look-up scans one.
+SLOTS = 128
 #: White space that does not tell lines apart, at either end.
 EDGES = " \t\r\x0b\f"
 
@@ -20,15 +22,26 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(EDGES))
 
 
+def _slot(line: Column) -> Column:
+    return F.pmod(line, F.lit(SLOTS)).cast("int")
+
+
+def _listed(line: Column) -> Column:
+    mark = F.xxhash64(line)
+    return F.array_contains(F.get("_lodestone_bad", _slot(mark)), mark)
+
+
 def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, bad): for each host, hashes of its boilerplate lines. A page with k lines can raise k lines towards the
-    ratio, so a host has at most (lines per page) / ratio of them, whatever its size."""
-    pages = docs.select(docs[host].alias("host"), F.xxhash64(docs[text]).alias("page"), F.split(docs[text], "\n").alias("lines"))
+    """(host, bad): for each host, hashes of its boilerplate lines, in SLOTS lists. A page with k lines can raise k lines
+    towards the ratio, so a host has at most (lines per page) / ratio of them, whatever its size. Null texts are no pages."""
+    pages = docs.where(docs[text].isNotNull()).select(docs[host].alias("host"), F.xxhash64(docs[text]).alias("page"), F.split(docs[text], "\n").alias("lines"))
     each = pages.select("host", "page", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: _trimmed(x) != ""), lambda x: F.xxhash64(_trimmed(x))))).alias("line"))
     seen = each.groupBy("host", "line", "page").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
     total = pages.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("total"))
     bad = seen.join(total, F.expr("host <=> of")).where(F.col("pages") > ratio * F.col("total"))
-    return bad.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("bad"))
+    dealt = bad.groupBy("host", _slot(F.col("line")).alias("slot")).agg(F.collect_set("line").alias("lines"))
+    found = dealt.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", "lines"))).alias("slots"))
+    return found.select("host", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.try_element_at("slots", i), F.array().cast("array<bigint>"))).alias("bad"))
 
 
 def drop_boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: bool = False) -> DataFrame:
@@ -43,7 +56,7 @@ def drop_boilerplate(docs: DataFrame, text: str = "text", host: str = "source",
     # the planner knows the size of what was staged: a small list is broadcast, a large one joined by shuffles
     joined = docs.join(bad, docs[host].eqNullSafe(bad["_lodestone_host"]), "left")
     lines = F.split(docs[text], "\n")
-    kept = F.filter(lines, lambda x: (_trimmed(x) == "") | ~F.array_contains("_lodestone_bad", F.xxhash64(_trimmed(x))))
+    kept = F.filter(lines, lambda x: (_trimmed(x) == "") | ~_listed(_trimmed(x)))
     clean = F.when(F.col("_lodestone_bad").isNull(), docs[text]).otherwise(F.array_join(kept, "\n"))
     out = [clean.alias(c) if c == text else docs[c] for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     if counts:

@@ -19,7 +19,7 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", url_lists.fetched_at(F.col("page_id")).alias("fetched_at"))
-    return url_lists.judge(pages, url_lists.listed(spark))
+    return url_lists.judge(pages, url_lists.listed(spark).unionByName(url_lists.drawn_list(pages)))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,18 @@ def test_query_equals_oracle(spark):
 
     sf = "/root/testdata/sf0.001"
     assert_same(catalogue.op2_url_lists(spark, sf), views(sf), U.ORACLE)
+
+
+def test_odd_urls_equal_the_oracle(spark, tmp_path):
+    """IPv6 hosts, ports, users, URLs without a host, nulls and repeats, with entries of every kind on the list."""
+    from lodestone.llm import catalogue
+
+    hosts = [f"{a}{i}.{b}" for i in range(40) for a in ("", "www.") for b in ("example.com", "example.org")] + [f"[2001:db8::{i:x}]" for i in range(60)] + ["[::1]:8080", "u:p@Host.Example.com.", "10.0.0.7", "localhost"]
+    urls = [f"http://{h}{t}" for h in hosts for t in ("", "/", "/x", "/x/", "/x/z.html?q=/x/", "/é/ü#top")]
+    urls += ["nonsense", "http://", "http:///x", "http://[::1", "//a.b/c", "", None, None, urls[3], urls[3]]
+    rows = [(379 * i, u) for i, u in enumerate(urls)] + [(3 * 379, urls[3]), (None, urls[0]), (None, None)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.op2_url_lists(spark, str(tmp_path))
+    assert_same(got, views(str(tmp_path)), U.ORACLE)
+    found = {(r["category"], str(r["pattern"]).startswith("[")) for r in got.where("not kept").collect()}
+    assert {("top", False), ("page", False), ("directory", False), ("host", False), ("host", True)} <= found
