@@ -40,15 +40,15 @@ ORDER = 3
 BASE = 1.5
 BITS_PER_ITEM = 8
 #: Every Python worker of an executor holds a copy.
-MAX_BROADCAST = 256 << 20
+MAX_BROADCAST = 384 << 20
 #: The driver gathers and passes on about so much at once.
-PIECE = 16 << 20
+PIECE = 8 << 20
 #: Characters of text whose n-grams fall in a bucket, about.
-BUCKET_CHARS = 2_000_000
+BUCKET_CHARS = 1_000_000
 #: Hashes that a task gathers before it counts them.
 GATHERED = 1 << 21
-#: Tokens of the texts that are probed together where the model is not broadcast.
-CHUNK_TOKENS = 1 << 19
+#: Tokens of the texts that are probed together: their distinct hashes, in order.
+CHUNK_TOKENS = 1 << 17
 _FOLLOWER_BITS = np.uint64(24)
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP, _FOLLOWERS = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -259,11 +259,29 @@ class Piece:
         return self._probe(keys, segments, 1), self._probe((keys >> _FOLLOWER_BITS << _FOLLOWER_BITS) ^ _FOLLOWERS, segments, 2)
 
 
-def _by_piece(keys: np.ndarray, cuts: np.ndarray, n_buckets: int) -> list[tuple[int, np.ndarray]]:
-    """(piece, places of the keys whose buckets it has); cuts: the first bucket of each piece."""
-    of = np.searchsorted(cuts, _buckets(keys, n_buckets), side="right") - 1
-    order = np.argsort(of, kind="stable")
-    return [(p, order[x:y]) for p, x, y in _runs(of[order])]
+def _by_piece(keys: np.ndarray, cuts: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
+    """(piece, from, to) of sorted keys; cuts: the first bucket of each piece."""
+    return _runs(np.searchsorted(cuts, _buckets(keys, n_buckets), side="right") - 1)
+
+
+def _chunks(parts: Iterator[pa.RecordBatch], order: int) -> Iterator[list[tuple[pa.RecordBatch, Tokens]]]:
+    """Blocks of texts of about CHUNK_TOKENS tokens together."""
+    hasher, held, size = WordHasher(), [], 0
+    for part in parts:
+        for a, b, data, offsets in blocks(part, "text"):
+            held.append((part.slice(a, b - a), Tokens(hasher.words(data, offsets), order)))
+            size += len(held[-1][1].token)
+            if size >= CHUNK_TOKENS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _distinct(chunk: list[tuple[pa.RecordBatch, Tokens]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of unigrams and keys of longer n-grams."""
+    longer = [k for _, t in chunk for k in t.keys]
+    return np.unique(np.concatenate([t.token for _, t in chunk])), np.unique(np.concatenate(longer)) if longer else np.zeros(0, dtype=np.uint64)
 
 
 def token_scores(tokens: Tokens, counts: np.ndarray, found: np.ndarray, n: int, v: int, texts: int, base: float) -> tuple[np.ndarray, np.ndarray]:
@@ -287,13 +305,16 @@ def token_scores(tokens: Tokens, counts: np.ndarray, found: np.ndarray, n: int,
 _RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(keys: pa.Array, tokens: Tokens, counts: np.ndarray, found: np.ndarray, known: tuple[int, int, int], base: float) -> pa.RecordBatch:
-    """Sums over each text. known: tokens, distinct tokens and texts of the training part."""
+def _scored(keys: pa.Array, tokens: Tokens, ones: np.ndarray, counts: np.ndarray, twos: np.ndarray, levels: np.ndarray, known: tuple[int, int, int], base: float) -> pa.RecordBatch:
+    """Sums over each text. ones, counts: unigrams; twos, levels: longer n-grams, with the levels of each and of its
+    context's followers. known: tokens, distinct tokens and texts of the training part."""
     n, v, texts = known
-    plain, full = token_scores(tokens, counts, found, n, v, texts, base)
+    seen = counts[np.searchsorted(ones, tokens.token)]
+    found = [levels[:, np.searchsorted(twos, k)] for k in tokens.keys]
+    plain, full = token_scores(tokens, seen, np.concatenate(found) if found else np.zeros((0, len(seen)), dtype=np.uint8), n, v, texts, base)
     sums = lambda x: np.add.reduceat(x, tokens.first[:-1])  # noqa: E731  every text has an end
     return pa.RecordBatch.from_arrays(
-        [keys, pa.array(np.diff(tokens.first), pa.int64()), pa.array(sums((counts > 0).astype(np.int64)), pa.int64()), pa.array([n] * len(keys), pa.int64()), pa.array(sums(plain)), pa.array(sums(full))],
+        [keys, pa.array(np.diff(tokens.first), pa.int64()), pa.array(sums((seen > 0).astype(np.int64)), pa.int64()), pa.array([n] * len(keys), pa.int64()), pa.array(sums(plain)), pa.array(sums(full))],
         names=["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     )
 
@@ -309,17 +330,16 @@ def _scored_in_place(todo: DataFrame, model: DataFrame, kind: str, order: int, b
         del rows
 
     def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, pieces = WordHasher(), [p.value for p in shared]
-        for part in parts:
-            for a, b, data, offsets in blocks(part, "text"):
-                tokens = Tokens(hasher.words(data, offsets), order)
-                counts, found = np.zeros(len(tokens.token), dtype=np.int64), np.zeros((2 * (order - 1), len(tokens.token)), dtype=np.uint8)
-                for p, at in _by_piece(tokens.token, cuts, n_buckets):
-                    counts[at] = pieces[p].unigrams(tokens.token[at])
-                for k, keys in enumerate(tokens.keys):
-                    for p, at in _by_piece(keys, cuts, n_buckets):
-                        found[2 * k, at], found[2 * k + 1, at] = pieces[p].levels(keys[at])
-                yield _scored(part.column("key").slice(a, b - a), tokens, counts, found, known, base)
+        pieces = [p.value for p in shared]
+        for chunk in _chunks(parts, order):
+            ones, twos = _distinct(chunk)
+            counts, levels = np.zeros(len(ones), dtype=np.int64), np.zeros((2, len(twos)), dtype=np.uint8)
+            for p, x, y in _by_piece(ones, cuts, n_buckets):
+                counts[x:y] = pieces[p].unigrams(ones[x:y])
+            for p, x, y in _by_piece(twos, cuts, n_buckets):
+                levels[:, x:y] = pieces[p].levels(twos[x:y])
+            for batch, tokens in chunk:
+                yield _scored(batch.column("key"), tokens, ones, counts, twos, levels, known, base)
 
     try:
         return staged(todo.mapInArrow(apply, f"key {kind}, {_RESULT}"), "scores")
@@ -335,30 +355,13 @@ def _scored_by_shuffles(todo: DataFrame, model: DataFrame, kind: str, order: int
     piece = F.floor((F.col("bucket").cast("long") * n_pieces + n_pieces - 1) / n_buckets).cast("int")
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = WordHasher(), [], 0
-
-        def rows(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(found, schema=shape)
-
-        def give() -> Iterator[pa.RecordBatch]:
+        for held in _chunks(parts, order):
+            shape = pa.schema([("chunk", pa.string()), ("piece", pa.int32()), ("keys", pa.list_(held[0][0].schema.field("key").type)), ("texts", pa.list_(pa.string())), ("ones", pa.binary()), ("twos", pa.binary())])
             chunk = uuid.uuid4().hex
-            yield rows([{"chunk": chunk, "piece": -1, "keys": [k for b, _ in held for k in b.column("key").to_pylist()], "texts": [t for b, _ in held for t in b.column("text").to_pylist()]}])
-            ones, twos = np.unique(np.concatenate([t.token for _, t in held])), np.unique(np.concatenate([k for _, t in held for k in t.keys]))
-            of_ones, of_twos = ({p: packed(x[at]) + len(at).to_bytes(4, "little") for p, at in _by_piece(x, cuts, n_buckets)} for x in (ones, twos))
-            for p in sorted(of_ones.keys() | of_twos.keys()):
-                yield rows([{"chunk": chunk, "piece": p, "ones": of_ones.get(p), "twos": of_twos.get(p)}])
-            held.clear()
-
-        for part in parts:
-            shape = pa.schema([("chunk", pa.string()), ("piece", pa.int32()), ("keys", pa.list_(part.schema.field("key").type)), ("texts", pa.list_(pa.string())), ("ones", pa.binary()), ("twos", pa.binary())])
-            for a, b, data, offsets in blocks(part, "text"):
-                held.append((part.slice(a, b - a), Tokens(hasher.words(data, offsets), order)))
-                size += len(held[-1][1].token)
-                if size >= CHUNK_TOKENS:
-                    yield from give()
-                    size = 0
-        if held:
-            yield from give()
+            rows = [{"chunk": chunk, "piece": -1, "keys": [k for b, _ in held for k in b.column("key").to_pylist()], "texts": [t for b, _ in held for t in b.column("text").to_pylist()]}]
+            of_ones, of_twos = ({p: packed(x[i:j]) + (j - i).to_bytes(4, "little") for p, i, j in _by_piece(x, cuts, n_buckets)} for x in _distinct(held))
+            rows += [{"chunk": chunk, "piece": p, "ones": of_ones.get(p), "twos": of_twos.get(p)} for p in sorted(of_ones.keys() | of_twos.keys())]
+            yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
     chunks = staged(todo.mapInArrow(cut, f"chunk string, piece int, keys array<{kind}>, texts array<string>, ones binary, twos binary"), "chunks")
     tables = model.select(piece.alias("piece"), F.lit("").alias("chunk"), "kind", "bucket", "a", "b")
@@ -393,7 +396,7 @@ def _scored_by_shuffles(todo: DataFrame, model: DataFrame, kind: str, order: int
     whole = whole.repartition("chunk").sortWithinPartitions("chunk", "piece")
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held = WordHasher(), None
+        held = None
 
         def give() -> Iterator[pa.RecordBatch]:
             keys, texts, kinds, answers = held
@@ -401,10 +404,9 @@ def _scored_by_shuffles(todo: DataFrame, model: DataFrame, kind: str, order: int
             twos, levels = np.concatenate([x[2] for x in answers]), np.concatenate([x[3] for x in answers], axis=1)
             # pieces are runs of buckets and so of keys: what comes back in order of pieces is sorted
             batch = pa.RecordBatch.from_arrays([pa.array(keys, kinds), pa.array(texts, pa.string())], names=["key", "text"])
-            for a, b, data, offsets in blocks(batch, "text"):
-                tokens = Tokens(hasher.words(data, offsets), order)
-                found = np.concatenate([levels[:, np.searchsorted(twos, k)] for k in tokens.keys]) if tokens.keys else np.zeros((0, len(tokens.token)), dtype=np.uint8)
-                yield _scored(batch.column("key").slice(a, b - a), tokens, counts[np.searchsorted(ones, tokens.token)], found, known, base)
+            for chunk in _chunks(iter([batch]), order):
+                for part, tokens in chunk:
+                    yield _scored(part.column("key"), tokens, ones, counts, twos, levels, known, base)
 
         for part in parts:
             kinds = part.schema.field("keys").type.value_type
