@@ -90,10 +90,14 @@ def middle_distance(points: Column, a: tuple[int, int], b: tuple[int, int]) -> C
     return F.sqrt((mid(a, "x") - mid(b, "x")) ** 2 + (mid(a, "y") - mid(b, "y")) ** 2)
 
 
+def is_tall(quad: Column) -> Column:
+    """Whether the middles of the first and third edge lie further apart than those of the second and fourth."""
+    return middle_distance(quad, (0, 1), (2, 3)) > middle_distance(quad, (1, 2), (3, 0))
+
+
 def flip_upright(quad: Column) -> Column:
-    """Rolls a quad by one vertex if it is wider than high."""
-    wide = middle_distance(quad, (0, 1), (2, 3)) < middle_distance(quad, (1, 2), (3, 0))
-    return F.when(~wide, F.array(quad[3], quad[0], quad[1], quad[2])).otherwise(quad)
+    """Corners in the order top left, bottom left, bottom right, top right: a tall quad starts at its second corner."""
+    return F.when(is_tall(quad), F.array(quad[1], quad[2], quad[3], quad[0])).otherwise(quad)
 
 
 def edge_angle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

@@ -5,42 +5,139 @@ One writer at a time. Everything goes through Spark's file systems, so a collect
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions import vector as V
 from lodestone.operators import catalog
 
 #: Query vectors are broadcast up to this many bytes; more are searched in blocks that stay below it.
 BROADCAST_BYTES = 32 << 20
+#: Scores of a batch that exist at once.
+SCORES = 1 << 21
+#: Scores that agree to so many digits are equal, so that equal vectors rank by id in every batch and block.
+DIGITS = 12
+
+
+def units(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit vectors) of the vectors that have ``dims`` elements, no null, and are not zero."""
+    lists = column.cast(pa.list_(pa.float64()))
+    sizes = np.diff(lists.offsets.to_numpy())
+    whole = np.flatnonzero((sizes == dims) & np.asarray(column.is_valid()))
+    rows = lists.take(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    good = norms > 0  # also false for NaN, which is what a null element becomes
+    return whole[good], rows[good] / norms[good, None]
+
+
+def query_blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[pa.Array, np.ndarray, int]]:
+    """(ids, unit vectors, dims) of the queries, in blocks of BROADCAST_BYTES at most; the driver holds one at a time."""
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("q")).where("q is not null")
+    count, dims = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    blocks = max(1, -(-count * dims * 8 // BROADCAST_BYTES))
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        at, found = units(part.column("q").combine_chunks(), dims) if part.num_rows else (np.zeros(0, dtype=int), np.zeros((0, max(dims, 1))))
+        yield part.column("query_id").combine_chunks().take(pa.array(at)), found, dims
 
 
-def top_k(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, ident: str = "id", vector: str = "vector", query_id: str = "query_id", skip_self: bool = False) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest by cosine of each query, at least ``threshold`` (inclusive), ties by id.
+def best_of(scores: np.ndarray, k: int, threshold: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the scores that may be among the k best of their row: also those that tie with the last."""
+    least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+    return np.nonzero((scores >= least[:, None]) & (scores >= (-np.inf if threshold is None else threshold)))
 
-    The queries must be few (their size is the caller's to bound: see ``top_k_in_blocks`` for many); they are broadcast
-    and points stay in place. Each task keeps its best k of a query before the shuffle. Zero vectors have no score."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"), V.norm(F.col(vector)).alias("_qn"))
-    p = points.select(F.col(ident).alias("id"), F.col(vector).alias("_p"), V.norm(F.col(vector)).alias("_pn"))
-    scored = p.crossJoin(F.broadcast(q)).select("query_id", "id", (V.dot(F.col("_q"), F.col("_p")) / F.nullif(F.col("_qn") * F.col("_pn"), F.lit(0.0))).alias("score")).where("score is not null")
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
-    if skip_self:
-        scored = scored.where("query_id <> id")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
+def top_k(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, ident: str = "id", vector: str = "vector", query_id: str = "query_id", skip_self: bool = False, probed: tuple[str, np.ndarray, int] | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest by cosine of each query, at least ``threshold`` (inclusive), ties by id.
 
-def top_k_in_blocks(points: DataFrame, queries: DataFrame, k: int, dims: int, count: int, **settings) -> DataFrame:
-    """top_k for ``count`` queries of ``dims`` dimensions: as many searches as keep each broadcast below its bound."""
-    blocks = max(1, -(-count * dims * 8 // BROADCAST_BYTES))
-    ident = settings.get("query_id", "query_id")
-    found = [top_k(points, queries.where(F.pmod(F.xxhash64(ident), F.lit(blocks)) == b), k, **settings) for b in range(blocks)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    Queries may be many: they are broadcast in blocks of a bounded size, and points stay in place. Each Arrow batch of
+    points is multiplied by the block and passes on its own k best of a query, so only those are ranked. Null and zero
+    vectors, and those of other lengths than the queries', have no score. ``probed``: a column with each point's cell, the
+    centres of the cells, and how many of these a query looks into (see VectorIndex); all of them by default."""
+    types, found = dict(points.dtypes), None
+    cell, centres, probes = probed or (None, None, 0)
+    for ids, block, dims in query_blocks(queries, query_id, vector):
+        looks = np.argsort(-(block @ centres.T), axis=1, kind="stable")[:, :probes] if probed else None
+        shared = points.sparkSession.sparkContext.broadcast((ids, block, looks))
+
+        def score(parts: Iterator[pa.RecordBatch], shared=shared, dims=dims) -> Iterator[pa.RecordBatch]:
+            ids, q, looks = shared.value
+            names = np.array(ids.to_pylist(), dtype=object)
+
+            def given(part: pa.RecordBatch, at: np.ndarray, p: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+                scores = np.round(q[who] @ p.T, DIGITS)
+                own = part.column("id").take(pa.array(at))
+                if skip_self:
+                    scores[names[who][:, None] == np.array(own.to_pylist(), dtype=object)[None, :]] = -np.inf
+                row, col = best_of(scores, k, threshold)
+                keep = scores[row, col] > -np.inf
+                row, col = row[keep], col[keep]
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(who[row])), own.take(pa.array(col)), pa.array(scores[row, col])], names=["query_id", "id", "score"])
+
+            for part in parts:
+                if not len(q):
+                    continue
+                step = max(1, SCORES // len(q))
+                for a in range(0, part.num_rows, step):
+                    cut = part.slice(a, step)
+                    at, p = units(cut.column("p"), dims)
+                    if looks is None:
+                        yield given(cut, at, p, np.arange(len(q)))
+                        continue
+                    cells = cut.column("cell").to_numpy(zero_copy_only=False)[at]
+                    for c in np.unique(cells).tolist():
+                        if len(who := np.flatnonzero((looks == c).any(axis=1))):
+                            here = np.flatnonzero(cells == c)
+                            yield given(cut, at[here], p[here], who)
+
+        read = points.select(F.col(ident).alias("id"), F.col(vector).alias("p"), *([F.col(cell).alias("cell")] if cell else []))
+        hits = read.mapInArrow(score, f"query_id {dict(queries.dtypes)[query_id]}, id {types[ident]}, score double")
+        found = hits if found is None else found.unionByName(hits)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+class VectorIndex:
+    """Cells around centres. Centres are fitted on at most ``sample`` vectors, chosen by hash; every row is then put into
+    the cell of its nearest centre. A search looks into the ``probes`` cells whose centres are nearest to a query, and
+    top_k without an index stays the exact way."""
+
+    def __init__(self, points: DataFrame, ident: str = "id", vector: str = "vector", cells: int = 64, sample: int = 20_000, rounds: int = 10):
+        self.ident, self.vector, self.points = ident, vector, points
+        chosen = points.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(ident), ident).limit(sample).select(vector).toArrow().column(vector).combine_chunks()
+        self.dims = len(chosen[0]) if len(chosen) else 0
+        _, rows = units(chosen, self.dims) if len(chosen) else (None, np.zeros((0, 1)))
+        self.centres = rows[np.random.default_rng(7).permutation(len(rows))[:cells]]
+        for _ in range(rounds):
+            own = np.argmax(rows @ self.centres.T, axis=1) if len(rows) else np.zeros(0, dtype=int)
+            sums = np.zeros_like(self.centres)
+            np.add.at(sums, own, rows)
+            norms = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+            self.centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), self.centres)
+
+    def placed(self) -> DataFrame:
+        """All rows with their ``cell``, -1 for those without a score. Written partitioned by cell, a search reads only the
+        cells it looks into."""
+        centres, dims, vector = self.centres, self.dims, self.vector
+        kept = [c for c in self.points.columns if c != "cell"]
+        types = dict(self.points.dtypes)
+
+        def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                cells = np.full(part.num_rows, -1, dtype=np.int32)
+                at, p = units(part.column(vector), dims)
+                if len(at):
+                    cells[at] = np.argmax(p @ centres.T, axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells)], names=[*kept, "cell"])
+
+        return self.points.select(*kept).mapInArrow(place, ", ".join(f"`{c}` {types[c]}" for c in kept) + ", cell int")
+
+    def search(self, placed: DataFrame, queries: DataFrame, k: int, probes: int = 16, **settings) -> DataFrame:
+        return top_k(placed, queries, k, ident=self.ident, vector=self.vector, probed=("cell", self.centres, probes), **settings)
 
 
 class VectorCollection:
@@ -91,7 +188,7 @@ class VectorCollection:
         return self.points().select(*columns).join(ids.select(F.lower(F.trim("id")).alias("id")).distinct(), "id", "left_semi")
 
     def nearby(self, queries: DataFrame, k: int, threshold: float | None = None, with_payload: bool = True, with_vectors: bool = False) -> DataFrame:
-        hits = top_k(self.points().where("vector is not null"), queries, k, threshold)
+        hits = top_k(self.points(), queries, k, threshold)
         extra = self.points().select("id", *["payload"] * with_payload, *["vector"] * with_vectors)
         return hits.join(extra, "id") if with_payload or with_vectors else hits
 

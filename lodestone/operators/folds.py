@@ -1,46 +1,105 @@
-"""Ordered folds: running averages whose next value depends on the last accepted row."""
+"""Ordered folds: running averages whose next value depends on the last accepted row.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-
-def ordered(df: DataFrame, key: str, order: list[str], *values: str) -> DataFrame:
-    """(key, rows): the rows of a key in order, as an array of structs."""
-    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *values))).alias("rows"))
-
-
-def ewma(rows: Column, value: str, weight: float = 0.1) -> Column:
-    """Starts anew where the average is null or 0."""
-    return F.aggregate(rows, F.lit(None).cast("double"), lambda a, r: F.when(a.isNull() | (a == 0), r[value]).otherwise(r[value] * weight + a * (1 - weight)))
-
-
-def gated_ewma(rows: Column, at: str, value: str, gate: float, weight: float = 0.1) -> Column:
-    """struct(t, z, n): a row counts if it lies more than ``gate`` after the last that counted; the first always does."""
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("z"), F.lit(0).cast("long").alias("n"))
-
-    def step(a: Column, r: Column) -> Column:
-        t, v = r[at].cast("double"), r[value].cast("double")
-        taken = F.struct(t.alias("t"), F.coalesce(weight * v + (1 - weight) * a["z"], v).alias("z"), (a["n"] + 1).alias("n"))
-        return F.when(a["t"].isNull() | (t - a["t"] > gate), taken).otherwise(a)
-
-    return F.aggregate(rows, start, step)
-
-
-def gated_ewma_vector(rows: Column, at: str, vector: str, gate: float, weight: float = 0.1) -> Column:
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("array<double>").alias("z"), F.lit(0).cast("long").alias("n"))
-
-    def step(a: Column, r: Column) -> Column:
-        t, v = r[at].cast("double"), r[vector].cast("array<double>")
-        mixed = F.zip_with(v, a["z"], lambda x, y: weight * x + (1 - weight) * y)
-        taken = F.struct(t.alias("t"), F.coalesce(mixed, v).alias("z"), (a["n"] + 1).alias("n"))
-        return F.when(a["t"].isNull() | (t - a["t"] > gate), taken).otherwise(a)
-
-    return F.aggregate(rows, start, step)
+Rows are put in order within partitions by key and stream through a task that carries one state, so a key may have any
+number of rows. Rows with a null time or value are left out."""
 
+from __future__ import annotations
 
-def every_n(rows: Column, at: str, n: float) -> Column:
-    """How many rows pass a gate that opens every n units (inclusive)."""
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(0).cast("long").alias("n"))
-    return F.aggregate(rows, start, lambda a, r: F.when(a["t"].isNull() | (r[at].cast("double") - a["t"] >= n), F.struct(r[at].cast("double").alias("t"), (a["n"] + 1).alias("n"))).otherwise(a))["n"]
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+
+def folded(df: DataFrame, key: str, order: list[str], value: str, step: Callable, result: str, given: Callable[[tuple], tuple]) -> DataFrame:
+    """One row a key. step(state or None, batch) takes the next rows of a key, an Arrow batch of ``order`` and ``value``;
+    given(state) makes the columns of ``result`` (a schema) from the last state."""
+    columns = list(dict.fromkeys([*order, value]))
+    rows = df.select(key, *columns).dropna(subset=[order[0], value]).repartition(key).sortWithinPartitions(key, *order)
+    kind = dict(df.dtypes)[key]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for part in parts:
+            done, at = [], 0
+            for k, group in groupby(part.column(0).to_pylist()):
+                n = sum(1 for _ in group)
+                if state is not None and k != now:
+                    done.append((now, *given(state)))
+                    state = None
+                now, state = k, step(state, part.slice(at, n))
+                at += n
+            if done:
+                yield rows_of(done)
+        if state is not None:
+            yield rows_of([(now, *given(state))])
+
+    fields = [c.strip().split(" ", 1) for c in result.split(",")]
+    kinds = {"long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+
+    def rows_of(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], keys), *(pa.array([d[i + 1] for d in done], kinds[t]) for i, (_, t) in enumerate(fields))], names=[key, *(n for n, _ in fields)])
+
+    keys = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return rows.mapInArrow(run, f"`{key}` {kind}, {result}")
+
+
+def ewma(df: DataFrame, key: str, order: list[str], value: str, weight: float = 0.1) -> DataFrame:
+    """(key, z). The average starts anew where it is 0."""
+
+    def step(z: float | None, part: pa.RecordBatch) -> float:
+        for v in part.column(value).to_pylist():
+            z = float(v) if not z else v * weight + z * (1 - weight)
+        return z
+
+    return folded(df, key, order, value, step, "z double", lambda z: (z,))
+
+
+def _accepted(t: float | None, times: np.ndarray, gate: float, inclusive: bool = False) -> Iterator[int]:
+    """Places of the rows that lie more than ``gate`` (or at least so much) after the last that counted; times ascend."""
+    passes = lambda i: times[i] - t >= gate if inclusive else times[i] - t > gate
+    i = 0
+    while True:
+        if t is not None:
+            i = int(np.searchsorted(times, t + gate))
+            # the rule is about differences, which may round otherwise than the sum
+            while i > 0 and passes(i - 1):
+                i -= 1
+            while i < len(times) and not passes(i):
+                i += 1
+        if i >= len(times):
+            return
+        yield i
+        t = times[i]
+
+
+def gated_ewma(df: DataFrame, key: str, at: str, value: str, gate: float, weight: float = 0.1, ties: tuple[str, ...] = ()) -> DataFrame:
+    """(key, t, z, n): a row counts if it lies more than ``gate`` after the last that counted; the first always does. z is
+    the running average of what counted, numbers or vectors; n how many did; t the time of the last. ``ties`` orders rows
+    of one time."""
+    vector = dict(df.dtypes)[value].startswith("array")
+
+    def step(state: tuple | None, part: pa.RecordBatch) -> tuple:
+        t, z, n = state or (None, None, 0)
+        times, values = part.column(at).to_numpy(zero_copy_only=False).astype(float), part.column(value)
+        for i in _accepted(t, times, gate):
+            v = np.array(values[i].as_py(), dtype=float)
+            t, z, n = float(times[i]), v if z is None else weight * v + (1 - weight) * z, n + 1
+        return t, z, n
+
+    return folded(df, key, [at, *ties], value, step, f"t double, z {'array<double>' if vector else 'double'}, n long", lambda s: (s[0], s[1].tolist(), s[2]))
+
+
+def every_n(df: DataFrame, key: str, at: str, n: float) -> DataFrame:
+    """(key, emitted): how many rows pass a gate that opens every n units (inclusive)."""
+
+    def step(state: tuple | None, part: pa.RecordBatch) -> tuple:
+        t, count = state or (None, 0)
+        times = part.column(at).to_numpy(zero_copy_only=False).astype(float)
+        for i in _accepted(t, times, n, inclusive=True):
+            t, count = float(times[i]), count + 1
+        return t, count
+
+    return folded(df, key, [at], at, step, "emitted long", lambda s: (s[1],))

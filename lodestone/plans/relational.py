@@ -136,8 +136,8 @@ def base64_encode(spark: SparkSession, d: str) -> DataFrame:
     f AS (SELECT conv_id, k, v AS z FROM r WHERE k = 1 UNION ALL SELECT f.conv_id, r.k, CASE WHEN f.z IS NULL OR f.z = 0 THEN r.v ELSE r.v * 0.1::DOUBLE + f.z * 0.9::DOUBLE END FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1)
     SELECT conv_id, round(arg_max(z, k), 6) AS ewma FROM f GROUP BY conv_id""")
 def ewma_fold(spark: SparkSession, d: str) -> DataFrame:
-    rows = folds.ordered(table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("double").alias("v")), "conv_id", ["turn", "v"])
-    return rows.select("conv_id", F.round(folds.ewma(F.col("rows"), "v"), 6).alias("ewma"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("double").alias("v"))
+    return folds.ewma(turns, "conv_id", ["turn", "v"], "v").select("conv_id", F.round("z", 6).alias("ewma"))
 
 
 @query("gated_ewma", """WITH RECURSIVE r AS (SELECT user_id, epoch_us(ts) AS us, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -147,16 +147,14 @@ def ewma_fold(spark: SparkSession, d: str) -> DataFrame:
     SELECT user_id, round(arg_max(z, k), 6) AS z, max(n)::BIGINT AS n FROM f GROUP BY user_id""")
 def gated_ewma(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "value")
-    rows = folds.ordered(events, "user_id", ["us", "event_id"], "value")
-    return rows.select("user_id", folds.gated_ewma(F.col("rows"), "us", "value", 12 * 3600 * 1e6).alias("f")).select("user_id", F.round("f.z", 6).alias("z"), F.col("f.n").alias("n"))
+    return folds.gated_ewma(events, "user_id", "us", "value", 12 * 3600 * 1e6, ties=("event_id",)).select("user_id", F.round("z", 6).alias("z"), "n")
 
 
 @query("every_n_gate", """WITH RECURSIVE r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
     f AS (SELECT user_id, k, event_id AS t, 1::BIGINT AS n FROM r WHERE k = 1 UNION ALL SELECT f.user_id, r.k, CASE WHEN r.event_id - f.t >= 500 THEN r.event_id ELSE f.t END, f.n + CASE WHEN r.event_id - f.t >= 500 THEN 1 ELSE 0 END FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1)
     SELECT user_id, max(n)::BIGINT AS emitted FROM f GROUP BY user_id""")
 def every_n_gate(spark: SparkSession, d: str) -> DataFrame:
-    rows = folds.ordered(table(spark, d, "events").select("user_id", "event_id"), "user_id", ["event_id"])
-    return rows.select("user_id", folds.every_n(F.col("rows"), "event_id", 500).alias("emitted"))
+    return folds.every_n(table(spark, d, "events"), "user_id", "event_id", 500)
 
 
 @query("frame_period_lag", "SELECT event_id, epoch_us(lag(ts, 1) OVER w) - epoch_us(lag(ts, 2) OVER w) AS period_us FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)")
@@ -268,8 +266,9 @@ def indexed_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("reverse_order", "SELECT conv_id, string_agg(role, ',' ORDER BY turn DESC, role DESC) AS roles FROM conversations GROUP BY conv_id")
 def reverse_order(spark: SparkSession, d: str) -> DataFrame:
-    rows = folds.ordered(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", ["turn", "role"])
-    return rows.select("conv_id", F.array_join(F.reverse(F.transform("rows", lambda r: r["role"])), ",").alias("roles"))
+    # the result is one string a conversation, so its rows meet in any case
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role")), asc=False).alias("rows"))
+    return rows.select("conv_id", F.array_join(F.transform("rows", lambda r: r["role"]), ",").alias("roles"))
 
 
 @query("scan_filter_extension")

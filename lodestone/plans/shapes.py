@@ -109,13 +109,12 @@ def poly_is_convex(spark: SparkSession, d: str) -> DataFrame:
 _MID = "sqrt(((x{a} + x{b}) / 2 - (x{c} + x{e}) / 2) ** 2 + ((y{a} + y{b}) / 2 - (y{c} + y{e}) / 2) ** 2)"
 
 
-@query("quad_flip_upright", f"""WITH {SKEWED.replace('p_retailprice / 10', 'p_retailprice / 50')}, {_CORNERS}, f AS (SELECT *, {_MID.format(a=0, b=1, c=2, e=3)} >= {_MID.format(a=1, b=2, c=3, e=0)} AS tall FROM c)
-    SELECT p_partkey, tall AS rolled, round(CASE WHEN tall THEN x3 ELSE x0 END, 6) AS x, round(CASE WHEN tall THEN y3 ELSE y0 END, 6) AS y FROM f""")
+@query("quad_flip_upright", f"""WITH {SKEWED.replace('p_retailprice / 10', 'p_retailprice / 50')}, {_CORNERS}, f AS (SELECT *, {_MID.format(a=0, b=1, c=2, e=3)} > {_MID.format(a=1, b=2, c=3, e=0)} AS tall FROM c)
+    SELECT p_partkey, tall AS rolled, round(CASE WHEN tall THEN x1 ELSE x0 END, 6) AS x, round(CASE WHEN tall THEN y1 ELSE y0 END, 6) AS y FROM f""")
 def quad_flip_upright(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("p_retailprice") / 50
     base = parts(spark, d).select("p_partkey", G.array_of(G.point(0.0, 0.0), G.point(width(), 0.0), G.point(width() + shift(), h + shift()), G.point(0.0, h)).alias("q"))
-    tall = G.middle_distance(F.col("q"), (0, 1), (2, 3)) >= G.middle_distance(F.col("q"), (1, 2), (3, 0))
-    return base.select("p_partkey", tall.alias("rolled"), G.flip_upright(F.col("q"))[0].alias("p")).select("p_partkey", "rolled", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+    return base.select("p_partkey", G.is_tall(F.col("q")).alias("rolled"), G.flip_upright(F.col("q"))[0].alias("p")).select("p_partkey", "rolled", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
 @query("edge_angle_deg", "SELECT p_partkey, round(degrees(atan2(p_retailprice - 900, p_size::DOUBLE)), 6) AS angle FROM part")

@@ -35,13 +35,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Staging folders of local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def staging_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", where)
-    return where
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one for a local master, whose
+    executors are threads of this machine; elsewhere an error, as executors would write to disks of their own."""
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    return _LOCAL[context.applicationId]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
