@@ -60,16 +60,17 @@ def test_fit_equals_numpy(spark):
     def exact(values, share):  # the smallest value that at least this share of rows do not exceed
         return np.sort(values)[max(0, int(np.ceil(share * len(values))) - 1)]
 
-    best = None
     middle = np.array([exact(x[:, i], 0.5) for i in range(Q.DIMS)])
     off = np.array([exact(np.abs(x[:, i] - middle[i]), 0.5) for i in range(Q.DIMS)])
-    for m, c in ((middle, np.diag((1.4826 * off) ** 2) + floor), (x.mean(0), np.cov(x.T, bias=True) + floor)):
-        for _ in range(Q.STEPS):
+    starts, moved, last = [(middle, np.diag((1.4826 * off) ** 2) + floor), (x.mean(0), np.cov(x.T, bias=True) + floor)], np.inf, None
+    while moved > Q.TOLERANCE:
+        for k, (m, c) in enumerate(starts):
             d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
             near = x[d2 <= exact(d2, Q.SUBSET)]
-            m, c = near.mean(0), Q.CONSISTENT * np.cov(near.T, bias=True) + floor
-        if best is None or np.linalg.det(c) < best[0]:
-            best = (np.linalg.det(c), m)
+            starts[k] = near.mean(0), Q.CONSISTENT * np.cov(near.T, bias=True) + floor
+        now = np.array([np.linalg.slogdet(c)[1] for _, c in starts])
+        moved, last = np.inf if last is None else np.abs(now - last).max(), now
+    best = min((np.linalg.det(c), m) for m, c in starts) if last[0] != last[1] else (np.linalg.det(starts[0][1]), starts[0][0])
     assert np.allclose([fit[f"m{i}"] for i in range(Q.DIMS)], best[1], atol=1e-6)
     assert np.isclose(fit["log_det"], np.log(best[0]), atol=1e-6)
 
