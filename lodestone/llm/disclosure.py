@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textblocks import WordHasher, blocks, mix, slices
+from lodestone.llm.textblocks import WordHasher, blocks, distinct, distinct_places, mix, slices
 from lodestone.session import staged
 
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
@@ -160,7 +160,7 @@ def _contexts(docs: DataFrame, text: str, texts: bool) -> DataFrame:
             for a, b, data, offsets in blocks(part, "text"):
                 words = hasher.words(data, offsets)
                 for row, x, y in zip(range(a, b), words.first[:-1].tolist(), words.first[1:].tolist()):
-                    context = int(_context(np.unique(words.hashes[x:y])).view(np.int64))
+                    context = int(_context(distinct(words.hashes[x:y])).view(np.int64))
                     if context not in seen:
                         contexts.append(context)
                         rows.append(row)
@@ -184,7 +184,7 @@ def _tally(texts: DataFrame) -> DataFrame:
         hasher, held, times, size = WordHasher(), [], [], 0
 
         def give() -> pa.RecordBatch:
-            terms, at = np.unique(np.concatenate(held), return_inverse=True)
+            terms, at = distinct_places(np.concatenate(held))
             n = np.bincount(at, np.repeat(times, [len(h) for h in held])).astype(np.int64)
             held.clear()
             times.clear()
@@ -195,7 +195,7 @@ def _tally(texts: DataFrame) -> DataFrame:
             for row, _, data, offsets in blocks(part, "text"):
                 words = hasher.words(data, offsets)
                 for k, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
-                    held.append(np.unique(words.hashes[a:b]))
+                    held.append(distinct(words.hashes[a:b]))
                     times.append(each[row + k])
                     size += len(held[-1])
                 if size >= GATHERED:
@@ -223,7 +223,7 @@ def _terms(found: DataFrame) -> DataFrame:
         for part in parts:
             for a, b, data, offsets in blocks(part, "text"):
                 words = hasher.words(data, offsets)
-                each = [np.unique(words.hashes[x:y]) for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
+                each = [distinct(words.hashes[x:y]) for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
                 contexts = np.array([_context(e) for e in each], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("row").slice(a, b - a), pa.array(contexts.view(np.int64)), pa.array([e.view(np.int64) for e in each], pa.list_(pa.int64()))], names=["row", "context", "terms"])
 

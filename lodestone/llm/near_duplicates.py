@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected
-from lodestone.llm.textblocks import Words, WordHasher, blocks, mix, window_hashes
+from lodestone.llm.textblocks import Words, WordHasher, blocks, distinct, distinct_places, mix, window_hashes
 from lodestone.session import staged
 
 #: Members of a block; a row of work holds two blocks at most.
@@ -64,7 +64,7 @@ def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if b - a >= width:
-            out.append(np.unique(windows[a : b - width + 1]))
+            out.append(distinct(windows[a : b - width + 1]))
         else:
             out.append(window_hashes(words.hashes[a:b], b - a) if b > a else windows[:0])
     return out
@@ -166,10 +166,10 @@ def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, matches: np.n
     one tree need no look."""
     forest = Forest(len(sets))
     if len(i) > 2000:
-        used = np.unique(np.concatenate([i, j]))
+        used = distinct(np.concatenate([i, j]))
         place = np.full(len(sets), -1)
         place[used] = np.arange(len(used))
-        ids, codes = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True)
+        ids, codes = distinct_places(np.concatenate([sets[u] for u in used]))
         sizes = np.array([len(sets[u]) for u in used])
         owner = np.repeat(np.arange(len(used)), sizes)
         order = np.argsort(codes, kind="stable")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textblocks import WordHasher, Words, blocks, mix
+from lodestone.llm.textblocks import WordHasher, Words, blocks, distinct, distinct_places, mix
 from lodestone.session import staged
 
 #: The longest n-gram.
@@ -46,7 +46,7 @@ PIECE = 8 << 20
 #: Characters of text whose n-grams fall in a bucket, about.
 BUCKET_CHARS = 1_000_000
 #: Hashes that a task gathers before it counts them.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
 #: Tokens of the texts that are probed together: their distinct hashes, in order.
 CHUNK_TOKENS = 1 << 17
 _FOLLOWER_BITS = np.uint64(24)
@@ -278,10 +278,8 @@ def _chunks(parts: Iterator[pa.RecordBatch], order: int) -> Iterator[list[tuple[
         yield held
 
 
-def _distinct(chunk: list[tuple[pa.RecordBatch, Tokens]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of unigrams and keys of longer n-grams."""
-    longer = [k for _, t in chunk for k in t.keys]
-    return np.unique(np.concatenate([t.token for _, t in chunk])), np.unique(np.concatenate(longer)) if longer else np.zeros(0, dtype=np.uint64)
+def _longer(chunk: list[tuple[pa.RecordBatch, Tokens]]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *(k for _, t in chunk for k in t.keys)])
 
 
 def token_scores(tokens: Tokens, counts: np.ndarray, found: np.ndarray, n: int, v: int, texts: int, base: float) -> tuple[np.ndarray, np.ndarray]:
@@ -305,16 +303,14 @@ def token_scores(tokens: Tokens, counts: np.ndarray, found: np.ndarray, n: int,
 _RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(keys: pa.Array, tokens: Tokens, ones: np.ndarray, counts: np.ndarray, twos: np.ndarray, levels: np.ndarray, known: tuple[int, int, int], base: float) -> pa.RecordBatch:
-    """Sums over each text. ones, counts: unigrams; twos, levels: longer n-grams, with the levels of each and of its
-    context's followers. known: tokens, distinct tokens and texts of the training part."""
+def _scored(keys: pa.Array, tokens: Tokens, counts: np.ndarray, levels: np.ndarray, known: tuple[int, int, int], base: float) -> pa.RecordBatch:
+    """Sums over each text, from the counts of its tokens and, order by order, the levels of its longer n-grams and of their
+    contexts' followers. known: tokens, distinct tokens and texts of the training part."""
     n, v, texts = known
-    seen = counts[np.searchsorted(ones, tokens.token)]
-    found = [levels[:, np.searchsorted(twos, k)] for k in tokens.keys]
-    plain, full = token_scores(tokens, seen, np.concatenate(found) if found else np.zeros((0, len(seen)), dtype=np.uint8), n, v, texts, base)
+    plain, full = token_scores(tokens, counts, levels, n, v, texts, base)
     sums = lambda x: np.add.reduceat(x, tokens.first[:-1])  # noqa: E731  every text has an end
     return pa.RecordBatch.from_arrays(
-        [keys, pa.array(np.diff(tokens.first), pa.int64()), pa.array(sums((seen > 0).astype(np.int64)), pa.int64()), pa.array([n] * len(keys), pa.int64()), pa.array(sums(plain)), pa.array(sums(full))],
+        [keys, pa.array(np.diff(tokens.first), pa.int64()), pa.array(sums((counts > 0).astype(np.int64)), pa.int64()), pa.array([n] * len(keys), pa.int64()), pa.array(sums(plain)), pa.array(sums(full))],
         names=["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     )
 
@@ -332,14 +328,19 @@ def _scored_in_place(todo: DataFrame, model: DataFrame, kind: str, order: int, b
     def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = [p.value for p in shared]
         for chunk in _chunks(parts, order):
-            ones, twos = _distinct(chunk)
+            ones, of_one = distinct_places(np.concatenate([t.token for _, t in chunk]))
+            twos, of_two = distinct_places(_longer(chunk))
             counts, levels = np.zeros(len(ones), dtype=np.int64), np.zeros((2, len(twos)), dtype=np.uint8)
             for p, x, y in _by_piece(ones, cuts, n_buckets):
                 counts[x:y] = pieces[p].unigrams(ones[x:y])
             for p, x, y in _by_piece(twos, cuts, n_buckets):
                 levels[:, x:y] = pieces[p].levels(twos[x:y])
+            at = 0
             for batch, tokens in chunk:
-                yield _scored(batch.column("key"), tokens, ones, counts, twos, levels, known, base)
+                m, low = len(tokens.token), at * (order - 1)
+                found = levels[:, of_two[low : low + m * (order - 1)]].reshape(2, order - 1, m).swapaxes(0, 1).reshape(-1, m)
+                yield _scored(batch.column("key"), tokens, counts[of_one[at : at + m]], found, known, base)
+                at += m
 
     try:
         return staged(todo.mapInArrow(apply, f"key {kind}, {_RESULT}"), "scores")
@@ -359,7 +360,7 @@ def _scored_by_shuffles(todo: DataFrame, model: DataFrame, kind: str, order: int
             shape = pa.schema([("chunk", pa.string()), ("piece", pa.int32()), ("keys", pa.list_(held[0][0].schema.field("key").type)), ("texts", pa.list_(pa.string())), ("ones", pa.binary()), ("twos", pa.binary())])
             chunk = uuid.uuid4().hex
             rows = [{"chunk": chunk, "piece": -1, "keys": [k for b, _ in held for k in b.column("key").to_pylist()], "texts": [t for b, _ in held for t in b.column("text").to_pylist()]}]
-            of_ones, of_twos = ({p: packed(x[i:j]) + (j - i).to_bytes(4, "little") for p, i, j in _by_piece(x, cuts, n_buckets)} for x in _distinct(held))
+            of_ones, of_twos = ({p: packed(x[i:j]) + (j - i).to_bytes(4, "little") for p, i, j in _by_piece(x, cuts, n_buckets)} for x in (distinct(np.concatenate([t.token for _, t in held])), distinct(_longer(held))))
             rows += [{"chunk": chunk, "piece": p, "ones": of_ones.get(p), "twos": of_twos.get(p)} for p in sorted(of_ones.keys() | of_twos.keys())]
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
@@ -406,7 +407,8 @@ def _scored_by_shuffles(todo: DataFrame, model: DataFrame, kind: str, order: int
             batch = pa.RecordBatch.from_arrays([pa.array(keys, kinds), pa.array(texts, pa.string())], names=["key", "text"])
             for chunk in _chunks(iter([batch]), order):
                 for part, tokens in chunk:
-                    yield _scored(part.column("key"), tokens, ones, counts, twos, levels, known, base)
+                    found = [levels[:, np.searchsorted(twos, k)] for k in tokens.keys]
+                    yield _scored(part.column("key"), tokens, counts[np.searchsorted(ones, tokens.token)], np.concatenate(found) if found else np.zeros((0, len(tokens.token)), dtype=np.uint8), known, base)
 
         for part in parts:
             kinds = part.schema.field("keys").type.value_type
