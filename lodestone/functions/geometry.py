@@ -115,3 +115,22 @@ def to_text(points: Column) -> Column:
 
 def array_of(*points: Column) -> Column:
     return F.array(*points)
+
+
+def mean_distance(a: Column, b: Column) -> Column:
+    """Between two point sets of one size: the mean over their points, in order."""
+    each = F.zip_with(a, b, lambda p, q: F.sqrt((p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2))
+    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+
+def box_area(box: Column) -> Column:
+    return F.greatest(F.lit(0.0), box["x1"] - box["x0"]) * F.greatest(F.lit(0.0), box["y1"] - box["y0"])
+
+
+def box_overlap(a: Column, b: Column) -> Column:
+    side = lambda low, high: F.greatest(F.lit(0.0), F.least(a[high], b[high]) - F.greatest(a[low], b[low]))
+    return side("x0", "x1") * side("y0", "y1")
+
+
+def box_holds(a: Column, b: Column) -> Column:
+    return (a["x0"] <= b["x0"]) & (a["y0"] <= b["y0"]) & (a["x1"] >= b["x1"]) & (a["y1"] >= b["y1"])

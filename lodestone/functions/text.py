@@ -52,3 +52,29 @@ def label_line(label: Column, points: Column, size: float = 640.0) -> Column:
 def base64_text(raw: Column) -> Column:
     """Without line breaks, whatever the session's setting for them."""
     return F.translate(F.base64(raw), "\r\n", "")
+
+
+def unless_none(word: Column) -> Column:
+    """Null for the words none and no, in any case."""
+    return F.when(~F.lower(word).isin("none", "no"), word)
+
+
+def positive(x: Column) -> Column:
+    return F.when(x > 0, x)
+
+
+def extension(path: Column) -> Column:
+    """With its dot, in lower case; empty if there is none."""
+    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+
+
+def uuid(text: Column) -> Column:
+    """Lower case with dashes, from 32 hexadecimal digits with or without dashes, braces and outer blanks; else null."""
+    digits = F.regexp_replace(F.lower(F.trim(text)), r"^\{|\}$|-", "")
+    dashed = F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.when(digits.rlike("^[0-9a-f]{32}$"), dashed)
+
+
+def merged(left: Column, right: Column) -> Column:
+    """Two maps as one; of keys that both have, the right one's values."""
+    return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.session import staged
 
 
@@ -58,3 +59,26 @@ def overwritten(points: DataFrame, payloads: DataFrame, key: str, column: str) -
     """Whole payloads are replaced where a new one is given, even by null."""
     new = payloads.select(F.col(key).alias("_key"), F.col(column).alias("_new"))
     return points.join(new, points[key] == new["_key"], "left").select(*[F.when(F.col("_key").isNotNull(), F.col("_new")).otherwise(points[c]).alias(c) if c == column else points[c] for c in points.columns])
+
+
+def retrieved(points: DataFrame, ids: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of the ids that exist, each once however often it is asked for; only ``columns`` are read besides the key."""
+    return points.select(key, *columns).join(ids.select(key).distinct(), key, "left_semi")
+
+
+def substituted(df: DataFrame, key: str, text: str, symbols: DataFrame) -> DataFrame:
+    """(key, pos, item): characters and symbols in braces of each text, in order. A symbol of ``symbols`` (token, uri)
+    becomes its uri, another one gets a second pair of braces. Null and empty texts give nothing; without any symbols, a
+    text stays whole."""
+    if symbols.isEmpty():
+        return df.where(F.col(text) != "").select(key, F.lit(0).alias("pos"), F.col(text).alias("item"))
+    items = df.select(key, F.posexplode(T.tokens(F.col(text))).alias("pos", "token")).join(symbols.select("token", "uri"), "token", "left")
+    return items.select(key, "pos", F.when(F.col("uri").isNotNull(), F.col("uri")).when(F.col("token").startswith("{"), F.concat(F.lit("{"), "token", F.lit("}"))).otherwise(F.col("token")).alias("item"))
+
+
+def augmented(df: DataFrame, key: str, text: str, extra: str, symbols: DataFrame) -> DataFrame:
+    """df with the items of its texts in ``extra``, an array, where that is null. Keys are unique."""
+    todo = substituted(df.where(F.col(extra).isNull()), key, text, symbols)
+    made = todo.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))), lambda s: s["item"]).alias("_made"))
+    joined = df.join(made, key, "left")
+    return joined.withColumn(extra, F.coalesce(extra, "_made", F.array().cast("array<string>"))).drop("_made")

@@ -185,7 +185,7 @@ class VectorCollection:
     def retrieve(self, ids: DataFrame, with_payload: bool = True, with_vectors: bool = False) -> DataFrame:
         """Points of the ids that exist; unread columns are not scanned."""
         columns = ["id", *["payload"] * with_payload, *["vector"] * with_vectors]
-        return self.points().select(*columns).join(ids.select(F.lower(F.trim("id")).alias("id")).distinct(), "id", "left_semi")
+        return catalog.retrieved(self.points(), ids.select(F.lower(F.trim("id")).alias("id")), "id", columns[1:])
 
     def nearby(self, queries: DataFrame, k: int, threshold: float | None = None, with_payload: bool = True, with_vectors: bool = False) -> DataFrame:
         hits = top_k(self.points(), queries, k, threshold)

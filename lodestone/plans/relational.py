@@ -19,7 +19,6 @@ def duck_draw(name: str, key: str = "p_partkey") -> str:
     return DRAW.format(name=name, key=key)
 
 
-both("retrieve_by_ids", "SELECT vec_id, label FROM embeddings WHERE vec_id % 7 = 0")
 both("equality_filter", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 both("distinct_counts", "SELECT count(*) AS n, count(DISTINCT p_name) AS names, count(DISTINCT p_brand) AS brands FROM part")
 both("partial_final_count", "SELECT coalesce(l_returnflag, 'total') AS flag, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag)")
@@ -28,8 +27,6 @@ both("kept_ids_intersect", "SELECT user_id FROM events WHERE event_type = 'view'
 both("union_all_pairs", "SELECT side, label, count(*) AS n FROM (SELECT 'x' AS side, label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'x2' AS side, label FROM embeddings WHERE vec_id % 2 = 1) u GROUP BY side, label")
 both("ordered_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
 both("global_topk", "SELECT rank, o_orderkey, o_totalprice FROM (SELECT cast(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS bigint) AS rank, o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) t) r")
-both("default_projection", "SELECT p_partkey, coalesce(nullif(CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN NULL ELSE p_name END, ''), 'Unknown') AS name FROM part")
-both("bool_parse", "SELECT p_partkey, lower(CASE p_partkey % 5 WHEN 0 THEN 'Y' WHEN 1 THEN 'Yes' WHEN 2 THEN 'TRUE' WHEN 3 THEN 'no' ELSE '' END) IN ('y', 'yes', 'true') AS flag FROM part")
 both("rate_metrics", "SELECT event_id, round(cast(length(props) AS double) / nullif(value, 0) / 1000, 6) AS kbps, round(value * 1000, 6) AS ms, round(1000 / nullif(value, 0), 6) AS fps FROM events")
 both("adaptive_delay", "SELECT event_id, round(greatest(cast(66 AS double), coalesce(CASE WHEN event_id % 4 = 0 THEN NULL ELSE value / 1000 END, 0.01) * 1500), 6) AS delay_ms FROM events")
 both("value_range_check", "SELECT event_type, round(min(value), 6) AS low, round(max(value), 6) AS high, min(value) >= 0 AND max(value) <= 1 AS in_range FROM events GROUP BY event_type")
