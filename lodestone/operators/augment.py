@@ -81,8 +81,9 @@ def speckle(img, rng, strength: float = 0.3):
     return colours(img, lambda v: v + v * rng.normal(0, strength, v.shape))
 
 
-def poisson(img, rng, peak: float = 0.8):
-    return colours(img, lambda v: rng.poisson(v * 255 * peak) / (255 * peak))
+def poisson(img, rng, peak: float = 0.8, amount: float = 0.5):
+    """Counts of photons, few of them, blended in by ``amount``."""
+    return colours(img, lambda v: (1 - amount) * v + amount * rng.poisson(clipped(v) * peak) / peak)
 
 
 def salt_pepper(img, rng, share: float = 0.01):
@@ -108,9 +109,17 @@ def _filtered(img: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return sum(kernel[a, b] * wide[a : a + img.shape[0], b : b + img.shape[1]] for a in range(len(kernel)) for b in range(len(kernel)))
 
 
+def gaussian_kernel(n: int) -> np.ndarray:
+    """Of odd size: binomial up to 5, beyond that with the spread that belongs to the size."""
+    if n <= 5:
+        row = np.array({1: [1], 3: [1, 2, 1], 5: [1, 4, 6, 4, 1]}[n], float)
+    else:
+        row = np.exp(-((np.arange(n) - n // 2) ** 2) / (2 * (0.15 * n + 0.35) ** 2))
+    return np.outer(row, row) / row.sum() ** 2
+
+
 def blur(img, rng, most: int = 3):
-    n = int(rng.choice(range(1, most + 1, 2)))
-    return _filtered(img, np.full((n, n), 1 / n**2))
+    return _filtered(img, gaussian_kernel(int(rng.integers(0, (most + 1) // 2)) * 2 + 1))
 
 
 def sharpen(img, rng):
@@ -129,25 +138,39 @@ def down_and_up(img, rng, most: int = 2):
 
 
 def cutout(img, rng, holes: int = 8, size: int = 8):
+    """Black squares around random places, cut off at the edges."""
     img = img.copy()
     for _ in range(holes):
         y, x = rng.integers(0, img.shape[0]), rng.integers(0, img.shape[1])
-        img[y : y + rng.integers(1, size + 1), x : x + rng.integers(1, size + 1)] = 0
+        img[max(0, y - size // 2) : y + size // 2, max(0, x - size // 2) : x + size // 2] = 0
     return img
 
 
 def erase(img, rng, share: tuple[float, float] = (0.2, 0.4), aspect: tuple[float, float] = (1.0, 3.0)):
-    """A rectangle filled with one colour, the mean, noise, black or white."""
+    """A rectangle filled with one colour, the mean, noise, black or white. It may reach over the edges."""
     h, w = img.shape[:2]
     area, ratio = rng.uniform(*share) * h * w, rng.uniform(*aspect) ** rng.choice([-1, 1])
-    eh, ew = min(h, max(1, int((area * ratio) ** 0.5))), min(w, max(1, int((area / ratio) ** 0.5)))
-    y, x = rng.integers(0, h - eh + 1), rng.integers(0, w - ew + 1)
-    img, part = img.copy(), img[y : y + eh, x : x + ew]
-    fills = (np.zeros(part.shape), np.ones(part.shape), np.broadcast_to(part.mean(axis=(0, 1)), part.shape), np.broadcast_to(rng.random(img.shape[2]), part.shape), rng.random(part.shape))
-    img[y : y + eh, x : x + ew] = fills[rng.integers(len(fills))]
+    half_h, half_w = int((area * ratio) ** 0.5) // 2, int((area / ratio) ** 0.5) // 2
+    y, x = rng.integers(-half_h, h + half_h + 1), rng.integers(-half_w, w + half_w + 1)
+    inside = slice(max(0, y - half_h), max(0, y + half_h)), slice(max(0, x - half_w), max(0, x + half_w))
+    img = img.copy()
+    part = img[inside]
+    if part.size:
+        fills = (np.zeros(part.shape), np.ones(part.shape), np.broadcast_to(img.mean(axis=(0, 1)), part.shape), np.broadcast_to(rng.random(img.shape[2]), part.shape), rng.random(part.shape))
+        img[inside] = fills[rng.integers(len(fills))]
     return img
 
 
+def channel_jitter(img, rng, low: float = 0.7, high: float = 1.3):
+    """Each colour channel times a factor of its own."""
+    return colours(img, lambda v: v * rng.uniform(low, high, 3))
+
+
+def channel_dim(img, rng, reach: float = 0.3):
+    """Factors around 0: dark, and black where the factor is negative."""
+    return channel_jitter(img, rng, -reach, reach)
+
+
 def warped(img: np.ndarray, matrix: np.ndarray, h: int, w: int) -> np.ndarray:
     """matrix takes pixels of the input to those of the output; what has no source stays 0."""
     y, x = np.mgrid[0:h, 0:w]
@@ -177,6 +200,33 @@ def perspective(img, rng, share: float = 0.1):
     return warped(img, perspective_matrix(corners, corners + rng.uniform(-share, share, (4, 2)) * [w, h]), h, w)
 
 
+def corner_warp(img, rng, low: float = -0.25, high: float = 0.3):
+    """Corners move inwards by ``low`` plus up to half of the way to ``high``, as shares of the sides."""
+    h, w = img.shape[0] - 1, img.shape[1] - 1
+    from lodestone.operators.synth import perspective_matrix
+
+    corners = np.array([[0, 0], [w, 0], [w, h], [0, h]], float)
+    inwards = np.array([[1, 1], [-1, 1], [-1, -1], [1, -1]]) * [max(w, 1), max(h, 1)]
+    moved = corners + (low + rng.random((4, 2)) * abs(high - low) / 2) * inwards
+    return warped(img, perspective_matrix(corners, moved), *img.shape[:2])
+
+
+def corner_warp_out(img, rng):
+    """Corners leave the image: its middle is magnified."""
+    return corner_warp(img, rng, -0.25, -0.5)
+
+
+def rotate_bounded(img, rng, low: float = 0.0, high: float = 360.0):
+    """Turned by any angle on a canvas that holds all of the image."""
+    t = np.radians(rng.uniform(low, high))
+    (h, w), c, s = img.shape[:2], np.cos(t), np.sin(t)
+    nh, nw = int(h * abs(c) + w * abs(s)), int(h * abs(s) + w * abs(c))
+    turn = np.array([[c, s, 0], [-s, c, 0], [0, 0, 1]])
+    to, back = np.eye(3), np.eye(3)
+    back[:2, 2], to[:2, 2] = (-(w // 2), -(h // 2)), (nw / 2, nh / 2)
+    return warped(img, to @ turn @ back, max(1, nh), max(1, nw))
+
+
 def augmented(images: DataFrame, step: Step, seed: int, ident: str = "id") -> DataFrame:
     """images: (ident, h, w, c, data) and other columns. Rows whose data does not fit their shape get null data."""
     schema = ", ".join(f"`{n}` {t}" for n, t in images.dtypes)
@@ -199,5 +249,5 @@ def augmented(images: DataFrame, step: Step, seed: int, ident: str = "id") -> Da
 
 #: Every step by name, for configuration.
 STEPS: dict[str, Step] = {
-    f.__name__: f for f in (flip, upside_down, tint, fade, brightness_contrast, gaussian_noise, speckle, poisson, salt_pepper, noise, blur, sharpen, down_and_up, cutout, erase, affine, perspective)
+    f.__name__: f for f in (flip, upside_down, tint, fade, brightness_contrast, gaussian_noise, speckle, poisson, salt_pepper, noise, blur, sharpen, down_and_up, cutout, erase, affine, perspective, channel_jitter, channel_dim, corner_warp, corner_warp_out, rotate_bounded)
 }

@@ -52,11 +52,16 @@ def advance(state: dict, points: list[np.ndarray], reach: float, hits_most: int)
     return out
 
 
-def tracked(detections: DataFrame, reach: float = 300.0, hits_most: int = 5, hits_first: int = 2) -> DataFrame:
+def tracked(detections: DataFrame, reach: float = 300.0, hits_most: int = 5, hits_first: int = 2, idle_ms: int | None = None) -> DataFrame:
     """detections: stream_id, frame, detection, points array<array<double>>. Frames of one trigger are taken in order;
-    a frame that comes after a later one has been handled is left out."""
+    a frame that comes after a later one has been handled is left out. A stream without frames for ``idle_ms`` of
+    processing time has ended and its state is dropped: give it wherever the query runs on. Without it state stays, as
+    runs that end with their input need (availableNow would wait for the timeouts)."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         state = json.loads(held.get[0]) if held.exists else {"next": 0, "tracks": [], "frame": None}
         rows, out = pd.concat(list(parts)).sort_values(["frame", "detection"]), []
         for frame, one in rows.groupby("frame", sort=True):
@@ -66,6 +71,8 @@ def tracked(detections: DataFrame, reach: float = 300.0, hits_most: int = 5, hit
             got = advance(state, [np.array([list(q) for q in p], float) for p in one["points"]], reach, hits_most)
             out += [(key[0], int(frame), int(d), t, s, x) for d, (t, s, x) in zip(one["detection"], got) if s >= hits_first]
         held.update((json.dumps(state),))
+        if idle_ms:
+            held.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["stream_id", "frame", "detection", "track", "seen", "distance"])
 
-    return detections.select("stream_id", "frame", "detection", "points").groupBy("stream_id").applyInPandasWithState(step, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    return detections.select("stream_id", "frame", "detection", "points").groupBy("stream_id").applyInPandasWithState(step, OUTPUT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)

@@ -1,6 +1,7 @@
 import numpy as np
 from lodestone.operators import folds
 from lodestone.streaming.averages import gated_average, windowed_counts
+from lodestone.streaming.frames import recognised
 from lodestone.streaming.tracker import advance, tracked
 from pyspark.sql import functions as F
 
@@ -50,3 +51,11 @@ def test_windowed_counts(spark, tmp_path):
     spark.createDataFrame(rows, "s string, k string").select(F.to_timestamp("s").alias("ts"), "k").coalesce(1).write.parquet(f"{tmp_path}/in")
     got = run(windowed_counts(spark.readStream.schema("ts timestamp, k string").parquet(f"{tmp_path}/in"), "ts", "k", "5 minutes"), "counts", "update")
     assert {(r["k"], r["n"]) for r in got.collect()} == {("a", 2), ("b", 1)}
+
+
+def test_frames_meet_the_catalog(spark, tmp_path):
+    schema = "frame long, id long, name string"
+    spark.createDataFrame([(1, 7, "x"), (1, None, "y"), (2, 8, "z")], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    held = spark.createDataFrame([(7, "Island", 0.5), (None, "none", 1.0), (9, "Forest", 2.0)], "id long, name string, price double")
+    got = run(recognised(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), held), "frames", "append")
+    assert {tuple(r) for r in got.select("frame", "id", "name", "price", "known").collect()} == {(1, 7, "x", 0.5, True), (1, None, "y", None, False), (2, 8, "z", None, False)}
