@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textblocks import WordHasher, Words, blocks, distinct, distinct_places, mix
+from lodestone.llm.textblocks import WordHasher, Words, blocks, distinct, distinct_places, give_back_memory, mix
 from lodestone.session import staged
 
 #: The longest n-gram.
@@ -326,6 +326,7 @@ def _scored_in_place(todo: DataFrame, model: DataFrame, kind: str, order: int, b
         del rows
 
     def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         pieces = [p.value for p in shared]
         for chunk in _chunks(parts, order):
             ones, of_one = distinct_places(np.concatenate([t.token for _, t in chunk]))
