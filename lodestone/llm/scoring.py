@@ -132,6 +132,7 @@ def _ngram_blocks(docs: DataFrame, text: str, order: int, n_buckets: int) -> Dat
     """(kind, bucket, n, keys, counts): kind 1 for unigrams, 2 for longer n-grams; counts of one task's hashes."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         hasher = WordHasher()
         held: dict[int, list] = {1: [], 2: []}
         size = {1: 0, 2: 0}
@@ -192,6 +193,7 @@ def _segments(counted: DataFrame, base: float, bits: int) -> DataFrame:
     rows = counted.groupBy("kind", "bucket").agg(F.collect_list(F.struct("n", "keys", "counts")).alias("found"))
 
     def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back_memory()
         for part in parts:
             out = []
             for kind, bucket, found in zip(part["kind"], part["bucket"], part["found"]):
@@ -324,6 +326,7 @@ def _scored_in_place(todo: DataFrame, model: DataFrame, kind: str, order: int, b
         rows = model.where(F.col("bucket").between(low, high - 1)).select("kind", "bucket", "a", "b").collect()
         shared.append(context.broadcast(Piece(rows, low, high, n_buckets)))
         del rows
+        give_back_memory()
 
     def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back_memory()
