@@ -206,8 +206,9 @@ def calibrated(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> dict:
     """Features, weights and bias. labels: (key, label), training rows only. Rows of a key that labels
-    repeats take its highest label; null keys and labels are left out. Of more than ``sample`` labelled keys, those with
-    the smallest hashes are used."""
+    repeats take its highest label; null keys and labels are left out. Texts of docs that share a key all count when words
+    are mined; the one with the first features in order stands for the key after that. Of more than ``sample`` labelled
+    keys, those with the smallest hashes are used."""
     chosen = labels.select(labels[key].alias("k"), labels[label].alias("toxic")).where("k is not null and toxic is not null").groupBy("k").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("k"), "k").limit(sample)
     # bounded by ``sample``, so the few ids are sent to the texts and not the texts to them
     rows = staged(docs.select(docs[key].alias("k"), docs[text].alias("text")).join(F.broadcast(staged(chosen, "chosen")), "k"), "labelled")
@@ -224,7 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pd.DataFrame({"k": part["k"], "toxic": part["toxic"].astype("int64"), "has": [finder.find(t) for t in part["text"]]})
 
     kind = dict(rows.dtypes)["k"]
-    got = rows.mapInPandas(have, f"k {kind}, toxic long, has array<long>").orderBy("k", "toxic", "has").limit(2 * sample).collect()
+    # one row for each key chosen
+    got = rows.mapInPandas(have, f"k {kind}, toxic long, has array<long>").groupBy("k", "toxic").agg(F.min("has").alias("has")).orderBy("k").collect()
     n, m = len(got), len(names)
     truth = np.array([r["toxic"] == 1 for r in got], dtype=float)
     has = [np.array(r["has"], dtype=np.int64) for r in got]

@@ -56,6 +56,15 @@ def test_sample_is_bounded(spark):
     assert len(X.fit(docs, labels, sample=100)["truth"]) == 100
 
 
+def test_repeated_documents_stand_once_for_their_key(spark):
+    docs, labels = corpus(spark, 300)
+    one = docs.where("doc_id = 7")
+    for _ in range(5):
+        one = one.union(one)
+    fitted = X.fit(docs.union(one), labels, sample=300)
+    assert len(fitted["truth"]) == 300 and fitted["truth"].sum() == 100
+
+
 def test_odd_rows_and_empty_tables(spark):
     docs, labels = corpus(spark, 300)
     model = X.fit(docs, labels)
