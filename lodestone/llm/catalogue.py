@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters, and the pipeline that chains five of them."""
+"""The thirteen operators over their whole tables, with production parameters, and the pipeline that chains five of them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import boilerplate, byte_pairs, disclosure, mixing, near_duplicates, outliers, scoring, toxicity, transport, url_lists
+from lodestone.llm import alignment, boilerplate, byte_pairs, disclosure, mixing, near_duplicates, outliers, packing, scoring, toxicity, transport, url_lists, variants
 from lodestone.session import table
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, labels.where(~held_out)).withColumn("held_out", held_out)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.share_ids(spark, byte_pairs.vocabulary_path()), keep=["doc_id"], digest=True)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scores": op1_lm_scores,
@@ -70,6 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_media": op9_media,
         "op10_toxicity": op10_toxicity,
+        "op11_packing": op11_packing,
+        "op12_alignment": op12_alignment,
+        "op13_variants": op13_variants,
         "pipeline": corpus_pipeline.run,
     }
 
