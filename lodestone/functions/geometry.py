@@ -134,3 +134,67 @@ def box_overlap(a: Column, b: Column) -> Column:
 
 def box_holds(a: Column, b: Column) -> Column:
     return (a["x0"] <= b["x0"]) & (a["y0"] <= b["y0"]) & (a["x1"] >= b["x1"]) & (a["y1"] >= b["y1"])
+
+
+def signed_area(points: Column) -> Column:
+    """Positive for vertices in anticlockwise order on axes that point right and up."""
+    return _cyclic(points, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]) / 2
+
+
+def anticlockwise(points: Column) -> Column:
+    return F.when(signed_area(points) < 0, F.reverse(points)).otherwise(points)
+
+
+def edges(points: Column) -> Column:
+    """Array of structs (p, q), from each vertex to the next."""
+    return F.transform(points, lambda p, i: F.struct(p.alias("p"), F.element_at(points, (i + 1) % F.size(points) + 1).alias("q")))
+
+
+def _side(edge: Column, r: Column) -> Column:
+    """Positive where r lies to the left of the edge's line, 0 on it."""
+    p, q = edge["p"], edge["q"]
+    return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+
+
+def clipped(points: Column, edge: Column) -> Column:
+    """What of a polygon lies to the left of an edge's line: a vertex that does stays, and where two neighbours lie on
+    different sides the point between them on the line is added."""
+
+    def met(r: Column, i: Column) -> Column:
+        s = F.element_at(points, F.when(i == 0, F.lit(-1)).otherwise(i))
+        here, before = _side(edge, r), _side(edge, s)
+        share = before / (before - here)
+        cut = F.when((here >= 0) != (before >= 0), point(s["x"] + (r["x"] - s["x"]) * share, s["y"] + (r["y"] - s["y"]) * share))
+        return F.array_compact(F.array(cut, F.when(here >= 0, point(r["x"], r["y"]))))
+
+    return F.flatten(F.transform(points, met))
+
+
+def intersection(a: Column, b: Column) -> Column:
+    """What polygon a shares with a convex polygon b: a is clipped by b's edges one after another. For a convex a the result
+    is exact; empty where they are apart, and without area where they only touch."""
+    return F.aggregate(edges(anticlockwise(b)), F.transform(a, lambda p: point(p["x"], p["y"])), clipped)
+
+
+def shared_area(a: Column, b: Column) -> Column:
+    return area(intersection(a, b))
+
+
+def difference_area(a: Column, b: Column) -> Column:
+    """Of what of a lies outside b; both convex."""
+    return area(a) - shared_area(a, b)
+
+
+def holds(a: Column, b: Column) -> Column:
+    """Whether the convex polygon a contains all of b; edges may touch."""
+    return F.forall(edges(anticlockwise(a)), lambda e: F.forall(b, lambda r: _side(e, r) >= 0))
+
+
+def bounds(points: Column) -> Column:
+    """The box (x0, y0, x1, y1) around a polygon."""
+    of = lambda c: F.transform(points, lambda p: p[c])
+    return F.struct(F.array_min(of("x")).alias("x0"), F.array_min(of("y")).alias("y0"), F.array_max(of("x")).alias("x1"), F.array_max(of("y")).alias("y1"))
+
+
+def rectangle(cx: Column, cy: Column, w: Column, h: Column) -> Column:
+    return array_of(point(cx - w / 2, cy - h / 2), point(cx + w / 2, cy - h / 2), point(cx + w / 2, cy + h / 2), point(cx - w / 2, cy + h / 2))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import geometry as G
 from lodestone.functions import sampling as S
 from lodestone.functions import text as T
+from lodestone.operators.boxes import overlapping
 from lodestone.plans.record import query
 from lodestone.plans.relational import duck_draw
 from lodestone.session import table
@@ -195,15 +196,10 @@ def lerp_color(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bbox_overlap_join", "WITH b AS (SELECT p_partkey, p_size::DOUBLE AS x0, p_size + 3.0 AS x1, p_retailprice AS y0, p_retailprice + 20 AS y1 FROM part) SELECT a.p_partkey AS id, b.p_partkey AS other_id FROM b a JOIN b ON a.p_partkey < b.p_partkey AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
 def bbox_overlap_join(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes meet in the grid cells that they touch; a pair is reported in the cell of its lowest common corner only."""
-    cell = 25.0
-    b = parts(spark, d).select("p_partkey", width().alias("x0"), (width() + 3.0).alias("x1"), F.col("p_retailprice").alias("y0"), (F.col("p_retailprice") + 20.0).alias("y1"))
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    keyed = b.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
-    left, right = keyed.alias("l"), keyed.alias("r")
-    met = left.join(right, F.expr("l.cx = r.cx and l.cy = r.cy and l.p_partkey < r.p_partkey and l.x0 < r.x1 and r.x0 < l.x1 and l.y0 < r.y1 and r.y0 < l.y1"))
-    own = met.where(F.expr(f"l.cx = floor(greatest(l.x0, r.x0) / {cell}D) and l.cy = floor(greatest(l.y0, r.y0) / {cell}D)"))
-    return own.select(F.col("l.p_partkey").alias("id"), F.col("r.p_partkey").alias("other_id"))
+    """Boxes meet in the grid cells that they touch; cells are as large as the boxes are in the mean."""
+    box = F.struct(width().alias("x0"), (width() + 3.0).alias("x1"), F.col("p_retailprice").alias("y0"), (F.col("p_retailprice") + 20.0).alias("y1"))
+    met = overlapping(parts(spark, d).select("p_partkey", box.alias("box")), [], "p_partkey", "box")
+    return met.select(F.col("l.p_partkey").alias("id"), F.col("r.p_partkey").alias("other_id"))
 
 
 _FLAG = duck_draw("swap")
