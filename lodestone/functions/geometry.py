@@ -13,6 +13,11 @@ def point(x: Column | float, y: Column | float) -> Column:
     return F.struct(lit(x).cast("double").alias("x"), lit(y).cast("double").alias("y"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used: Spark shares no results within lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _each(points: Column, of: Callable[[Column], Column]) -> Column:
     return F.transform(points, of)
 
@@ -45,9 +50,12 @@ def corner_jitter(points: Column, shares: Column, ratio: float, cx: Column, cy:
 
 def _cyclic(points: Column, term: Callable[[Column, Column], Column]) -> Column:
     """Sum of a term over edges."""
-    n = F.size(points)
-    terms = F.transform(points, lambda p, i: term(p, F.element_at(points, (i + 1) % n + 1)))
-    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+
+    def total(held: Column) -> Column:
+        terms = F.transform(held, lambda p, i: term(p, F.element_at(held, (i + 1) % F.size(held) + 1)))
+        return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+
+    return let(points, total)
 
 
 def area(points: Column) -> Column:
@@ -147,7 +155,7 @@ def anticlockwise(points: Column) -> Column:
 
 def edges(points: Column) -> Column:
     """Array of structs (p, q), from each vertex to the next."""
-    return F.transform(points, lambda p, i: F.struct(p.alias("p"), F.element_at(points, (i + 1) % F.size(points) + 1).alias("q")))
+    return let(points, lambda held: F.transform(held, lambda p, i: F.struct(p.alias("p"), F.element_at(held, (i + 1) % F.size(held) + 1).alias("q"))))
 
 
 def _side(edge: Column, r: Column) -> Column:
@@ -160,14 +168,18 @@ def clipped(points: Column, edge: Column) -> Column:
     """What of a polygon lies to the left of an edge's line: a vertex that does stays, and where two neighbours lie on
     different sides the point between them on the line is added."""
 
-    def met(r: Column, i: Column) -> Column:
-        s = F.element_at(points, F.when(i == 0, F.lit(-1)).otherwise(i))
-        here, before = _side(edge, r), _side(edge, s)
-        share = before / (before - here)
-        cut = F.when((here >= 0) != (before >= 0), point(s["x"] + (r["x"] - s["x"]) * share, s["y"] + (r["y"] - s["y"]) * share))
-        return F.array_compact(F.array(cut, F.when(here >= 0, point(r["x"], r["y"]))))
+    sided = F.transform(points, lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), _side(edge, r).alias("side")))
+
+    def met(held: Column) -> Column:
+        def kept(r: Column, i: Column) -> Column:
+            s = F.element_at(held, F.when(i == 0, F.lit(-1)).otherwise(i))
+            share = s["side"] / (s["side"] - r["side"])
+            cut = F.when((r["side"] >= 0) != (s["side"] >= 0), point(s["x"] + (r["x"] - s["x"]) * share, s["y"] + (r["y"] - s["y"]) * share))
+            return F.array_compact(F.array(cut, F.when(r["side"] >= 0, point(r["x"], r["y"]))))
+
+        return F.flatten(F.transform(held, kept))
 
-    return F.flatten(F.transform(points, met))
+    return let(sided, met)
 
 
 def intersection(a: Column, b: Column) -> Column:

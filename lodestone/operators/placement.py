@@ -16,10 +16,10 @@ from lodestone.operators.boxes import overlapping
 from lodestone.session import staged
 
 
-def hides(new: Column, old: Column, new_area: Column, old_area: Column, shared: Column, least_visible: float, no_contains: bool) -> Column:
-    """Whether a card that is already placed (old) is in the way of a new one, given by what the image shows of it: too
-    little of either would stay visible, or one contains the other."""
-    far = (G.area(new) - shared) / new_area < least_visible
+def hides(new: Column, old: Column, new_seen: Column, new_area: Column, old_area: Column, shared: Column, least_visible: float, no_contains: bool) -> Column:
+    """Whether a card that is already placed (old) is in the way of a new one, given by what the image shows of it, with that
+    part's area and the whole card's: too little of either would stay visible, or one contains the other."""
+    far = (new_seen - shared) / new_area < least_visible
     near = (old_area - shared) / old_area < least_visible
     inside = G.holds(new, old) | (G.holds(old, new) if no_contains else F.lit(False))
     return far | near | inside
@@ -53,11 +53,11 @@ def place(candidates: DataFrame, image: str, item: str, ident: str, polygon: str
     """
     least_in_image = max(least_in_image, least_visible)
     frame = G.array_of(G.point(0.0, 0.0), G.point(width, 0.0), G.point(width, height), G.point(0.0, height))
-    shown = candidates.select(ident, image, item, F.col(polygon).alias("_p"), G.area(F.col(polygon)).alias("_area"), G.intersection(F.col(polygon), frame).alias("_v"))
-    shown = staged(shown.where((F.col("_area") > 0) & (F.round(G.area(F.col("_v")) / F.col("_area"), 12) >= least_in_image)).withColumn("_box", G.bounds(F.col("_p"))), "shown")
+    shown = candidates.select(ident, image, item, F.col(polygon).alias("_p"), G.area(F.col(polygon)).alias("_area"), G.intersection(F.col(polygon), frame).alias("_v"), G.bounds(F.col(polygon)).alias("_box"))
+    shown = staged(shown.withColumn("_seen", G.area(F.col("_v"))), "shown").where((F.col("_area") > 0) & (F.round(F.col("_seen") / F.col("_area"), 12) >= least_in_image))
     old, new = F.col("l"), F.col("r")
     met = overlapping(shown, [image], ident, "_box", only=old[item] != new[item], closed=True)
-    shared = met.select(old[ident].alias("earlier"), new[ident].alias("later"), "l", "r", G.shared_area(new["_v"], old["_p"]).alias("_shared"))
-    ways = shared.where(hides(new["_v"], old["_p"], new["_area"], old["_area"], F.col("_shared"), least_visible, no_contains))
+    way = G.let(G.shared_area(new["_v"], old["_p"]), lambda shared: hides(new["_v"], old["_p"], new["_seen"], new["_area"], old["_area"], shared, least_visible, no_contains))
+    ways = met.where(way).select(old[ident].alias("earlier"), new[ident].alias("later"))
     taken, _ = taken_in_order(shown, ways, ident, [image, item])
     return candidates.join(taken, ident)
