@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.ranges import ringed
 from lodestone.session import staged
 
 
@@ -39,11 +40,10 @@ def last_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def similar(df: DataFrame, ident: str, by: str, draw: Column) -> DataFrame:
     """Each id with one other id of its group, or null. Members of a group are ordered by a seeded draw and each takes
-    the next one round, so a group of n gives n rows, not n squared, and pairs differ between seeds."""
-    order = W.partitionBy(by).orderBy("_draw", ident)
-    ring = df.select(ident, by, draw.alias("_draw"))
-    following = F.coalesce(F.lead(ident).over(order), F.first(ident).over(order))
-    return ring.select(ident, by, F.nullif(following, F.col(ident)).alias("other_id"))
+    the next one round, so a group of n gives n rows, not n squared, and pairs differ between seeds. Groups are dealt out
+    by ranges, so a hot one is spread over tasks."""
+    ring = ringed(df.select(ident, by, draw.alias("_draw")), by, ["_draw", ident], ident, "_next")
+    return ring.select(ident, by, F.nullif(F.col("_next"), F.col(ident)).alias("other_id"))
 
 
 def missing(wanted: DataFrame, existing: DataFrame, key: str) -> DataFrame:

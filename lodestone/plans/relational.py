@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import sampling as S
 from lodestone.functions import text as T
-from lodestone.operators import catalog, folds
+from lodestone.operators import catalog, folds, ranges
 from lodestone.plans.record import both, query
 from lodestone.session import table
 
@@ -156,9 +155,9 @@ def every_n_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("frame_period_lag", "SELECT event_id, epoch_us(lag(ts, 1) OVER w) - epoch_us(lag(ts, 2) OVER w) AS period_us FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)")
 def frame_period_lag(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("event_type").orderBy("us", "event_id")
     events = table(spark, d, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return events.select("event_id", (F.lag("us", 1).over(w) - F.lag("us", 2).over(w)).alias("period_us"))
+    rows = ranges.lagged(events, "event_type", ["us", "event_id"], {"ended": ("us", 1), "began": ("us", 2)})
+    return rows.select("event_id", (F.col("ended") - F.col("began")).alias("period_us"))
 
 
 @query("frame_diff", """WITH p AS (SELECT DISTINCT user_id, cast(ts AS date) AS day FROM events), b AS (SELECT max(day) AS last FROM p),
@@ -185,13 +184,10 @@ def selection_rule(spark: SparkSession, d: str) -> DataFrame:
           FROM det JOIN trk ON det.event_type = trk.event_type AND abs(det.value - trk.value) <= 5)
     SELECT event_id, track_id, round(distance, 6) AS distance FROM c WHERE k = 1""")
 def nearest_assignment(spark: SparkSession, d: str) -> DataFrame:
-    # within one key, values are cut into bins as wide as the reach, so only neighbours meet
     e = table(spark, d, "events").select("event_type", "event_id", "value", F.to_date("ts").alias("day"))
     last = F.broadcast(e.agg(F.max("day").alias("last")))
-    det = e.join(last, F.col("day") == F.col("last")).select("event_type", "event_id", "value", F.explode(F.array(*[F.floor(F.col("value") / 5) + k for k in (-1, 0, 1)])).alias("bin"))
-    trk = e.join(last, F.col("day") == F.date_sub("last", 1)).select("event_type", F.col("event_id").alias("track_id"), F.col("value").alias("at"), F.floor(F.col("value") / 5).alias("bin"))
-    near = det.join(trk, ["event_type", "bin"]).withColumn("distance", F.abs(F.col("value") - F.col("at"))).where("distance <= 5")
-    return near.groupBy("event_id").agg(F.min(F.struct("distance", "track_id")).alias("m")).select("event_id", "m.track_id", F.round("m.distance", 6).alias("distance"))
+    det, trk = e.join(last, F.col("day") == F.col("last")), e.join(last, F.col("day") == F.date_sub("last", 1))
+    return ranges.nearest(det, trk, "event_type", "event_id", "value", 5.0).select("event_id", F.col("other").alias("track_id"), F.round("distance", 6).alias("distance"))
 
 
 @query("symbol_tokenize_join", r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '\{[^{}]*\}')) AS token FROM pages), d AS (SELECT token FROM t GROUP BY token ORDER BY count(*) DESC, token LIMIT 20)

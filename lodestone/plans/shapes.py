@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import geometry as G
 from lodestone.functions import sampling as S
 from lodestone.functions import text as T
+from lodestone.operators import ranges
 from lodestone.operators.boxes import overlapping
 from lodestone.plans.record import query
 from lodestone.plans.relational import duck_draw
@@ -217,10 +218,8 @@ def hash_choice(spark: SparkSession, d: str) -> DataFrame:
 
 @query("shuffled_order", f"SELECT p_brand, p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY {duck_draw('shuffle')}, p_partkey))::BIGINT AS place FROM part")
 def shuffled_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("p_brand").orderBy(S.draw("shuffle", F.col("p_partkey")), "p_partkey")
-    return table(spark, d, "part").select("p_brand", "p_partkey", F.row_number().over(order).cast("long").alias("place"))
+    rows = table(spark, d, "part").select("p_brand", "p_partkey", S.draw("shuffle", F.col("p_partkey")).alias("draw"))
+    return ranges.placed(rows, "p_brand", ["draw", "p_partkey"], "place").select("p_brand", "p_partkey", "place")
 
 
 @query("seeded_sample", f"SELECT p_partkey FROM part ORDER BY {duck_draw('sample')}, p_partkey LIMIT 100")
