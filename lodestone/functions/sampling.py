@@ -28,3 +28,13 @@ def bernoulli(name: str, ident: Column, p: float, seed: str = SEED) -> Column:
 
 def log_uniform(name: str, ident: Column, low: float, high: float, seed: str = SEED) -> Column:
     return F.exp(F.log(F.lit(low)) + uniform(name, ident, seed) * (F.log(F.lit(high)) - F.log(F.lit(low))))
+
+
+def forced(flag: Column, p: float) -> Column:
+    """The chance of an event that a flag forces (true) or forbids (false); p where it is null."""
+    return F.coalesce(flag.cast("double"), F.lit(p))
+
+
+def bernoulli_of(name: str, ident: Column, chance: Column, seed: str = SEED) -> Column:
+    """bernoulli with a chance of each row's own: 1 always happens, 0 never."""
+    return uniform(name, ident, seed) < chance

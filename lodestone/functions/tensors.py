@@ -38,8 +38,9 @@ def corner_radius(width: Column, height: Column, ratio: float) -> Column:
 
 
 def round_mask(width: Column, height: Column, ratio: float) -> Column:
-    """Row by row, whether a pixel lies in the rectangle with round corners."""
+    """Row by row, whether a pixel lies in the rectangle with round corners: quarters of a disc around the innermost pixel of
+    a tile of radius by radius pixels in each corner."""
     r = corner_radius(width, height, ratio)
-    off = lambda i, n: F.greatest(F.lit(0), r - i, i - (n - 1 - r)).cast("double")
+    off = lambda i, n: F.greatest(F.lit(0), r - 1 - i, i - (n - r)).cast("double")
     row = lambda y: F.transform(F.sequence(F.lit(0), width - 1), lambda x: off(x, width) ** 2 + off(y, height) ** 2 <= (r * r).cast("double"))
     return F.flatten(F.transform(F.sequence(F.lit(0), height - 1), row))

@@ -17,8 +17,8 @@ def symbols(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Tokens in braces and single characters between them."""
-    return F.regexp_extract_all(text, F.lit(r"\{[^}]*\}|[^{]"), F.lit(0))
+    """Tokens in braces and single characters between them. A brace that nothing closes is a character."""
+    return F.regexp_extract_all(text, F.lit(r"\{[^}]*\}|[\s\S]"), F.lit(0))
 
 
 def or_default(value: Column, default: str) -> Column:

@@ -66,14 +66,19 @@ def retrieved(points: DataFrame, ids: DataFrame, key: str, columns: list[str]) -
     return points.select(key, *columns).join(ids.select(key).distinct(), key, "left_semi")
 
 
+def symbology(records: DataFrame, symbol: str = "symbol", uri: str = "svg_uri") -> DataFrame:
+    """(token, uri): one row a symbol, the first address of several; null and empty symbols are none."""
+    return records.where(F.col(symbol) != "").groupBy(F.col(symbol).alias("token")).agg(F.min(uri).alias("uri"))
+
+
 def substituted(df: DataFrame, key: str, text: str, symbols: DataFrame) -> DataFrame:
-    """(key, pos, item): characters and symbols in braces of each text, in order. A symbol of ``symbols`` (token, uri)
-    becomes its uri, another one gets a second pair of braces. Null and empty texts give nothing; without any symbols, a
-    text stays whole."""
-    if symbols.isEmpty():
-        return df.where(F.col(text) != "").select(key, F.lit(0).alias("pos"), F.col(text).alias("item"))
-    items = df.select(key, F.posexplode(T.tokens(F.col(text))).alias("pos", "token")).join(symbols.select("token", "uri"), "token", "left")
-    return items.select(key, "pos", F.when(F.col("uri").isNotNull(), F.col("uri")).when(F.col("token").startswith("{"), F.concat(F.lit("{"), "token", F.lit("}"))).otherwise(F.col("token")).alias("item"))
+    """(key, pos, item): characters and symbols in braces of each text, in order. A symbol of ``symbols`` (token, uri; each
+    token once) becomes its uri, another one stays as it is, and so does a brace that nothing closes: joined, the items
+    that are no uris give back the text. Null and empty texts give nothing; without any symbols, a text stays whole."""
+    held = F.broadcast(symbols.agg(F.count(F.lit(1)).alias("_symbols")))  # one row
+    cut = F.when(F.col("_symbols") == 0, F.array(F.col(text))).otherwise(T.tokens(F.col(text)))
+    items = df.where(F.col(text) != "").crossJoin(held).select(key, F.posexplode(cut).alias("pos", "token"))
+    return items.join(symbols.select("token", "uri"), "token", "left").select(key, "pos", F.coalesce("uri", "token").alias("item"))
 
 
 def augmented(df: DataFrame, key: str, text: str, extra: str, symbols: DataFrame) -> DataFrame:

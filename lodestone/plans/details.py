@@ -65,32 +65,40 @@ def uuid_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.uuid(written).alias("id"))
 
 
-#: The symbols that the queries know, and where their pictures lie.
-SYMBOLS = [("{T}", "symbols/T.svg"), ("{W}", "symbols/W.svg"), *[(f"{{{i}}}", f"symbols/{i}.svg") for i in range(6)]]
-_VALUES = ", ".join(f"('{s}', '{u}')" for s, u in SYMBOLS)
-_TEXTS = "SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE '{' || (p_size % 9) || '}' || left(p_name, 3) || '{T}' END AS text FROM part"
+#: The symbols that the queries know are taken from the parts: letters but W, and numbers below 6.
+_SYMBOLS = """SELECT '{' || chr((65 + p_partkey % 26)::INT) || '}' AS token, 'symbols/' || chr((65 + p_partkey % 26)::INT) || '.svg' AS uri FROM part WHERE p_partkey % 26 <> 22
+    UNION SELECT '{' || (p_size % 9) || '}', 'symbols/' || (p_size % 9) || '.svg' FROM part WHERE p_size % 9 < 6"""
+_TEXTS = "SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE '{' || (p_size % 9) || '}' || left(p_name, 3) || '{T}' || CASE p_partkey % 6 WHEN 1 THEN '{W}' WHEN 2 THEN 'a{' WHEN 3 THEN '{{2}}' ELSE '' END END AS text FROM part"
+_TOKENS = r"regexp_extract_all(text, '\{[^}]*\}|[\s\S]')"
 
 
 def texts() -> Column:
-    return F.when(F.col("p_partkey") % 6 == 0, "").otherwise(F.concat(F.lit("{"), (F.col("p_size") % 9).cast("string"), F.lit("}"), F.left("p_name", F.lit(3)), F.lit("{T}")))
+    """With known and unknown symbols, and braces that nothing closes or opens."""
+    last = F.element_at(F.array(*map(F.lit, ("", "{W}", "a{", "{{2}}", "", ""))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return F.when(F.col("p_partkey") % 6 == 0, "").otherwise(F.concat(F.lit("{"), (F.col("p_size") % 9).cast("string"), F.lit("}"), F.left("p_name", F.lit(3)), F.lit("{T}"), last))
 
 
-@query("symbol_substitution", rf"""WITH t AS (SELECT p_partkey, unnest(regexp_extract_all(text, '\{{[^}}]*\}}|[^{{]')) AS token, generate_subscripts(regexp_extract_all(text, '\{{[^}}]*\}}|[^{{]'), 1) - 1 AS pos FROM ({_TEXTS}) x),
-    s AS (SELECT * FROM (VALUES {_VALUES}) v(token, uri))
-    SELECT p_partkey, pos::INT AS pos, CASE WHEN uri IS NOT NULL THEN uri WHEN starts_with(t.token, '{{') THEN '{{' || t.token || '}}' ELSE t.token END AS item FROM t LEFT JOIN s ON t.token = s.token""")
+def symbols(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    named = lambda c: F.struct(F.concat(F.lit("{"), c, F.lit("}")).alias("symbol"), F.concat(F.lit("symbols/"), c, F.lit(".svg")).alias("svg_uri"))
+    letter, number = F.char((65 + F.col("p_partkey") % 26)), (F.col("p_size") % 9).cast("string")
+    records = part.where("p_partkey % 26 <> 22").select(named(letter).alias("s")).union(part.where("p_size % 9 < 6").select(named(number).alias("s")))
+    return catalog.symbology(records.select("s.*"))
+
+
+@query("symbol_substitution", f"""WITH t AS (SELECT p_partkey, unnest({_TOKENS}) AS token, generate_subscripts({_TOKENS}, 1) - 1 AS pos FROM ({_TEXTS}) x), s AS ({_SYMBOLS})
+    SELECT p_partkey, pos::INT AS pos, coalesce(uri, t.token) AS item FROM t LEFT JOIN s ON t.token = s.token""")
 def symbol_substitution(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select("p_partkey", texts().alias("text"))
-    return catalog.substituted(rows, "p_partkey", "text", spark.createDataFrame(SYMBOLS, "token string, uri string"))
+    return catalog.substituted(table(spark, d, "part").select("p_partkey", texts().alias("text")), "p_partkey", "text", symbols(spark, d))
 
 
-@query("augmented_matches", rf"""WITH t AS (SELECT p_partkey, unnest(regexp_extract_all(text, '\{{[^}}]*\}}|[^{{]')) AS token, generate_subscripts(regexp_extract_all(text, '\{{[^}}]*\}}|[^{{]'), 1) AS pos FROM ({_TEXTS}) x),
-    s AS (SELECT * FROM (VALUES {_VALUES}) v(token, uri)),
-    i AS (SELECT p_partkey, string_agg(CASE WHEN uri IS NOT NULL THEN uri WHEN starts_with(t.token, '{{') THEN '{{' || t.token || '}}' ELSE t.token END, '|' ORDER BY pos) AS items FROM t LEFT JOIN s ON t.token = s.token GROUP BY p_partkey)
+@query("augmented_matches", f"""WITH t AS (SELECT p_partkey, unnest({_TOKENS}) AS token, generate_subscripts({_TOKENS}, 1) AS pos FROM ({_TEXTS}) x), s AS ({_SYMBOLS}),
+    i AS (SELECT p_partkey, string_agg(coalesce(uri, t.token), '|' ORDER BY pos) AS items FROM t LEFT JOIN s ON t.token = s.token GROUP BY p_partkey)
     SELECT p.p_partkey, CASE WHEN p.p_partkey % 4 = 1 THEN 'kept' ELSE coalesce(i.items, '') END AS oracle_text FROM part p LEFT JOIN i ON p.p_partkey = i.p_partkey""")
 def augmented_matches(spark: SparkSession, d: str) -> DataFrame:
     """A match that already has its extra data keeps it."""
     rows = table(spark, d, "part").select("p_partkey", texts().alias("text"), F.when(F.col("p_partkey") % 4 == 1, F.array(F.lit("kept"))).alias("extra"))
-    out = catalog.augmented(rows, "p_partkey", "text", "extra", spark.createDataFrame(SYMBOLS, "token string, uri string"))
+    out = catalog.augmented(rows, "p_partkey", "text", "extra", symbols(spark, d))
     return out.select("p_partkey", F.array_join("extra", "|").alias("oracle_text"))
 
 
@@ -184,7 +192,7 @@ def box_difference(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", F.round(G.box_area(F.col("a")) - G.box_overlap(F.col("a"), F.col("b")), 6).alias("difference"), G.box_holds(F.col("a"), F.col("b")).alias("holds"))
 
 
-@query("round_rect_mask", "WITH s AS (SELECT p_partkey, p_size AS w, p_size % 11 + 3 AS h, ceil(greatest(p_size, p_size % 11 + 3) * 0.2)::INT AS r FROM part) SELECT p_partkey, r AS radius, (SELECT count(*) FROM range(w) x(x), range(h) y(y) WHERE (greatest(0, r - x, x - (w - 1 - r)) ^ 2 + greatest(0, r - y, y - (h - 1 - r)) ^ 2) <= r * r) AS inside FROM s")
+@query("round_rect_mask", "WITH s AS (SELECT p_partkey, p_size AS w, p_size % 11 + 3 AS h, ceil(greatest(p_size, p_size % 11 + 3) * 0.2)::INT AS r FROM part) SELECT p_partkey, r AS radius, (SELECT count(*) FROM range(w) x(x), range(h) y(y) WHERE (greatest(0, r - 1 - x, x - (w - r)) ^ 2 + greatest(0, r - 1 - y, y - (h - r)) ^ 2) <= r * r) AS inside FROM s")
 def round_rect_mask(spark: SparkSession, d: str) -> DataFrame:
     """Pixels inside a rectangle with round corners, whose radius is a fifth of the longer side."""
     sizes = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("w"), (F.col("p_size") % 11 + 3).alias("h"))

@@ -211,6 +211,13 @@ def bernoulli_swap(spark: SparkSession, d: str) -> DataFrame:
     return parts(spark, d).select("p_partkey", S.bernoulli("swap", F.col("p_partkey"), 0.05).alias("swapped"))
 
 
+@query("forced_swap", f"SELECT p_partkey, {_FLAG} / 4294967296.0::DOUBLE < CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.2 END AS swapped FROM part")
+def forced_swap(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the pairs is told to swap, a third not to, the rest swaps by chance."""
+    flag = F.when(F.col("p_partkey") % 3 == 0, True).when(F.col("p_partkey") % 3 == 1, False)
+    return parts(spark, d).select("p_partkey", S.bernoulli_of("swap", F.col("p_partkey"), S.forced(flag, 0.2)).alias("swapped"))
+
+
 @query("hash_choice", f"SELECT p_partkey, ['none', 'blur', 'noise', 'tint'][({duck_draw('choice')} % 4 + 1)::INT] AS choice FROM part")
 def hash_choice(spark: SparkSession, d: str) -> DataFrame:
     return parts(spark, d).select("p_partkey", S.choice("choice", F.col("p_partkey"), F.array(*map(F.lit, ("none", "blur", "noise", "tint")))).alias("choice"))

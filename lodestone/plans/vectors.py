@@ -35,7 +35,7 @@ def indexed_topk(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "embeddings").select("vec_id", "embedding")
     index = VectorIndex(points, "vec_id", "embedding")
     queries = points.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-    return index.search(index.placed(), queries, 3).withColumn("score", F.round("score", 6))
+    return index.search(index.stored(), queries, 3).withColumn("score", F.round("score", 6))
 
 
 @query("cosine_topk", f"SELECT query_id, id, round(score, 6) AS score, rank FROM ({_ranked()}) r WHERE rank <= 3")

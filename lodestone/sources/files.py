@@ -15,9 +15,11 @@ def extension(path: Column) -> Column:
 
 
 def files_with_extension(spark: SparkSession, root: str, extensions: list[str], content: bool = False) -> DataFrame:
-    """Files below root whose extension matches without regard to case; paths are relative. Contents are only read if asked for."""
+    """Files below root whose extension matches without regard to case; paths are relative. Other files are left out when
+    files are listed, so that no content of theirs is read, and contents of these only if asked for."""
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    any_case = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(map(any_case, extensions)) + "}").load(base)
     found = files.where(extension(F.col("path")).isin([e.lower() for e in extensions]))
     after = F.substring_index(F.col("path"), base.split("://")[-1] + "/", -1)
     return found.select(after.alias("path"), "length", "modificationTime", *["content"] * content)

@@ -18,7 +18,8 @@ def test_js_round_takes_halves_up(spark):
 
 
 def test_tokens_and_symbols(spark):
-    assert one(spark, T.tokens(F.lit("a{T}: {2}{"))) == ["a", "{T}", ":", " ", "{2}"]
+    assert one(spark, T.tokens(F.lit("a{T}: {2}{"))) == ["a", "{T}", ":", " ", "{2}", "{"]
+    assert one(spark, T.tokens(F.lit("a{b"))) == ["a", "{", "b"]
     assert one(spark, T.symbols(F.lit("a{T}{"))) == ["{T}"]
     assert one(spark, T.tokens(F.lit(""))) == []
 
@@ -133,6 +134,29 @@ def test_recall_of_the_index(spark):
     assert recall >= 0.9, recall
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_recall_of_the_registered_query(spark, sf):
+    """indexed_topk as it is registered, against the exact query: nine of ten at least, a vector itself not counted."""
+    from lodestone.plans import vectors
+
+    d = f"/root/testdata/sf{sf}"
+    of = lambda df: {(r["query_id"], r["id"]) for r in df.collect() if r["query_id"] != r["id"]}
+    exact, found = of(vectors.cosine_topk(spark, d)), of(vectors.indexed_topk(spark, d))
+    assert len(found & exact) / len(exact) >= 0.9
+
+
+def test_a_search_reads_the_cells_it_looks_into(spark, tmp_path):
+    points = spark.range(400).select("id", F.array(*[F.sin(F.col("id") * (k + 1)).cast("float") for k in range(4)]).alias("vector"))
+    index = VectorIndex(points, cells=16, sample=100)
+    stored = index.stored(f"{tmp_path}/index")
+    assert stored.count() == 400
+    query = points.where("id = 7").withColumnRenamed("id", "query_id")
+    found = index.search(stored, query, 1, probes=2)
+    assert found.first()["id"] == 7
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell" in plan
+
+
 def test_flip_upright_by_hand(spark):
     """A tall quad starts at its second corner; one as wide as high, or wider, stays."""
     quad = lambda pts: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in pts])
@@ -203,3 +227,33 @@ def test_synthetic_labels(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/labels").where("split = 'train'").count() == made.where("split = 'train'").count()
     with pytest.raises(Exception, match="already exists"):
         synth.write_labels(made, f"{tmp_path}/labels")
+
+
+def test_symbols_are_substituted_and_nothing_is_lost(spark):
+    texts = [("a{T}b", ["a", "uri", "b"]), ("a{b", ["a", "{", "b"]), ("{X}}", ["{X}", "}"]), ("{", ["{"]), ("{{T}", ["{{T}"]), ("{}\n", ["{}", "\n"]), ("", []), (None, [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "id int, text string")
+    records = spark.createDataFrame([("{T}", "uri"), ("{T}", "zzz"), (None, "x"), ("", "y")], "symbol string, svg_uri string")
+    of = lambda known: {i: [r["item"] for r in sorted(g, key=lambda r: r["pos"])] for i in range(len(texts)) if (g := [r for r in catalog.substituted(df, "id", "text", known).collect() if r["id"] == i]) or True}
+    assert of(catalog.symbology(records)) == {i: want for i, (_, want) in enumerate(texts)}
+    assert of(catalog.symbology(records.limit(0))) == {i: [t] if t else [] for i, (t, _) in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("w", "h", "r", "cut"), [(10, 10, 1, 0), (10, 10, 2, 0), (12, 9, 3, 0), (20, 20, 4, 4), (20, 20, 5, 4), (20, 20, 6, 12)])
+def test_round_masks_by_hand(spark, w, h, r, cut):
+    """Discs around a tile's inner pixel: offsets run from 0 to r - 1, and a pixel is out where their squares pass r squared."""
+    from lodestone.functions import tensors as N
+
+    mask = one(spark, N.round_mask(F.lit(w), F.lit(h), (r - 0.5) / max(w, h)))
+    assert len(mask) == w * h and mask.count(False) == cut
+    assert mask.count(False) == 4 * sum(x * x + y * y > r * r for x in range(r) for y in range(r))
+    rows = [mask[i * w : (i + 1) * w] for i in range(h)]
+    assert rows == rows[::-1] and all(row == row[::-1] for row in rows)
+
+
+def test_forced_chances(spark):
+    from lodestone.functions import sampling as S
+
+    flags = spark.range(600).select("id", F.when(F.col("id") % 3 == 0, True).when(F.col("id") % 3 == 1, False).alias("f"))
+    got = flags.select("f", S.bernoulli_of("x", F.col("id"), S.forced(F.col("f"), 0.25)).alias("hit")).groupBy("f").agg(F.avg(F.col("hit").cast("int")).alias("share")).collect()
+    shares = {r["f"]: r["share"] for r in got}
+    assert shares[True] == 1 and shares[False] == 0 and 0.15 < shares[None] < 0.35
