@@ -1,7 +1,4 @@
-"""A keyed collection of vectors with payloads, and exact nearest-neighbour search.
-
-Stored as Parquet in numbered version folders; a write makes the next version, readers take the highest complete one.
-One writer at a time. Everything goes through Spark's file systems, so a collection may lie in any store."""
+"""Nearest-neighbour search over vectors, exact or by cells, and a keyed collection of vectors with payloads."""
 
 from __future__ import annotations
 
@@ -15,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import catalog
+from lodestone.operators.keyed_table import KeyedTable
 from lodestone.session import staging_dir
 
 #: Query vectors are broadcast up to this many bytes; more are searched in blocks that stay below it.
@@ -153,49 +151,28 @@ class VectorIndex:
 
 
 class VectorCollection:
-    """id STRING, vector ARRAY<FLOAT>, payload STRING (JSON) under one path."""
+    """id STRING, vector ARRAY<FLOAT>, payload STRING (JSON): a keyed table under one path, with search."""
 
     SCHEMA = "id string, vector array<float>, payload string"
 
     def __init__(self, spark: SparkSession, path: str, dims: int = 768):
-        self.spark, self.path, self.dims = spark, path.rstrip("/"), dims
-        home = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self.fs, self.home = home.getFileSystem(spark._jsc.hadoopConfiguration()), home
-
-    def _versions(self) -> list[int]:
-        if not self.fs.exists(self.home):
-            return []
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.home)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and self.fs.exists(done(f"{self.path}/{n}/_SUCCESS")))
+        self.table, self.dims = KeyedTable(spark, path, self.SCHEMA, "id"), dims
 
     def create(self) -> VectorCollection:
         """Does nothing where the collection exists."""
-        if not self._versions():
-            self._write(self.spark.createDataFrame([], self.SCHEMA))
+        self.table.create()
         return self
 
-    def _write(self, df: DataFrame) -> None:
-        held = self._versions()
-        df.select("id", "vector", "payload").write.parquet(f"{self.path}/v{(held[-1] if held else 0) + 1}")
-        for old in held[:-1]:  # readers of the version before may still be at work
-            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
-
     def points(self) -> DataFrame:
-        held = self._versions()
-        if not held:
-            raise ValueError(f"no collection at {self.path}")
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/v{held[-1]}")
+        return self.table.rows()
 
     def upsert(self, points: DataFrame) -> None:
         """Inserts or replaces by id. Vectors of other dimensions fail; repeated ids take the largest row."""
         right = F.col("vector").isNull() | (F.size("vector") == self.dims)
-        new = points.select(F.lower(F.trim("id")).alias("id"), F.when(right, F.col("vector")).otherwise(F.raise_error(F.lit("wrong dimension")).cast("array<float>")).alias("vector"), "payload")
-        new = new.groupBy("id").agg(F.max(F.struct("vector", "payload")).alias("r")).select("id", "r.*")
-        self._write(catalog.upserted(self.points(), new, "id"))
+        self.table.upsert(points.select(F.lower(F.trim("id")).alias("id"), F.when(right, F.col("vector")).otherwise(F.raise_error(F.lit("wrong dimension")).cast("array<float>")).alias("vector"), "payload"))
 
     def retrieve(self, ids: DataFrame, with_payload: bool = True, with_vectors: bool = False) -> DataFrame:
-        """Points of the ids that exist; unread columns are not scanned."""
+        """Points of the ids that exist."""
         columns = ["id", *["payload"] * with_payload, *["vector"] * with_vectors]
         return catalog.retrieved(self.points(), ids.select(F.lower(F.trim("id")).alias("id")), "id", columns[1:])
 
@@ -205,7 +182,9 @@ class VectorCollection:
         return hits.join(extra, "id") if with_payload or with_vectors else hits
 
     def overwrite_payload(self, payloads: DataFrame) -> None:
-        self._write(catalog.overwritten(self.points(), payloads.select(F.lower(F.trim("id")).alias("id"), "payload"), "id", "payload"))
+        """Whole payloads of the ids that exist are replaced; only those points are written."""
+        new = payloads.select(F.lower(F.trim("id")).alias("id"), "payload")
+        self.table.upsert(self.points().drop("payload").join(new, "id"))
 
     def drop(self) -> None:
-        self.fs.delete(self.home, True)
+        self.table.drop()
