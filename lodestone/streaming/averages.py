@@ -7,34 +7,43 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "t double, z array<double>, n long"
+from lodestone.streaming.state import TTL_MS, with_state
 
 
-def gated_average(stream: DataFrame, key: str, at: str, value: str, gate: float, weight: float = 0.1, idle_ms: int | None = None) -> DataFrame:
-    """(key, t, z, n) after each trigger that brings rows of a key. stream: key, ``at`` (a number), ``value`` (an array of
-    doubles). Rows of one trigger are taken in order of ``at``; a row counts if it lies more than ``gate`` after the last
-    that counted, the first always does. State of keys that are idle for ``idle_ms`` of processing time is dropped."""
-    kind = dict(stream.dtypes)[key]
+class GatedAverage(StatefulProcessor):
+    """One value a key: when a row counted last, the average, and how many counted."""
+
+    def __init__(self, key: str, at: str, value: str, gate: float, weight: float, ttl_ms: int | None):
+        self.key, self.at, self.value, self.gate, self.weight, self.ttl_ms = key, at, value, gate, weight, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.average = handle.getValueState("average", "t double, z array<double>, n bigint", self.ttl_ms)
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        t, z, n = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(list(parts)).sort_values(at, kind="stable")
-        for now, v in zip(rows[at], rows[value]):
-            if t is None or now - t > gate:
-                z = [float(x) for x in v] if z is None else [weight * float(x) + (1 - weight) * float(y) for x, y in zip(v, z)]
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        t, z, n = self.average.get() if self.average.exists() else (None, None, 0)
+        new = pd.concat(list(rows)).dropna(subset=[self.at, self.value]).sort_values(self.at, kind="stable")
+        for now, v in zip(new[self.at], new[self.value]):
+            if t is None or now - t > self.gate:
+                z = [float(x) for x in v] if z is None else [self.weight * float(x) + (1 - self.weight) * float(y) for x, y in zip(v, z)]
                 t, n = float(now), n + 1
-        state.update((t, z, n))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({key: [k[0]], "t": [t], "z": [z], "n": [n]})
+        if t is not None:
+            self.average.update((t, z, n))
+            yield pd.DataFrame({self.key: [key[0]], "t": [t], "z": [list(z)], "n": [n]})
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return stream.select(key, at, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {STATE}", STATE, "update", timeout)
+    def close(self) -> None:
+        pass
+
+
+def gated_average(stream: DataFrame, key: str, at: str, value: str, gate: float, weight: float = 0.1, ttl_ms: int | None = TTL_MS) -> DataFrame:
+    """(key, t, z, n) after each trigger that brings rows of a key. stream: key, ``at`` (a number), ``value`` (an array of
+    doubles). Rows of one trigger are taken in order of ``at``; a row counts if it lies more than ``gate`` after the last
+    that counted, the first always does. Rows with a null time or value are left out. The average of a key that nothing
+    has come in for during ``ttl_ms`` of processing time is forgotten, and its next row is a first one; None keeps it for
+    ever."""
+    kind = dict(stream.dtypes)[key]
+    return with_state(stream.select(key, at, value), [key], GatedAverage(key, at, value, gate, weight, ttl_ms), f"`{key}` {kind}, t double, z array<double>, n bigint", "update")
 
 
 def windowed_counts(stream: DataFrame, at: str, by: str, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:

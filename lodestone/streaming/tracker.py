@@ -7,13 +7,14 @@ were last seen: no motion is predicted."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from lodestone.streaming.state import TTL_MS, with_state
 
 OUTPUT = "stream_id string, frame long, detection long, track long, seen long, distance double"
 
@@ -52,27 +53,41 @@ def advance(state: dict, points: list[np.ndarray], reach: float, hits_most: int)
     return out
 
 
-def tracked(detections: DataFrame, reach: float = 300.0, hits_most: int = 5, hits_first: int = 2, idle_ms: int | None = None) -> DataFrame:
-    """detections: stream_id, frame, detection, points array<array<double>>. Frames of one trigger are taken in order;
-    a frame that comes after a later one has been handled is left out. A stream without frames for ``idle_ms`` of
-    processing time has ended and its state is dropped: give it wherever the query runs on. Without it state stays, as
-    runs that end with their input need (availableNow would wait for the timeouts)."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        state = json.loads(held.get[0]) if held.exists else {"next": 0, "tracks": [], "frame": None}
-        rows, out = pd.concat(list(parts)).sort_values(["frame", "detection"]), []
-        for frame, one in rows.groupby("frame", sort=True):
-            if state["frame"] is not None and frame <= state["frame"]:
+class Tracker(StatefulProcessor):
+    """Of each stream: a map of its tracks, and which id comes next after which frame. Both expire."""
+
+    def __init__(self, reach: float, hits_most: int, hits_first: int, ttl_ms: int | None):
+        self.reach, self.hits_most, self.hits_first, self.ttl_ms = reach, hits_most, hits_first, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tracks = handle.getMapState("tracks", "track bigint", "points array<array<double>>, seen bigint, left bigint", self.ttl_ms)
+        self.place = handle.getValueState("place", "next bigint, frame bigint", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        next_, last = self.place.get() if self.place.exists() else (0, None)
+        before = sorted((k[0], v) for k, v in self.tracks.iterator())
+        state = {"next": next_, "tracks": [{"id": k, "points": [list(p) for p in points], "seen": seen, "left": left} for k, (points, seen, left) in before]}
+        new, out = pd.concat(list(rows)).sort_values(["frame", "detection"]), []
+        for frame, one in new.groupby("frame", sort=True):
+            if last is not None and frame <= last:
                 continue
-            state["frame"] = int(frame)
-            got = advance(state, [np.array([list(q) for q in p], float) for p in one["points"]], reach, hits_most)
-            out += [(key[0], int(frame), int(d), t, s, x) for d, (t, s, x) in zip(one["detection"], got) if s >= hits_first]
-        held.update((json.dumps(state),))
-        if idle_ms:
-            held.setTimeoutDuration(idle_ms)
+            last = int(frame)
+            got = advance(state, [np.array([list(q) for q in p], float) for p in one["points"]], self.reach, self.hits_most)
+            out += [(key[0], int(frame), int(d), t, s, x) for d, (t, s, x) in zip(one["detection"], got) if s >= self.hits_first]
+        for k in {k for k, _ in before} - {t["id"] for t in state["tracks"]}:
+            self.tracks.removeKey((k,))
+        for t in state["tracks"]:
+            self.tracks.updateValue((t["id"],), (t["points"], t["seen"], t["left"]))
+        if last is not None:
+            self.place.update((state["next"], last))
         yield pd.DataFrame(out, columns=["stream_id", "frame", "detection", "track", "seen", "distance"])
 
-    return detections.select("stream_id", "frame", "detection", "points").groupBy("stream_id").applyInPandasWithState(step, OUTPUT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def tracked(detections: DataFrame, reach: float = 300.0, hits_most: int = 5, hits_first: int = 2, ttl_ms: int | None = TTL_MS) -> DataFrame:
+    """detections: stream_id, frame, detection, points array<array<double>>. Frames of one trigger are taken in order;
+    a frame that comes after a later one has been handled is left out. A stream without frames for ``ttl_ms`` of
+    processing time has ended: its tracks and its ids are forgotten. None keeps them for ever."""
+    return with_state(detections.select("stream_id", "frame", "detection", "points"), ["stream_id"], Tracker(reach, hits_most, hits_first, ttl_ms), OUTPUT, "append")

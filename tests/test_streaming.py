@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from lodestone.operators import folds
 from lodestone.streaming.averages import gated_average, windowed_counts
@@ -59,3 +61,32 @@ def test_frames_meet_the_catalog(spark, tmp_path):
     held = spark.createDataFrame([(7, "Island", 0.5), (None, "none", 1.0), (9, "Forest", 2.0)], "id long, name string, price double")
     got = run(recognised(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), held), "frames", "append")
     assert {tuple(r) for r in got.select("frame", "id", "name", "price", "known").collect()} == {(1, 7, "x", 0.5, True), (1, None, "y", None, False), (2, 8, "z", None, False)}
+
+
+def test_state_of_idle_keys_is_gone(spark, tmp_path):
+    """Within the time to live the state of an earlier run is there; after it, averages, tracks and ids start anew."""
+    frames = "stream_id string, frame long, detection long, points array<array<double>>"
+    near = lambda f: ("s", f, 0, [[1.0 + f, 0.0], [2.0 + f, 0.0]])
+    values = "k string, t double, v array<double>"
+
+    def bring(i):
+        spark.createDataFrame([near(i)], frames).coalesce(1).write.mode("append").parquet(f"{tmp_path}/frames")
+        spark.createDataFrame([("a", float(i), [float(i)])], values).coalesce(1).write.mode("append").parquet(f"{tmp_path}/values")
+
+    def after(i):
+        bring(i)
+        out = []
+        for name, df, mode in (
+            ("seen", tracked(spark.readStream.schema(frames).parquet(f"{tmp_path}/frames"), hits_first=1, ttl_ms=6000), "append"),
+            ("average", gated_average(spark.readStream.schema(values).parquet(f"{tmp_path}/values"), "k", "t", "v", 0.5, ttl_ms=6000), "update"),
+        ):
+            rows = []
+            q = df.writeStream.outputMode(mode).foreachBatch(lambda d, _, rows=rows: rows.extend(d.collect())).option("checkpointLocation", f"{tmp_path}/state-{name}").trigger(availableNow=True).start()
+            q.awaitTermination()
+            out.append((rows[-1]["track"], rows[-1]["seen"]) if name == "seen" else rows[-1]["n"])
+        return out
+
+    assert after(1) == [(0, 1), 1]
+    assert after(2) == [(0, 2), 2]
+    time.sleep(7)
+    assert after(3) == [(0, 1), 1]
