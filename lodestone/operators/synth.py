@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import sampling as S
 from lodestone.functions import text as T
+from lodestone.operators import catalog
 
 
 def splits(spark: SparkSession, train: int, val_ratio: float, test_ratio: float) -> DataFrame:
@@ -22,6 +24,18 @@ def splits(spark: SparkSession, train: int, val_ratio: float, test_ratio: float)
     return out
 
 
+def splits_of(keys: DataFrame, ident: str, val_ratio: float, test_ratio: float, seed: str = S.SEED) -> DataFrame:
+    """(split, ident): all keys are train samples; val and test samples are made in addition, from that share of the keys
+    each (rounded down), those with the lowest draws. Keys are distinct. Draws are ranked by ranges, not in one task."""
+    out = keys.select(F.lit("train").alias("split"), ident)
+    for name, ratio in (("val", val_ratio), ("test", test_ratio)):
+        drawn = keys.select(F.struct(S.draw(f"split_{name}", F.col(ident), seed).alias("draw"), F.col(ident)).alias("_place"))
+        size = F.broadcast(keys.agg(F.floor(F.count(F.lit(1)) * F.lit(ratio)).alias("_size")))  # one row
+        ranked = catalog.dense_index(drawn, "_place", "_i").crossJoin(size).where("_i < _size")
+        out = out.unionByName(ranked.select(F.lit(name).alias("split"), F.col(f"_place.{ident}").alias(ident)))
+    return out
+
+
 def clipped_area(a: np.ndarray, b: np.ndarray) -> float:
     """Area that two convex polygons share; both in anticlockwise order."""
     out = list(a)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import sampling as S
 from lodestone.functions import text as T
-from lodestone.operators import catalog, folds, ranges
+from lodestone.operators import catalog, folds, ranges, synth
 from lodestone.plans.record import both, query
 from lodestone.session import table
 
@@ -240,11 +240,22 @@ def batch_collect(spark: SparkSession, d: str) -> DataFrame:
     return batch_assign(spark, d).groupBy("batch").agg(F.sort_array(F.collect_list("p_partkey")).alias("ids")).select("batch", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("low"), F.array_max("ids").alias("high"))
 
 
-@query("split_counts", "SELECT split, count(*) AS n FROM (SELECT 'train' AS split FROM range(200) UNION ALL SELECT 'val' FROM range(20) UNION ALL SELECT 'test' FROM range(20)) t GROUP BY split")
-def split_counts(spark: SparkSession, d: str) -> DataFrame:
-    from lodestone.operators.synth import splits
+def _duck_split(name: str) -> str:
+    return f"SELECT '{name}' AS split, p_partkey FROM part QUALIFY row_number() OVER (ORDER BY {duck_draw('split_' + name)}, p_partkey) <= (SELECT floor(count(*) * 0.1::DOUBLE) FROM part)"
+
+
+_DUCK_SPLITS = f"SELECT 'train' AS split, p_partkey FROM part UNION ALL ({_duck_split('val')}) UNION ALL ({_duck_split('test')})"
+
 
-    return splits(spark, 200, 0.1, 0.1).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+@query("split_members", _DUCK_SPLITS)
+def split_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each part is a train sample; a tenth of them gives further ones for validation, another tenth for testing."""
+    return synth.splits_of(table(spark, d, "part"), "p_partkey", 0.1, 0.1)
+
+
+@query("split_counts", f"SELECT split, count(*) AS n FROM ({_DUCK_SPLITS}) t GROUP BY split")
+def split_counts(spark: SparkSession, d: str) -> DataFrame:
+    return split_members(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sorted_ids", "SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey))::BIGINT AS rank FROM part")

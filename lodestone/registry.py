@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import details, matching, record, relational, shapes, vectors  # noqa: F401  they register their queries
+from lodestone.plans import details, matching, payloads, record, relational, shapes, vectors  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
