@@ -3,7 +3,10 @@
 Statistics of each text are transformed to a vector of ``DIMS`` values. For each language and source, the minimum
 covariance determinant gives their centre and spread: from two starts (medians with their absolute deviations, and plain
 moments), concentration steps take the moments of the ``SUBSET`` share of rows that lie nearest, until no cell's log
-determinant changes by more than ``TOLERANCE``; the start that ends with the smaller determinant counts. Texts whose squared Mahalanobis distance passes ``CUTOFF`` are rejected.
+determinant changes by more than ``TOLERANCE``; the start that ends with the smaller determinant counts. As the subset is
+one half, close to half of a cell's texts may be junk without moving the estimate. Half of the rows make a rough estimate of
+what is good, so it is taken once more over all rows within ``NEAR``, the usual last step of the method. Texts whose squared
+Mahalanobis distance passes ``CUTOFF`` are rejected.
 
 A spread below ``FLOORS`` is not trusted: many statistics are 0 in most texts, so half of the rows may have no spread at
 all, and the floors say which difference means anything. All steps aggregate over map-side partial sums.
@@ -11,6 +14,8 @@ all, and the floors say which difference means anything. All steps aggregate ove
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +25,15 @@ WINDOW = 8
 NAMES = ("word_length", "symbols", "repeats", "capitals", "lines")
 DIMS = len(NAMES)
 FLOORS = (0.05, 0.05, 0.15, 0.05, 0.30)
-SUBSET = 0.75
+SUBSET = 0.5
 TOLERANCE = 1e-4
-#: A bound in case rounding keeps a cell from coming to rest.
+#: A bound in case rounding keeps a cell from coming to rest; a fit that meets it says so.
 MOST_STEPS = 40
 #: Cells with fewer texts are pooled.
 LEAST_ROWS = 50
-#: Fixed value: makes the covariance of the nearest 75 % of normal rows in five dimensions consistent.
-CONSISTENT = 1.41
+#: Make the covariance of the nearest half of normal rows in five dimensions consistent; the squared distance
+#: within which 97.5 % of them lie; and the same factor for those.
+CONSISTENT, NEAR, CONSISTENT_NEAR = 1.91, 12.83, 1.056
 #: Of squared distances.
 CUTOFF = 30.0
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -120,16 +126,25 @@ def _fit(rows: DataFrame) -> DataFrame:
         cells = cells.drop("was")
         if moved is None or moved <= TOLERANCE:
             break
+    else:
+        warnings.warn(f"after {MOST_STEPS} steps log determinants still move by {moved:.2g}", RuntimeWarning, stacklevel=2)
     return cells.groupBy("cell").agg(F.min_by(F.struct(*[c for c in shape if c not in ("cell", "start")]), F.struct("log_det", "start")).alias("fit")).select("cell", "fit.*")
 
 
+def _reweighted(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """The centre and factor of all rows within NEAR of a cell's fit."""
+    near = _with_distance(rows.join(fits, "cell")).where(F.col("d2") <= NEAR).select("cell", *_X)
+    return _factored(near.groupBy("cell").agg(*_moments()), CONSISTENT_NEAR).select("cell", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in _PAIRS])
+
+
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """Per row of docs: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance (squared;
     null where no cell could be fitted) and kept.
 
     base_failed: fewer than 20 words, or more than 30 % repeated words; such rows are never kept and take no part in the
     fit. Null texts count as empty. Null languages and sources are values of their own. Cells of fewer than LEAST_ROWS
-    texts are pooled; if the pool is as small, its rows are kept. Rows that repeat count as often as they occur. Other
+    texts are pooled; if the pool is as small, its rows are kept. Where half of a cell's texts or more are junk of one kind,
+    the junk is what the cell looks like, and is kept. Rows that repeat count as often as they occur. Other
     columns are not read.
     """
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -141,6 +156,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     rows = staged(rows.join(large, rows["own"] == large["cell"], "left").drop("own").withColumn("cell", F.coalesce("cell", F.lit("pooled"))), "placed")
     fitting = rows.where("not base_failed").select("cell", *_X)
     enough = staged(fitting.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("cell"), "enough")
-    fits = _fit(fitting.join(enough, "cell", "left_semi"))
-    out = _with_distance(rows.join(staged(fits, "fits"), "cell", "left"))
+    fitting = fitting.join(enough, "cell", "left_semi")
+    fits = staged(_reweighted(fitting, staged(_fit(fitting), "raw-fits")), "fits")
+    out = _with_distance(rows.join(fits, "cell", "left"))
     return out.select(F.col("id").alias(key), *base, "base_failed", F.col("d2").alias("distance"), (~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).alias("kept"))

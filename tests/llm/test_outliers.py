@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from helpers import empty, odd, prose
 from lodestone.llm import outliers as Q
 from pyspark.sql import functions as F
@@ -48,6 +49,27 @@ def test_symbol_soup_is_rejected_and_prose_kept(spark):
     assert all(r["kept"] == (r["doc_id"] % 20 != 0) for r in got)
 
 
+@pytest.mark.parametrize("share", [20, 35, 40, 45])
+@pytest.mark.parametrize("kind", ["soup", "shout", "mixed"])
+def test_junk_is_rejected_up_to_nearly_half(spark, share, kind):
+    """One cell of 300 texts: all junk goes and all prose stays, whatever share of the texts is junk of one kind or two."""
+    made = {"soup": lambda t: " ".join(w + "###%%%" for w in t.split()), "shout": lambda t: t.upper()}
+    r, rows = random.Random(share), []
+    for i in range(300):
+        text = prose(i, r.randrange(30, 90))
+        junk = i % 100 < share
+        rows.append((i, made[kind if kind != "mixed" else ("soup", "shout")[i % 2]](text) if junk else text, "en", "s", 0))
+    got = Q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert {r["doc_id"] for r in got if not r["kept"]} == {i for i in range(300) if i % 100 < share}
+
+
+def test_an_unfinished_fit_says_so(spark, monkeypatch):
+    monkeypatch.setattr(Q, "MOST_STEPS", 1)
+    monkeypatch.setattr(Q, "TOLERANCE", -1.0)
+    with pytest.warns(RuntimeWarning, match="still move"):
+        Q.quality(corpus(spark)).count()
+
+
 def test_fit_equals_numpy(spark):
     """The same concentration steps in numpy end at the same distances (medians and limits are exact on small cells)."""
     rng = np.random.default_rng(0)
