@@ -37,6 +37,29 @@ def homography(points: Column, m: Sequence[Sequence[float]]) -> Column:
     return _each(points, moved)
 
 
+def homography_to_rectangle(quad: Column, width: float, height: float) -> Column:
+    """The 3 x 3 matrix, row by row with 1 at the end, that takes a quad's corners to (0, 0), (width, 0), (width, height),
+    (0, height). In closed form: the matrix from the unit square to the quad, inverted and scaled. Null for quads whose
+    last three corners, or first two and last, lie on one line."""
+
+    def solved(q: Column) -> Column:
+        (x0, y0), (x1, y1), (x2, y2), (x3, y3) = [(q[i]["x"], q[i]["y"]) for i in range(4)]
+        ax, bx, sx, ay, by, sy = x1 - x2, x3 - x2, x0 - x1 + x2 - x3, y1 - y2, y3 - y2, y0 - y1 + y2 - y3
+        den = F.nullif(ax * by - bx * ay, F.lit(0.0))
+        gh = F.struct(((sx * by - bx * sy) / den).alias("g"), ((ax * sy - sx * ay) / den).alias("h"))
+
+        def inverted(k: Column) -> Column:
+            g, h = k["g"], k["h"]
+            a, b, c, d, e, f = x1 - x0 + g * x1, x3 - x0 + h * x3, x0, y1 - y0 + g * y1, y3 - y0 + h * y3, y0
+            last = F.nullif(a * e - b * d, F.lit(0.0))
+            rows = [(e - f * h, width), (c * h - b, width), (b * f - c * e, width), (f * g - d, height), (a - c * g, height), (c * d - a * f, height), (d * h - e * g, 1.0), (b * g - a * h, 1.0)]
+            return F.when(last.isNotNull(), F.array(*[v * scale / last for v, scale in rows], F.lit(1.0)))
+
+        return let(gh, inverted)
+
+    return let(quad, solved)
+
+
 def rotate(points: Column, degrees: Column, cx: Column, cy: Column, scale: float = 1.0) -> Column:
     """Positive angles turn anticlockwise on an image, whose y axis points down."""
     a, b = scale * F.cos(F.radians(degrees)), scale * F.sin(F.radians(degrees))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import geometry as G
 from lodestone.functions import sampling as S
 from lodestone.functions import text as T
-from lodestone.operators import catalog
+from lodestone.operators import catalog, placement
 
 
 def splits(spark: SparkSession, train: int, val_ratio: float, test_ratio: float) -> DataFrame:
@@ -110,35 +110,27 @@ def oriented_quad(p: np.ndarray) -> np.ndarray:
     return np.roll(quad, -first, axis=0)
 
 
+def attempts_of(samples: DataFrame, seed: int, least: int, most: int, size: float, attempts: int, aspect: float = 1.4, areas: tuple[float, float] = (0.01, 0.3)) -> DataFrame:
+    """(image, card, ident, points): for each sample between ``least`` and ``most`` - 1 cards, and for each card drawn
+    places, turns and sizes (shares of the image's area, evenly on a logarithmic scale) to be tried in order."""
+    tag = str(seed)
+    named = F.concat_ws("-", "split", F.col("i").cast("string"))
+    cards = samples.select(F.struct("split", "i").alias("image"), F.explode(F.sequence(F.lit(1), least + S.draw("cards", named, tag) % (most - least))).alias("card"))
+    tries = cards.select("image", "card", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
+    tries = tries.select("image", "card", F.struct("image", "card", "attempt").alias("ident"), F.concat_ws("-", F.col("image.split"), *[F.col(c).cast("string") for c in ("image.i", "card", "attempt")]).alias("_n"))
+    u = lambda name: S.uniform(name, F.col("_n"), tag)
+    drawn = tries.select("image", "card", "ident", F.sqrt(S.log_uniform("area", F.col("_n"), *areas, tag) * size * size / aspect).alias("w"), (u("turn") * 2 * math.pi).alias("t"), (u("x") * size).alias("cx"), (u("y") * size).alias("cy"))
+    corner = lambda a, b: G.point(F.col("cx") + F.col("w") / 2 * (a * F.cos("t") - b * aspect * F.sin("t")), F.col("cy") + F.col("w") / 2 * (a * F.sin("t") + b * aspect * F.cos("t")))
+    return drawn.select("image", "card", "ident", G.array_of(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("points"))
+
+
 def placed(samples: DataFrame, seed: int, least: int = 1, most: int = 10, size: float = 640.0, attempts: int = 10, visible: float = 0.7) -> DataFrame:
     """samples: (split, i). Gives (split, i, label, points): cards placed at random in an image; a candidate is rejected if
-    too little of it lies within the image, or if it hides too much of a card placed before. Each image is drawn from its
-    own seed, so tasks that run again give the same images."""
-    schema = "split string, i long, label int, points array<struct<x:double,y:double>>"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = np.array([[0, 0], [size, 0], [size, size], [0, size]], float)
-        for part in parts:
-            rows = []
-            for split, i in zip(part["split"], part["i"]):
-                rng = np.random.default_rng([seed, int(i), sum(split.encode())])
-                cards: list[np.ndarray] = []
-                for _ in range(int(rng.integers(least, most))):
-                    for _ in range(attempts):
-                        area = np.exp(rng.uniform(np.log(0.01), np.log(0.3))) * size * size
-                        w, turn = np.sqrt(area / 1.4), rng.uniform(0, 2 * np.pi)
-                        box = np.array([[-w, -1.4 * w], [w, -1.4 * w], [w, 1.4 * w], [-w, 1.4 * w]]) / 2
-                        card = box @ np.array([[np.cos(turn), np.sin(turn)], [-np.sin(turn), np.cos(turn)]]) + rng.uniform(0, size, 2)
-                        own = polygon_area(card)
-                        if clipped_area(card, frame) < visible * own:
-                            continue
-                        if all(clipped_area(card, c) <= (1 - visible) * min(own, polygon_area(c)) for c in cards):
-                            cards.append(card)
-                            break
-                rows += [(split, i, 0, [{"x": float(x), "y": float(y)} for x, y in c]) for c in cards]
-            yield pd.DataFrame(rows, columns=["split", "i", "label", "points"])
-
-    return samples.mapInPandas(run, schema)
+    too little of it lies within the image, or if it hides too much of a card placed before (see placement). Draws come
+    from the seed and the sample, so they are alike however rows are dealt out; samples are distinct."""
+    tried = attempts_of(samples, seed, least, most, size, attempts)
+    found = placement.place(tried, "image", "card", "ident", "points", size, size, least_in_image=visible)
+    return found.select("image.split", "image.i", F.lit(0).alias("label"), "points")
 
 
 def write_labels(rows: DataFrame, path: str, size: float = 640.0) -> None:

@@ -273,17 +273,14 @@ def orient_quad(spark: SparkSession, d: str) -> DataFrame:
     return quads(spark, d).select("p_partkey", "q").mapInPandas(run, "p_partkey long, " + ", ".join(f"{c}{i} long" for i in range(4) for c in "xy"))
 
 
-@query("perspective_matrix")
-def perspective(spark: SparkSession, d: str) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    from lodestone.operators.synth import perspective_matrix
+_GH = "((x0 - x1 + x2 - x3) * (y3 - y2) - (x3 - x2) * (y0 - y1 + y2 - y3)) / det AS g, ((x1 - x2) * (y0 - y1 + y2 - y3) - (x0 - x1 + x2 - x3) * (y1 - y2)) / det AS h"
+_ADJOINT = ("(e - f * h) * 128", "(c * h - b) * 128", "(b * f - c * e) * 128", "(f * g - d) * 192", "(a - c * g) * 192", "(c * d - a * f) * 192", "d * h - e * g", "b * g - a * h", "a * e - b * d")
 
-    def run(parts_):
-        target = np.array([[0, 0], [128, 0], [128, 192], [0, 192]], float)
-        for part in parts_:
-            rows = [(k, *perspective_matrix(np.array([(p["x"], p["y"]) for p in q]), target).ravel()) for k, q in zip(part["p_partkey"], part["q"])]
-            yield pd.DataFrame(rows, columns=["p_partkey", *(f"m{i}" for i in range(9))])
 
-    return quads(spark, d).where("w > 0 and h > 0").select("p_partkey", "q").mapInPandas(run, "p_partkey long, " + ", ".join(f"m{i} double" for i in range(9)))
+@query("perspective_matrix", f"""WITH {SKEWED}, {_CORNERS}, n AS (SELECT *, (x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2) AS det FROM c WHERE x1 > 0 AND y3 > 0), k AS (SELECT *, {_GH} FROM n),
+    u AS (SELECT p_partkey, g, h, x1 - x0 + g * x1 AS a, x3 - x0 + h * x3 AS b, x0 AS c, y1 - y0 + g * y1 AS d, y3 - y0 + h * y3 AS e, y0 AS f FROM k)
+    SELECT p_partkey, {", ".join(f"round(({v}) / (a * e - b * d), 6) AS m{i}" for i, v in enumerate(_ADJOINT))} FROM u""")
+def perspective(spark: SparkSession, d: str) -> DataFrame:
+    """Of each quad: the matrix that takes it to a rectangle of 128 x 192."""
+    m = quads(spark, d).where("w > 0 and h > 0").select("p_partkey", G.homography_to_rectangle(F.col("q"), 128.0, 192.0).alias("m"))
+    return m.select("p_partkey", *[F.round(F.col("m")[i], 6).alias(f"m{i}") for i in range(9)])

@@ -59,6 +59,17 @@ def test_perspective_and_orientation():
     assert synth.clipped_area(b, b + 0.5) == pytest.approx(0.25)
 
 
+def test_closed_form_of_a_perspective(spark):
+    r = np.random.default_rng(9)
+    target = np.array([[0, 0], [128, 0], [128, 192], [0, 192]], float)
+    quads = [np.array([[0, 0], [9, 0], [9, 7], [0, 7]], float) + r.uniform(-2, 2, (4, 2)) for _ in range(30)]
+    rows = [(i, [{"x": float(x), "y": float(y)} for x, y in q]) for i, q in enumerate([*quads, np.zeros((4, 2)), np.array([[0, 0], [1, 1], [2, 2], [3, 3]])])]
+    df = spark.createDataFrame(rows, "i int, q array<struct<x:double,y:double>>").select("i", G.homography_to_rectangle(F.col("q"), 128.0, 192.0).alias("m"))
+    got = {x["i"]: x["m"] for x in df.collect()}
+    assert all(np.allclose(np.reshape(got[i], (3, 3)), synth.perspective_matrix(q, target), rtol=1e-6, atol=1e-8) for i, q in enumerate(quads))
+    assert got[30] is None and got[31] is None
+
+
 def test_gate_is_strict_and_first_row_counts(spark):
     rows = spark.createDataFrame([("a", t, v) for t, v in ((0.0, 1.0), (0.5, 100.0), (0.75, 2.0), (1.25, 3.0), (1.5, 4.0))], "k string, t double, v double")
     f = folds.gated_ewma(rows, "k", "t", "v", 0.5).first()
