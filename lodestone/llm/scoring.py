@@ -14,33 +14,40 @@ sized by its items, with its part of the exact unigram table. The leading bits c
 all followers of its contexts.
 
 A model of at most ``max_broadcast`` bytes is broadcast, in pieces of a few MB that the driver handles one by one, and is
-given up again once the scores are written. A larger one stays where it was built: texts are then probed by two shuffles
-of n-gram hashes, one to the segments and one back with what was found there. Both ways read the same bits and give the
-same scores; the second is linear in corpus and model, whatever their sizes.
+given up again once the scores are written. Each Python worker holds a copy of what is broadcast, so that bound is one of a
+worker. A larger model, of at most ``max_mapped`` bytes, reaches the workers through the folder that all executors share:
+tasks write its pieces there as plain arrays, and workers map them into memory, so a machine holds one copy, of the pages
+that are probed, and the driver none. Beyond that, or where the folder can't be mapped, the model stays where it was built:
+texts are probed by two shuffles of n-gram hashes, one to the segments and one back with what was found there. All ways
+read the same bits and give the same scores; the last is linear in corpus and model, whatever their sizes.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs as stores
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.textblocks import WordHasher, Words, blocks, distinct, distinct_places, give_back_memory, mix
-from lodestone.session import staged
+from lodestone.session import staged, staging_dir
 
 #: The longest n-gram.
 ORDER = 3
 #: Base of the log scale.
 BASE = 1.5
-BITS_PER_ITEM = 8
+BITS_PER_ITEM = 12
 #: Every Python worker of an executor holds a copy.
-MAX_BROADCAST = 384 << 20
+MAX_BROADCAST = 48 << 20
+#: What a machine's page cache can be expected to hold.
+MAX_MAPPED = 16 << 30
 #: The driver gathers and passes on about so much at once.
 PIECE = 8 << 20
 #: Characters of text whose n-grams fall in a bucket, about.
@@ -236,6 +243,24 @@ class Piece:
             self.sizes[r["bucket"] - low] = len(r["a"]) // 8
         self.begins = np.cumsum(self.sizes) - self.sizes
 
+    def stored(self) -> tuple[list[bytes], dict]:
+        """Its arrays as bytes, one after another, and what it takes to read them again."""
+        arrays = [self.hashes, self.words, self.sizes.astype("<i8"), self.counts]
+        return [np.ascontiguousarray(a).tobytes() for a in arrays], {"low": self.low, "high": self.high, "n_buckets": self.n_buckets, "lengths": [len(a) for a in arrays], "narrow": self.counts.dtype.itemsize == 4}
+
+    @classmethod
+    def mapped(cls, path: str, told: dict) -> Piece:
+        """The piece of a file that stored() has written, without reading it: its pages come as they are probed."""
+        piece = cls([], told["low"], told["high"], told["n_buckets"])
+        with pa.memory_map(path) as source:
+            raw = source.read_buffer()
+        at = 0
+        for name, kind, n in zip(("hashes", "words", "sizes", "counts"), ("<u8", "<u8", "<i8", "<u4" if told["narrow"] else "<i8"), told["lengths"]):
+            setattr(piece, name, np.frombuffer(raw, dtype=kind, count=n, offset=at))
+            at += n * np.dtype(kind).itemsize
+        piece.begins = np.cumsum(piece.sizes) - piece.sizes
+        return piece
+
     def unigrams(self, tokens: np.ndarray) -> np.ndarray:
         """Counts of tokens whose buckets are here."""
         if not len(self.hashes):
@@ -317,28 +342,20 @@ def _scored(keys: pa.Array, tokens: Tokens, counts: np.ndarray, levels: np.ndarr
     )
 
 
-def _scored_in_place(todo: DataFrame, model: DataFrame, kind: str, order: int, base: float, n_buckets: int, n_pieces: int, known: tuple[int, int, int]) -> DataFrame:
-    """The model is broadcast; texts stay where they are."""
-    context = todo.sparkSession.sparkContext
-    cuts = np.array([n_buckets * k // n_pieces for k in range(n_pieces)], dtype=np.int64)
-    shared = []
-    for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), n_buckets]):
-        rows = model.where(F.col("bucket").between(low, high - 1)).select("kind", "bucket", "a", "b").collect()
-        shared.append(context.broadcast(Piece(rows, low, high, n_buckets)))
-        del rows
-        give_back_memory()
+def _probed(todo: DataFrame, kind: str, order: int, base: float, n_buckets: int, cuts: np.ndarray, known: tuple[int, int, int], pieces_of: Callable[[], Callable[[int], Piece]]) -> DataFrame:
+    """Texts stay where they are. pieces_of() is called once a task and gives the pieces by number."""
 
     def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back_memory()
-        pieces = [p.value for p in shared]
+        piece = pieces_of()
         for chunk in _chunks(parts, order):
             ones, of_one = distinct_places(np.concatenate([t.token for _, t in chunk]))
             twos, of_two = distinct_places(_longer(chunk))
             counts, levels = np.zeros(len(ones), dtype=np.int64), np.zeros((2, len(twos)), dtype=np.uint8)
             for p, x, y in _by_piece(ones, cuts, n_buckets):
-                counts[x:y] = pieces[p].unigrams(ones[x:y])
+                counts[x:y] = piece(p).unigrams(ones[x:y])
             for p, x, y in _by_piece(twos, cuts, n_buckets):
-                levels[:, x:y] = pieces[p].levels(twos[x:y])
+                levels[:, x:y] = piece(p).levels(twos[x:y])
             at = 0
             for batch, tokens in chunk:
                 m, low = len(tokens.token), at * (order - 1)
@@ -346,17 +363,92 @@ def _scored_in_place(todo: DataFrame, model: DataFrame, kind: str, order: int, b
                 yield _scored(batch.column("key"), tokens, counts[of_one[at : at + m]], found, known, base)
                 at += m
 
+    return staged(todo.mapInArrow(apply, f"key {kind}, {_RESULT}"), "scores")
+
+
+def _cuts(n_buckets: int, n_pieces: int) -> np.ndarray:
+    """The first bucket of each piece."""
+    return np.array([n_buckets * k // n_pieces for k in range(n_pieces)], dtype=np.int64)
+
+
+def _scored_in_place(todo: DataFrame, model: DataFrame, kind: str, order: int, base: float, n_buckets: int, n_pieces: int, known: tuple[int, int, int]) -> DataFrame:
+    """The model is broadcast."""
+    context = todo.sparkSession.sparkContext
+    cuts = _cuts(n_buckets, n_pieces)
+    shared = []
+    for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), n_buckets]):
+        rows = model.where(F.col("bucket").between(low, high - 1)).select("kind", "bucket", "a", "b").collect()
+        shared.append(context.broadcast(Piece(rows, low, high, n_buckets)))
+        del rows
+        give_back_memory()
+
+    def pieces() -> Callable[[int], Piece]:
+        held = [p.value for p in shared]
+        return held.__getitem__
+
     try:
-        return staged(todo.mapInArrow(apply, f"key {kind}, {_RESULT}"), "scores")
+        return _probed(todo, kind, order, base, n_buckets, cuts, known, pieces)
     finally:
         for p in shared:
             p.destroy()
 
 
+def _local(folder: str) -> str | None:
+    """The path under which a folder can be mapped, if it lies in a file system of the machine, as a mounted share does."""
+    store, path = stores.FileSystem.from_uri(folder)
+    return path if isinstance(store, stores.LocalFileSystem) else None
+
+
+def _scored_mapped(todo: DataFrame, model: DataFrame, kind: str, order: int, base: float, n_buckets: int, n_pieces: int, known: tuple[int, int, int]) -> DataFrame:
+    """The model is written to the shared folder, a file a piece, and mapped by the workers. The driver learns the files'
+    names. A task that runs again writes under another name."""
+    cuts = _cuts(n_buckets, n_pieces)
+    folder = f"{_local(staging_dir(todo.sparkSession))}/filter-{uuid.uuid4().hex}"
+    stores.LocalFileSystem().create_dir(folder, recursive=True)
+
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def given() -> pa.RecordBatch:
+            piece = Piece(held, int(cuts[at]), int(cuts[at + 1]) if at + 1 < n_pieces else n_buckets, n_buckets)
+            arrays, told = piece.stored()
+            name = uuid.uuid4().hex
+            with stores.LocalFileSystem().open_output_stream(f"{folder}/{name}") as out:
+                for raw in arrays:
+                    out.write(raw)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([name]), pa.array([json.dumps(told)])], names=["piece", "name", "told"])
+
+        for part in parts:
+            for r in part.to_pylist():
+                if held and r["piece"] != at:
+                    yield given()
+                at = r["piece"]
+                held.append(r)
+        if held:
+            yield given()
+
+    piece = F.floor((F.col("bucket").cast("long") * n_pieces + n_pieces - 1) / n_buckets).cast("int")
+    dealt = model.select(piece.alias("piece"), "kind", "bucket", "a", "b").repartition(n_pieces, "piece").sortWithinPartitions("piece", "bucket")
+    files = {r["piece"]: (r["name"], json.loads(r["told"])) for r in dealt.mapInArrow(write, "piece int, name string, told string").collect()}
+
+    def pieces() -> Callable[[int], Piece]:
+        held: dict[int, Piece] = {}
+
+        def piece(p: int) -> Piece:
+            if p not in held:
+                held[p] = Piece.mapped(f"{folder}/{files[p][0]}", files[p][1]) if p in files else Piece([], int(cuts[p]), int(cuts[p + 1]) if p + 1 < n_pieces else n_buckets, n_buckets)
+            return held[p]
+
+        return piece
+
+    return _probed(todo, kind, order, base, n_buckets, cuts, known, pieces)
+
+
 def _scored_by_shuffles(todo: DataFrame, model: DataFrame, kind: str, order: int, base: float, n_buckets: int, n_pieces: int, known: tuple[int, int, int]) -> DataFrame:
     """Distinct hashes of a chunk of texts go to the piece of the model that has their buckets, and the counts and levels
     found come back to the chunk. A task streams through its rows in order and holds one piece, or one chunk."""
-    cuts = np.array([n_buckets * k // n_pieces for k in range(n_pieces)], dtype=np.int64)
+    cuts = _cuts(n_buckets, n_pieces)
     piece = F.floor((F.col("bucket").cast("long") * n_pieces + n_pieces - 1) / n_buckets).cast("int")
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +522,7 @@ def _scored_by_shuffles(todo: DataFrame, model: DataFrame, kind: str, order: int
     return staged(whole.mapInArrow(finish, f"key {kind}, {_RESULT}"), "scores")
 
 
-def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, base: float = BASE, bits: int = BITS_PER_ITEM, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, base: float = BASE, bits: int = BITS_PER_ITEM, max_broadcast: int = MAX_BROADCAST, max_mapped: int = MAX_MAPPED) -> DataFrame:
     """Per row of docs: key, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are runs of bytes other than ASCII white space, A-Z lower-cased, then one end for each text; null and empty
@@ -446,6 +538,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     held = model.groupBy().agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("kind") == 1, F.length("a") / 8)), F.lit(0)).cast("long").alias("v"), F.coalesce(F.sum(F.length("a") + F.length("b")), F.lit(0)).alias("bytes")).first()
     # buckets are even, so equal runs of them are even too
     pieces = min(n_buckets, max(1, -(-held["bytes"] // min(PIECE, max_broadcast))))
-    way = _scored_in_place if held["bytes"] <= max_broadcast else _scored_by_shuffles
+    mappable = held["bytes"] <= max_mapped and _local(staging_dir(docs.sparkSession)) is not None
+    way = _scored_in_place if held["bytes"] <= max_broadcast else _scored_mapped if mappable else _scored_by_shuffles
     todo = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     return way(todo, model, kind, order, base, n_buckets, pieces, (held["n"], held["v"], texts)).withColumnRenamed("key", key)

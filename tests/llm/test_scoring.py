@@ -62,12 +62,87 @@ def test_scores_follow_brute_force(spark):
     assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held)
 
 
+def brute_levels(rows, training, order, base):
+    """Witten-Bell scores of any order, from counts that are kept as levels: what the filter would give without any false
+    positive. The unigram is exact."""
+    quantised = lambda c: float(scoring.count_at(scoring.levels_of(np.array([c]), base), base)[0]) if c else 0.0
+    unigrams, grams, followers, texts = collections.Counter(), [collections.Counter() for _ in range(order + 1)], [collections.defaultdict(set) for _ in range(order + 1)], len(training)
+    row = lambda t: [None] * (order - 1) + tokens(t)
+    for text in training:
+        w = row(text)
+        unigrams.update(w[order - 1 :])
+        for i in range(order - 1, len(w)):
+            for k in range(2, order + 1):
+                h = tuple(w[i - k + 1 : i])
+                grams[k][h, w[i]] += 1
+                followers[k][h].add(w[i])
+    n, v, out = sum(unigrams.values()), len(unigrams), []
+    for text in rows:
+        w, total = row(text), 0.0
+        before = {}
+        for i in range(order - 1, len(w)):
+            p = (unigrams[w[i]] + 0.5) / (n + 0.5 * (v + 1))
+            first = i == order - 1
+            seen = texts if first else unigrams[w[i - 1]]
+            now = {}
+            for k in range(2, order + 1):
+                h = tuple(w[i - k + 1 : i])
+                whole = min(quantised(grams[k][h, w[i]]), seen)
+                level = len(followers[k].get(h, ()))
+                others = min(max(quantised(level) if scoring.levels_of(np.array([max(level, 1)]), base)[0] >= 2 else 0.0, 1.0), max(seen, 1.0))
+                if seen > 0:
+                    p = (whole + others * p) / (seen + others)
+                now[k] = whole
+                seen = texts if first else before[k]
+            before = now
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+def second_order(seed: int, n: int) -> str:
+    """The next word follows from the two before, and hardly from one."""
+    r, out = random.Random(seed), [WORDS[seed % len(WORDS)], WORDS[seed * 7 % len(WORDS)]]
+    while len(out) < n:
+        i, j = WORDS.index(out[-2]), WORDS.index(out[-1])
+        out.append(WORDS[(i * 3 + j * 5 + r.randrange(2)) % len(WORDS)])
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_of_any_order_equal_brute_force(spark, order):
+    """With so many bits that no absent n-gram is taken for one that was seen, scores are exact, at the default order too;
+    and texts in which two words tell the third are likelier under trigrams than under bigrams."""
+    texts = [second_order(k, 60) for k in range(50)] + [prose(3, 80), "new words here", None, "", "one", "ONE one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    training = [t for i, t in enumerate(texts) if i % 4]
+    got = {r["doc_id"]: r["score"] for r in scoring.score(docs, docs.where("doc_id % 4 <> 0"), order=order, bits=256).collect()}
+    want = brute_levels(texts, training, order, scoring.BASE)
+    assert all(got[i] == pytest.approx(w, rel=1e-9) for i, w in enumerate(want))
+    if order == 3:
+        plain = brute_levels(texts, training, 2, scoring.BASE)
+        assert sum(want[i] for i in range(0, 50, 4)) > sum(plain[i] for i in range(0, 50, 4)) * 0.8
+
+
+def test_false_positives_hardly_matter(spark):
+    """At the registered bits, the corpus scores within 2 % of what it scores without false positives."""
+    texts = [second_order(k, 60) for k in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = docs.where("doc_id % 4 <> 0")
+    few, many = ({r["doc_id"]: r["score"] for r in scoring.score(docs, train, **how).collect()} for how in ({}, {"bits": 256}))
+    assert abs(sum(few.values()) - sum(many.values())) < 0.02 * abs(sum(many.values()))
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_passes_agree_with_one(spark, order):
     docs = spark.createDataFrame([(i, prose(i, 50)) for i in range(40)], "doc_id long, text string")
     whole = {r["doc_id"]: r["score"] for r in scoring.score(docs, docs, order=order).collect()}
     cut = {r["doc_id"]: r["score"] for r in scoring.score(docs, docs, order=order, max_broadcast=6000).collect()}
     assert whole == cut
+    dealt = {r["doc_id"]: r["score"] for r in scoring.score(docs, docs, order=order, max_broadcast=6000, max_mapped=0).collect()}
+    assert whole == dealt
+    twice = {r["doc_id"]: r["score"] for r in scoring.score(docs, docs, order=order, max_broadcast=6000).collect()}
+    assert whole == twice
 
 
 def test_levels_only_grow():
