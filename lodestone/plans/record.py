@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lodestone.session import table
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,17 +20,3 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return add
-
-
-def both(name: str, sql: str) -> None:
-    """Registers a query whose text is the same in both engines."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        used = [t for t in TABLES if f" {t}" in sql]
-        text = sql.replace("{", "{{").replace("}", "}}")
-        for t in used:
-            for before in ("FROM ", "JOIN "):
-                text = text.replace(f"{before}{t}", f"{before}{{{t}}}")
-        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
-
-    QUERIES[name], ORACLES[name] = run, sql

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import sampling as S
 from lodestone.functions import text as T
 from lodestone.operators import catalog, folds, ranges, synth
-from lodestone.plans.record import both, query
+from lodestone.plans.record import query
 from lodestone.session import table
 
 DRAW = "cast('0x' || substr(md5('s42|{name}|' || {key}), 1, 8) as bigint)"
@@ -18,18 +18,81 @@ def duck_draw(name: str, key: str = "p_partkey") -> str:
     return DRAW.format(name=name, key=key)
 
 
-both("equality_filter", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
-both("distinct_counts", "SELECT count(*) AS n, count(DISTINCT p_name) AS names, count(DISTINCT p_brand) AS brands FROM part")
-both("partial_final_count", "SELECT coalesce(l_returnflag, 'total') AS flag, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag)")
-both("removed_ids_except", "SELECT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'click' AND value > 50")
-both("kept_ids_intersect", "SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'click'")
-both("union_all_pairs", "SELECT side, label, count(*) AS n FROM (SELECT 'x' AS side, label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'x2' AS side, label FROM embeddings WHERE vec_id % 2 = 1) u GROUP BY side, label")
-both("ordered_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
-both("global_topk", "SELECT rank, o_orderkey, o_totalprice FROM (SELECT cast(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS bigint) AS rank, o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) t) r")
-both("rate_metrics", "SELECT event_id, round(cast(length(props) AS double) / nullif(value, 0) / 1000, 6) AS kbps, round(value * 1000, 6) AS ms, round(1000 / nullif(value, 0), 6) AS fps FROM events")
-both("adaptive_delay", "SELECT event_id, round(greatest(cast(66 AS double), coalesce(CASE WHEN event_id % 4 = 0 THEN NULL ELSE value / 1000 END, 0.01) * 1500), 6) AS delay_ms FROM events")
-both("value_range_check", "SELECT event_type, round(min(value), 6) AS low, round(max(value), 6) AS high, min(value) >= 0 AND max(value) <= 1 AS in_range FROM events GROUP BY event_type")
-both("current_frame_tracks", "SELECT DISTINCT user_id FROM events WHERE cast(ts AS date) = (SELECT max(cast(ts AS date)) FROM events)")
+@query("equality_filter", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def equality_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_orderstatus")
+
+
+@query("distinct_counts", "SELECT count(*) AS n, count(DISTINCT p_name) AS names, count(DISTINCT p_brand) AS brands FROM part")
+def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_name").alias("names"), F.count_distinct("p_brand").alias("brands"))
+
+
+@query("partial_final_count", "SELECT coalesce(l_returnflag, 'total') AS flag, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag)")
+def partial_final_count(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").rollup("l_returnflag").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("l_returnflag", F.lit("total")).alias("flag"), "n")
+
+
+def _users(spark: SparkSession, d: str, event_type: str) -> DataFrame:
+    return table(spark, d, "events").where(F.col("event_type") == event_type)
+
+
+@query("removed_ids_except", "SELECT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'click' AND value > 50")
+def removed_ids_except(spark: SparkSession, d: str) -> DataFrame:
+    return _users(spark, d, "view").select("user_id").subtract(_users(spark, d, "click").where("value > 50").select("user_id"))
+
+
+@query("kept_ids_intersect", "SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'click'")
+def kept_ids_intersect(spark: SparkSession, d: str) -> DataFrame:
+    return _users(spark, d, "view").select("user_id").intersect(_users(spark, d, "click").select("user_id"))
+
+
+@query("union_all_pairs", "SELECT side, label, count(*) AS n FROM (SELECT 'x' AS side, label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'x2' AS side, label FROM embeddings WHERE vec_id % 2 = 1) u GROUP BY side, label")
+def union_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    points = table(spark, d, "embeddings")
+    side = lambda rest, name: points.where(F.col("vec_id") % 2 == rest).select(F.lit(name).alias("side"), "label")
+    return side(0, "x").unionByName(side(1, "x2")).groupBy("side", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ordered_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
+def ordered_limit(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(100)
+
+
+@query("global_topk", "SELECT rank, o_orderkey, o_totalprice FROM (SELECT cast(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS bigint) AS rank, o_orderkey, o_totalprice FROM orders) r WHERE rank <= 20")
+def global_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The best rows come together from each partition's best; only those are ranked, in one array of 20."""
+    best = table(spark, d, "orders").select("o_totalprice", "o_orderkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(20)
+    rows = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("o_totalprice")).alias("order"), "o_orderkey", "o_totalprice"))).alias("rows"))
+    return rows.select(F.posexplode("rows").alias("i", "r")).select((F.col("i") + 1).cast("long").alias("rank"), "r.o_orderkey", "r.o_totalprice")
+
+
+@query("rate_metrics", "SELECT event_id, round(cast(length(props) AS double) / nullif(value, 0) / 1000, 6) AS kbps, round(value * 1000, 6) AS ms, round(1000 / nullif(value, 0), 6) AS fps FROM events")
+def rate_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Of a message of so many bytes after so many seconds; no rate for a period of 0."""
+    period = F.nullif(F.col("value"), F.lit(0.0))
+    kbps, fps = F.length("props").cast("double") / period / 1000, F.lit(1000.0) / period
+    return table(spark, d, "events").select("event_id", F.round(kbps, 6).alias("kbps"), F.round(F.col("value") * 1000, 6).alias("ms"), F.round(fps, 6).alias("fps"))
+
+
+@query("adaptive_delay", "SELECT event_id, round(greatest(cast(66 AS double), coalesce(CASE WHEN event_id % 4 = 0 THEN NULL ELSE value / 1000 END, 0.01) * 1500), 6) AS delay_ms FROM events")
+def adaptive_delay(spark: SparkSession, d: str) -> DataFrame:
+    """The frame period in ms, or half as much again as the last processing took (10 ms where that is unknown)."""
+    took = F.when(F.col("event_id") % 4 != 0, F.col("value") / 1000)
+    return table(spark, d, "events").select("event_id", F.round(F.greatest(F.lit(66.0), F.coalesce(took, F.lit(0.01)) * 1500), 6).alias("delay_ms"))
+
+
+@query("value_range_check", "SELECT event_type, round(min(value), 6) AS low, round(max(value), 6) AS high, min(value) >= 0 AND max(value) <= 1 AS in_range FROM events GROUP BY event_type")
+def value_range_check(spark: SparkSession, d: str) -> DataFrame:
+    ends = table(spark, d, "events").groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return ends.select("event_type", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), ((F.col("low") >= 0) & (F.col("high") <= 1)).alias("in_range"))
+
+
+@query("current_frame_tracks", "SELECT DISTINCT user_id FROM events WHERE cast(ts AS date) = (SELECT max(cast(ts AS date)) FROM events)")
+def current_frame_tracks(spark: SparkSession, d: str) -> DataFrame:
+    days = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"))
+    last = F.broadcast(days.agg(F.max("day").alias("day")))  # one row
+    return days.join(last, "day", "left_semi").select("user_id").distinct()
 
 
 @query("anti_join_missing", "SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
