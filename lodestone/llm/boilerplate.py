@@ -1,7 +1,8 @@
 """Line deduplication by site-relative frequency.
 
 A line is boilerplate on a host if more than a given ratio of the host's pages have it. Pages of equal text count once,
-so that copies of a page do not turn its own lines into boilerplate. Built from DataFrame functions alone.
+so that copies of a page do not turn its own lines into boilerplate. Built from DataFrame functions alone. Lines and pages
+are compared by 64-bit hashes: among n different ones of a host, any two agree with a chance of about n squared / 2^65.
 """
 
 from __future__ import annotations
