@@ -37,6 +37,31 @@ def homography(points: Column, m: Sequence[Sequence[float]]) -> Column:
     return _each(points, moved)
 
 
+def square_to_quad(quad: Column) -> Column:
+    """The 3 x 3 matrix, row by row with 1 at the end, that takes the corners (0, 0), (1, 0), (1, 1), (0, 1) to those of a
+    quad; null for quads whose last three corners lie on one line."""
+
+    def solved(q: Column) -> Column:
+        (x0, y0), (x1, y1), (x2, y2), (x3, y3) = [(q[i]["x"], q[i]["y"]) for i in range(4)]
+        ax, bx, sx, ay, by, sy = x1 - x2, x3 - x2, x0 - x1 + x2 - x3, y1 - y2, y3 - y2, y0 - y1 + y2 - y3
+        den = F.nullif(ax * by - bx * ay, F.lit(0.0))
+        gh = F.struct(((sx * by - bx * sy) / den).alias("g"), ((ax * sy - sx * ay) / den).alias("h"))
+        rows = lambda k: F.array(x1 - x0 + k["g"] * x1, x3 - x0 + k["h"] * x3, x0, y1 - y0 + k["g"] * y1, y3 - y0 + k["h"] * y3, y0, k["g"], k["h"], F.lit(1.0))
+        return let(gh, lambda k: F.when(k["g"].isNotNull(), rows(k)))
+
+    return let(quad, solved)
+
+
+def mapped(points: Column, m: Column) -> Column:
+    """Points under a matrix that is a column: nine numbers, row by row."""
+
+    def moved(p: Column) -> Column:
+        row = [p["x"] * m[3 * i] + p["y"] * m[3 * i + 1] + m[3 * i + 2] for i in range(3)]
+        return point(row[0] / F.nullif(row[2], F.lit(0.0)), row[1] / F.nullif(row[2], F.lit(0.0)))
+
+    return _each(points, moved)
+
+
 def homography_to_rectangle(quad: Column, width: float, height: float) -> Column:
     """The 3 x 3 matrix, row by row with 1 at the end, that takes a quad's corners to (0, 0), (width, 0), (width, height),
     (0, height). In closed form: the matrix from the unit square to the quad, inverted and scaled. Null for quads whose

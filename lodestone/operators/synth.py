@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import geometry as G
 from lodestone.functions import sampling as S
 from lodestone.functions import text as T
 from lodestone.operators import catalog, placement
+from lodestone.session import staged
 
 
 def splits(spark: SparkSession, train: int, val_ratio: float, test_ratio: float) -> DataFrame:
@@ -133,6 +134,53 @@ def placed(samples: DataFrame, seed: int, least: int = 1, most: int = 10, size:
     return found.select("image.split", "image.i", F.lit(0).alias("label"), "points")
 
 
+#: Of the boxes in a card's halves, how far they stay from its edges and middle, as a share of its longer side.
+MARGIN = 0.03
+
+
+def keypoints(quad: Column, aspect: float = 1.4) -> Column:
+    """Array of (label, points) of a card that lies in a quad: the card (0), the box of its top half (1), and that of its
+    bottom half (2), seen in the quad's perspective."""
+    m = MARGIN * max(1.0, aspect)
+    box = lambda y0, y1: G.array_of(*[G.point(x, y / aspect) for x, y in ((m, y0), (1 - m, y0), (1 - m, y1), (m, y1))])
+    halves = [box(m, aspect / 2 - m), box(aspect / 2 + m, aspect - m)]
+    labelled = lambda i, points: F.struct(F.lit(i).alias("label"), points.alias("points"))
+    return G.let(G.square_to_quad(quad), lambda h: F.array(labelled(0, quad), *[labelled(i + 1, G.mapped(b, h)) for i, b in enumerate(halves)]))
+
+
+def picked(rows: DataFrame, drawn: Column, choices: DataFrame, ident: str, name: str) -> DataFrame:
+    """rows with one of the distinct idents of ``choices`` in column ``name``, each as likely: that with the number that
+    ``drawn``, a whole number, leaves modulo their count."""
+    index = catalog.dense_index(choices, ident, "_i").withColumnRenamed(ident, name)
+    size = F.broadcast(index.agg(F.count(F.lit(1)).alias("_size")))  # one row
+    return rows.crossJoin(size).withColumn("_i", F.when(F.col("_size") > 0, drawn % F.col("_size"))).join(index, "_i", "left").drop("_i", "_size")
+
+
+def generated(samples: DataFrame, cards: DataFrame, backgrounds: DataFrame, card: str, background: str, seed: int, background_only: float = 0.1, size: float = 640.0, **placing) -> DataFrame:
+    """samples: (split, i), distinct. One row a sample: its background, by how many degrees that is turned before it is
+    cropped, and ``cards``: an array of (card, label, points), three for each card placed, in the order of placement;
+    empty for the share of samples that are background only. All draws come from the seed and the sample."""
+    named = F.concat_ws("-", "split", F.col("i").cast("string"))
+    own = lambda name: S.draw(name, named, str(seed))
+    base = picked(samples.select("split", "i", (own("turn_of_background") % 360).alias("degrees"), S.bernoulli("empty", named, background_only, str(seed)).alias("empty"), own("background").alias("_drawn")), F.col("_drawn"), backgrounds, background, "background").drop("_drawn")
+    base = staged(base, "backgrounds")
+    tried = attempts_of(base.where("not empty").select("split", "i"), seed, placing.pop("least", 1), placing.pop("most", 10), size, placing.pop("attempts", 10))
+    found = placement.place(tried, "image", "card", "ident", "points", size, size, **placing)
+    of_card = S.draw("which_card", F.concat_ws("-", "image.split", F.col("image.i").cast("string"), F.col("card").cast("string")), str(seed))
+    found = picked(found.select("image", F.col("card").alias("place"), "points", of_card.alias("_drawn")), F.col("_drawn"), cards, card, "card_id")
+    each = found.select("image", F.explode(F.transform(keypoints(F.col("points")), lambda k: F.struct(F.col("place").alias("place"), k["label"].alias("label"), F.col("card_id").alias("card"), k["points"].alias("points")))).alias("k"))
+    of_image = each.groupBy("image.split", "image.i").agg(F.array_sort(F.collect_list("k"), lambda a, b: (a["place"] * 3 + a["label"] - b["place"] * 3 - b["label"]).cast("int")).alias("k"))
+    none = F.array().cast(dict(of_image.dtypes)["k"])
+    met = base.join(of_image, ["split", "i"], "left").withColumn("k", F.coalesce("k", none))
+    return met.select("split", "i", "background", "degrees", F.transform("k", lambda k: F.struct(k["card"].alias("card"), k["label"].alias("label"), k["points"].alias("points"))).alias("cards"))
+
+
+def label_texts(made: DataFrame, size: float = 640.0) -> DataFrame:
+    """(split, name, label) of generated samples: a file's text, one line a polygon, empty for a background alone."""
+    lines = F.array_join(F.transform("cards", lambda c: T.label_line(c["label"], c["points"], size)), "\n")
+    return made.select("split", T.numbered("image", F.col("i")).alias("name"), lines.alias("label"))
+
+
 def write_labels(rows: DataFrame, path: str, size: float = 640.0) -> None:
     """One text line a polygon, below a folder for each split; fails where the folder exists."""
     rows.select("split", T.label_line(F.col("label"), F.col("points"), size).alias("value")).write.partitionBy("split").mode("errorifexists").text(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import geometry as G
 from lodestone.functions import sampling as S
-from lodestone.operators import assignment, catalog, mining, placement
+from lodestone.operators import assignment, catalog, mining, placement, synth
 from lodestone.plans.record import query
 from lodestone.plans.relational import duck_draw
 from lodestone.plans.shapes import SKEWED, quads
@@ -112,3 +112,14 @@ def batch_hard_mining(spark: SparkSession, d: str) -> DataFrame:
     index = catalog.dense_index(points, "vec_id", "i").select("vec_id", F.floor(F.col("i") / 32).alias("batch"))
     found = mining.hardest(points.join(index, "vec_id"), "batch", "vec_id", "label", "embedding")
     return found.withColumn("positive_score", F.round("positive_score", 6)).withColumn("negative_score", F.round("negative_score", 6))
+
+
+@query("synthetic_samples")
+def synthetic_samples(spark: SparkSession, d: str) -> DataFrame:
+    """One image for each part of a split: parts as cards, pages as backgrounds; keypoints as label texts."""
+    part = table(spark, d, "part")
+    samples = synth.splits_of(part, "p_partkey", 0.1, 0.1).select("split", F.col("p_partkey").alias("i"))
+    made = synth.generated(samples, part, table(spark, d, "pages"), "p_partkey", "url", seed=42, most=5, attempts=4, least_in_image=0.7)
+    texts = synth.label_texts(made).withColumnRenamed("split", "of_split")
+    names = made.select("split", "background", "degrees", F.size("cards").cast("long").alias("n_polygons"), F.format_string("image_%04d", "i").alias("name"))
+    return names.join(texts, (names["split"] == texts["of_split"]) & (names["name"] == texts["name"])).select(names["split"], names["name"], "background", "degrees", "n_polygons", "label")
