@@ -105,23 +105,28 @@ def _with_distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIMS)), F.lit(0.0)))
 
 
+def _of_cells(table: DataFrame, name: str) -> DataFrame:
+    """A table of a row or two a cell, staged in one file: the planner sees how small it is and broadcasts it, so that hot
+    cells never meet in one task. Of many small files it would see the sum of their footers."""
+    return staged(table.repartition(1), name)
+
+
 def _fit(rows: DataFrame) -> DataFrame:
     """rows: (cell, x0..). One row a cell: its centre and factor at the smaller determinant of two starts."""
     shape = ["cell", "start", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in _PAIRS], "log_det"]
-    # what is known of cells is staged, so that small tables of cells are broadcast and hot cells never meet in one task
-    middle = staged(rows.groupBy("cell").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(_X)]), "medians")
+    middle = _of_cells(rows.groupBy("cell").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(_X)]), "medians")
     off = rows.join(middle, "cell").groupBy("cell", *[f"m{i}" for i in range(DIMS)]).agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10000).alias(f"a{i}") for i, x in enumerate(_X)])
     for i, j in _PAIRS:
         off = off.withColumn(f"l{i}{j}", F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0))
     first = off.withColumn("start", F.lit(0)).withColumn("log_det", F.lit(0.0)).select(*shape)
     second = _factored(rows.groupBy("cell").agg(*_moments()), 1.0).withColumn("start", F.lit(1)).select(*shape)
-    cells = staged(first.unionByName(second), "cells")
+    cells = _of_cells(first.unionByName(second), "cells")
     for _ in range(MOST_STEPS):
         # distances are computed twice, which costs less than writing them; only what is known of cells is staged
         near = _with_distance(rows.join(cells, "cell")).select("cell", "start", *_X, "d2", F.col("log_det").alias("was"))
-        limit = staged(near.groupBy("cell", "start").agg(F.percentile_approx("d2", SUBSET, 10000).alias("limit")), "limits")
+        limit = _of_cells(near.groupBy("cell", "start").agg(F.percentile_approx("d2", SUBSET, 10000).alias("limit")), "limits")
         inner = near.join(limit, ["cell", "start"]).where("d2 <= limit").groupBy("cell", "start").agg(*_moments(), F.first("was").alias("was"))
-        cells = staged(_factored(inner, CONSISTENT).select(*shape, "was"), "cells")
+        cells = _of_cells(_factored(inner, CONSISTENT).select(*shape, "was"), "cells")
         moved = cells.agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
         cells = cells.drop("was")
         if moved is None or moved <= TOLERANCE:
@@ -152,11 +157,11 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).select("id", *base, "base_failed", F.to_json(F.struct("of_lang", "of_source")).alias("own"), *[x.alias(n) for x, n in zip(vector(), _X)])
     rows = staged(rows, "measured")
-    large = staged(rows.where("not base_failed").groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select(F.col("own").alias("cell")), "large")
+    large = _of_cells(rows.where("not base_failed").groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select(F.col("own").alias("cell")), "large")
     rows = staged(rows.join(large, rows["own"] == large["cell"], "left").drop("own").withColumn("cell", F.coalesce("cell", F.lit("pooled"))), "placed")
     fitting = rows.where("not base_failed").select("cell", *_X)
-    enough = staged(fitting.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("cell"), "enough")
+    enough = _of_cells(fitting.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("cell"), "enough")
     fitting = fitting.join(enough, "cell", "left_semi")
-    fits = staged(_reweighted(fitting, staged(_fit(fitting), "raw-fits")), "fits")
+    fits = _of_cells(_reweighted(fitting, _of_cells(_fit(fitting), "raw-fits")), "fits")
     out = _with_distance(rows.join(fits, "cell", "left"))
     return out.select(F.col("id").alias(key), *base, "base_failed", F.col("d2").alias("distance"), (~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).alias("kept"))
