@@ -132,6 +132,14 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
         yield batch.slice(row, end - row), texts.slice(row, end - row).to_pylist()
 
 
+def binary_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """The same of a binary column; nulls stay null."""
+    values = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for row, end in _runs_of_rows(np.concatenate([[0], np.cumsum(sizes)]), SLICE_BYTES):
+        yield batch.slice(row, end - row), values.slice(row, end - row).to_pylist()
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Of every run of ``width`` words: len(hashes) - width + 1 values. Runs that cross a text's end are the caller's to drop."""
     n = len(hashes) - width + 1
