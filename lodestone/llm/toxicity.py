@@ -4,14 +4,17 @@
    once, several times or densely, that are far more frequent in rows of label 1 become voters: each votes for a text
    that has it, else abstains.
 2. Label model. A generative model with two classes gives each voter a firing rate per class (its accuracy) by
-   expectation maximisation, started from the labels, which count as one more voter; the balance of the classes is that of the labels, and a voter that
+   expectation maximisation over all texts, those without a label included. Where there is a label, it is one more voter,
+   whose accuracy is estimated like the others'. The balance of the classes is that of the labels, and a voter that
    abstains tells nothing. Voters that fire together within a class are not independent evidence: their correlations
    within classes are estimated too, and each vote is divided by the number of votes that its correlated group amounts to.
-3. Classifier. A logistic regression over the features is trained on the posterior labels, and its output
+   Texts count by their sets of votes; a round is one job over the distinct sets, whose sums for pairs of voters (VOTERS
+   squared) are all that comes back.
+3. Classifier. A logistic regression over the features is trained on the posterior labels of the sample, and its output
    is calibrated on the labels of the training rows. Only this linear model scores texts.
 
-What is fitted on the driver is bounded by SAMPLE rows and FEATURES features; every text is scored in place, with the
-weights broadcast. Labels, languages, sources and ids are never inputs of a score.
+What is fitted on the driver is bounded by SAMPLE rows, FEATURES features and VOTERS voters; every text is scored in
+place, with the weights broadcast. Labels, languages, sources and ids are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.textblocks import slices
 from lodestone.session import staged
@@ -40,7 +44,10 @@ LEAST_ROWS, LEAST_LIFT = 5, 6.0
 #: Correlation within classes from which votes share their evidence: below, it comes from subjects or languages that
 #: some voters have in common, not from voters that look at the same thing.
 CORRELATED = 0.6
-TRUST = 0.95
+#: How often a label of 1 is given in either class, before it is estimated.
+TRUST = (0.05, 0.95)
+#: Rounds of the label model, at most, and the change of rates and balance below which it ends.
+ROUNDS, STILL = 30, 2e-3
 CUT = 0.3
 #: Words whose features a task remembers.
 CACHED_WORDS = 100_000
@@ -114,39 +121,96 @@ class Finder:
         return np.array(sorted(found), dtype=np.int64)
 
 
-def _posterior(evidence: np.ndarray, share: float) -> np.ndarray:
-    """Of class 1, with the prior that makes its mean ``share``."""
-    low, high = -60.0, 60.0
-    for _ in range(60):
-        at = (low + high) / 2
-        p = 1 / (1 + np.exp(-np.clip(evidence + at, -40, 40)))
-        low, high = (low, at) if p.mean() > share else (at, high)
-    return p
-
-
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """votes: (rows, voters) of 0 and 1; start: the labels, first posterior of class 1, whose mean stays the balance of
-    classes. A label is one more voter, right with a chance of TRUST, which keeps classes from drifting to whatever
-    subjects the texts fall into. Gives the posterior, the firing rates (2, voters) and the correlations within classes (voters, voters)."""
-    posterior, votes = start.astype(float), votes.astype(float)
-    given = (2 * posterior - 1) * math.log(TRUST / (1 - TRUST))
-    m, share = votes.shape[1], float(np.clip(start.mean(), 1e-4, 1 - 1e-4))
-    rates, together = np.full((2, m), 0.5), np.eye(m)
-    for _ in range(rounds):
-        together = np.zeros((m, m))
-        for c, weight in enumerate((1 - posterior, posterior)):
-            rates[c] = (weight @ votes + 0.5) / (weight.sum() + 1)
-            off = votes - rates[c]
-            spread = np.sqrt(np.maximum(weight @ off**2, 1e-9))
-            together += (share if c else 1 - share) * (off.T * weight @ off) / np.outer(spread, spread)
-        np.fill_diagonal(together, 1)
-        alike = np.where(together > CORRELATED, together, 0).sum(axis=1)
-        updated = _posterior(given + votes @ (np.log(rates[1] / rates[0]) / alike), share)
-        done = np.abs(updated - posterior).max() < 1e-4
-        posterior = updated
-        if done:
+class LabelModel:
+    """Two classes, voters with a firing rate in each, and the label as one more voter where it is known."""
+
+    def __init__(self, n_voters: int, share: float):
+        self.share = float(np.clip(share, 1e-4, 1 - 1e-4))
+        self.rates, self.together = np.full((2, n_voters), 0.5), np.eye(n_voters)
+        self.evidence, self.trust = np.zeros(n_voters), np.array(TRUST)
+        self.bias, self.started = math.log(self.share / (1 - self.share)), False
+
+    def posterior(self, votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Of class 1. votes: (rows, voters) of 0 and 1; labels: 0, 1 or nan."""
+        told = np.log(np.array([(1 - self.trust[1]) / (1 - self.trust[0]), self.trust[1] / self.trust[0]]))
+        given = np.where(np.isnan(labels), 0, told[(labels == 1).astype(int)])
+        return 1 / (1 + np.exp(-np.clip(votes @ self.evidence + given + self.bias, -40, 40)))
+
+    def expected(self, votes: np.ndarray, labels: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of rows that stand for n texts each, for each class a matrix of one row and column more than voters: texts in
+        which two voters fire together (on the diagonal: one fires); last, texts, texts with a label, and with label 1.
+        Before the start, the labels are the classes, and texts without one do not count."""
+        known = ~np.isnan(labels)
+        votes, n = votes.astype(float), n * (1 if self.started else known)
+        one = self.posterior(votes, labels) if self.started else np.nan_to_num(labels)
+        m = votes.shape[1]
+        out = np.zeros((2, m + 3, m + 3))
+        for c, weight in enumerate((n * (1 - one), n * one)):
+            out[c, :m, :m] = (votes.T * weight) @ votes
+            out[c, m, m], out[c, m + 1, m + 1], out[c, m + 2, m + 2] = weight.sum(), weight[known].sum(), weight[known] @ labels[known]
+        return out
+
+    def maximised(self, sums: np.ndarray) -> float:
+        """Take the parameters that the sums of expected() make likeliest; returns by how much they changed."""
+        m, before = len(self.evidence), self.rates
+        self.rates, self.together = np.empty((2, m)), np.zeros((m, m))
+        for c in (0, 1):
+            total, fired = sums[c, m, m], np.diag(sums[c])[:m]
+            r = self.rates[c] = (fired + 0.5) / (total + 1)
+            off = sums[c, :m, :m] - np.outer(r, fired) - np.outer(fired, r) + total * np.outer(r, r)
+            spread = np.sqrt(np.maximum(np.diag(off), 1e-9))
+            self.together += (self.share if c else 1 - self.share) * off / np.outer(spread, spread)
+            if self.started:
+                self.trust[c] = (sums[c, m + 2, m + 2] + 0.5) / (sums[c, m + 1, m + 1] + 1)
+        np.fill_diagonal(self.together, 1)
+        alike = np.where(self.together > CORRELATED, self.together, 0).sum(axis=1)
+        self.evidence = np.log(self.rates[1] / self.rates[0]) / alike
+        moved = np.abs(self.rates - before).max(initial=0)
+        if self.started:  # the prior moves until the classes have the share of the labels
+            zero, one = np.maximum(sums[:, m, m], 1e-9)
+            short = math.log(self.share / (1 - self.share)) - math.log(one / zero)
+            self.bias += short
+            moved = max(moved, abs(short) * self.share)
+        self.started = True
+        return moved
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The label model of rows at hand. votes: (rows, voters) of 0 and 1; labels: 0, 1 or nan. Gives the posterior of class
+    1, the firing rates (2, voters) and the correlations within classes (voters, voters)."""
+    labels = labels.astype(float)
+    model = LabelModel(votes.shape[1], np.nanmean(labels))
+    for k in range(rounds + 1):
+        if model.maximised(model.expected(votes, labels, np.ones(len(votes)))) < STILL and k:
             break
-    return posterior, rates, together
+    return model.posterior(votes, labels), model.rates, model.together
+
+
+def label_model_of(patterns: DataFrame, n_voters: int, share: float, rounds: int = ROUNDS) -> LabelModel:
+    """The label model of all texts. patterns: (votes, label, n), the texts that have this set of votes and this label.
+    A round adds the sums up where the rows are."""
+    model = LabelModel(n_voters, share)
+
+    def summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, n_voters + 3, n_voters + 3))
+        for part in parts:
+            for at in range(0, len(part), 4096):
+                rows = part.iloc[at : at + 4096]
+                votes = np.zeros((len(rows), n_voters), dtype=bool)
+                for k, v in enumerate(rows["votes"]):
+                    votes[k, v] = True
+                sums += model.expected(votes, rows["label"].to_numpy(dtype=float), rows["n"].to_numpy(dtype=float))
+        i, j = np.nonzero(np.triu(sums.sum(axis=0)))
+        yield pd.DataFrame({"i": i, "j": j, "zero": sums[0, i, j], "one": sums[1, i, j]})
+
+    for k in range(rounds + 1):
+        got = patterns.mapInPandas(summed, "i int, j int, zero double, one double").groupBy("i", "j").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toPandas()
+        i, j, sums = got["i"].to_numpy(), got["j"].to_numpy(), np.zeros((2, n_voters + 3, n_voters + 3))
+        for c, name in enumerate(("zero", "one")):
+            sums[c, i, j] = sums[c, j, i] = got[name].to_numpy()
+        if model.maximised(sums) < STILL and k:
+            break
+    return model
 
 
 def chosen_voters(rows_of: list[np.ndarray], n: int, most: int) -> list[int]:
@@ -204,29 +268,43 @@ def calibrated(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> dict:
-    """Features, weights and bias. labels: (key, label), training rows only. Rows of a key that labels
-    repeats take its highest label; null keys and labels are left out. Texts of docs that share a key all count when words
-    are mined; the one with the first features in order stands for the key after that. Of more than ``sample`` labelled
-    keys, those with the smallest hashes are used."""
+def featured(docs: DataFrame, names: list[str], key: str, text: str, keep: list[str]) -> DataFrame:
+    """(row, has) for every row, staged: its key as ``_k`` with the columns ``keep``, and the indices of its features."""
+    given = docs.select(F.struct(docs[key].alias("_k"), *[docs[c] for c in keep]).alias("row"), docs[text].alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+
+    def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(shared.value)
+        for part in parts:
+            for rows, texts in slices(part, "text"):
+                yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array([finder.find(t) for t in texts], pa.list_(pa.int32()))], names=["row", "has"])
+
+    schema = T.StructType([given.schema["row"], T.StructField("has", T.ArrayType(T.IntegerType()))])
+    return staged(given.mapInArrow(find, schema), "featured")
+
+
+def vote_patterns(had: DataFrame, chosen: DataFrame, voters: list[int]) -> DataFrame:
+    """(votes, label, n), staged: the sets of voters that fire, by their places in ``voters``, and how many texts have
+    each. had: of featured(); chosen: (k, toxic). Counts are combined before the shuffle."""
+    labelled = had.join(F.broadcast(chosen), had["row._k"] == chosen["k"], "left")
+    fired = F.array_sort(F.transform(F.array_intersect("has", F.lit(voters).cast("array<int>")), lambda f: (F.array_position(F.lit(voters).cast("array<int>"), f) - 1).cast("int")))
+    return staged(labelled.select(fired.alias("votes"), (F.col("toxic") == 1).cast("double").alias("label")).groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n")), "votes")
+
+
+def _fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int, keep: list[str]) -> tuple[dict, DataFrame | None]:
+    """The model of fit(), and featured() rows of docs, if there are features."""
     chosen = labels.select(labels[key].alias("k"), labels[label].alias("toxic")).where("k is not null and toxic is not null").groupBy("k").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("k"), "k").limit(sample)
     # bounded by ``sample``, so the few ids are sent to the texts and not the texts to them
-    rows = staged(docs.select(docs[key].alias("k"), docs[text].alias("text")).join(F.broadcast(staged(chosen, "chosen")), "k"), "labelled")
-    found = mined(rows)
-    names = [f for f, _, _ in found]
+    chosen = staged(chosen, "chosen")
+    rows = staged(docs.select(docs[key].alias("k"), docs[text].alias("text")).join(F.broadcast(chosen), "k"), "labelled")
+    names = [f for f, _, _ in mined(rows)]
     if not names:
         share = rows.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
         share = min(max(share or 0.0, 1e-4), 1 - 1e-4)
-        return {"features": [], "weights": np.zeros(0), "bias": math.log(share / (1 - share)), "posterior": None}
-
-    def have(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(names)
-        for part in parts:
-            yield pd.DataFrame({"k": part["k"], "toxic": part["toxic"].astype("int64"), "has": [finder.find(t) for t in part["text"]]})
-
-    kind = dict(rows.dtypes)["k"]
+        return {"features": [], "weights": np.zeros(0), "bias": math.log(share / (1 - share)), "posterior": None}, None
+    had = featured(docs, names, key, text, keep)
     # one row for each key chosen
-    got = rows.mapInPandas(have, f"k {kind}, toxic long, has array<long>").groupBy("k", "toxic").agg(F.min("has").alias("has")).orderBy("k").collect()
+    got = had.join(F.broadcast(chosen), had["row._k"] == chosen["k"]).groupBy("k", "toxic").agg(F.min("has").alias("has")).orderBy("k").collect()
     n, m = len(got), len(names)
     truth = np.array([r["toxic"] == 1 for r in got], dtype=float)
     has = [np.array(r["has"], dtype=np.int64) for r in got]
@@ -237,11 +315,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     votes = np.zeros((n, len(voters)), dtype=bool)
     for k, f in enumerate(voters):
         votes[rows_of[f], k] = True
-    posterior, rates, together = label_model(votes, truth)
+    told = label_model_of(vote_patterns(had, chosen, voters), len(voters), truth.mean())
+    posterior = told.posterior(votes, truth)
     w, b = logistic(at, columns, n, m, posterior)
     z = np.bincount(at, weights=w[columns], minlength=n) + b
     scale, shift = calibrated(z, truth)
-    return {"features": names, "weights": scale * w, "bias": float(scale * b + shift), "posterior": posterior, "rates": rates, "together": together, "truth": truth, "voters": voters}
+    model = {"features": names, "weights": scale * w, "bias": float(scale * b + shift), "posterior": posterior, "rates": told.rates, "together": told.together, "trust": told.trust, "truth": truth, "voters": voters}
+    return model, had
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> dict:
+    """Features, weights and bias. labels: (key, label), training rows only. Rows of a key that labels
+    repeats take its highest label; null keys and labels are left out. Texts of docs that share a key all count when words
+    are mined and in the label model; the one with the first features in order stands for the key after that. Of more than
+    ``sample`` labelled keys, those with the smallest hashes are used; the others' texts count as having no label."""
+    return _fit(docs, labels, key, text, label, sample, [])[0]
 
 
 def _scores(model: dict, spark):
@@ -286,5 +374,20 @@ def accepted(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """score() with a model that is fitted on the labels given."""
-    return score(docs, fit(docs, labels, key, text), key, text, keep)
+    """score() with a model that is fitted on the labels given. Texts are read for their features once."""
+    kept = [c for c in (keep or [key]) if c not in ("score", "predicted")]
+    model, had = _fit(docs, labels, key, text, "toxic", SAMPLE, kept)
+    if had is None:
+        return score(docs, model, key, text, keep)
+    shared = docs.sparkSession.sparkContext.broadcast((model["weights"], model["bias"]))
+
+    def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = shared.value
+        for part in parts:
+            has = part.column("has")
+            at = np.repeat(np.arange(len(has)), has.value_lengths().to_numpy(zero_copy_only=False))
+            z = np.bincount(at, weights=weights[has.flatten().to_numpy()], minlength=len(has)) + bias
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["row", "score"])
+
+    scored = had.mapInArrow(apply, T.StructType([had.schema["row"], T.StructField("score", T.DoubleType())]))
+    return scored.select(*[F.col("row")[c].alias(c) for c in kept], "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
