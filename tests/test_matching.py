@@ -187,3 +187,17 @@ def test_mining_equals_brute_force(spark, monkeypatch):
         x = got[i]
         assert (x["positive"], x["negative"]) == (pos and pos[1], neg and neg[1])
         assert (pos is None) == (x["positive_score"] is None) and (pos is None or x["positive_score"] == pytest.approx(pos[0]))
+
+
+def test_reach_grows_in_place_of_all_pairs(spark, monkeypatch):
+    """Of dense sets that all lie within the reach, few pairs are formed, and the result is that of the loop over all."""
+    formed, whole = [], assignment.mutual
+    monkeypatch.setattr(assignment, "PAIRS_A_SET", 2)
+    monkeypatch.setattr(assignment, "mutual", lambda pairs, keys: (formed.append(pairs.count()), whole(pairs, keys))[1])
+    r = random.Random(6)
+    sets = lambda first: [(i % 2, first + i, [(r.randrange(2000) / 10, r.randrange(2000) / 10)]) for i in range(400)]
+    left, right = sets(0), sets(1000)
+    df = lambda rows: spark.createDataFrame([(k, i, pts(*p)) for k, i, p in rows], f"k int, id int, points {POINTS}")
+    got = assignment.assigned(df(left), df(right), ["k"], "id", "points", 300.0).collect()
+    assert {(x["k"], x["left_id"], x["right_id"], round(x["distance"], 9)) for x in got} == greedy(left, right, 300.0) and len(got) == 400
+    assert len(formed) > 1 and max(formed) < 40_000  # all pairs are 80,000
