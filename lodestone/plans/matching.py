@@ -11,7 +11,7 @@ from lodestone.operators import assignment, catalog, mining, placement, synth
 from lodestone.plans.record import query
 from lodestone.plans.relational import duck_draw
 from lodestone.plans.shapes import SKEWED, quads
-from lodestone.session import table
+from lodestone.session import spread, table
 
 
 def turned_square() -> Column:
@@ -49,7 +49,7 @@ def polygon_overlap(spark: SparkSession, d: str) -> DataFrame:
 def attempts(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
     """Cards of eight to an image, each with n drawn places and sizes."""
     ident = F.col("p_partkey") * 10 + F.col("attempt")
-    rows = table(spark, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("attempt")).select("p_partkey", F.floor(F.col("p_partkey") / 8).alias("image"), ident.alias("ident"))
+    rows = spread(table(spark, d, "part").select("p_partkey")).select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("attempt")).select("p_partkey", F.floor(F.col("p_partkey") / 8).alias("image"), ident.alias("ident"))
     u = lambda name: S.uniform(name, F.col("ident"))
     w = F.sqrt(S.log_uniform("place_area", F.col("ident"), 0.02, 0.3) * 409600.0 / 1.4)
     return rows.select("p_partkey", "image", "ident", G.rectangle(u("place_x") * 640, u("place_y") * 640, w, w * 1.4).alias("card"))

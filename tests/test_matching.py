@@ -201,3 +201,12 @@ def test_reach_grows_in_place_of_all_pairs(spark, monkeypatch):
     got = assignment.assigned(df(left), df(right), ["k"], "id", "points", 300.0).collect()
     assert {(x["k"], x["left_id"], x["right_id"], round(x["distance"], 9)) for x in got} == greedy(left, right, 300.0) and len(got) == 400
     assert len(formed) > 1 and max(formed) < 40_000  # all pairs are 80,000
+
+
+def test_rounds_of_placement_broadcast_nothing(spark, monkeypatch):
+    """Idents compress well, so what Spark takes for small can be millions of rows."""
+    plans, whole = [], placement.staged
+    monkeypatch.setattr(placement, "staged", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), whole(df, name))[1])
+    cards = spark.createDataFrame([(0, i, i, pts(*turned(20 + i % 5 * 9, 30 + i, 20, 28, i))) for i in range(20)], f"image int, item int, ident int, card {POINTS}")
+    assert placement.place(cards, "image", "item", "ident", "card", 100.0, 100.0).count() > 0
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans[3:])
