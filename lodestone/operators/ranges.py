@@ -95,10 +95,11 @@ def filled(df: DataFrame, key: str, order: list[str], column: str, before: str,
     ends = known.groupBy(key, "_range").agg(F.max_by(value, place).alias("_last"), F.min_by(value, place).alias("_first"))
     pieces = _of(rows, spanning(rows, key), key).select(key, "_range").distinct().withColumnsRenamed({key: "_key", "_range": "_at"})
     met = pieces.join(ends, pieces["_key"].eqNullSafe(ends[key]) & (pieces["_at"] == ends["_range"]), "left")
-    along = W.partitionBy("_key").orderBy("_at")
-    outer = met.select("_key", "_at", F.last("_last", True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_in"), F.first("_first", True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("_out"))
-    own = W.partitionBy("_range", key).orderBy(*order)
-    here = rows.select("*", F.last(column, True).over(own.rowsBetween(W.unboundedPreceding, 0)).alias("_b"), F.first(column, True).over(own.rowsBetween(0, W.unboundedFollowing)).alias("_a"))
+    # the first known value that follows is the last one in reverse: Spark reads a frame without an end anew for each row
+    along, back = W.partitionBy("_key").orderBy("_at"), W.partitionBy("_key").orderBy(F.col("_at").desc())
+    outer = met.select("_key", "_at", F.last("_last", True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_in"), F.last("_first", True).over(back.rowsBetween(W.unboundedPreceding, -1)).alias("_out"))
+    own, turned = W.partitionBy("_range", key).orderBy(*order), W.partitionBy("_range", key).orderBy(*[F.desc(c) for c in order])
+    here = rows.select("*", F.last(column, True).over(own.rowsBetween(W.unboundedPreceding, 0)).alias("_b"), F.last(column, True).over(turned.rowsBetween(W.unboundedPreceding, 0)).alias("_a"))
     both = here.join(outer, here[key].eqNullSafe(outer["_key"]) & (here["_range"] == outer["_at"]), "left")
     return both.select(*[here[c] for c in df.columns if c not in (before, after)], F.coalesce("_b", F.col("_in")["v"]).alias(before), F.coalesce("_a", F.col("_out")["v"]).alias(after))
 

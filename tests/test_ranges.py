@@ -84,3 +84,12 @@ def test_empty(spark, df):
     none = df.limit(0)
     assert ranges.lagged(none, "k", ["at"], {"x": ("v", 1)}).count() == 0 and ranges.placed(none, "k", ["at"], "p").count() == 0
     assert ranges.ringed(none, "k", ["at"], "i", "x").count() == 0 and ranges.filled(none, "k", ["at"], "v", "l", "h").count() == 0
+
+
+def test_no_frame_is_read_anew_for_each_row(spark):
+    """Spark evaluates a frame that ends with its partition from the row on for every row, so a range takes the square of its rows."""
+    rows = spark.range(50).select((F.col("id") % 2).alias("k"), "id", F.when(F.col("id") % 3 == 0, F.col("id")).alias("v"))
+    found = ranges.filled(rows, "k", ["id"], "v", "before", "after", 3)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    known = lambda k: [i for i in range(k, 50, 2) if i % 3 == 0]
+    assert all(r["before"] == max((i for i in known(r["k"]) if i <= r["id"]), default=None) and r["after"] == min((i for i in known(r["k"]) if i >= r["id"]), default=None) for r in found.collect())
