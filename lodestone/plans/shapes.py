@@ -11,7 +11,7 @@ from lodestone.functions import geometry as G
 from lodestone.functions import sampling as S
 from lodestone.functions import text as T
 from lodestone.operators import ranges
-from lodestone.operators.boxes import overlapping
+from lodestone.operators.boxes import overlapping_ids
 from lodestone.plans.record import query
 from lodestone.plans.relational import duck_draw
 from lodestone.session import table
@@ -197,10 +197,9 @@ def lerp_color(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bbox_overlap_join", "WITH b AS (SELECT p_partkey, p_size::DOUBLE AS x0, p_size + 3.0 AS x1, p_retailprice AS y0, p_retailprice + 20 AS y1 FROM part) SELECT a.p_partkey AS id, b.p_partkey AS other_id FROM b a JOIN b ON a.p_partkey < b.p_partkey AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
 def bbox_overlap_join(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes meet in the grid cells that they touch; cells are as large as the boxes are in the mean."""
+    """Distinct boxes meet in the grid cells that they touch; their copies are paired at the end."""
     box = F.struct(width().alias("x0"), (width() + 3.0).alias("x1"), F.col("p_retailprice").alias("y0"), (F.col("p_retailprice") + 20.0).alias("y1"))
-    met = overlapping(parts(spark, d).select("p_partkey", box.alias("box")), [], "p_partkey", "box")
-    return met.select(F.col("l.p_partkey").alias("id"), F.col("r.p_partkey").alias("other_id"))
+    return overlapping_ids(parts(spark, d).select("p_partkey", box.alias("box")), "p_partkey", "box")
 
 
 _FLAG = duck_draw("swap")

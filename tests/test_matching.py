@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 from lodestone.functions import geometry as G
-from lodestone.operators import assignment, mining, placement, synth
+from lodestone.operators import assignment, boxes, mining, placement, synth
 from lodestone.operators.boxes import overlapping
 from pyspark.sql import functions as F
 
@@ -210,3 +210,18 @@ def test_rounds_of_placement_broadcast_nothing(spark, monkeypatch):
     cards = spark.createDataFrame([(0, i, i, pts(*turned(20 + i % 5 * 9, 30 + i, 20, 28, i))) for i in range(20)], f"image int, item int, ident int, card {POINTS}")
     assert placement.place(cards, "image", "item", "ident", "card", 100.0, 100.0).count() > 0
     assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans[3:])
+
+
+def test_copies_of_boxes_meet_once(spark, monkeypatch):
+    """Pairs by distinct boxes equal those by all rows, with blocks of copies and cells that are cut into shares."""
+    monkeypatch.setattr(boxes, "COPIES", 4)
+    monkeypatch.setattr(boxes, "SHARE", 5)
+    r = random.Random(7)
+    some = [(x := r.randrange(20), y := r.randrange(20), x + r.choice([0, 2, 9]), y + r.choice([3, 9])) for _ in range(40)]
+    rows = [(i, *map(float, r.choice(some[: 40 if i % 2 else 2]))) for i in range(300)] + [(900, None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "id int, x0 double, y0 double, x1 double, y1 double").select("id", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    found = boxes.overlapping_ids(df, "id", "box")
+    got = [tuple(x) for x in found.collect()]
+    want = {(a[0], b[0]) for a in rows[:-1] for b in rows[:-1] if a[0] < b[0] and a[1] < b[3] and b[1] < a[3] and a[2] < b[4] and b[2] < a[4]}
+    assert len(got) == len(set(got)) and set(got) == want and found.columns == ["id", "other_id"]
+    assert boxes.overlapping_ids(df.limit(0), "id", "box").count() == 0
