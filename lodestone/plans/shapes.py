@@ -14,7 +14,7 @@ from lodestone.operators import ranges
 from lodestone.operators.boxes import overlapping_ids
 from lodestone.plans.record import query
 from lodestone.plans.relational import duck_draw
-from lodestone.session import table
+from lodestone.session import spread, table
 
 
 
@@ -269,7 +269,7 @@ def orient_quad(spark: SparkSession, d: str) -> DataFrame:
             rows = [(k, *oriented_quad([(p["x"], p["y"]) for p in q]).ravel().astype(int).tolist()) for k, q in zip(part["p_partkey"], part["q"])]
             yield pd.DataFrame(rows, columns=["p_partkey", *(f"{c}{i}" for i in range(4) for c in "xy")])
 
-    return quads(spark, d).select("p_partkey", "q").mapInPandas(run, "p_partkey long, " + ", ".join(f"{c}{i} long" for i in range(4) for c in "xy"))
+    return spread(quads(spark, d).select("p_partkey", "q")).mapInPandas(run, "p_partkey long, " + ", ".join(f"{c}{i} long" for i in range(4) for c in "xy"))
 
 
 _GH = "((x0 - x1 + x2 - x3) * (y3 - y2) - (x3 - x2) * (y0 - y1 + y2 - y3)) / det AS g, ((x1 - x2) * (y0 - y1 + y2 - y3) - (x0 - x1 + x2 - x3) * (y1 - y2)) / det AS h"
