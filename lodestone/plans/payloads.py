@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import documents, segmenter
 from lodestone.plans.record import query
-from lodestone.session import table
+from lodestone.session import spread, table
 
 _DOCUMENT = """CASE WHEN p_partkey % 11 = 0 THEN 'no json' WHEN p_partkey % 13 = 0 THEN NULL ELSE
     concat('{"id":', cast(p_partkey AS string), ',"name":"', p_name, '","prices":{"usd":', CASE WHEN p_partkey % 7 = 0 THEN 'null' WHEN p_partkey % 7 = 1 THEN '"n/a"' ELSE concat('"', cast(p_size AS string), '.25"') END,
@@ -49,6 +49,6 @@ def variant_totals(spark: SparkSession, d: str) -> DataFrame:
 def frame_segments(spark: SparkSession, d: str) -> DataFrame:
     """Names as frames of one row, whose words are bright and whose blanks are dark; each ninth frame is missing."""
     segmenter.register(spark, "bright_segments", lambda: segmenter.bright_runs(1 << 20, 32))
-    frames = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, F.col("p_name").cast("binary")).alias("frame"))
+    frames = spread(table(spark, d, "part").select("p_partkey", "p_name")).select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, F.col("p_name").cast("binary")).alias("frame"))
     found = spark.sql("SELECT p_partkey, s.conf, s.points FROM {frames}, LATERAL bright_segments(frame) s", frames=frames)
     return found.select("p_partkey", F.round(F.col("points")[0]["x"], 6).alias("x"), (F.col("points")[1]["x"] - F.col("points")[0]["x"]).alias("width"), F.round("conf", 6).alias("conf"))
