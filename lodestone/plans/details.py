@@ -12,7 +12,7 @@ from lodestone.operators import catalog, folds
 from lodestone.operators.collection import top_k
 from lodestone.plans.record import query
 from lodestone.plans.shapes import parts, quads
-from lodestone.session import table
+from lodestone.session import spread, table
 
 
 @query("retrieve_by_ids", "SELECT vec_id, label FROM embeddings WHERE vec_id % 7 = 0")
@@ -195,5 +195,5 @@ def box_difference(spark: SparkSession, d: str) -> DataFrame:
 @query("round_rect_mask", "WITH s AS (SELECT p_partkey, p_size AS w, p_size % 11 + 3 AS h, ceil(greatest(p_size, p_size % 11 + 3) * 0.2)::INT AS r FROM part) SELECT p_partkey, r AS radius, (SELECT count(*) FROM range(w) x(x), range(h) y(y) WHERE (greatest(0, r - 1 - x, x - (w - r)) ^ 2 + greatest(0, r - 1 - y, y - (h - r)) ^ 2) <= r * r) AS inside FROM s")
 def round_rect_mask(spark: SparkSession, d: str) -> DataFrame:
     """Pixels inside a rectangle with round corners, whose radius is a fifth of the longer side."""
-    sizes = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("w"), (F.col("p_size") % 11 + 3).alias("h"))
+    sizes = spread(table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", F.col("p_size").alias("w"), (F.col("p_size") % 11 + 3).alias("h"))
     return sizes.select("p_partkey", N.corner_radius(F.col("w"), F.col("h"), 0.2).alias("radius"), F.aggregate(N.round_mask(F.col("w"), F.col("h"), 0.2), F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("inside"))
