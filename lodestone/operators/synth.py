@@ -12,7 +12,7 @@ from lodestone.functions import geometry as G
 from lodestone.functions import sampling as S
 from lodestone.functions import text as T
 from lodestone.operators import catalog, placement
-from lodestone.session import staged
+from lodestone.session import spread, staged
 
 
 def splits(spark: SparkSession, train: int, val_ratio: float, test_ratio: float) -> DataFrame:
@@ -116,7 +116,7 @@ def attempts_of(samples: DataFrame, seed: int, least: int, most: int, size: floa
     places, turns and sizes (shares of the image's area, evenly on a logarithmic scale) to be tried in order."""
     tag = str(seed)
     named = F.concat_ws("-", "split", F.col("i").cast("string"))
-    cards = samples.select(F.struct("split", "i").alias("image"), F.explode(F.sequence(F.lit(1), least + S.draw("cards", named, tag) % (most - least))).alias("card"))
+    cards = spread(samples).select(F.struct("split", "i").alias("image"), F.explode(F.sequence(F.lit(1), least + S.draw("cards", named, tag) % (most - least))).alias("card"))
     tries = cards.select("image", "card", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
     tries = tries.select("image", "card", F.struct("image", "card", "attempt").alias("ident"), F.concat_ws("-", F.col("image.split"), *[F.col(c).cast("string") for c in ("image.i", "card", "attempt")]).alias("_n"))
     u = lambda name: S.uniform(name, F.col("_n"), tag)
