@@ -131,6 +131,35 @@ def test_equal_vectors_rank_by_id_and_odd_ones_have_no_score(spark):
     assert top_k(points.limit(0), queries, 3).count() == 0 and top_k(points, queries.limit(0), 3).count() == 0
 
 
+def shuffled(df):
+    """Rows that the exchanges of a result which has run have written."""
+
+    def walk(plan):
+        name, inner = plan.nodeName(), plan.children()
+        below = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [inner.apply(i) for i in range(inner.size())]
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+        return own + sum(map(walk, below))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("skip_self", [False, True])
+@pytest.mark.parametrize("threshold", [None, 0.1])
+@pytest.mark.parametrize("k", [1, 1100])
+def test_a_search_passes_on_little_more_than_its_result(spark, k, threshold, skip_self):
+    """However many points there are; beyond 1,000 Spark itself passes on every hit. Against brute force."""
+    vectors = np.random.default_rng(4).normal(size=(3000, 8)).round(1)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>")
+    queries = points.where("id % 600 = 7").withColumnRenamed("id", "query_id")
+    found = top_k(points, queries, k, threshold, skip_self=skip_self)
+    got = {(r["query_id"], r["id"], r["rank"]) for r in found.collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    scores = {q: np.round(unit @ unit[q], 12) for q in range(7, 3000, 600)}
+    ranked = {q: sorted((-s[i], i) for i in range(3000) if (threshold is None or s[i] >= threshold) and not (skip_self and i == q))[:k] for q, s in scores.items()}
+    assert got == {(q, i, n + 1) for q, best in ranked.items() for n, (_, i) in enumerate(best)}
+    assert shuffled(found) < len(got) + 5 * 100
+
+
 def test_recall_of_the_index(spark):
     """Against the exact way, on all vectors of the table: nine of ten at least; with all cells probed, all."""
     points = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
