@@ -91,6 +91,14 @@ def at_least(scores: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.divmod(np.flatnonzero(scores >= floors[:, None]), max(1, scores.shape[1]))
 
 
+def own_floors(scores: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """What each row's k-th best reaches, for rows that come more than k times in ``row``; -inf for others."""
+    floors, many = np.full(len(scores), -np.inf), np.flatnonzero(np.bincount(row, minlength=len(scores)) > k)
+    if len(many):
+        floors[many] = np.partition(np.nan_to_num(np.round(scores[many], DIGITS), nan=-np.inf), -k, axis=1)[:, -k]
+    return floors
+
+
 def bins_of_kth(counts: np.ndarray, k: int) -> np.ndarray:
     """Of each row, the bin that holds its k-th best; -1 where fewer were counted."""
     out = np.full(len(counts), -1)
@@ -110,7 +118,7 @@ def top_k(points: DataFrame, queries: DataFrame, k: int, threshold: float | None
     Queries may be many: they are broadcast in blocks of a bounded size, and points stay in place. All scores are computed
     twice. First each task counts a query's scores in bins, and the sums over all tasks tell a floor that at least k of them
     reach. Then only what reaches its query's floor is passed on and ranked: k of a query and the rest of one bin, however
-    many batches and tasks the points lie in. Null and zero vectors, and those of other lengths than the queries', have no
+    many batches and tasks the points lie in; of that rest, each batch's own k best and their ties. Null and zero vectors, and those of other lengths than the queries', have no
     score. ``probed``: a column with each point's cell, the centres of the cells, and how many of these a query looks into
     (see VectorIndex); all of them by default."""
     context, types, found = points.sparkSession.sparkContext, dict(points.dtypes), None
@@ -154,8 +162,10 @@ def top_k(points: DataFrame, queries: DataFrame, k: int, threshold: float | None
                 scores = scores_of(q, p, who, own, places)
                 row, col = at_least(scores, least.value[who])
                 exact = np.round(scores[row, col], DIGITS)
+                good = exact >= own_floors(scores, row, k)[row]  # binds where many scores share a bin
                 if threshold is not None:
-                    row, col, exact = (x[exact >= threshold] for x in (row, col, exact))
+                    good &= exact >= threshold
+                row, col, exact = row[good], col[good], exact[good]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.arange(len(q))[who][row])), own.take(pa.array(col)), pa.array(exact)], names=["query_id", "id", "score"])
 
         hits = read.mapInArrow(score, f"query_id {dict(queries.dtypes)[query_id]}, id {types[ident]}, score double")

@@ -160,6 +160,19 @@ def test_a_search_passes_on_little_more_than_its_result(spark, k, threshold, ski
     assert shuffled(found) < len(got) + 5 * 100
 
 
+def test_scores_that_share_a_bin(spark):
+    """Nearly equal vectors: all scores lie in one bin, and a batch still passes on its own best only."""
+    vectors = 1 + np.random.default_rng(6).normal(size=(2000, 8)).round(3) / 100
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>").coalesce(1)
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    found = top_k(points, points.where("id = 9").withColumnRenamed("id", "query_id"), 1001)
+    scores = np.round(unit @ unit[9], 12)
+    assert scores.min() > 1 - 2 / collection.BINS
+    assert [r["id"] for r in found.orderBy("rank").collect()] == sorted(range(2000), key=lambda i: (-scores[i], i))[:1001]
+    again = top_k(points, points.where("id = 9").withColumnRenamed("id", "query_id"), 1001)
+    assert again.count() == 1001 and {r["rank"] for r in again.collect()} == set(range(1, 1002)) and shuffled(again) <= 1010
+
+
 def test_recall_of_the_index(spark):
     """Against the exact way, on all vectors of the table: nine of ten at least; with all cells probed, all."""
     points = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
