@@ -31,34 +31,38 @@ def overlapping(boxes: DataFrame, keys: list[str], ident: str, box: str, only: C
     return (met if only is None else met.where(only)).select("l", "r")
 
 
-#: Copies of one box that are held in one row, and rows of a cell that meet all others of it in one task.
-COPIES, SHARE = 256, 512
+#: Copies of one box that are held in one row, idents of a cell that meet all others of it in one task, and idents in a run
+#: of neighbours.
+COPIES, SHARE, RUN = 256, 8192, 32
 
 
 def overlapping_ids(boxes: DataFrame, ident: str, box: str) -> DataFrame:
     """(id, other_id), id the smaller, of all boxes that overlap, for tables with many copies of boxes and full cells. Only
-    distinct boxes are compared: each stands for blocks of at most COPIES idents, which are paired at the end. The rows of
-    a full cell are dealt out in shares, each of which meets the cell's rows in a task of its own, so tasks stay even."""
-    kind = dict(boxes.dtypes)[ident]
-    sizes = boxes.where(F.col(box).isNotNull())
-    edges = [F.col(box)[e].alias(e) for e in ("x0", "y0", "x1", "y1")]
-    held = sizes.select(F.col(ident).alias("_id"), *edges)
-    counted = held.groupBy("x0", "y0", "x1", "y1").agg(F.count(F.lit(1)).alias("_n"))
+    distinct boxes are compared: each stands for blocks of at most COPIES idents, which are paired at the end. The blocks of
+    a full cell are dealt out in shares, each of which meets the cell's shares in a task of its own, so tasks stay even. The
+    neighbours of a block are cut into sorted runs, and each run comes out with one ident of the block after the other: the
+    same run again and again, and ids that stay the same for a run, of which Parquet's encodings keep little."""
+    edges = ["x0", "y0", "x1", "y1"]
+    held = boxes.where(F.col(box).isNotNull()).select(F.col(ident).alias("_id"), *[F.col(box)[e].alias(e) for e in edges])
+    counted = held.groupBy(*edges).agg(F.count(F.lit(1)).alias("_n"))
     block = F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / COPIES)).alias("_block")
-    blocks = staged(held.join(counted.hint("merge"), ["x0", "y0", "x1", "y1"]).groupBy("x0", "y0", "x1", "y1", block).agg(F.collect_list("_id").alias("ids")), "blocks")
+    blocks = staged(held.join(counted.hint("merge"), edges).groupBy(*edges, block).agg(F.sort_array(F.collect_list("_id")).alias("ids")), "blocks")
     wide, high = cell_sizes(boxes, box)
     span = lambda low, high_, cell: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high_) / cell))
     cut = blocks.withColumn("_cx", F.explode(span("x0", "x1", wide))).withColumn("_cy", F.explode(span("y0", "y1", high)))
-    full = staged(cut.groupBy("_cx", "_cy").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("_shares")), "cells")
-    cut = cut.join(full.hint("merge"), ["_cx", "_cy"])
-    named = lambda df, side: df.select("_cx", "_cy", "_share", *[F.col(c).alias(side + c) for c in ("x0", "y0", "x1", "y1", "_block", "ids")])
+    full = staged(cut.groupBy("_cx", "_cy").agg(F.ceil(F.sum(F.size("ids")) / SHARE).alias("_shares")), "cells")
+    cut = cut.join(full.hint("merge"), ["_cx", "_cy"]).withColumn("_share", F.pmod(F.xxhash64(*edges, "_block"), F.col("_shares")))
     tasks = max(1, min(10_000, 4 * (full.agg(F.sum("_shares")).first()[0] or 0)))
-    l = named(cut.withColumn("_share", F.pmod(F.xxhash64("x0", "y0", "x1", "y1", "_block"), F.col("_shares"))), "l").repartition(tasks, "_cx", "_cy", "_share")  # noqa: E741
-    r = named(cut.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1))), "r").repartition(tasks, "_cx", "_cy", "_share")
+    keys = ["_cx", "_cy", "_share"]
+    l = cut.select(*keys, *edges, "ids").repartition(tasks, *keys)  # noqa: E741
+    shares = cut.groupBy("_cx", "_cy", "_shares", "_share").agg(F.collect_list(F.struct(*edges, "ids")).alias("held"))
+    r = shares.select("_cx", "_cy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)).alias("_share"), "held").repartition(tasks, *keys)
     c = F.col
-    order = F.struct(*[c("l" + e) for e in ("x0", "y0", "x1", "y1", "_block")]), F.struct(*[c("r" + e) for e in ("x0", "y0", "x1", "y1", "_block")])
-    meet = (c("lx0") < c("rx1")) & (c("rx0") < c("lx1")) & (c("ly0") < c("ry1")) & (c("ry0") < c("ly1"))
-    first = (c("_cx") == F.floor(F.greatest("lx0", "rx0") / wide)) & (c("_cy") == F.floor(F.greatest("ly0", "ry0") / high))
-    met = l.join(r.hint("merge"), ["_cx", "_cy", "_share"]).where(meet & first & (order[0] <= order[1])).select("lids", "rids", (order[0] == order[1]).alias("own"))
-    pairs = met.select("rids", "own", F.explode("lids").alias("a")).select("own", "a", F.explode("rids").alias("b")).where(~c("own") | (c("a") < c("b")))
-    return pairs.select(F.least("a", "b").cast(kind).alias("id"), F.greatest("a", "b").cast(kind).alias("other_id"))
+    meet = lambda b: (c("x0") < b["x1"]) & (b["x0"] < c("x1")) & (c("y0") < b["y1"]) & (b["y0"] < c("y1"))
+    first = lambda b: (c("_cx") == F.floor(F.greatest(c("x0"), b["x0"]) / wide)) & (c("_cy") == F.floor(F.greatest(c("y0"), b["y0"]) / high))
+    near = F.flatten(F.filter("held", lambda b: meet(b) & first(b))["ids"])
+    met = l.join(r.hint("merge"), keys).select("ids", F.sort_array(near).alias("near"))
+    starts = F.when(F.size("near") > 0, F.sequence(F.lit(1), F.size("near"), F.lit(RUN)))
+    runs = met.select("ids", "near", F.explode(starts).alias("_at")).select("ids", F.slice("near", c("_at"), RUN).alias("run"))
+    under = runs.select("run", F.explode("ids").alias("id")).where(c("id") < F.element_at("run", -1))
+    return under.select("id", F.explode("run").alias("other_id")).where(c("id") < c("other_id"))
