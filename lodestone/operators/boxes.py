@@ -32,8 +32,8 @@ def overlapping(boxes: DataFrame, keys: list[str], ident: str, box: str, only: C
 
 
 #: Copies of one box that are held in one row, idents of a cell that meet all others of it in one task, and idents in a run
-#: of neighbours.
-COPIES, SHARE, RUN = 256, 8192, 32
+#: of neighbours; idents a block in the mean, below which blocks meet one by one, as runs would cost more than they save.
+COPIES, SHARE, RUN, FEW = 256, 8192, 32, 4
 
 
 def overlapping_ids(boxes: DataFrame, ident: str, box: str) -> DataFrame:
@@ -55,14 +55,19 @@ def overlapping_ids(boxes: DataFrame, ident: str, box: str) -> DataFrame:
     tasks = max(1, min(10_000, 4 * (full.agg(F.sum("_shares")).first()[0] or 0)))
     keys = ["_cx", "_cy", "_share"]
     l = cut.select(*keys, *edges, "ids").repartition(tasks, *keys)  # noqa: E741
-    shares = cut.groupBy("_cx", "_cy", "_shares", "_share").agg(F.collect_list(F.struct(*edges, "ids")).alias("held"))
-    r = shares.select("_cx", "_cy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)).alias("_share"), "held").repartition(tasks, *keys)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)).alias("_share")
     c = F.col
     meet = lambda b: (c("x0") < b["x1"]) & (b["x0"] < c("x1")) & (c("y0") < b["y1"]) & (b["y0"] < c("y1"))
     first = lambda b: (c("_cx") == F.floor(F.greatest(c("x0"), b["x0"]) / wide)) & (c("_cy") == F.floor(F.greatest(c("y0"), b["y0"]) / high))
-    near = F.flatten(F.filter("held", lambda b: meet(b) & first(b))["ids"])
-    met = l.join(r.hint("merge"), keys).select("ids", F.sort_array(near).alias("near"))
-    starts = F.when(F.size("near") > 0, F.sequence(F.lit(1), F.size("near"), F.lit(RUN)))
-    runs = met.select("ids", "near", F.explode(starts).alias("_at")).select("ids", F.slice("near", c("_at"), RUN).alias("run"))
+    if (blocks.agg(F.avg(F.size("ids"))).first()[0] or 0.0) < FEW:
+        r = cut.select("_cx", "_cy", each, F.struct(*edges).alias("b"), c("ids").alias("run")).repartition(tasks, *keys)
+        runs = l.join(r.hint("merge"), keys).where(meet(c("b")) & first(c("b"))).select("ids", "run")
+    else:
+        shares = cut.groupBy("_cx", "_cy", "_shares", "_share").agg(F.collect_list(F.struct(*edges, "ids")).alias("held"))
+        r = shares.select("_cx", "_cy", each, "held").repartition(tasks, *keys)
+        near = F.flatten(F.filter("held", lambda b: meet(b) & first(b))["ids"])
+        met = l.join(r.hint("merge"), keys).select("ids", F.sort_array(near).alias("near"))
+        starts = F.when(F.size("near") > 0, F.sequence(F.lit(1), F.size("near"), F.lit(RUN)))
+        runs = met.select("ids", "near", F.explode(starts).alias("_at")).select("ids", F.slice("near", c("_at"), RUN).alias("run"))
     under = runs.select("run", F.explode("ids").alias("id")).where(c("id") < F.element_at("run", -1))
     return under.select("id", F.explode("run").alias("other_id")).where(c("id") < c("other_id"))
