op1_lm_scores: a context's followers are probed once, and levels are probed over all pieces together

Symptom: op1_lm_scores takes 661 CPU seconds per GB on the 0.51 GB input, and scoring texts (stage 49) is 220 of its 335 task seconds.
Evidence: profiled outside Spark on 12,000 documents, probing the filter is 5.9 of 8.4 s; 61.6 of 87 million probes ask for followers, the same context again for each of its n-grams, and the level loop starts anew for each of the 36 pieces, so its fixed cost grows with the model.
Fix: sorted n-grams share one probe per context, and the level loop runs over blocks of 32,768 keys across pieces; the same bits are read and the same levels found.
Effect: at 0.6 GB of input CPU 1064 -> 771 s, shuffle 1.52 -> 1.52 GB, spill 0.00 -> 0.00 GB, read 2.42 -> 2.42 GB, longest task 50 -> 31 s, most memory of a task 34 -> 34 MB; at 6 GB of input CPU 21633 -> 8785 s, shuffle 15.60 -> 15.60 GB, spill 0.00 -> 0.00 GB, read 22.89 -> 22.89 GB, longest task 379 -> 116 s, most memory of a task 134 -> 134 MB; with hot keys, at 0.6 GB of input CPU 310 -> 315 s, shuffle 0.44 -> 0.44 GB, spill 0.00 -> 0.00 GB, read 0.74 -> 0.74 GB, longest task 11 -> 10 s, most memory of a task 34 -> 34 MB.

@@ -56,6 +56,8 @@ BUCKET_CHARS = 1_000_000
 GATHERED = 1 << 20
 #: Tokens of the texts that are probed together: their distinct hashes, in order.
 CHUNK_TOKENS = 1 << 17
+#: Distinct hashes that are probed at once, over all pieces that they lie in: few enough for a core's cache.
+PROBED = 1 << 15
 _FOLLOWER_BITS = np.uint64(24)
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP, _FOLLOWERS = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -268,22 +270,10 @@ class Piece:
         at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
         return np.where(self.hashes[at] == tokens, self.counts[at], 0).astype(np.int64)
 
-    def _probe(self, keys: np.ndarray, segments: np.ndarray, first: int) -> np.ndarray:
-        """Level after level: the last that is present, 0 if none is."""
-        levels = np.zeros(len(keys), dtype=np.uint8)
-        here, level = np.flatnonzero(self.sizes[segments] > 0), first
-        while len(here):
-            b = segments[here]
-            at, mask = _slots(keys[here], level, self.sizes[b])
-            here = here[(self.words[self.begins[b] + at] & mask) == mask]
-            levels[here] = level
-            level += 1
-        return levels
-
-    def levels(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Levels of n-grams whose buckets are here, and of the followers of their contexts."""
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the segments of n-grams whose buckets are here begin, and how long they are."""
         segments = _buckets(keys, self.n_buckets) - self.low
-        return self._probe(keys, segments, 1), self._probe((keys >> _FOLLOWER_BITS << _FOLLOWER_BITS) ^ _FOLLOWERS, segments, 2)
+        return self.begins[segments], self.sizes[segments]
 
 
 def _by_piece(keys: np.ndarray, cuts: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
@@ -291,6 +281,37 @@ def _by_piece(keys: np.ndarray, cuts: np.ndarray, n_buckets: int) -> list[tuple[
     return _runs(np.searchsorted(cuts, _buckets(keys, n_buckets), side="right") - 1)
 
 
+def _probe(runs: list[tuple[Piece, int, int]], keys: np.ndarray, begins: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
+    """Level after level, over all pieces at once: the last that is present, 0 if none is. runs: (piece, from, to) of keys."""
+    levels = np.zeros(len(keys), dtype=np.uint8)
+    here, level, ends = np.flatnonzero(sizes > 0), first, [y for _, _, y in runs]
+    while len(here):
+        at, mask = _slots(keys[here], level, sizes[here])
+        at += begins[here]
+        words, x = np.empty(len(here), dtype=np.uint64), 0
+        for (piece, _, _), y in zip(runs, np.searchsorted(here, ends).tolist()):
+            if x < y:
+                words[x:y] = piece.words[at[x:y]]
+            x = y
+        here = here[(words & mask) == mask]
+        levels[here] = level
+        level += 1
+    return levels
+
+
+def _levels(runs: list[tuple[Piece, int, int]], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of sorted n-grams, and of the followers of their contexts. A context is probed once for all its n-grams,
+    which lie side by side."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint8)
+    begins, sizes = (np.concatenate(x) for x in zip(*(piece.places(keys[x:y]) for piece, x, y in runs)))
+    contexts = keys >> _FOLLOWER_BITS << _FOLLOWER_BITS
+    once = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
+    runs_once = [(piece, *np.searchsorted(once, [x, y]).tolist()) for piece, x, y in runs]
+    followers = _probe(runs_once, contexts[once] ^ _FOLLOWERS, begins[once], sizes[once], 2)
+    return _probe(runs, keys, begins, sizes, 1), np.repeat(followers, np.diff(np.append(once, len(keys))))
+
+
 def _chunks(parts: Iterator[pa.RecordBatch], order: int) -> Iterator[list[tuple[pa.RecordBatch, Tokens]]]:
     """Blocks of texts of about CHUNK_TOKENS tokens together."""
     hasher, held, size = WordHasher(), [], 0
@@ -354,8 +375,9 @@ def _probed(todo: DataFrame, kind: str, order: int, base: float, n_buckets: int,
             counts, levels = np.zeros(len(ones), dtype=np.int64), np.zeros((2, len(twos)), dtype=np.uint8)
             for p, x, y in _by_piece(ones, cuts, n_buckets):
                 counts[x:y] = piece(p).unigrams(ones[x:y])
-            for p, x, y in _by_piece(twos, cuts, n_buckets):
-                levels[:, x:y] = piece(p).levels(twos[x:y])
+            for low in range(0, len(twos), PROBED):
+                some = twos[low : low + PROBED]
+                levels[:, low : low + PROBED] = _levels([(piece(p), x, y) for p, x, y in _by_piece(some, cuts, n_buckets)], some)
             at = 0
             for batch, tokens in chunk:
                 m, low = len(tokens.token), at * (order - 1)
@@ -480,7 +502,7 @@ def _scored_by_shuffles(todo: DataFrame, model: DataFrame, kind: str, order: int
                 now = now or Piece(rows, int(cuts[at]), int(cuts[at + 1]) if at + 1 < n_pieces else n_buckets, n_buckets)
                 rows = []
                 ones, twos = given(r["a"]), given(r["b"])
-                levels, followers = now.levels(twos)
+                levels, followers = _levels([(now, 0, len(twos))], twos)
                 out.append((r["chunk"], at, now.unigrams(ones).tobytes(), levels.tobytes() + followers.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "piece", "counts", "levels"])
 

@@ -145,6 +145,48 @@ def test_passes_agree_with_one(spark, order):
     assert whole == twice
 
 
+def test_contexts_are_probed_once_and_levels_over_all_pieces(spark, monkeypatch):
+    """Each key has the level that it has when probed alone; the followers of a context are probed once for all its
+    n-grams, and the steps do not grow with the number of pieces. Null, empty and repeated texts are among the rows."""
+    docs = odd(spark).unionByName(spark.createDataFrame([(100 + i, prose(i % 9, 50), "en", "a", 0) for i in range(40)], odd(spark).schema))
+    n_buckets = 16
+    model = scoring._segments(scoring._ngram_blocks(docs, "text", 3, n_buckets), scoring.BASE, 12).collect()
+    texts = [*(r["text"] or "" for r in docs.collect()), "words never seen"]
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    words = scoring.WordHasher().words(np.frombuffer("".join(texts).encode(), dtype=np.uint8), offsets)
+    keys = scoring.distinct(np.concatenate(scoring.Tokens(words, 3).keys))
+    contexts = keys >> scoring._FOLLOWER_BITS << scoring._FOLLOWER_BITS
+    steps, slots = [], scoring._slots
+    monkeypatch.setattr(scoring, "_slots", lambda k, level, sizes: steps.append(k) or slots(k, level, sizes))
+
+    def found(n_pieces):
+        cuts = scoring._cuts(n_buckets, n_pieces)
+        pieces = [scoring.Piece([r for r in model if low <= r["bucket"] < high], low, high, n_buckets) for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), n_buckets])]
+        steps.clear()
+        got = scoring._levels([(pieces[p], x, y) for p, x, y in scoring._by_piece(keys, cuts, n_buckets)], keys)
+        return [x.tolist() for x in got], [len(k) for k in steps]
+
+    whole = scoring.Piece(model, 0, n_buckets, n_buckets)
+
+    def alone(key, bucket, level):
+        segment = whole.words[whole.begins[bucket] :][: whole.sizes[bucket]]
+        last = 0
+        while len(segment):
+            at, mask = slots(np.array([key]), level, np.array([len(segment)]))
+            if segment[at[0]] & mask[0] != mask[0]:
+                break
+            last, level = level, level + 1
+        return last
+
+    of = scoring._buckets(keys, n_buckets).tolist()
+    want = [[alone(k, b, 1) for k, b in zip(keys, of)], [alone(c ^ scoring._FOLLOWERS, b, 2) for c, b in zip(contexts, of)]]
+    got, asked = found(1)
+    assert got == want and min(want[0]) == 0 and max(want[1]) > 2
+    assert len(np.unique(contexts)) in asked and len(np.unique(contexts)) < len(keys)
+    assert found(8) == (got, asked)
+    assert [len(x) for x in scoring._levels([(whole, 0, 0)], keys[:0])] == [0, 0]
+
+
 def test_levels_only_grow():
     counts = np.arange(1, 5000)
     levels = scoring.levels_of(counts, 1.5)
