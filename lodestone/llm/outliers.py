op8_quality: texts are measured with fewer passes, and windows grow only where shorter ones repeat

Symptom: op8_quality takes 572 CPU seconds per GB on the 0.51 GB input, and measuring the texts (stage 449) is 232 of its task seconds.
Evidence: timed alone on the 0.10 GB input, measured() takes 49 to 52 CPU seconds; the three translate() passes, which look up each character as a string, take 5 to 6 of these each, the regular expressions and splitting 3 to 6 each, and a hash of eight array reads for every word, on texts that repeat nothing too, 13.
Fix: marks are cut out of the text in one pass and counted in what is left, word characters come from the words, blank lines from trim(), and windows are doubled from 1 to 2, 4 and 8 words, only for texts whose shorter windows repeat as often as a repeated window of 8 implies.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 1242 -> 1065 s, shuffle 0.14 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.85 -> 0.85 GB, longest task 41 -> 40 s, most memory of a task 101 -> 101 MB; at 6 GB of input CPU 11960 -> 4712 s, shuffle 2.16 -> 2.16 GB, spill 0.00 -> 0.00 GB, read 9.85 -> 9.85 GB, longest task 106 -> 76 s, most memory of a task 101 -> 101 MB; with hot keys, at 0.6 GB of input CPU 1535 -> 897 s, shuffle 0.24 -> 0.17 GB, spill 0.00 -> 0.00 GB, read 0.55 -> 0.45 GB, longest task 24 -> 17 s, most memory of a task 101 -> 101 MB.

@@ -44,23 +44,33 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     Columns of these names, and of names that begin with ``_lodestone_``, are replaced.
 
     A word in an 8-word window that the text has at least twice is a repeated word. Windows are compared by hashes of
-    their words' hashes; only texts with a repeated window are sorted. Each text is measured within its row."""
+    their words' hashes; only texts with a repeated window are sorted. Windows grow from 1 to 2, 4 and 8 words: a repeated
+    one of 8 holds WINDOW + 1 - width repeated ones of each smaller width, so texts with fewer of these are done. Each text
+    is measured within its row."""
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals")
     kept = [docs[c] for c in docs.columns if c != text and c not in new and not c.startswith("_lodestone_")]
     names = [c for c in docs.columns if c != text and c not in new and not c.startswith("_lodestone_")]
     t = F.coalesce(docs[text], F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
-    one = docs.select(
+    zero = docs.select(
         *kept,
-        F.transform(F.filter(F.split(t, _SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("_lodestone_h"),
-        F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace(t, "[^A-Z]+", "")).cast("long").alias("n_capitals"),
-        lines.alias("_lodestone_lines"),
+        F.array_remove(F.split(t, _SPACE), "").alias("_lodestone_words"),
+        F.regexp_replace(t, "[^A-Z#*$%&|<>]+", "").alias("_lodestone_marks"),
+        F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(" \t\x0b\f\r")) != "").alias("_lodestone_lines"),
     )
-    one = one.withColumn("n_words", F.size("_lodestone_h").cast("long")).withColumn("n_dup_lines", (F.size("_lodestone_lines") - F.size(F.array_distinct("_lodestone_lines"))).cast("long"))
-    hashed = ", ".join(f"_lodestone_h[i + {k}]" for k in range(WINDOW))
-    two = one.withColumn("_lodestone_w", F.expr(f"case when size(_lodestone_h) >= {WINDOW} then transform(sequence(0, size(_lodestone_h) - {WINDOW}), i -> xxhash64({hashed})) else array() end"))
+    two = zero.select(
+        *names,
+        F.size("_lodestone_words").cast("long").alias("n_words"),
+        F.length(F.array_join("_lodestone_words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("_lodestone_marks", "[A-Z]+", "")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("_lodestone_marks", "[^A-Z]+", "")).cast("long").alias("n_capitals"),
+        (F.size("_lodestone_lines") - F.size(F.array_distinct("_lodestone_lines"))).cast("long").alias("n_dup_lines"),
+        F.transform("_lodestone_words", lambda w: F.xxhash64(w)).alias("_lodestone_w"),
+    )
+    width = 1
+    while width < WINDOW:
+        grown = f"slice(transform(_lodestone_w, (h, i) -> xxhash64(h, get(_lodestone_w, i + {width}))), 1, size(_lodestone_w) - {width})"
+        two = two.withColumn("_lodestone_w", F.expr(f"case when size(_lodestone_w) - size(array_distinct(_lodestone_w)) >= {WINDOW + 1 - width} then {grown} else array() end"))
+        width *= 2
     three = two.withColumn("_lodestone_s", F.expr("case when size(array_distinct(_lodestone_w)) < size(_lodestone_w) then array_sort(transform(_lodestone_w, (h, i) -> struct(h as h, i as i))) end"))
     four = three.withColumn(
         "_lodestone_p",

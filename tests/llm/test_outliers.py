@@ -33,6 +33,22 @@ def test_measures_equal_brute_force(spark):
         assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == brute(texts[row["doc_id"]])
 
 
+def test_windows_that_repeat_are_found_through_smaller_ones(spark):
+    """Texts at the edge of each gate: 7 and 8 words again, overlapping windows, many repeated words, pairs or fours and no
+    repeated window; nulls, empty texts and repeated keys. The text itself is searched for capitals and symbols once."""
+    w = [f"w{i}" for i in range(40)]
+    texts = [w[:k] + ["x"] + w[:k] for k in (3, 6, 7, 8, 9, 12)] + [["a"] * k for k in (7, 8, 9, 10, 17)] + [w[:8] * 2, w[:8] * 2 + ["y"], w[:7] * 2, w[:4] * 2, ["a", "b", "c"] * 6, w[:8]]
+    texts += [w[:2] + [str(i)] + w[:2] + [str(-i)] for i in range(3)] + [[x for i in range(9) for x in (*w[:2], f"n{i}")], [x for i in range(9) for x in (*w[:5], f"n{i}")], [x for i in range(3) for x in (*w[:9], f"n{i}")]]
+    texts = [" ".join(x) for x in texts] + [None, "", " \n\t", "É$ A\u00a0B", "#" * 9, "\r\n \x0b\f\nQ\nQ\n \tQ", "\U0001f600 Z\U0001f600%"]
+    docs = spark.createDataFrame([*((i // 2, t) for i, t in enumerate(texts)), (None, "A b"), (None, "A b")], "doc_id long, text string")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals")
+    got = Q.measured(docs)
+    want = [(k, *brute(t), len(re.findall("[A-Z]", t or ""))) for k, t in [*((i // 2, t) for i, t in enumerate(texts)), (None, "A b"), (None, "A b")]]
+    assert collections.Counter((r["doc_id"], *(r[n] for n in names)) for r in got.collect()) == collections.Counter(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and len(re.findall(r"regexp_replace\(coalesce", plan)) == 1
+
+
 def corpus(spark):
     r = random.Random(8)
     rows = []
