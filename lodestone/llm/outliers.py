op8_quality: rows beyond a distance are masked, as a filter on it was pushed into the join and grew too long to compile

Symptom: op8_quality spends about 69 of its 301 task seconds on the 0.51 GB input outside measuring, up to 5 s in each concentration step.
Evidence: on 256,410 rows and 80 cells a step's moments take 11.3 CPU seconds, its distances and limits 2.2; the plan writes each z out anew in the next within the join's condition, and the generated method has 10,735 bytes (8,957 in the reweighting), while the JVM compiles none over 8,000.
Fix: moments are taken over values that are null where the distance is beyond the limit, so the distance is computed once a row; the joins, groups and rounds are as before.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 1242 -> 1065 s, shuffle 0.14 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.85 -> 0.85 GB, longest task 41 -> 40 s, most memory of a task 101 -> 101 MB; at 6 GB of input CPU 11960 -> 4712 s, shuffle 2.16 -> 2.16 GB, spill 0.00 -> 0.00 GB, read 9.85 -> 9.85 GB, longest task 106 -> 76 s, most memory of a task 101 -> 101 MB; with hot keys, at 0.6 GB of input CPU 1535 -> 897 s, shuffle 0.24 -> 0.17 GB, spill 0.00 -> 0.00 GB, read 0.55 -> 0.45 GB, longest task 24 -> 17 s, most memory of a task 101 -> 101 MB.

@@ -115,6 +115,13 @@ def _with_distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIMS)), F.lit(0.0)))
 
 
+def _moments_within(rows: DataFrame, limit: Column, by: list[str], *more: Column) -> DataFrame:
+    """_moments(), and more, of the rows whose d2 is within the limit. The others are masked, not filtered: a filter would be
+    pushed into the join that d2 comes from, with each z written out anew in the next, in a method too long to be compiled."""
+    masked = rows.select(*[c for c in rows.columns if c not in _X], *[F.when(F.col("d2") <= limit, F.col(x)).alias(x) for x in _X])
+    return masked.groupBy(*by).agg(*_moments(), *more).where("m0 is not null")
+
+
 def _of_cells(table: DataFrame, name: str) -> DataFrame:
     """A table of a row or two a cell, staged in one file: the planner sees how small it is and broadcasts it, so that hot
     cells never meet in one task. Of many small files it would see the sum of their footers."""
@@ -135,7 +142,7 @@ def _fit(rows: DataFrame) -> DataFrame:
         # distances are computed twice, which costs less than writing them; only what is known of cells is staged
         near = _with_distance(rows.join(cells, "cell")).select("cell", "start", *_X, "d2", F.col("log_det").alias("was"))
         limit = _of_cells(near.groupBy("cell", "start").agg(F.percentile_approx("d2", SUBSET, 10000).alias("limit")), "limits")
-        inner = near.join(limit, ["cell", "start"]).where("d2 <= limit").groupBy("cell", "start").agg(*_moments(), F.first("was").alias("was"))
+        inner = _moments_within(near.join(limit, ["cell", "start"]), F.col("limit"), ["cell", "start"], F.first("was").alias("was"))
         cells = _of_cells(_factored(inner, CONSISTENT).select(*shape, "was"), "cells")
         moved = cells.agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
         cells = cells.drop("was")
@@ -148,8 +155,8 @@ def _fit(rows: DataFrame) -> DataFrame:
 
 def _reweighted(rows: DataFrame, fits: DataFrame) -> DataFrame:
     """The centre and factor of all rows within NEAR of a cell's fit."""
-    near = _with_distance(rows.join(fits, "cell")).where(F.col("d2") <= NEAR).select("cell", *_X)
-    return _factored(near.groupBy("cell").agg(*_moments()), CONSISTENT_NEAR).select("cell", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in _PAIRS])
+    near = _moments_within(_with_distance(rows.join(fits, "cell")), F.lit(NEAR), ["cell"])
+    return _factored(near, CONSISTENT_NEAR).select("cell", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in _PAIRS])
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:

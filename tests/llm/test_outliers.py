@@ -113,6 +113,25 @@ def test_fit_equals_numpy(spark):
     assert np.isclose(fit["log_det"], np.log(best[0]), atol=1e-6)
 
 
+def test_moments_within_a_limit(spark):
+    """As those of the rows that a filter keeps, with null values and a cell that has none within. The distance is not
+    written out again in a condition, and its method is short enough for the JVM to compile it (8,000 bytes)."""
+    rng = np.random.default_rng(3)
+    x = ", ".join(f"x{i} double" for i in range(Q.DIMS))
+    rows = [(c, *map(float, v)) for c in "ab" for v in rng.normal(0, 1, (60, Q.DIMS))] + [("b", None, 1.0, 2.0, 3.0, 4.0), ("c", *[9.0] * Q.DIMS), (None, *[0.0] * Q.DIMS)]
+    cells = [(c, *[0.1] * Q.DIMS, *[1.0 if i == j else 0.2 for i, j in Q._PAIRS]) for c in "abc"]
+    fits = spark.createDataFrame(cells, "cell string, " + ", ".join([f"m{i} double" for i in range(Q.DIMS)] + [f"l{i}{j} double" for i, j in Q._PAIRS]))
+    near = Q._with_distance(spark.createDataFrame(rows, f"cell string, {x}").join(F.broadcast(fits), "cell"))
+    got = Q._moments_within(near, F.lit(6.0), ["cell"], F.count("cell").alias("n"))
+    plain = near.where("d2 <= 6.0").select("cell", *Q._X).groupBy("cell").agg(*Q._moments())
+    now, then = sorted(map(tuple, got.drop("n").collect())), sorted(map(tuple, plain.collect()))
+    assert [r[0] for r in now] == [r[0] for r in then] and np.allclose([r[1:] for r in now], [r[1:] for r in then], rtol=1e-12, atol=0)
+    assert {r["cell"]: r["n"] for r in got.collect()} == {"a": 60, "b": 61}
+    got.collect()
+    out = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "codegen")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", out))) < 8000
+
+
 def test_odd_rows_and_empty_tables(spark):
     docs = odd(spark).withColumn("cell", F.lit("clash")).withColumn("d2", F.lit(1)).withColumn("n_words", F.lit("clash"))
     got = Q.quality(docs).collect()
