@@ -236,11 +236,10 @@ def disclosures(docs: DataFrame, found: DataFrame, met: DataFrame, text: str = "
     values = F.transform("entities", lambda e: F.struct(F.xxhash64(e).alias("entity"), F.lit(min_joint).alias("least")))
     kinds = F.transform(F.array_distinct(F.transform("entities", lambda e: F.substring_index(e, ":", 1))), lambda k: F.struct(F.xxhash64(k).alias("entity"), F.lit(min_kind).alias("least")))
     held = found.where("entities is not null").select("row", F.explode(F.concat(values, kinds)).alias("e")).select("row", "e.*")
-    seen = held.join(met.select("row", "context"), "row").select("entity", "least", "context").distinct()
+    # the rows of a context have the same terms, so one of those with the entity stands for it
+    seen = held.join(met.select("row", "context"), "row").groupBy("entity", "least", "context").agg(F.min("row").alias("row"))
     entities = staged(seen.groupBy("entity", "least").agg(F.count("*").alias("n_entity")).where("n_entity >= least"), "entities")
-    # a context's terms are those of any of its rows
-    once = met.groupBy("context").agg(F.min("row").alias("row")).join(met.select("row", "terms"), "row").select("context", "terms")
-    pairs = seen.join(entities.select("entity"), "entity").join(once, "context").select("entity", "least", F.explode("terms").alias("term"))
+    pairs = seen.join(entities.select("entity"), "entity").join(met.select("row", "terms"), "row").select("entity", "least", F.explode("terms").alias("term"))
     joint = pairs.groupBy("entity", "least", "term").agg(F.count("*").alias("n_joint")).where("n_joint >= least").drop("least")
     contexts = staged(_contexts(docs, text, False).groupBy("context").agg(F.sum("copies").alias("copies")), "contexts")
     n = contexts.count()

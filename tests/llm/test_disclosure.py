@@ -130,6 +130,34 @@ def test_disclosures_equal_brute_force(spark):
     assert (hashed("="), "secret") in got and (hashed("heron"), "ip") in got and (hashed("token"), "secret") in got
 
 
+def test_terms_reach_entities_by_one_join(spark, monkeypatch):
+    """A context's terms are moved once, to one of its rows that have the entity: others of the same words may not have it.
+    Keys are null and repeated, texts null, empty and repeated."""
+    card, other = "4111 1111 1111 1111", "1111 4111"
+    assert D.base_spans(card) and not D.base_spans(other)
+    texts = [f"{prose(i, 20)} payee{i % 2} {x}" for i in range(8) for x in ((other, card), (card, card, other), (card,), (other, other))[i % 4]]
+    texts += [f"{prose(50 + i, 20)} w{i % 3}@b.org scribe{i % 3}" for i in range(9)] + [prose(100 + i, 20) for i in range(60)] + [None, "", prose(100, 20), None]
+    contexts = {}
+    for t in texts:
+        contexts.setdefault(frozenset((t or "").lower().split()), set()).update(x for k, a, b in D.base_spans(t or "") for x in (k, f"{k}:{t[a:b].lower()}"))
+    want = set()
+    for e in set().union(*contexts.values()):
+        least, having = (D.MIN_JOINT if ":" in e else D.MIN_KIND), [w for w, es in contexts.items() if e in es]
+        for t in set().union(*having):
+            joint, n_term = sum(t in w for w in having), sum(t in w for w in contexts)
+            d = math.log(joint * len(contexts) / (n_term * len(having))) / math.log(len(contexts) / len(having))
+            want |= {(hashed(t), e, round(d, 9))} if joint >= least and d >= D.THRESHOLD else set()
+    docs = spark.createDataFrame([(None if i % 5 == 0 else i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = D.staged(D.find_base(docs).withColumn("row", F.monotonically_increasing_id()), "found")
+    met = D.staged(D._terms(found.where("entities is not null").select("row", "text")), "met")
+    plans, staged = {}, D.staged
+    monkeypatch.setattr(D, "staged", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or staged(df, name))
+    names = spark.createDataFrame([(e,) for e in set().union(*contexts.values())], "name string").withColumn("entity", F.xxhash64("name"))
+    got = {(x["term"], x["name"], round(x["disclosure"], 9)) for x in D.disclosures(docs, found, met)[1].join(names, "entity").collect()}
+    assert got == want and {e.split(":")[0] for _, e, _ in got} >= {"card", "email"}
+    assert len(re.findall(r"Join Inner, \(context", plans["strong"])) == 1  # of the copies' texts, in the counts of terms
+
+
 def test_words_that_introduce_secrets_are_marked(spark):
     docs = spark.createDataFrame([(i, f'{prose(i, 30)} token = "{secret(i)}" {prose(90 + i, 5)}') for i in range(8)] + [(100 + i, prose(300 + i, 40)) for i in range(100)], "doc_id long, text string")
     for r in D.span_digests(docs).collect():
